@@ -6,7 +6,7 @@ the ids into (zeros first, stably). Counts of ones before every 512th bit give r
 and with it access to any id, counting of an id in a range, and the places of its occurrences (select),
 all from the file's bytes without unpacking it.
 
-Documents are sorted by doc_id over all shards (equal ids by their token ids, null first). A null text
+Documents are sorted by doc_id over all shards (equal ids by their texts, null first). A null text
 is an empty one and has the end id alone; an empty table gives no shard.
 """
 
@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binaries, map_slices, partitions, written
-from .textarrays import plain
+from .common import importable, partitions, written
+from .textarrays import plain, slices
 from .tokens import encoder
 
 #: Ids that a shard holds, about.
@@ -140,41 +140,33 @@ class WaveletMatrix:
         return rows
 
 
-def tokenized(docs: DataFrame, path: str, words: bool, end_id: int) -> DataFrame:
-    """doc_id and ids (little-endian 16-bit numbers, the end id last) of each row."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, counts = encoder(path, words).encode(plain(batch.column("text")))
-        ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u2")
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), binaries(ids.view(np.uint8), 2 * (counts + 1))], ["doc_id", "ids"])
-
-    return map_slices(docs.withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, ids binary", "doc_id", "text")
-
-
 def shards(docs: DataFrame, path: str, words: bool = False, end_id: int = 2, size: int = SHARD) -> DataFrame:
     """Writes the corpus as files (rows: part, number, n_tokens, file) and returns a reader of them."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        ids, docs_, held = [], [], 0
+        ids, sizes, docs_, held = [], [], [], 0
 
         def file() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u2")
-            data = build(flat, np.array([len(x) // 2 for x in ids]), docs_)
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([len(flat)]), pa.array([data], pa.binary())], ["part", "number", "n_tokens", "file"])
+            data = build(np.concatenate(ids), np.concatenate(sizes), docs_)
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([held]), pa.array([data], pa.binary())], ["part", "number", "n_tokens", "file"])
 
         for batch in batches:
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids.append(raw.as_buffer().to_pybytes())
-                docs_.append(doc)
-                held += len(ids[-1]) // 2
+            texts = plain(batch.column("text"))
+            for lo, hi in slices(texts):
+                found, counts = encoder(path, words).encode(texts.slice(lo, hi - lo))
+                ids.append(np.insert(found, np.cumsum(counts), end_id))
+                sizes.append(counts + 1)
+                docs_ += batch.column("doc_id").slice(lo, hi - lo).to_pylist()
+                held += len(ids[-1])
                 if held >= size:
                     yield file()
-                    number, ids, docs_, held = number + 1, [], [], 0
+                    number, ids, sizes, docs_, held = number + 1, [], [], [], 0
         if ids:
             yield file()
 
-    ordered = tokenized(docs, path, words, end_id).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "ids")
+    importable(docs.sparkSession)
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(pack, "part long, number long, n_tokens long, file binary"), "wavelet")
 
 

@@ -477,7 +477,7 @@ def test_wavelet(spark):
     made = []
     for r in rows():
         ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
-        made.append(((r[0] is not None, r[0] or 0, ids.astype("<u2").tobytes()), r[0], ids))
+        made.append(((r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()), r[0], ids))
     made.sort(key=lambda x: x[0])
     want, at = Counter(), 0
     for _, i, ids in made:
