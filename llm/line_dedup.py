@@ -27,15 +27,16 @@ from pyspark.sql import functions as F
 from .common import map_slices, partitions, written
 from .components import components
 from .membership import keyed
-from .textarrays import Texts, combine, mix, plain, ragged
+from .textarrays import Texts, combine, mix, plain, power_tables, ragged
 
 SHINGLE, BANDS, ROWS, KEEP, SIMILARITY = 8, 9, 4, 4, 0.8
 PERMUTATIONS = BANDS * ROWS
-_ODD = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_HASHES = [(np.uint32(a >> np.uint64(32)), np.uint32(b >> np.uint64(32)) | np.uint32(1)) for a, b in _SEEDS.reshape(-1, 2)]
 
 
 def shingles(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """32-bit names of the shingles of ranges of UTF-8 bytes, where each range's begin, and 64-bit names."""
+    """64-bit names of the shingles of ranges of UTF-8 bytes, where each range's begin, and how many it has."""
     size = end - first
     raw = data[np.repeat(first, size) + ragged(size)] if len(size) else data[:0]
     lead = (raw & 0xC0) != 0x80  # the first byte of a character
@@ -43,18 +44,18 @@ def shingles(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.n
     chars = np.add.reduceat(lead.astype(np.int64), np.cumsum(size) - size) if len(size) else size
     n = np.maximum(chars - SHINGLE + 1, 1)
     start = np.repeat(np.cumsum(chars) - chars, n) + ragged(n)
-    name = np.zeros(len(start), np.uint64)
-    limit = np.repeat(np.cumsum(chars), n)
-    for k in range(SHINGLE):
-        at = start + k
-        inside = at < limit
-        name = name * np.uint64(0x100000001B3) + np.where(inside, points[np.minimum(at, len(points) - 1)] + np.uint64(1), np.uint64(0)) if len(points) else name
-    return mix(name), np.cumsum(n) - n, n
+    stop = np.minimum(start + SHINGLE, np.repeat(np.cumsum(chars), n))
+    # names of ranges of characters from prefix sums
+    powers, inverses = power_tables(len(points) + 1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points + np.uint64(1)) * powers[: len(points)], out=sums[1:])
+    return mix((sums[stop] - sums[start]) * inverses[start]), np.cumsum(n) - n, n
 
 
 def bands(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(lines, BANDS) names of the bands of MinHash signatures."""
-    low = [np.minimum.reduceat((names * odd) >> np.uint64(32), starts) for odd in _ODD]
+    short = (names >> np.uint64(32)).astype(np.uint32)
+    low = [np.minimum.reduceat((short ^ flip) * odd, starts).astype(np.uint64) for flip, odd in _HASHES]
     out = []
     for b in range(BANDS):
         key = np.full(len(starts), b, np.uint64)

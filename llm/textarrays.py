@@ -31,7 +31,7 @@ def _geometric(first: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
         n = max(n, SLICE_BYTES + 64)
@@ -123,7 +123,7 @@ class Texts:
     def names(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit names of byte ranges: equal bytes, equal names."""
         n = len(self.data)
-        powers, inverses = _tables(n + 1)
+        powers, inverses = power_tables(n + 1)
         if self._sums is None:
             self._sums = np.zeros(n + 1, np.uint64)
             np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=self._sums[1:])
