@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one slice holds, unless a single text is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

@@ -15,7 +15,7 @@ import pyarrow as pa
 from .textarrays import Texts, ragged
 
 #: Pieces whose ids a worker keeps.
-CACHE = 1_500_000
+CACHE = 700_000
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?")] = True
 _ALNUM = np.zeros(256, bool)
