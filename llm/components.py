@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import releasing, written
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,14 +51,14 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a long, b long); root is the same for connected nodes."""
     maps: list[DataFrame] = []
-    edges = written(edges.select("a", "b").mapInArrow(stars, "a long, b long"), "edges")
+    edges = written(edges.select("a", "b").mapInArrow(releasing(stars), "a long, b long"), "edges")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         least = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "roots")
         maps.append(least)
         to_a, to_b = least.toDF("a", "ra"), least.toDF("b", "rb")
         moved = edges.join(to_a, "a").join(to_b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        edges = written(moved.mapInArrow(stars, "a long, b long").distinct(), "edges")
+        edges = written(moved.mapInArrow(releasing(stars), "a long, b long").distinct(), "edges")
     if not maps:
         return edges.toDF("node", "root")
     out = maps[-1]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, partitions, written
+from .common import releasing, map_slices, partitions, written
 from .components import components
 from .membership import keyed
 from .textarrays import Texts, combine, mix, plain, power_tables, ragged
@@ -155,7 +155,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     dealt = map_slices(docs, sign, "bucket int, bands binary, names binary, pairs int", "text").repartitionById(buckets, F.col("bucket"))
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return dealt.mapInArrow(releasing(meet), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -177,7 +177,7 @@ def verified(pairs: DataFrame, similarity: float) -> DataFrame:
                 n = [np.bincount(r, minlength=batch.num_rows) for r in (sets[0][1], sets[1][1], both)]
                 yield batch.filter(pa.array(n[2] >= similarity * (n[0] + n[1] - n[2]) - 1e-9)).select(["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(releasing(run), "a long, b long")
 
 
 def drops(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, map_slices, partitions
+from .common import releasing, binaries, map_slices, partitions
 from .textarrays import ragged
 
 LAST = np.iinfo(np.int64).max
@@ -130,8 +130,8 @@ def answers(docs: DataFrame, names_of: Callable, earlier: bool, *columns: str) -
             yield from _merged(group)
 
     asked = map_slices(docs, ask, _COLUMNS, "doc_id", "key", "text", *columns)
-    replied = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(reply, "kind int, bucket int, slice long, doc_ids binary, keys binary, counts binary, answers binary")
-    return replied.repartition(buckets, "slice").sortWithinPartitions("slice", F.desc("kind"), "bucket").mapInArrow(gather, "key long, doc_id long, answers binary")
+    replied = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(releasing(reply), "kind int, bucket int, slice long, doc_ids binary, keys binary, counts binary, answers binary")
+    return replied.repartition(buckets, "slice").sortWithinPartitions("slice", F.desc("kind"), "bucket").mapInArrow(releasing(gather), "key long, doc_id long, answers binary")
 
 
 def _merged(group: list[dict]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, written
+from .common import releasing, map_slices, written
 from .textarrays import plain
 from .tokens import encoder
 
@@ -152,4 +152,4 @@ def pack(docs: DataFrame, path: str, words: bool = True, capacity: int = 4096, e
             yield from out.to_batches()
 
     dealt = found.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.repartitionById(groups, F.col("group").cast("int")).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return dealt.repartitionById(groups, F.col("group").cast("int")).mapInArrow(releasing(place), PIECES + ", sequence_id long, offset long")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, written
+from .common import releasing, map_slices, written
 from .components import components, local_components
 from .textarrays import Texts, plain
 
@@ -152,7 +152,7 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
         yield from found(tail_fp, tail_tile)
 
     n = keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return keyed.repartition(int(n), "tile").sortWithinPartitions("tile").mapInArrow(compare, "a long, b long")
+    return keyed.repartition(int(n), "tile").sortWithinPartitions("tile").mapInArrow(releasing(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:

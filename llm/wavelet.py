@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import importable, partitions, written
+from .common import releasing, importable, partitions, written
 from .textarrays import plain, slices
 from .tokens import encoder
 
@@ -167,7 +167,7 @@ def shards(docs: DataFrame, path: str, words: bool = False, end_id: int = 2, siz
 
     importable(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(pack, "part long, number long, n_tokens long, file binary"), "wavelet")
+    return written(ordered.mapInArrow(releasing(pack), "part long, number long, n_tokens long, file binary"), "wavelet")
 
 
 def documents(files: DataFrame) -> DataFrame:
@@ -185,5 +185,5 @@ def documents(files: DataFrame) -> DataFrame:
                 k = len(crc)
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * k), pa.array([number.as_py()] * k), pa.array(matrix.doc_ids, pa.int64()), pa.array(start), pa.array(matrix.counts), pa.array(crc, pa.int64())], ["part", "number", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = files.select("part", "number", "file").mapInArrow(read, "part long, number long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "number", "file").mapInArrow(releasing(read), "part long, number long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "number"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
