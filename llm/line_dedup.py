@@ -199,7 +199,8 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # the first occurrence of each component, for all of its lines; single lines that occur twice or more are their own
     named = firsts.join(roots, F.col("name") == F.col("node"), "left").filter(F.col("root").isNotNull() | (F.col("n") > 1)).select("name", F.coalesce("root", "name").alias("root"), "first")
     named = written(named, "named")
-    least = named.groupBy("root").agg(F.min("first").alias("keep"))
+    # written, so that the join sees its size and adaptive execution can split a large component
+    least = written(named.groupBy("root").agg(F.min("first").alias("keep")), "least")
     keep = named.join(least, "root").select("name", "keep")
     gone = found.join(keep, "name").filter(place != F.col("keep"))
     return gone.groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d")).agg(F.array_sort(F.collect_set("line")).alias("lines"))
