@@ -162,7 +162,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: in
     roots = components(links(distinct.select("fp"), radius))
     grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     grouped = written(grouped, "grouped")
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join sees its size and adaptive execution can split a large component
+    least = written(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = written(grouped.join(least, "root").select("fp", "component_id"), "named")
     return marks.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
