@@ -9,7 +9,8 @@ is 0 or 1. Flights run in parallel over bounded parts of a source; the at most t
 part leaves open meet again in fewer parts, until each source has one part. There the landing
 decides the last two so that the source's words come closest to the target.
 
-Random numbers are hashes of the seed and the documents, so reruns agree. A null source is a source
+Random numbers and parts are hashes of the seed and the documents, so reruns agree, whatever the
+partitions are; only which of many thousand repeats of one row is taken may change. A null source is a source
 of its own, sorted last; a null text has no words and is never taken beyond its share; documents
 without words take part like any others. Repeated rows are decided row by row.
 """
@@ -98,7 +99,7 @@ def _settle(seed: int, level: int, last: bool) -> Callable:
 
     def settle(batch: pd.DataFrame) -> pd.DataFrame:
         # neighbours in the order of the dice move together
-        batch = batch.sort_values(["dice", "row"], kind="stable").reset_index(drop=True)
+        batch = batch.sort_values(["dice", "p", "row"], kind="stable").reset_index(drop=True)
         sizes = batch["size"].to_numpy()
         p = flight(batch["p"].to_numpy(), sizes, np.random.default_rng([seed, level, int(batch["dice"].iloc[0] * (1 << 53))]))
         batch["p"] = landing(p, sizes) if last else p
@@ -125,8 +126,11 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("dice", drawn)
     )
+    # rows that repeat so often that they would crowd one part are dealt by their numbers
+    repeats = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).filter(F.col("times") > part // 8).toDF("d", "h", "times")
+    whole = whole.join(repeats, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").withColumn("deal", F.when(F.col("times").isNotNull(), F.xxhash64("row")).otherwise(F.xxhash64("dice"))).drop("d", "h", "times")
     whole = written(whole.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).when(F.col("p") > 1 - 1e-9, 1.0).otherwise(F.col("p"))), "mix-rows")
-    open_rows = whole.filter((F.col("p") > 0) & (F.col("p") < 1)).select("source", "row", "size", "p", "dice")
+    open_rows = whole.filter((F.col("p") > 0) & (F.col("p") < 1)).select("source", "row", "size", "p", "dice", "deal")
     settled: DataFrame | None = None
     most_rows = max((n for n, _ in totals.values()), default=0)
     level = 0
@@ -134,8 +138,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
         parts = -(-most_rows // part)
         last = parts == 1
 
-        split = open_rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(parts)))
-        moved = written(split.groupBy("source", "part").applyInPandas(_settle(seed, level, last), "source string, row long, size long, p double, dice double, part long").drop("part"), f"mix-{level}")
+        split = open_rows.withColumn("part", F.pmod(F.xxhash64("deal", F.lit(level)), F.lit(parts)))
+        moved = written(split.groupBy("source", "part").applyInPandas(_settle(seed, level, last), "source string, row long, size long, p double, dice double, deal long, part long").drop("part"), f"mix-{level}")
         done = moved.filter((F.col("p") <= 0) | (F.col("p") >= 1)).select("row", F.col("p").cast("int").alias("extra"))
         settled = done if settled is None else settled.union(done)
         if last:

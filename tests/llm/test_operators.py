@@ -555,3 +555,19 @@ def test_line_dedup_of_the_small_table(spark):
 def test_query_runs(spark, name):
     df = queries()[name](spark, SF)
     assert df.count() == spark.read.parquet(f"{SF}/{'pages' if 'warc' in name else 'documents'}.parquet").count() or name.startswith("op2_")
+
+
+def test_mix_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 37), "abcd"[i % 4]) for i in range(600)], "doc_id long, text string, source string")
+    one, two = (
+        sorted(map(tuple, mixing.mix(d, part=32).select("doc_id", "size", "target", "taken").collect()))
+        for d in (docs.repartition(1), docs.repartition(7, "text"))
+    )
+    assert one == two
+
+
+def test_mix_of_many_repeats(spark):
+    docs = spark.createDataFrame([(None if i < 300 else i, "a b c" if i < 300 else "x " * (i % 9), "s") for i in range(500)], "doc_id long, text string, source string")
+    found = mixing.mix(docs, part=16, weights=(1,)).toPandas()
+    assert len(found) == 500 and set(found["copies"]) <= {1, 2}
+    assert abs(found["taken"].sum() - 1.5 * found["size"].sum()) <= found["size"].max()
