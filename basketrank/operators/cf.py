@@ -137,13 +137,27 @@ def puresvd_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     return _known(t, m, svd_scores(weights, wanted, config.get("svd_rank", 50)).withColumnRenamed("score", "puresvd_cf_score"), "puresvd_cf_score")
 
 
+def numbered(ids: DataFrame, key: str, number: str) -> DataFrame:
+    """Distinct keys with numbers from 0 without gaps: the place in the partition and the rows of those before it."""
+    marked = kept(ids.select(key).distinct().withColumn("at", F.monotonically_increasing_id()).withColumn("p", F.shiftright("at", 33)), number)
+    sizes = sorted(map(tuple, marked.groupBy("p").count().collect()))  # one row a partition
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    before = ids.sparkSession.createDataFrame(offsets, "p long, before long")
+    return marked.join(F.broadcast(before), "p").select(key, (F.col("before") + F.col("at") - F.shiftleft("p", 33)).cast("int").alias(number))
+
+
 @REGISTRY.feature("bpr-popular", ["bpr_popular_score"])
 def bpr(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
-    """Matrix factors fitted to implicit feedback by MLlib's ALS; null for users or products without any."""
+    """Matrix factors fitted to implicit feedback by MLlib's ALS; null for users or products without any. Ids may be of any type: ALS sees numbers of theirs."""
     from pyspark.ml.recommendation import ALS
 
-    m = interaction_matrix(h, _ACT, binary=True).select(F.col("user_id").cast("int").alias("user"), F.col("product_id").cast("int").alias("item"), F.lit(1.0).alias("rating"))
-    model = ALS(rank=config.get("factors", 16), maxIter=config.get("iterations", 5), implicitPrefs=True, seed=42, coldStartStrategy="nan", userCol="user", itemCol="item", ratingCol="rating").fit(m)
-    wanted = t.select("user_id", "product_id").filter("user_id is not null and product_id is not null").distinct()
-    scored = model.transform(wanted.withColumn("user", F.col("user_id").cast("int")).withColumn("item", F.col("product_id").cast("int")))
-    return t.join(scored.select("user_id", "product_id", F.when(~F.isnan("prediction"), F.col("prediction").cast("double")).alias("bpr_popular_score")), ["user_id", "product_id"], "left")
+    m = interaction_matrix(h, _ACT, binary=True)
+    users, items = numbered(m, "user_id", "user"), numbered(m, "product_id", "item")
+    ratings = m.join(users, "user_id").join(items, "product_id").select("user", "item", F.lit(1.0).alias("rating"))
+    model = ALS(rank=config.get("factors", 16), maxIter=config.get("iterations", 5), implicitPrefs=True, seed=42, coldStartStrategy="nan", userCol="user", itemCol="item", ratingCol="rating").fit(ratings)
+    wanted = t.select("user_id", "product_id").distinct().join(users, "user_id").join(items, "product_id")
+    scored = model.transform(wanted).select("user_id", "product_id", F.when(~F.isnan("prediction"), F.col("prediction").cast("double")).alias("bpr_popular_score"))
+    return t.join(scored, ["user_id", "product_id"], "left")

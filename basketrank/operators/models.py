@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from abc import ABC, abstractmethod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -95,7 +96,20 @@ class TreeModel(Model):
         return dict(zip(self.numeric + self.categorical, map(float, values), strict=True))
 
     def save(self, path: str) -> None:
-        self.fitted.write().overwrite().save(path)
+        """The fitted stages, and beside them what they were fitted with."""
+        made = {k: getattr(self, k) for k in ("rank", "iterations", "depth", "seed", "numeric", "categorical")}
+        self.fitted.write().overwrite().save(f"{path}/stages")
+        SparkSession.active().createDataFrame([(json.dumps(made),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/columns")
+
+    @staticmethod
+    def load(path: str) -> TreeModel:
+        from pyspark.ml import PipelineModel
+
+        made = json.loads(SparkSession.active().read.text(f"{path}/columns").first()[0])
+        model = TreeModel(made["rank"], made["iterations"], made["depth"], made["seed"])
+        model.numeric, model.categorical = made["numeric"], made["categorical"]
+        model.fitted = PipelineModel.load(f"{path}/stages")
+        return model
 
 
 MODELS = {

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.interactions import scan
 from .registry import REGISTRY
 
 
@@ -24,8 +25,8 @@ def cached(folder: str, name: str, history: DataFrame, target: DataFrame, config
     f = REGISTRY.features[name]
     columns = [c for c in f.numeric + f.categorical if c not in target.columns]
     try:
-        kept = spark.read.parquet(path)
-    except Exception:
+        kept = scan(spark, path)
+    except FileNotFoundError:
         REGISTRY.features_of(history, target, [name], config).select("idx", *columns).write.mode("overwrite").parquet(path)
         kept = spark.read.parquet(path)
     return target.join(kept, "idx", "left")

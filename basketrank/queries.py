@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions.common import micros
 from .operators import basic, cf, metrics, models, selection, targets, text
-from .plans import split
+from .plans import cache, split
 from .plans.registry import REGISTRY
 from .sources import interactions as logs
+from .sources import shared
 from .streaming import counts
 
 DAYS = 7
@@ -260,6 +261,15 @@ query("pipeline_features", f"""{_CTE} SELECT idx, user_total_interactions, user_
 LEFT JOIN (SELECT product_id, count(*) AS product_total_interactions FROM h GROUP BY ALL) USING (product_id)""")(
     lambda s, d: REGISTRY.features_of(*_split(s, d), ["user_stats", "product_stats"]).select("idx", "user_total_interactions", "user_unique_products", "product_total_interactions")
 )
+
+
+@query("cache_roundtrip", f"{_CTE} SELECT idx, user_total_interactions, user_unique_products FROM t LEFT JOIN (SELECT user_id, count(*) AS user_total_interactions, count(DISTINCT product_id) AS user_unique_products FROM h GROUP BY ALL) USING (user_id)")
+def _cached(s, d):
+    (h, t), folder = _split(s, d), shared.place(s, "features")
+    cache.cached(folder, "user_stats", h, t)
+    return cache.cached(folder, "user_stats", h, t).select("idx", "user_total_interactions", "user_unique_products")
+
+
 _UP = f"""{_CTE}, x AS (SELECT idx, {', '.join(_SOME)} FROM t LEFT JOIN (SELECT user_id, count(*) AS user_total_interactions, count(*) FILTER (action_type = 'AT_CartUpdate') AS user_total_purchases, count(*) FILTER (action_type = 'AT_View') AS user_total_views, count(DISTINCT product_id) AS user_unique_products FROM h GROUP BY ALL) USING (user_id)
 LEFT JOIN (SELECT product_id, count(*) AS product_total_interactions, count(*) FILTER (action_type = 'AT_View') AS product_total_views FROM h GROUP BY ALL) USING (product_id))"""
 query("corr_matrix", _UP + "\n" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_r(f'abs(corr({a}, {b}))', 'corr')} FROM x" for i, a in enumerate(_SOME) for b in _SOME[i + 1 :]))(
