@@ -3,12 +3,14 @@ r"""Removal of lines that repeat, exactly or nearly, anywhere in the corpus.
 Lines are what stands between \n; lines without a word are left alone. A line's shingles are its runs
 of eight characters (a shorter line is one shingle). MinHash signatures of PERMUTATIONS values go into
 BANDS bands; lines that agree on a band are candidates of each other, and their shingle sets are then
-compared exactly: a Jaccard similarity of 0.8 or more links them. Agreeing lines are tested against the
-first of their band in the order of their names and against the one before them, so a band of m lines
-gives at most 2 m tests, mostly the same ones for all bands; a slice of documents that has more than
-KEEP lines of a band tests the others against those itself. Components of the links are found by distributed union-find, and of
-each component, with all its exact copies, the occurrence with the smallest (doc_id, text hash, line number)
-is kept.
+compared exactly: a Jaccard similarity of 0.8 or more links them. That takes two steps. In the first,
+agreeing lines are tested against the first of their band in the order of their names and against the
+one before them, which joins nearly every group of like lines. In the second, every two lines of a band
+that are in different components still are compared too, so no link between lines that share a band is
+lost; bands with all lines in one component need no more tests. Large bands meet in tiles of bounded
+size, so no task holds a whole band. Components of the links are found by distributed
+union-find, and of each component, with all its exact copies, the occurrence with the smallest
+(doc_id, text hash, line number) is kept.
 
 At similarity 0.8 a pair agrees on one band at least with a chance of 0.991, more above; unlike lines hardly ever do. Null texts have
 no lines. A null doc_id is larger than others. Rows with equal doc_id and text count as one document and
@@ -25,12 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import releasing, map_slices, partitions, written
-from .components import components
+from .components import components, local_components
 from .membership import keyed
-from .textarrays import Texts, combine, mix, plain, power_tables, ragged
+from .textarrays import Texts, combine, mix, plain, power_tables, ragged, slices
 
-SHINGLE, BANDS, ROWS, KEEP, SIMILARITY = 8, 9, 4, 4, 0.8
+#: A slice sends so many lines of a band to the band's bucket; of the others it tells only that they are in the band.
+KEEP = 4
+#: Shingles of a tile that are counted at a time.
+COLUMNS = 2048
+SHINGLE, BANDS, ROWS, SIMILARITY = 8, 9, 4, 0.8
 PERMUTATIONS = BANDS * ROWS
+#: Kinds of rows that travel: lines of bands still to meet, pairs to compare, lines of bands with more than one.
+OPEN, PAIR, MEMBER = 0, 1, 2
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _HASHES = [(np.uint32(a >> np.uint64(32)), np.uint32(b >> np.uint64(32)) | np.uint32(1)) for a, b in _SEEDS.reshape(-1, 2)]
 
@@ -90,8 +98,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return map_slices(docs, run, "doc_id long, key long, line int, name long", "doc_id", "key", "text")
 
 
-def _starred(band: np.ndarray, name: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs to test among lines of equal bands, and which places go on to the next stage (the first ``keep``)."""
+def _starred(band: np.ndarray, name: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs to test first among lines of equal bands, which places go on to the bucket (the first ``keep``) and which don't."""
     order = np.lexsort((name, band))
     band, name = band[order], name[order]
     head = np.r_[True, band[1:] != band[:-1]] if len(band) else np.zeros(0, bool)
@@ -100,13 +108,19 @@ def _starred(band: np.ndarray, name: np.ndarray, keep: int) -> tuple[np.ndarray,
     later = np.flatnonzero((place >= 1) & (place >= (keep if keep > 1 else 1)))
     a = np.concatenate([name[of[later]], name[later - 1]])
     b = np.concatenate([name[later], name[later]])
-    return np.minimum(a, b), np.maximum(a, b), order[place < keep]
+    return np.minimum(a, b), np.maximum(a, b), order[place < keep], order[place >= keep]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of line names to compare."""
+def _meeting(kind: int, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    rows = np.stack([one, two], axis=1).view(np.int64)
+    rows = np.unique(np.sort(rows, axis=1) if kind == PAIR else rows, axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["kind", "a", "b"])
+
+
+def meetings(docs: DataFrame) -> DataFrame:
+    """Rows of kind PAIR, pairs a < b of line names to compare first, and of kind MEMBER, a band a with two lines or more and a line b of it."""
     buckets = partitions(docs.sparkSession)
-    columns = ["bucket", "bands", "names"]
+    columns = ["bucket", "bands", "names", "kind"]
 
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x, lo, hi, _, _, names = _lines(batch)
@@ -119,9 +133,14 @@ def candidates(docs: DataFrame) -> DataFrame:
                 shingle, starts, _ = shingles(x.data, lo[at[part]], hi[at[part]])
                 key.append(bands(shingle, starts))
         band, name = np.concatenate(key).ravel(), np.repeat(names, BANDS)
-        a, b, on = _starred(band, name, KEEP)
+        a, b, on, rest = _starred(band, name, KEEP)
         pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-        out = [(-1, pairs[:, 0].tobytes(), pairs[:, 1].tobytes())] if len(pairs) else []
+        # what is settled here goes to any bucket
+        here, out = int(names[0] % np.uint64(buckets)), []
+        if len(pairs):
+            out.append((here, pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), PAIR))
+        if len(rest):
+            out.append((here, band[rest].tobytes(), name[rest].tobytes(), MEMBER))
         band, name = band[on], name[on]
         bucket = (band % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -129,33 +148,127 @@ def candidates(docs: DataFrame) -> DataFrame:
         for k in range(buckets):
             some = order[edge[k] : edge[k + 1]]
             if len(some):
-                out.append((k, band[some].tobytes(), name[some].tobytes()))
-        # pairs found here go to any bucket
-        here = int(names[0] % np.uint64(buckets))
-        rows = [(here, a, b, 1) if k < 0 else (k, a, b, 0) for k, a, b in out]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int32()], strict=True)], [*columns, "pairs"])
+                out.append((k, band[some].tobytes(), name[some].tobytes(), OPEN))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int32()], strict=True)], columns)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, name, found = [], [], []
+        band, name = [], []
         for batch in batches:
-            for b, n, pairs in zip(batch.column("bands"), batch.column("names"), batch.column("pairs").to_pylist(), strict=True):
+            for b, n, kind in zip(batch.column("bands"), batch.column("names"), batch.column("kind").to_pylist(), strict=True):
                 one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (b, n))
-                if pairs:
-                    found.append(np.stack([one, two], axis=1))
-                else:
+                if kind == OPEN:
                     band.append(one)
                     name.append(two)
+                else:
+                    yield _meeting(kind, one, two)
         if band:
-            b, n = np.concatenate(band), np.concatenate(name)
-            one = np.unique(np.stack([b, n], axis=1), axis=0)
-            lo, hi, _ = _starred(one[:, 0], one[:, 1], 1)
-            found.append(np.stack([lo, hi], axis=1)[lo != hi])
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            one = np.unique(np.stack([np.concatenate(band), np.concatenate(name)], axis=1), axis=0)
+            lo, hi, _, _ = _starred(one[:, 0], one[:, 1], 1)
+            yield _meeting(PAIR, lo[lo != hi], hi[lo != hi])
+            same = one[1:, 0] == one[:-1, 0]
+            many = one[np.r_[same, False] | np.r_[False, same]]
+            yield _meeting(MEMBER, many[:, 0], many[:, 1])
+
+    dealt = map_slices(docs, sign, "bucket int, bands binary, names binary, kind int", "text").repartitionById(buckets, F.col("bucket"))
+    return dealt.mapInArrow(releasing(meet), "kind int, a long, b long").distinct()
+
+
+def distinct_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each of some lines: a name of line and shingle (ascending), the line, the shingle's name."""
+    x = Texts(plain(texts))
+    names, _, n = shingles(x.data, x.starts[:-1], x.starts[1:])
+    row = np.repeat(np.arange(len(n)), n)
+    key, first = np.unique(combine(names, row.astype(np.uint64)), return_index=True)
+    return key, row[first], names[first]
+
+
+def _tile_links(batch: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links a, b among the lines of each tile of a batch (in tile order) that are in different components."""
+    tile, name, root, part = (batch.column(c).to_numpy() for c in ("tile", "name", "root", "part"))
+    apart = batch.column("apart").to_numpy(zero_copy_only=False)
+    texts, edge = batch.column("text"), np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, last in slices(texts):
+        # the tiles that begin in this slice
+        of = edge[(edge >= first) & (edge < last)]
+        if not len(of):
+            continue
+        end = edge[np.searchsorted(edge, of[-1]) + 1]
+        _, row, shingle = distinct_shingles(texts.slice(of[0], end - of[0]))
+        n = np.bincount(row, minlength=end - of[0])
+        # columns of a tile are its shingles of two lines or more
+        nth = np.searchsorted(of, row + of[0], "right") - 1
+        _, column, count = np.unique(combine(shingle, nth.astype(np.uint64)), return_inverse=True, return_counts=True)
+        order = np.flatnonzero(count[column] > 1)
+        order = order[np.lexsort((column[order], nth[order]))]
+        row, nth, column = row[order], nth[order], column[order]
+        column = np.cumsum(np.r_[True, column[1:] != column[:-1]]) if len(column) else column
+        at = np.searchsorted(nth, np.arange(len(of) + 1))
+        for k, (lo, hi) in enumerate(zip(of, np.r_[of[1:], end], strict=True)):
+            fits = (name[lo:hi, None] < name[lo:hi]) & (root[lo:hi, None] != root[lo:hi])
+            if apart[lo]:
+                fits &= part[lo:hi, None] != part[lo:hi]
+            if not fits.any():
+                continue
+            line, spot, both = row[at[k] : at[k + 1]] - (lo - of[0]), column[at[k] : at[k + 1]], np.zeros((hi - lo, hi - lo), np.float32)
+            spot = spot - spot[0] if len(spot) else spot
+            # a few thousand at a time
+            for c in range(0, int(spot[-1]) + 1 if len(spot) else 0, COLUMNS):
+                here = slice(*np.searchsorted(spot, [c, c + COLUMNS]))
+                held = np.zeros((hi - lo, min(COLUMNS, int(spot[-1]) + 1 - c)), np.float32)
+                held[line[here], spot[here] - c] = 1
+                both += held @ held.T
+            size = n[lo - of[0] : hi - of[0]]
+            i, j = np.nonzero(fits & (both >= similarity * (size[:, None] + size - both) - 1e-9))
+            a.append(name[lo:hi][i])
+            b.append(name[lo:hi][j])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, lines: int = 256, chars: int = 1 << 16) -> DataFrame:
+    """Links a, b of lines that share a band (members: band, name) in different components (roots: node, root).
+
+    texts: name, text. Large bands are cut into parts of about so many lines or characters, and every
+    two parts meet in a tile. The lines of a band's largest component meet the others only, not each
+    other, so the work grows with a band's lines times those outside of its largest component.
+    """
+    placed = members.join(roots, F.col("name") == F.col("node"), "left").select("band", "name", F.coalesce("root", "name").alias("root"))
+    placed = written(placed.join(texts.select("name", F.length("text").alias("n")), "name"), "placed")
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("band")
+    sizes = sizes.agg(F.max_by(F.struct("root", "k", "n"), F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n")).filter("k > main.k")
+    parts = lambda k, n: F.greatest(F.ceil(k / lines), F.ceil(n / chars)).cast("int")
+    # bands in which components meet, written so that the join sees their size
+    sizes = sizes.select("band", F.col("main.root").alias("main"), parts(F.col("main.k"), F.col("main.n")).alias("ours"), parts(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("others"))
+    rows = placed.join(written(sizes, "open_bands"), "band").join(texts, "name")
+    ours, part = F.col("root") == F.col("main"), F.col("part")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("name"), F.when(ours, F.col("ours")).otherwise(F.col("others"))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # apart: only lines of different parts are compared there, as those of one part meet in their own tile
+    spot = lambda kind, p, q, apart: F.struct(F.xxhash64("band", F.lit(kind), p, q).alias("tile"), apart.alias("apart"))
+    tiles = F.when(ours, F.transform(every("others"), lambda o: spot("ours", part, o, F.lit(False)))).otherwise(
+        F.concat(F.transform(every("ours"), lambda o: spot("ours", o, part, F.lit(False))), F.transform(every("others"), lambda o: spot("others", F.least(o, part), F.greatest(o, part), o != part)))
+    )
+    rows = rows.select("name", "root", "part", "text", F.explode(tiles).alias("at")).select("at.tile", "at.apart", "name", "root", "part", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+
+        def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            node, low = local_components(*_tile_links(rows, similarity))
+            yield pa.RecordBatch.from_arrays([pa.array(node[node != low]), pa.array(low[node != low])], ["a", "b"])
+
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays([plain(c) if f == "text" else c for f, c in zip(batch.schema.names, batch.columns, strict=True)], batch.schema.names)
+            tail = batch if tail is None else pa.concat_batches([tail, batch])
+            if tail.num_rows:
+                tile = tail.column("tile").to_numpy()
+                whole = int(np.searchsorted(tile, tile[-1]))
+                yield from found(tail.slice(0, whole))
+                tail = tail.slice(whole)
+        if tail is not None:
+            yield from found(tail)
 
-    dealt = map_slices(docs, sign, "bucket int, bands binary, names binary, pairs int", "text").repartitionById(buckets, F.col("bucket"))
-    return dealt.mapInArrow(releasing(meet), "a long, b long").distinct()
+    return rows.repartition(partitions(members.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(releasing(compare), "a long, b long")
 
 
 def verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -165,14 +278,7 @@ def verified(pairs: DataFrame, similarity: float) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sets = []
-                for c in ("text_a", "text_b"):
-                    x = Texts(plain(batch.column(c)))
-                    names, _, n = shingles(x.data, x.starts[:-1], x.starts[1:])
-                    key = combine(names, np.repeat(np.arange(len(n), dtype=np.uint64), n))
-                    row = np.repeat(np.arange(len(n)), n)
-                    key, first = np.unique(key, return_index=True)
-                    sets.append((key, row[first]))
+                sets = [distinct_shingles(batch.column(c)) for c in ("text_a", "text_b")]
                 both = sets[0][1][np.isin(sets[0][0], sets[1][0], assume_unique=True)]
                 n = [np.bincount(r, minlength=batch.num_rows) for r in (sets[0][1], sets[1][1], both)]
                 yield batch.filter(pa.array(n[2] >= similarity * (n[0] + n[1] - n[2]) - 1e-9)).select(["a", "b"])
@@ -185,7 +291,8 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = written(occurrences(docs), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), F.col("line").alias("line"))
     firsts = written(found.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")), "names")
-    pairs = written(candidates(docs), "pairs")
+    met = written(meetings(docs), "meetings")
+    pairs = met.filter(F.col("kind") == PAIR).select("a", "b")
     # the candidates' texts, each from its first occurrence
     wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
     homes = wanted.join(firsts, "name").select("name", F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"), F.col("first.line").alias("line"))
@@ -195,7 +302,12 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = held.select(F.split("text", "\n").alias("lines"), "want").select(F.inline(cut))
     texts = written(texts.dropDuplicates(["name"]), "texts")
     full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    roots = components(verified(full.select("a", "b", "text_a", "text_b"), similarity))
+    links = written(verified(full.select("a", "b", "text_a", "text_b"), similarity), "links")
+    roots = written(components(links), "roots")
+    members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("band"), F.col("b").alias("name"))
+    more = written(remaining(members, roots, texts, similarity), "remaining")
+    if not more.isEmpty():
+        roots = components(links.union(more))
     # the first occurrence of each component, for all of its lines; single lines that occur twice or more are their own
     named = firsts.join(roots, F.col("name") == F.col("node"), "left").filter(F.col("root").isNotNull() | (F.col("n") > 1)).select("name", F.coalesce("root", "name").alias("root"), "first")
     named = written(named, "named")

@@ -571,3 +571,35 @@ def test_mix_of_many_repeats(spark):
     found = mixing.mix(docs, part=16, weights=(1,)).toPandas()
     assert len(found) == 500 and set(found["copies"]) <= {1, 2}
     assert abs(found["taken"].sum() - 1.5 * found["size"].sum()) <= found["size"].max()
+
+
+@pytest.mark.parametrize("chars", [1 << 16, 300])
+def test_every_link_of_a_band_is_found(spark, chars):
+    r = random.Random(5)
+    lines = []
+    for g in range(6):
+        base = [r.choice("abcdefgh") * r.randint(1, 3) + str(g) for _ in range(24)]
+        for _ in range(20):
+            words = list(base)
+            for _ in range(r.randint(0, 6)):
+                words[r.randrange(24)] = r.choice("abcdefgh") + str(g)
+            lines.append((" ".join(words), g))
+    lines.append(("x", 0))
+    rows = [(i, t, g) for i, (t, g) in enumerate(lines)]
+    texts = spark.createDataFrame([(i, t) for i, t, _ in rows], "name long, text string")
+    members = spark.createDataFrame([(b, i) for i, _, g in rows for b in (g, 10 + i % 3)], "band long, name long")
+    # some lines are in components already
+    root = {i: i - i % 3 for i, _, g in rows if i % 20 < 9}
+    roots = spark.createDataFrame(list(root.items()), "node long, root long")
+    got = line_dedup.remaining(members, roots, texts, 0.8, lines=7, chars=chars).collect()
+    links = [(a, b) for a, x, g in rows for b, y, h in rows if a < b and (g == h or a % 3 == b % 3) and root.get(a, a) != root.get(b, b) and len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y))]
+    joined = lambda pairs: {n: find(p, n) for p in [_united(pairs, range(len(rows)), root)] for n in p}
+    one, two = joined(links), joined([(x.a, x.b) for x in got])
+    assert len(links) > 50 and {(one[a] == one[b]) == (two[a] == two[b]) for a in one for b in one} == {True}
+
+
+def _united(pairs, nodes, root):
+    parent = {n: n for n in nodes}
+    for a, b in [*pairs, *root.items()]:
+        parent[find(parent, a)] = find(parent, b)
+    return parent
