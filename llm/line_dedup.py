@@ -1,7 +1,7 @@
 r"""Removal of lines that repeat, exactly or nearly, anywhere in the corpus.
 
 Lines are what stands between \n; lines without a word are left alone. A line's shingles are its runs
-of eight characters (a shorter line is one shingle). MinHash signatures of PERMUTATIONS values go into
+of ``shingle`` characters (a shorter line is one shingle): FINE in the query and the pipeline. MinHash signatures of PERMUTATIONS values go into
 BANDS bands; lines that agree on a band are candidates of each other, and their shingle sets are then
 compared exactly: a Jaccard similarity of 0.8 or more links them. That takes two steps. In the first,
 agreeing lines are tested against the first of their band in the order of their names and against the
@@ -12,7 +12,7 @@ size, so no task holds a whole band. Components of the links are found by distri
 union-find, and of each component, with all its exact copies, the occurrence with the smallest
 (doc_id, text hash, line number) is kept.
 
-At similarity 0.8 a pair agrees on one band at least with a chance of 0.991, more above; unlike lines hardly ever do. Null texts have
+At similarity 0.8 a pair agrees on one band at least with a chance of 0.997, more above; unlike lines hardly ever do. Null texts have
 no lines. A null doc_id is larger than others. Rows with equal doc_id and text count as one document and
 stay alike.
 """
@@ -35,7 +35,9 @@ from .textarrays import Texts, combine, mix, plain, power_tables, ragged, slices
 KEEP = 4
 #: Shingles of a tile that are counted at a time.
 COLUMNS = 2048
-SHINGLE, BANDS, ROWS, SIMILARITY = 8, 9, 4, 0.8
+#: Characters of a shingle of the query and the pipeline.
+FINE = 5
+SHINGLE, BANDS, ROWS, SIMILARITY = 8, 15, 5, 0.8
 PERMUTATIONS = BANDS * ROWS
 #: Kinds of rows that travel: lines of bands still to meet, pairs to compare, lines of bands with more than one.
 OPEN, PAIR, MEMBER = 0, 1, 2
@@ -43,16 +45,16 @@ _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9
 _HASHES = [(np.uint32(a >> np.uint64(32)), np.uint32(b >> np.uint64(32)) | np.uint32(1)) for a, b in _SEEDS.reshape(-1, 2)]
 
 
-def shingles(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, first: np.ndarray, end: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit names of the shingles of ranges of UTF-8 bytes, where each range's begin, and how many it has."""
     size = end - first
     raw = data[np.repeat(first, size) + ragged(size)] if len(size) else data[:0]
     lead = (raw & 0xC0) != 0x80  # the first byte of a character
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
     chars = np.add.reduceat(lead.astype(np.int64), np.cumsum(size) - size) if len(size) else size
-    n = np.maximum(chars - SHINGLE + 1, 1)
+    n = np.maximum(chars - shingle + 1, 1)
     start = np.repeat(np.cumsum(chars) - chars, n) + ragged(n)
-    stop = np.minimum(start + SHINGLE, np.repeat(np.cumsum(chars), n))
+    stop = np.minimum(start + shingle, np.repeat(np.cumsum(chars), n))
     # names of ranges of characters from prefix sums
     powers, inverses = power_tables(len(points) + 1)
     sums = np.zeros(len(points) + 1, np.uint64)
@@ -117,7 +119,7 @@ def _meeting(kind: int, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["kind", "a", "b"])
 
 
-def meetings(docs: DataFrame) -> DataFrame:
+def meetings(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Rows of kind PAIR, pairs a < b of line names to compare first, and of kind MEMBER, a band a with two lines or more and a line b of it."""
     buckets = partitions(docs.sparkSession)
     columns = ["bucket", "bands", "names", "kind"]
@@ -130,8 +132,8 @@ def meetings(docs: DataFrame) -> DataFrame:
         key = []
         for part in np.array_split(np.arange(len(at)), max(1, int((hi[at] - lo[at]).sum()) >> 20)):
             if len(part):
-                shingle, starts, _ = shingles(x.data, lo[at[part]], hi[at[part]])
-                key.append(bands(shingle, starts))
+                found, starts, _ = shingles(x.data, lo[at[part]], hi[at[part]], shingle)
+                key.append(bands(found, starts))
         band, name = np.concatenate(key).ravel(), np.repeat(names, BANDS)
         a, b, on, rest = _starred(band, name, KEEP)
         pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
@@ -173,16 +175,16 @@ def meetings(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(releasing(meet), "kind int, a long, b long").distinct()
 
 
-def distinct_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_shingles(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each of some lines: a name of line and shingle (ascending), the line, the shingle's name."""
     x = Texts(plain(texts))
-    names, _, n = shingles(x.data, x.starts[:-1], x.starts[1:])
+    names, _, n = shingles(x.data, x.starts[:-1], x.starts[1:], shingle)
     row = np.repeat(np.arange(len(n)), n)
     key, first = np.unique(combine(names, row.astype(np.uint64)), return_index=True)
     return key, row[first], names[first]
 
 
-def _tile_links(batch: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Links a, b among the lines of each tile of a batch (in tile order) that are in different components."""
     tile, name, root, part = (batch.column(c).to_numpy() for c in ("tile", "name", "root", "part"))
     apart = batch.column("apart").to_numpy(zero_copy_only=False)
@@ -194,11 +196,11 @@ def _tile_links(batch: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, n
         if not len(of):
             continue
         end = edge[np.searchsorted(edge, of[-1]) + 1]
-        _, row, shingle = distinct_shingles(texts.slice(of[0], end - of[0]))
+        _, row, names = distinct_shingles(texts.slice(of[0], end - of[0]), shingle)
         n = np.bincount(row, minlength=end - of[0])
         # columns of a tile are its shingles of two lines or more
         nth = np.searchsorted(of, row + of[0], "right") - 1
-        _, column, count = np.unique(combine(shingle, nth.astype(np.uint64)), return_inverse=True, return_counts=True)
+        _, column, count = np.unique(combine(names, nth.astype(np.uint64)), return_inverse=True, return_counts=True)
         order = np.flatnonzero(count[column] > 1)
         order = order[np.lexsort((column[order], nth[order]))]
         row, nth, column = row[order], nth[order], column[order]
@@ -225,7 +227,7 @@ def _tile_links(batch: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, n
     return np.concatenate(a), np.concatenate(b)
 
 
-def remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, lines: int = 256, chars: int = 1 << 16) -> DataFrame:
+def remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, lines: int = 256, chars: int = 1 << 16, shingle: int = SHINGLE) -> DataFrame:
     """Links a, b of lines that share a band (members: band, name) in different components (roots: node, root).
 
     texts: name, text. Large bands are cut into parts of about so many lines or characters, and every
@@ -254,7 +256,7 @@ def remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity
         tail = None
 
         def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            node, low = local_components(*_tile_links(rows, similarity))
+            node, low = local_components(*_tile_links(rows, similarity, shingle))
             yield pa.RecordBatch.from_arrays([pa.array(node[node != low]), pa.array(low[node != low])], ["a", "b"])
 
         for batch in batches:
@@ -271,14 +273,14 @@ def remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity
     return rows.repartition(partitions(members.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(releasing(compare), "a long, b long")
 
 
-def verified(pairs: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, similarity: float, shingle: int = SHINGLE) -> DataFrame:
     """The rows a, b of pairs (a, b, text_a, text_b) whose shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sets = [distinct_shingles(batch.column(c)) for c in ("text_a", "text_b")]
+                sets = [distinct_shingles(batch.column(c), shingle) for c in ("text_a", "text_b")]
                 both = sets[0][1][np.isin(sets[0][0], sets[1][0], assume_unique=True)]
                 n = [np.bincount(r, minlength=batch.num_rows) for r in (sets[0][1], sets[1][1], both)]
                 yield batch.filter(pa.array(n[2] >= similarity * (n[0] + n[1] - n[2]) - 1e-9)).select(["a", "b"])
@@ -286,12 +288,12 @@ def verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(releasing(run), "a long, b long")
 
 
-def drops(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """k, d (key and doc_id) and lines, the numbers of the lines that go, for each document that loses any. docs: keyed."""
     found = written(occurrences(docs), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), F.col("line").alias("line"))
     firsts = written(found.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")), "names")
-    met = written(meetings(docs), "meetings")
+    met = written(meetings(docs, shingle), "meetings")
     pairs = met.filter(F.col("kind") == PAIR).select("a", "b")
     # the candidates' texts, each from its first occurrence
     wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
@@ -302,10 +304,10 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = held.select(F.split("text", "\n").alias("lines"), "want").select(F.inline(cut))
     texts = written(texts.dropDuplicates(["name"]), "texts")
     full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    links = written(verified(full.select("a", "b", "text_a", "text_b"), similarity), "links")
+    links = written(verified(full.select("a", "b", "text_a", "text_b"), similarity, shingle), "links")
     roots = written(components(links), "roots")
     members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("band"), F.col("b").alias("name"))
-    more = written(remaining(members, roots, texts, similarity), "remaining")
+    more = written(remaining(members, roots, texts, similarity, shingle=shingle), "remaining")
     if not more.isEmpty():
         roots = components(links.union(more))
     # the first occurrence of each component, for all of its lines; single lines that occur twice or more are their own
@@ -318,13 +320,13 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return gone.groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d")).agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """All columns of docs with n_lines, n_removed and the text of the kept lines."""
     columns = docs.columns
     others = [c for c in columns if c != "text"]
     plain_docs = docs.select(F.struct(*others).alias("whole"), "doc_id", "text")
     docs = keyed(plain_docs)
-    gone = drops(docs.select("doc_id", "key", "text"), similarity)
+    gone = drops(docs.select("doc_id", "key", "text"), similarity, shingle)
     out = docs.join(gone, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains("lines", i), None).otherwise(x)), lambda x: x.isNotNull()), "\n")

@@ -50,7 +50,7 @@ def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=line_dedup.FINE)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

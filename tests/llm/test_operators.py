@@ -603,3 +603,53 @@ def _united(pairs, nodes, root):
     for a, b in [*pairs, *root.items()]:
         parent[find(parent, a)] = find(parent, b)
     return parent
+
+
+def test_line_dedup_of_the_query_compares_shingles_of_five(spark, tmp_path):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    fine = lambda x: {x[k : k + 5] for k in range(len(x) - 4)}
+    docs, pairs = [], 120
+    for i in range(pairs):
+        line = " ".join(word(7) for _ in range(8))  # 63 characters
+        docs += [(i, line), (1000 + i, line[:30] + "#" + line[31:])]
+    for a, b in zip(docs[::2], docs[1::2], strict=True):
+        x, y = (fine(a[1]), fine(b[1]))
+        assert len(x & y) >= 0.8 * len(x | y) and len(grams(a[1]) & grams(b[1])) < 0.8 * len(grams(a[1]) | grams(b[1]))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.n_removed for x in queries()["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert all(got[i] == 0 for i in range(pairs)) and sum(got[1000 + i] == 0 for i in range(pairs)) <= 3  # MinHash may miss a pair
+
+
+def test_line_dedup_with_shingles_of_five(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgé") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    base = [" ".join(r.choice(vocabulary) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(r.randint(0, 8)):
+            words = r.choice(base).split(" ")
+            if r.random() < 0.5:
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+            lines.append(" ".join(words))
+        docs.append((i, "\n".join(lines)))
+    names = sorted({x for _, t in docs for x in t.split("\n") if words_of(x)})
+    sets = {x: {x[k : k + 5] for k in range(len(x) - 4)} or {x} for x in names}
+    parent = {n: n for n in names}
+    for k, a in enumerate(names):
+        for b in names[k + 1 :]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[find(parent, a)] = find(parent, b)
+    seen, kept = set(), {}
+    for i, t in docs:
+        lines = []
+        for x in t.split("\n"):
+            if words_of(x) and find(parent, x) in seen:
+                continue
+            if words_of(x):
+                seen.add(find(parent, x))
+            lines.append(x)
+        kept[i] = "\n".join(lines)
+    got = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), shingle=line_dedup.FINE).collect()
+    assert sum(x.text != kept[x.doc_id] for x in got) <= 1  # MinHash may miss a pair
