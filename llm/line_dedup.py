@@ -19,7 +19,7 @@ stay alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,13 @@ _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9
 _HASHES = [(np.uint32(a >> np.uint64(32)), np.uint32(b >> np.uint64(32)) | np.uint32(1)) for a, b in _SEEDS.reshape(-1, 2)]
 
 
-def shingles(data: np.ndarray, first: np.ndarray, end: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit names of the shingles of ranges of UTF-8 bytes, where each range's begin, and how many it has."""
+def shingles(data: np.ndarray, first: np.ndarray, end: np.ndarray, shingle: int | Callable = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit names of the shingles of ranges of UTF-8 bytes, where each range's begin, and how many it has.
+
+    shingle: how many characters, or a function that cuts the ranges otherwise.
+    """
+    if callable(shingle):
+        return shingle(data, first, end)
     size = end - first
     raw = data[np.repeat(first, size) + ragged(size)] if len(size) else data[:0]
     lead = (raw & 0xC0) != 0x80  # the first byte of a character
@@ -119,13 +124,16 @@ def _meeting(kind: int, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["kind", "a", "b"])
 
 
-def meetings(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Rows of kind PAIR, pairs a < b of line names to compare first, and of kind MEMBER, a band a with two lines or more and a line b of it."""
+def meetings(docs: DataFrame, shingle: int | Callable = SHINGLE, units: Callable = _lines, *columns: str) -> DataFrame:
+    """What shares a band, for lines or the other units that units(batch) finds (given text and columns).
+
+    Rows of kind PAIR, pairs a < b of line names to compare first, and of kind MEMBER, a band a with two lines or more and a line b of it.
+    """
     buckets = partitions(docs.sparkSession)
-    columns = ["bucket", "bands", "names", "kind"]
+    fields = ["bucket", "bands", "names", "kind"]
 
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, lo, hi, _, _, names = _lines(batch)
+        x, lo, hi, _, _, names = units(batch)
         names, at = np.unique(names, return_index=True)
         if not len(names):
             return
@@ -151,7 +159,7 @@ def meetings(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             some = order[edge[k] : edge[k + 1]]
             if len(some):
                 out.append((k, band[some].tobytes(), name[some].tobytes(), OPEN))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int32()], strict=True)], columns)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int32()], strict=True)], fields)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, name = [], []
@@ -171,11 +179,11 @@ def meetings(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             many = one[np.r_[same, False] | np.r_[False, same]]
             yield _meeting(MEMBER, many[:, 0], many[:, 1])
 
-    dealt = map_slices(docs, sign, "bucket int, bands binary, names binary, kind int", "text").repartitionById(buckets, F.col("bucket"))
+    dealt = map_slices(docs, sign, "bucket int, bands binary, names binary, kind int", "text", *columns).repartitionById(buckets, F.col("bucket"))
     return dealt.mapInArrow(releasing(meet), "kind int, a long, b long").distinct()
 
 
-def distinct_shingles(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_shingles(texts: pa.Array, shingle: int | Callable = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each of some lines: a name of line and shingle (ascending), the line, the shingle's name."""
     x = Texts(plain(texts))
     names, _, n = shingles(x.data, x.starts[:-1], x.starts[1:], shingle)
@@ -184,7 +192,7 @@ def distinct_shingles(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarr
     return key, row[first], names[first]
 
 
-def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int | Callable) -> tuple[np.ndarray, np.ndarray]:
     """Links a, b among the lines of each tile of a batch (in tile order) that are in different components."""
     tile, name, root, part = (batch.column(c).to_numpy() for c in ("tile", "name", "root", "part"))
     apart = batch.column("apart").to_numpy(zero_copy_only=False)
@@ -227,7 +235,7 @@ def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int) -> tuple
     return np.concatenate(a), np.concatenate(b)
 
 
-def remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, lines: int = 256, chars: int = 1 << 16, shingle: int = SHINGLE) -> DataFrame:
+def remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, lines: int = 256, chars: int = 1 << 16, shingle: int | Callable = SHINGLE) -> DataFrame:
     """Links a, b of lines that share a band (members: band, name) in different components (roots: node, root).
 
     texts: name, text. Large bands are cut into parts of about so many lines or characters, and every
@@ -273,7 +281,7 @@ def remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity
     return rows.repartition(partitions(members.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(releasing(compare), "a long, b long")
 
 
-def verified(pairs: DataFrame, similarity: float, shingle: int = SHINGLE) -> DataFrame:
+def verified(pairs: DataFrame, similarity: float, shingle: int | Callable = SHINGLE) -> DataFrame:
     """The rows a, b of pairs (a, b, text_a, text_b) whose shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +296,18 @@ def verified(pairs: DataFrame, similarity: float, shingle: int = SHINGLE) -> Dat
     return pairs.mapInArrow(releasing(run), "a long, b long")
 
 
-def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def linked(met: DataFrame, texts: DataFrame, similarity: float, shingle: int | Callable = SHINGLE) -> DataFrame:
+    """node, root of all lines that are linked to others. met: of meetings; texts: name, text of the lines in its pairs."""
+    pairs = met.filter(F.col("kind") == PAIR).select("a", "b")
+    full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    links = written(verified(full.select("a", "b", "text_a", "text_b"), similarity, shingle), "links")
+    roots = written(components(links), "roots")
+    members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("band"), F.col("b").alias("name"))
+    more = written(remaining(members, roots, texts, similarity, shingle=shingle), "remaining")
+    return roots if more.isEmpty() else components(links.union(more))
+
+
+def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int | Callable = SHINGLE) -> DataFrame:
     """k, d (key and doc_id) and lines, the numbers of the lines that go, for each document that loses any. docs: keyed."""
     found = written(occurrences(docs), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), F.col("line").alias("line"))
@@ -303,13 +322,7 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGL
     cut = F.transform("want", lambda w: F.struct(w["name"].alias("name"), F.get(F.col("lines"), w["line"]).alias("text")))
     texts = held.select(F.split("text", "\n").alias("lines"), "want").select(F.inline(cut))
     texts = written(texts.dropDuplicates(["name"]), "texts")
-    full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    links = written(verified(full.select("a", "b", "text_a", "text_b"), similarity, shingle), "links")
-    roots = written(components(links), "roots")
-    members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("band"), F.col("b").alias("name"))
-    more = written(remaining(members, roots, texts, similarity, shingle=shingle), "remaining")
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    roots = linked(met, texts, similarity, shingle)
     # the first occurrence of each component, for all of its lines; single lines that occur twice or more are their own
     named = firsts.join(roots, F.col("name") == F.col("node"), "left").filter(F.col("root").isNotNull() | (F.col("n") > 1)).select("name", F.coalesce("root", "name").alias("root"), "first")
     named = written(named, "named")
@@ -320,7 +333,7 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGL
     return gone.groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d")).agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int | Callable = SHINGLE) -> DataFrame:
     """All columns of docs with n_lines, n_removed and the text of the kept lines."""
     columns = docs.columns
     others = [c for c in columns if c != "text"]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from data import SF, frame
 
 import corpus_pipeline
@@ -35,3 +37,23 @@ def test_pipeline_on_odd_rows(spark):
         out = stage(spark, empty, SF)
         empty = spark.createDataFrame(out.collect(), out.schema)
     assert empty.count() == 0
+
+
+def test_near_dedup_finds_what_is_alike_by_shingles_of_five_words(spark):
+    r = random.Random(6)
+    sets = lambda t: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(max(1, len(w) - 4))}
+    docs = []
+    for i in range(60):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.randint(120, 300))]
+        docs.append((2 * i, " ".join(words)))
+        # up to about one word in 25, so that pairs lie on both sides of 0.8
+        for at in r.sample(range(len(words)), r.randint(1, len(words) // 25)):
+            words[at] = "other"
+        docs.append((2 * i + 1, " ".join(words)))
+    alike = [len(sets(a[1]) & sets(b[1])) >= 0.8 * len(sets(a[1]) | sets(b[1])) for a, b in zip(docs[::2], docs[1::2], strict=True)]
+    assert 10 < sum(alike) < 55
+    docs += [(200, docs[0][1]), (201, None), (202, " "), (203, "ab"), (204, "AB")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    left = {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, SF).collect()}
+    assert {*range(0, 120, 2), 201, 203} <= left and not left & {200, 202, 204}
+    assert sum((2 * i + 1 in left) == a for i, a in enumerate(alike)) <= 1 and all(2 * i + 1 in left for i, a in enumerate(alike) if not a)  # MinHash may miss a pair
