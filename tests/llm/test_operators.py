@@ -653,3 +653,22 @@ def test_line_dedup_with_shingles_of_five(spark):
         kept[i] = "\n".join(lines)
     got = line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), shingle=line_dedup.FINE).collect()
     assert sum(x.text != kept[x.doc_id] for x in got) <= 1  # MinHash may miss a pair
+
+
+def test_quality_rejects_by_repeats_alone(spark):
+    fresh = iter(range(10**6))
+    words = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    twice = lambda n, k: (lambda x: x + words(n - 2 * k) + x)(words(k))
+    loop = lambda n, period, k: words(n - k) + (words(period) * k)[:k]
+    docs = [twice(267, 60), twice(1000, 150), twice(260, 31), loop(150, 6, 37), twice(260, 12), words(200)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {x.doc_id: x for x in quality.judged(df).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert [got[i].kept for i in range(6)] == [False, False, False, False, True, True]
+    assert got[0].covered_words == 120 and (got[3].n_words, got[3].covered_words, got[3].longest_repeat) == (150, 37, 31)
+
+
+def test_quality_rejects_no_good_document_of_the_larger_table(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    good = quality.judged(docs).join(labels.filter("quality = 1"), "doc_id").filter("not base_failed").select("kept").collect()
+    assert len(good) > 3000 and all(x.kept for x in good)
