@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import releasing, map_slices, partitions, written
 from .components import components, local_components
 from .membership import keyed
-from .textarrays import Texts, combine, mix, plain, power_tables, ragged, slices
+from .textarrays import Texts, combine, mix, plain, ragged, slices
 
 #: A slice sends so many lines of a band to the band's bucket; of the others it tells only that they are in the band.
 KEEP = 4
@@ -60,11 +60,12 @@ def shingles(data: np.ndarray, first: np.ndarray, end: np.ndarray, shingle: int
     n = np.maximum(chars - shingle + 1, 1)
     start = np.repeat(np.cumsum(chars) - chars, n) + ragged(n)
     stop = np.minimum(start + shingle, np.repeat(np.cumsum(chars), n))
-    # names of ranges of characters from prefix sums
-    powers, inverses = power_tables(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points + np.uint64(1)) * powers[: len(points)], out=sums[1:])
-    return mix((sums[stop] - sums[start]) * inverses[start]), np.cumsum(n) - n, n
+    names = np.zeros(len(start), np.uint64)
+    for k in range(shingle):
+        inside = start + k < stop
+        at = np.minimum(start + k, max(len(points) - 1, 0))
+        names = np.where(inside, combine(names, points[at]), names) if len(at) else names
+    return names, np.cumsum(n) - n, n
 
 
 def bands(names: np.ndarray, starts: np.ndarray) -> np.ndarray:

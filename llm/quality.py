@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices
-from .textarrays import Texts, combine, plain
+from .textarrays import Ranges, Texts, combine, plain
 
 #: Words of a repeat that counts, covered share of words allowed, longest repeat allowed outright and as a share.
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT, MAX_REPEAT_SHARE = 10, 0.25, 30, 0.1
@@ -97,20 +97,16 @@ def longest_repeats(symbols: np.ndarray, row: np.ndarray, shortest: int) -> np.n
         head = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
         rank[some] = live[np.flatnonzero(head)][np.cumsum(head) - 1]
         width *= 2
-    # common prefixes of neighbours, by names of ranges from prefix sums
-    powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, np.uint64(0x9E3779B97F4A7C15))])
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(symbols * powers[:n], out=sums[1:])
+    # common prefixes of neighbours
+    ranges = Ranges(symbols)
     a, b = np.minimum(array[1:], array[:-1]), np.maximum(array[1:], array[:-1])
     room = np.where(end_of[a] == end_of[b], end_of[b] - b, 0)
     common = np.zeros(len(a), np.int64)
     step = 1 << int(room.max(initial=1)).bit_length()
     while step:
-        reach = common + step
-        ok = np.flatnonzero(reach <= room)
-        left, right, ends = a[ok], b[ok], reach[ok]
-        equal = (sums[left + ends] - sums[left]) * powers[right - left] == sums[right + ends] - sums[right]
-        common[ok[equal]] = ends[equal]
+        ok = np.flatnonzero(common + step <= room)
+        alike = ok[ranges.equal(a[ok] + common[ok], b[ok] + common[ok], np.full(len(ok), step))]
+        common[alike] += step
         step //= 2
     np.maximum.at(out, array[1:], common)
     np.maximum.at(out, array[:-1], common)

@@ -16,27 +16,11 @@ import pyarrow as pa
 #: Bytes of text that one slice holds, unless a single text is longer.
 SLICE_BYTES = 3 << 19
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def _geometric(first: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(first))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        n = max(n, SLICE_BYTES + 64)
-        _powers, _inverses = _geometric(_BASE, n), _geometric(_INVERSE, n)
-    return _powers, _inverses
+#: Which bytes of an 8-byte little-endian chunk are left if it has 0 to 8.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,7 +71,6 @@ class Texts:
         self.data = np.frombuffer(data, np.uint8, size, int(at[0])) if data is not None and size else np.zeros(0, np.uint8)
         self.starts = at - at[0]
         self.rows = hi - lo
-        self._sums: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: list) -> Texts:
@@ -121,14 +104,23 @@ class Texts:
         return first, end
 
     def names(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit names of byte ranges: equal bytes, equal names."""
-        n = len(self.data)
-        powers, inverses = power_tables(n + 1)
-        if self._sums is None:
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=self._sums[1:])
-        raw = (self._sums[end] - self._sums[first]) * inverses[first]
-        return mix(raw + (end - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        """64-bit names of byte ranges: equal bytes, equal names.
+
+        A name sums mixed chunks of eight bytes, each mixed with its place. Unlike polynomials modulo 2^64,
+        whose powers share factors of two, this has no family of inputs that collide by its form.
+        """
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        chunk = np.ndarray((len(self.data) + 1,), "<u8", padded, 0, (1,))  # from every byte on
+        size = end - first
+        out = mix(_chunks(chunk, first, np.minimum(size, 8), np.uint64(0)))
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            n = (size[long] - 1) >> 3  # chunks after the first
+            nth = ragged(n) + 1
+            at = np.repeat(first[long], n) + 8 * nth
+            more = mix(_chunks(chunk, at, np.minimum(np.repeat(end[long], n) - at, 8), nth.astype(np.uint64)))
+            out[long] += np.add.reduceat(more, np.cumsum(n) - n)
+        return mix(out + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     def per_row(self, positions: np.ndarray) -> np.ndarray:
         """How many of the ascending positions lie in each row."""
@@ -139,3 +131,50 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
     """0..n-1 for each n of lengths, one after another."""
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+def _chunks(chunk: np.ndarray, at: np.ndarray, size: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place as a number, told apart by which chunk of its range it is."""
+    return (chunk[at] & _LEFT[size]) + nth * np.uint64(0x9E3779B97F4A7C15)
+
+
+#: A prime, the modulus of polynomial names of ranges.
+_PRIME = np.uint64((1 << 61) - 1)
+_POINT = np.uint64(0x0B5297A4D3F8E1C7 % ((1 << 61) - 1))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, both below it."""
+    low, high = np.uint64(0xFFFFFFFF), np.uint64(32)
+    al, ah, bl, bh = a & low, a >> high, b & low, b >> high
+    cross = al * bh + ah * bl  # below 2^62
+    # 2^64 is 8 and 2^61 is 1
+    total = (al * bl & _PRIME) + (al * bl >> np.uint64(61)) + ((cross << high) & _PRIME) + (cross >> np.uint64(29)) + ah * bh * np.uint64(8)
+    total = (total & _PRIME) + (total >> np.uint64(61))
+    return np.where(total >= _PRIME, total - _PRIME, total)
+
+
+class Ranges:
+    """Equality of ranges of symbols, by polynomials modulo a prime at a fixed point.
+
+    Two different ranges of n symbols agree for n of all 2^61 points at most, whatever their form.
+    """
+
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
+        self.powers = np.ones(n + 1, np.uint64)
+        step, k = np.full(1, _POINT), 1
+        while k <= n:
+            self.powers[k : 2 * k] = times(self.powers[: min(k, n + 1 - k)], step)
+            step, k = times(step, step), 2 * k
+        terms = times(mix(symbols) & _PRIME, self.powers[:n])
+        low, high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(terms & np.uint64(0xFFFFFFFF), out=low[1:])
+        np.cumsum(terms >> np.uint64(32), out=high[1:])
+        total = low % _PRIME + times(high % _PRIME, np.full(1, 1 << 32, np.uint64))
+        self.sums = np.where(total >= _PRIME, total - _PRIME, total)
+
+    def equal(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the ranges of some lengths from a and from b (a <= b) are alike."""
+        part = lambda x: (self.sums[x + length] + _PRIME - self.sums[x]) % _PRIME
+        return times(part(a), self.powers[b - a]) == part(b)
