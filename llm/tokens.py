@@ -77,55 +77,62 @@ class Encoder:
         led = first[first > x.starts[x.row_of(first)]]
         space = x.data[led - 1] == 0x20
         nonempty = x.starts[:-1][np.diff(x.starts) > 0]
-        cuts = np.unique(np.concatenate([nonempty, led - 1, led[~space], end, tail[cut], x.starts[-1:]]))
+        mark = np.zeros(len(x.data) + 1, bool)
+        for places in (nonempty, led - 1, led[~space], end, tail[cut], x.starts[-1:]):
+            mark[places] = True
+        cuts = np.flatnonzero(mark)
         return cuts[:-1], cuts[1:]
 
     def learn(self, data: np.ndarray, names: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
         """Keeps the ids of new pieces."""
         raw = data.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        alone = list(range(len(texts)))
         if self.words:
-            easy = [i for i, t in enumerate(texts) if t.isalpha()]
-            alone = [i for i, t in enumerate(texts) if not t.isalpha()]
-            groups = [easy[i : i + 256] for i in range(0, len(easy), 256)]
-            for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, np.uint16)
-                last = np.flatnonzero(self.ends[ids]) + 1
-                if len(last) != len(group) or last[-1] != len(ids):
-                    alone += group
-                    continue
-                for i, part in zip(group, np.split(ids, last[:-1]), strict=True):
-                    out[i] = part
+            easy = [t.isalpha() for t in texts]
+            joined, before = " ", ""
         else:
-            easy = [i for i, t in enumerate(texts) if "\n" not in t and not t.isspace()]
-            alone = [i for i, t in enumerate(texts) if "\n" in t or t.isspace()]
-            groups = [easy[i : i + 256] for i in range(0, len(easy), 256)]
-            for group, found in zip(groups, self.tokenizer.encode_batch_fast(["\n" + "\n".join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, np.uint16)
+            easy = ["\n" not in t and not t.isspace() for t in texts]
+            joined, before = "\n", "\n"
+        simple, alone = np.flatnonzero(easy).tolist(), np.flatnonzero(~np.array(easy, bool)).tolist()
+        # many pieces at a time, told apart again by the ends of words or by the breaks between them
+        order, sizes, flat = [], [], []
+        groups = [simple[i : i + 256] for i in range(0, len(simple), 256)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([before + joined.join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint16)
+            if self.words:
+                last = np.flatnonzero(self.ends[ids]) + 1
+                fits = len(last) == len(group) and last[-1] == len(ids)
+                size = np.diff(last, prepend=0)
+            else:
                 breaks = np.flatnonzero(ids == self.line[0])
-                if len(self.line) != 1 or len(breaks) != len(group):
-                    alone += group
-                    continue
-                for i, part in zip(group, np.split(ids, breaks[1:]), strict=True):
-                    out[i] = part[1:]
+                fits = len(self.line) == 1 and len(breaks) == len(group)
+                size = np.diff(breaks, append=len(ids)) - 1
+                ids = np.delete(ids, breaks)
+            if not fits:
+                alone += group
+                continue
+            order += group
+            sizes.append(size)
+            flat.append(ids)
         for i in alone:
-            out[i] = self.one(texts[i])
-        sizes = np.array([len(o) for o in out], np.int32)
-        flat = np.concatenate(out) if out else np.zeros(0, np.uint16)
+            flat.append(self.one(texts[i]))
+            sizes.append(np.array([len(flat[-1])]))
+        order += alone
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint16)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), len(self.ids)), np.uint16)])
         self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(sizes) - sizes
+        size, at = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64)
+        size[order] = np.concatenate(sizes) if sizes else 0
+        at[order] = self.used + np.cumsum(size[order]) - size[order]
         self.used += len(flat)
         where = np.searchsorted(self.name, names)
-        self.name, self.at, self.size = np.insert(self.name, where, names), np.insert(self.at, where, at), np.insert(self.size, where, sizes)
+        self.name, self.at, self.size = np.insert(self.name, where, names), np.insert(self.at, where, at), np.insert(self.size, where, size)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array without nulls as uint16, and how many each text has."""
         x = Texts(texts)
-        odd = [] if self.words else [i for i in np.flatnonzero(np.diff(x.starts) > 0).tolist() if _other_space(x.data[x.starts[i] : x.starts[i + 1]])]
+        odd = [] if self.words else np.unique(x.row_of(_other_spaces(x.data))).tolist()
         if self.words:
             x.data = _LOWER[x.data]
         first, end = self.pieces(x)
@@ -152,14 +159,13 @@ class Encoder:
         return ids, counts
 
 
-def _other_space(data: np.ndarray) -> bool:
-    """Whether white space beyond the six bytes may stand in a text."""
-    if ((data >= 0x1C) & (data <= 0x1F)).any():
-        return True
-    if not (data >= 0x80).any():
-        return False
-    a, b = data[:-1], data[1:]
-    return bool(((a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) | (a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80)).any())
+def _other_spaces(data: np.ndarray) -> np.ndarray:
+    """Where white space beyond the six bytes may stand."""
+    found = [np.flatnonzero((data >= 0x1C) & (data <= 0x1F))]
+    lead = np.flatnonzero(data[:-1] >= 0xC2)
+    a, b = data[lead], data[lead + 1]
+    found.append(lead[(a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) | (a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80)])
+    return np.concatenate(found)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
