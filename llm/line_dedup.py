@@ -1,20 +1,23 @@
 r"""Removal of lines that repeat, exactly or nearly, anywhere in the corpus.
 
-Lines are what stands between \n; lines without a word are left alone. A line's shingles are its runs
-of ``shingle`` characters (a shorter line is one shingle): FINE in the query and the pipeline. MinHash signatures of PERMUTATIONS values go into
-BANDS bands; lines that agree on a band are candidates of each other, and their shingle sets are then
-compared exactly: a Jaccard similarity of 0.8 or more links them. That takes two steps. In the first,
-agreeing lines are tested against the first of their band in the order of their names and against the
-one before them, which joins nearly every group of like lines. In the second, every two lines of a band
-that are in different components still are compared too, so no link between lines that share a band is
-lost; bands with all lines in one component need no more tests. Large bands meet in tiles of bounded
-size, so no task holds a whole band. Components of the links are found by distributed
-union-find, and of each component, with all its exact copies, the occurrence with the smallest
-(doc_id, text hash, line number) is kept.
-
-At similarity 0.8 a pair agrees on one band at least with a chance of 0.997, more above; unlike lines hardly ever do. Null texts have
-no lines. A null doc_id is larger than others. Rows with equal doc_id and text count as one document and
-stay alike.
+Lines are what stands between \n; lines without a word are left alone. Equal lines meet first, so the rest
+works on distinct lines. A line's shingles are its runs of ``shingle`` characters (a shorter line is one
+shingle). MinHash signatures of PERMUTATIONS values go into BANDS bands; lines that agree on a band are
+candidates of each other, and their shingle sets are then compared exactly: a Jaccard similarity of 0.8 or
+more links them. That takes two steps. In the first, agreeing lines are tested against the first of their
+band in the order of their names and against the one before them, which joins nearly every group of like
+lines. In the second, every two lines of a band that are in different components still are looked at too:
+those whose signatures agree on AGREE values or more are compared exactly, so a link between lines that
+share a band is lost with odds of 4e-6 at most. Bands with all lines in one component need no more tests.
+Large bands meet in tiles of bounded size, so no task holds a whole band. Components of the links are
+found by distributed union-find, and of each component, with all its exact copies, the occurrence with the
+smallest (doc_id, text hash, line number) is kept.
+
+At similarity 0.8 a pair agrees on one band at least with a chance of 0.997, more above; unlike lines
+hardly ever do. Null texts have no lines. A null doc_id is larger than others. Rows with equal doc_id and
+text count as one document and stay alike. An empty table gives an empty result. A very long text or line
+is held whole by one task, with some 40 bytes a character; no other task holds more than a few MB of text.
+Columns of docs come through whatever their names; n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -26,19 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import releasing, map_slices, partitions, written
+from .common import map_slices, partitions, releasing, strings, written
 from .components import components, local_components
-from .membership import keyed
+from .membership import LAST, keyed
 from .textarrays import Texts, combine, mix, plain, ragged, slices
 
 #: A slice sends so many lines of a band to the band's bucket; of the others it tells only that they are in the band.
 KEEP = 4
-#: Shingles of a tile that are counted at a time.
-COLUMNS = 2048
+#: Distinct lines for each bucket of bands, about.
+BUCKET = 1 << 18
 #: Characters of a shingle of the query and the pipeline.
 FINE = 5
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 15, 5, 0.8
 PERMUTATIONS = BANDS * ROWS
+#: Values of two signatures that agree if the lines are compared exactly in the second step.
+AGREE = 45
+#: Shingles that are hashed, and pairs that are compared, at a time.
+BLOCK, PAIRS = 1 << 15, 1 << 16
 #: Kinds of rows that travel: lines of bands still to meet, pairs to compare, lines of bands with more than one.
 OPEN, PAIR, MEMBER = 0, 1, 2
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -54,36 +61,65 @@ def shingles(data: np.ndarray, first: np.ndarray, end: np.ndarray, shingle: int
         return shingle(data, first, end)
     size = end - first
     raw = data[np.repeat(first, size) + ragged(size)] if len(size) else data[:0]
-    lead = (raw & 0xC0) != 0x80  # the first byte of a character
-    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    chars = np.add.reduceat(lead.astype(np.int64), np.cumsum(size) - size) if len(size) else size
+    if raw.max(initial=0) < 128:
+        points, chars = raw.astype(np.uint64), size
+    else:
+        points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        lead = np.zeros(len(raw) + 1, np.int64)  # first bytes of characters
+        np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
+        ends = np.cumsum(size)
+        chars = lead[ends] - lead[ends - size]
     n = np.maximum(chars - shingle + 1, 1)
     start = np.repeat(np.cumsum(chars) - chars, n) + ragged(n)
-    stop = np.minimum(start + shingle, np.repeat(np.cumsum(chars), n))
-    names = np.zeros(len(start), np.uint64)
-    for k in range(shingle):
-        inside = start + k < stop
-        at = np.minimum(start + k, max(len(points) - 1, 0))
-        names = np.where(inside, combine(names, points[at]), names) if len(at) else names
-    return names, np.cumsum(n) - n, n
+    # runs from every character on; those of short lines end with the line
+    padded = np.concatenate([points, np.zeros(shingle, np.uint64)])
+    whole = padded[: len(points) + 1].copy()
+    for k in range(1, shingle):
+        whole *= np.uint64(0x9E3779B97F4A7C15)
+        whole ^= whole >> np.uint64(31)
+        whole += padded[k : k + len(points) + 1]
+    names = whole[start]
+    short = np.flatnonzero(chars < shingle)
+    if len(short):
+        at, length = start[(np.cumsum(n) - n)[short]], chars[short]
+        name = length.astype(np.uint64) << np.uint64(56)
+        for k in range(shingle - 1):
+            name = np.where(k < length, combine(name, padded[np.minimum(at + k, len(points))]), name)
+        names[(np.cumsum(n) - n)[short]] = name
+    return mix(names), np.cumsum(n) - n, n
+
+
+def signatures(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(PERMUTATIONS, lines) least hash values of each line's shingles, a block of lines that fits a cache at a time."""
+    short = (names >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((PERMUTATIONS, len(starts)), np.uint32)
+    ends = np.r_[starts[1:], len(short)]
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, "right")))
+        some, at = short[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo]
+        hashed = np.empty_like(some)
+        for k, (flip, odd) in enumerate(_HASHES):
+            np.bitwise_xor(some, flip, out=hashed)
+            np.multiply(hashed, odd, out=hashed)
+            np.minimum.reduceat(hashed, at, out=out[k, lo:hi])
+        lo = hi
+    return out
 
 
 def bands(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(lines, BANDS) names of the bands of MinHash signatures."""
-    short = (names >> np.uint64(32)).astype(np.uint32)
-    low = [np.minimum.reduceat((short ^ flip) * odd, starts).astype(np.uint64) for flip, odd in _HASHES]
-    out = []
+    low, out = signatures(names, starts), np.empty((BANDS, len(starts)), np.uint64)
     for b in range(BANDS):
         key = np.full(len(starts), b, np.uint64)
         for r in range(ROWS):
-            key = combine(key, low[b * ROWS + r])
-        out.append(key)
-    return np.stack(out, axis=1)
+            key = combine(key, low[b * ROWS + r].astype(np.uint64))
+        out[b] = key
+    return out.T
 
 
-def _lines(batch: pa.RecordBatch) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lines(x: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines with a word: first byte, end, row, number in the text, name."""
-    x = Texts(plain(batch.column("text")))
     lo, hi = x.lines()
     # empty texts have an empty line at a place that the next row has too
     count = 1 + x.per_row(np.flatnonzero(x.data == 10))
@@ -92,18 +128,57 @@ def _lines(batch: pa.RecordBatch) -> tuple[Texts, np.ndarray, np.ndarray, np.nda
     words = x.words()[0]
     full = np.searchsorted(words, hi) > np.searchsorted(words, lo)
     lo, hi, row, number = lo[full], hi[full], row[full], number[full]
-    return x, lo, hi, row, number, x.names(lo, hi)
+    return lo, hi, row, number, x.names(lo, hi)
+
+
+def _least(name: np.ndarray, doc_id: np.ndarray, key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by name and place, and where in it each name begins."""
+    order = np.lexsort((line, key, doc_id, name))
+    name = name[order]
+    return order, np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, key, line (its number from 0) and name (of the whole line) of every line with a word."""
+    """doc_id, key, line (its number from 0) and name of every line with a word; the first with its name of a slice has how often it is there and the text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, _, row, number, names = _lines(batch)
-        row = pa.array(row)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("key").take(row), pa.array(number, pa.int32()), pa.array(names.view(np.int64))], ["doc_id", "key", "line", "name"])
+        x = Texts(plain(batch.column("text")))
+        lo, hi, row, number, names = _lines(x)
+        order, head = _least(names, batch.column("doc_id").fill_null(LAST).to_numpy()[row], batch.column("key").to_numpy()[row], number)
+        times = np.zeros(len(names), np.int64)
+        times[order[head]] = np.diff(np.r_[head, len(names)])
+        size = np.where(times > 0, hi - lo, 0)
+        text = strings(x.data[np.repeat(lo, size) + ragged(size)], size, times == 0)
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(number, pa.int32()), pa.array(names.view(np.int64)), pa.array(times), text], ["doc_id", "key", "line", "name", "times", "text"])
+
+    return map_slices(docs, run, "doc_id long, key long, line int, name long, times long, text string", "doc_id", "key", "text")
+
+
+def distinct_lines(found: DataFrame) -> DataFrame:
+    """name, its first doc_id, key and line, n (how often the line occurs), chars and text of each line, from occurrences."""
+    fields = ["name", "doc_id", "key", "line", "n", "chars", "text"]
+
+    def heads(rows: pa.RecordBatch) -> pa.RecordBatch:
+        column = lambda c: rows.column(c).to_numpy()
+        order, head = _least(column("name"), rows.column("doc_id").fill_null(LAST).to_numpy(), column("key"), column("line"))
+        n = np.add.reduceat(column("n")[order], head) if len(head) else np.zeros(0, np.int64)
+        out = rows.take(pa.array(order[head]))
+        return out.set_column(out.schema.get_field_index("n"), "n", pa.array(n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                out = heads(batch if last is None else pa.concat_batches([last, batch]))
+                last = out.slice(out.num_rows - 1)
+                yield out.slice(0, out.num_rows - 1)
+        if last is not None:
+            yield last
 
-    return map_slices(docs, run, "doc_id long, key long, line int, name long", "doc_id", "key", "text")
+    some = found.filter("times > 0").select("name", "doc_id", "key", "line", F.col("times").alias("n"), F.char_length("text").alias("chars"), "text")
+    dealt = some.repartition(partitions(found.sparkSession), "name").sortWithinPartitions("name")
+    return dealt.select(fields).mapInArrow(releasing(run), "name long, doc_id long, key long, line int, n long, chars int, text string")
 
 
 def _starred(band: np.ndarray, name: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,53 +188,65 @@ def _starred(band: np.ndarray, name: np.ndarray, keep: int) -> tuple[np.ndarray,
     head = np.r_[True, band[1:] != band[:-1]] if len(band) else np.zeros(0, bool)
     of = np.maximum.accumulate(np.where(head, np.arange(len(band)), 0)) if len(band) else np.zeros(0, np.int64)
     place = np.arange(len(band)) - of
-    later = np.flatnonzero((place >= 1) & (place >= (keep if keep > 1 else 1)))
+    later = np.flatnonzero(place >= max(keep, 1))
     a = np.concatenate([name[of[later]], name[later - 1]])
     b = np.concatenate([name[later], name[later]])
     return np.minimum(a, b), np.maximum(a, b), order[place < keep], order[place >= keep]
 
 
 def _meeting(kind: int, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
-    rows = np.stack([one, two], axis=1).view(np.int64)
-    rows = np.unique(np.sort(rows, axis=1) if kind == PAIR else rows, axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["kind", "a", "b"])
+    a, b = one.view(np.int64), two.view(np.int64)
+    if kind == PAIR:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+        a, b = a[first], b[first]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
 
-def meetings(docs: DataFrame, shingle: int | Callable = SHINGLE, units: Callable = _lines, *columns: str) -> DataFrame:
-    """What shares a band, for lines or the other units that units(batch) finds (given text and columns).
+def meetings(texts: DataFrame, rows: int, shingle: int | Callable = SHINGLE) -> DataFrame:
+    """What shares a band among the rows (about so many) of name, text.
 
-    Rows of kind PAIR, pairs a < b of line names to compare first, and of kind MEMBER, a band a with two lines or more and a line b of it.
+    Rows of kind PAIR, pairs a < b of names to compare first, and of kind MEMBER, a band a with two lines or more and a line b of it.
     """
-    buckets = partitions(docs.sparkSession)
+    buckets = max(partitions(texts.sparkSession), -(-rows // BUCKET))
     fields = ["bucket", "bands", "names", "kind"]
 
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, lo, hi, _, _, names = units(batch)
-        names, at = np.unique(names, return_index=True)
+        x = Texts(plain(batch.column("text")))
+        names, at = np.unique(batch.column("name").to_numpy().view(np.uint64), return_index=True)
         if not len(names):
             return
+        lo, hi = x.starts[:-1][at], x.starts[1:][at]
         key = []
-        for part in np.array_split(np.arange(len(at)), max(1, int((hi[at] - lo[at]).sum()) >> 20)):
+        for part in np.array_split(np.arange(len(at)), max(1, int((hi - lo).sum()) >> 20)):
             if len(part):
-                found, starts, _ = shingles(x.data, lo[at[part]], hi[at[part]], shingle)
+                found, starts, _ = shingles(x.data, lo[part], hi[part], shingle)
                 key.append(bands(found, starts))
         band, name = np.concatenate(key).ravel(), np.repeat(names, BANDS)
-        a, b, on, rest = _starred(band, name, KEEP)
-        pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-        # what is settled here goes to any bucket
-        here, out = int(names[0] % np.uint64(buckets)), []
-        if len(pairs):
-            out.append((here, pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), PAIR))
-        if len(rest):
-            out.append((here, band[rest].tobytes(), name[rest].tobytes(), MEMBER))
+        # lines of bands that are crowded here: the others all go on
+        order = np.argsort(band)
+        crowd = np.zeros(len(band), bool)
+        ordered = band[order]
+        crowd[order[KEEP:]] = ordered[KEEP:] == ordered[:-KEEP] if len(band) > KEEP else False
+        here, out, on = int(names[0] % np.uint64(buckets)), [], np.arange(len(band))
+        if crowd.any():
+            # what is settled here goes to any bucket
+            many = np.flatnonzero(np.isin(band, band[crowd]))
+            a, b, first, rest = _starred(band[many], name[many], KEEP)
+            out.append((here, a.tobytes(), b.tobytes(), PAIR))
+            out.append((here, band[many[rest]].tobytes(), name[many[rest]].tobytes(), MEMBER))
+            stays = np.ones(len(band), bool)
+            stays[many[rest]] = False
+            on = np.flatnonzero(stays)
         band, name = band[on], name[on]
-        bucket = (band % np.uint64(buckets)).astype(np.int64)
+        bucket = (band % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for k in range(buckets):
-            some = order[edge[k] : edge[k + 1]]
-            if len(some):
-                out.append((k, band[some].tobytes(), name[some].tobytes(), OPEN))
+        band, name = band[order], name[order]
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            out.append((k, band[edge[k] : edge[k + 1]].tobytes(), name[edge[k] : edge[k + 1]].tobytes(), OPEN))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int32()], strict=True)], fields)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,24 +260,46 @@ def meetings(docs: DataFrame, shingle: int | Callable = SHINGLE, units: Callable
                 else:
                     yield _meeting(kind, one, two)
         if band:
-            one = np.unique(np.stack([np.concatenate(band), np.concatenate(name)], axis=1), axis=0)
-            lo, hi, _, _ = _starred(one[:, 0], one[:, 1], 1)
-            yield _meeting(PAIR, lo[lo != hi], hi[lo != hi])
-            same = one[1:, 0] == one[:-1, 0]
-            many = one[np.r_[same, False] | np.r_[False, same]]
-            yield _meeting(MEMBER, many[:, 0], many[:, 1])
-
-    dealt = map_slices(docs, sign, "bucket int, bands binary, names binary, kind int", "text", *columns).repartitionById(buckets, F.col("bucket"))
-    return dealt.mapInArrow(releasing(meet), "kind int, a long, b long").distinct()
-
-
-def distinct_shingles(texts: pa.Array, shingle: int | Callable = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each of some lines: a name of line and shingle (ascending), the line, the shingle's name."""
-    x = Texts(plain(texts))
-    names, _, n = shingles(x.data, x.starts[:-1], x.starts[1:], shingle)
-    row = np.repeat(np.arange(len(n)), n)
-    key, first = np.unique(combine(names, row.astype(np.uint64)), return_index=True)
-    return key, row[first], names[first]
+            one, two = np.concatenate(band), np.concatenate(name)
+            band = name = None
+            order = np.argsort(one)
+            ordered = one[order]
+            same = ordered[1:] == ordered[:-1]
+            many = order[np.r_[same, False] | np.r_[False, same]]
+            one, two = one[many], two[many]
+            a, b, _, _ = _starred(one, two, 1)
+            yield _meeting(PAIR, a[a != b], b[a != b])
+            yield _meeting(MEMBER, one, two)
+
+    dealt = map_slices(texts, sign, "bucket int, bands binary, names binary, kind int", "name", "text").repartitionById(buckets, F.col("bucket"))
+    return dealt.mapInArrow(releasing(meet), "kind int, a long, b long")
+
+
+def sets(x: Texts, lines: np.ndarray, shingle: int | Callable = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of some lines: their names, one line after another, and where each line's begin and how many it has."""
+    names, starts, n = shingles(x.data, x.starts[:-1][lines], x.starts[1:][lines], shingle)
+    wide = max(1, len(lines) - 1).bit_length()
+    key = np.sort((np.repeat(np.arange(len(lines), dtype=np.uint64), n) << np.uint64(64 - wide)) | (names >> np.uint64(wide)))
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    start = np.searchsorted(key, np.arange(len(lines), dtype=np.uint64) << np.uint64(64 - wide))
+    return key << np.uint64(wide), start, np.diff(np.r_[start, len(key)])
+
+
+def similar(held: tuple[np.ndarray, np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of lines of sets(...) are similar enough."""
+    names, start, n = held
+    out = np.zeros(len(i), bool)
+    # sets whose sizes differ too much cannot be
+    able = np.flatnonzero(np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+    work = np.cumsum(n[i[able]] + n[j[able]])
+    for part in np.split(able, np.flatnonzero(np.diff(work // (1 << 20))) + 1) if len(able) else []:
+        both = np.concatenate([i[part], j[part]])
+        size, pair = n[both], np.tile(np.arange(len(part)), 2)
+        wide = max(1, len(part) - 1).bit_length()
+        key = np.sort((np.repeat(pair, size).astype(np.uint64) << np.uint64(64 - wide)) | (names[np.repeat(start[both], size) + ragged(size)] >> np.uint64(wide)))
+        common = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(64 - wide)).astype(np.int64), minlength=len(part))
+        out[part] = common >= similarity * (n[i[part]] + n[j[part]] - common) - 1e-9
+    return out
 
 
 def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int | Callable) -> tuple[np.ndarray, np.ndarray]:
@@ -198,68 +307,68 @@ def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int | Callabl
     tile, name, root, part = (batch.column(c).to_numpy() for c in ("tile", "name", "root", "part"))
     apart = batch.column("apart").to_numpy(zero_copy_only=False)
     texts, edge = batch.column("text"), np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for first, last in slices(texts):
         # the tiles that begin in this slice
-        of = edge[(edge >= first) & (edge < last)]
+        of = edge[:-1][(edge[:-1] >= first) & (edge[:-1] < last)]
         if not len(of):
             continue
-        end = edge[np.searchsorted(edge, of[-1]) + 1]
-        _, row, names = distinct_shingles(texts.slice(of[0], end - of[0]), shingle)
-        n = np.bincount(row, minlength=end - of[0])
-        # columns of a tile are its shingles of two lines or more
-        nth = np.searchsorted(of, row + of[0], "right") - 1
-        _, column, count = np.unique(combine(names, nth.astype(np.uint64)), return_inverse=True, return_counts=True)
-        order = np.flatnonzero(count[column] > 1)
-        order = order[np.lexsort((column[order], nth[order]))]
-        row, nth, column = row[order], nth[order], column[order]
-        column = np.cumsum(np.r_[True, column[1:] != column[:-1]]) if len(column) else column
-        at = np.searchsorted(nth, np.arange(len(of) + 1))
-        for k, (lo, hi) in enumerate(zip(of, np.r_[of[1:], end], strict=True)):
-            fits = (name[lo:hi, None] < name[lo:hi]) & (root[lo:hi, None] != root[lo:hi])
-            if apart[lo]:
-                fits &= part[lo:hi, None] != part[lo:hi]
-            if not fits.any():
-                continue
-            line, spot, both = row[at[k] : at[k + 1]] - (lo - of[0]), column[at[k] : at[k + 1]], np.zeros((hi - lo, hi - lo), np.float32)
-            spot = spot - spot[0] if len(spot) else spot
-            # a few thousand at a time
-            for c in range(0, int(spot[-1]) + 1 if len(spot) else 0, COLUMNS):
-                here = slice(*np.searchsorted(spot, [c, c + COLUMNS]))
-                held = np.zeros((hi - lo, min(COLUMNS, int(spot[-1]) + 1 - c)), np.float32)
-                held[line[here], spot[here] - c] = 1
-                both += held @ held.T
-            size = n[lo - of[0] : hi - of[0]]
-            i, j = np.nonzero(fits & (both >= similarity * (size[:, None] + size - both) - 1e-9))
-            a.append(name[lo:hi][i])
-            b.append(name[lo:hi][j])
-    return np.concatenate(a), np.concatenate(b)
+        end = int(edge[np.searchsorted(edge, of[-1]) + 1])
+        base, size = int(of[0]), np.diff(np.r_[of, end])
+        x = Texts(plain(texts.slice(base, end - base)))
+        starts, low = [], []
+        for lo, hi in slices(plain(texts.slice(base, end - base)), 1 << 20):
+            names, at, _ = shingles(x.data, x.starts[lo:hi], x.starts[lo + 1 : hi + 1], shingle)
+            low.append(signatures(names, at).astype(np.uint8).T)
+        low = np.concatenate(low)
+        # each line meets those after it in its tile
+        left = np.repeat(size, size) - 1 - ragged(size)
+        done = np.cumsum(left)
+        for some in np.split(np.arange(len(left)), np.flatnonzero(np.diff(done // PAIRS)) + 1):
+            i = np.repeat(some, left[some])
+            j = i + 1 + ragged(left[some])
+            r, p = root[base:end], part[base:end]
+            fits = (r[i] != r[j]) & ~(apart[base:end][i] & (p[i] == p[j]))
+            i, j = i[fits], j[fits]
+            for c in range(0, len(i), PAIRS):
+                a, b = i[c : c + PAIRS], j[c : c + PAIRS]
+                near = (low[a] == low[b]).sum(axis=1, dtype=np.uint8) >= AGREE
+                a, b = a[near], b[near]
+                if len(a):
+                    lines, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    ok = similar(sets(x, lines, shingle), back[: len(a)], back[len(a) :], similarity)
+                    found_a.append(name[base:end][a[ok]])
+                    found_b.append(name[base:end][b[ok]])
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, lines: int = 256, chars: int = 1 << 16, shingle: int | Callable = SHINGLE) -> DataFrame:
     """Links a, b of lines that share a band (members: band, name) in different components (roots: node, root).
 
-    texts: name, text. Large bands are cut into parts of about so many lines or characters, and every
+    texts: name, text and, if known, chars. Large bands are cut into parts of about so many lines or characters, and every
     two parts meet in a tile. The lines of a band's largest component meet the others only, not each
     other, so the work grows with a band's lines times those outside of its largest component.
     """
-    placed = members.join(roots, F.col("name") == F.col("node"), "left").select("band", "name", F.coalesce("root", "name").alias("root"))
-    placed = written(placed.join(texts.select("name", F.length("text").alias("n")), "name"), "placed")
-    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("band")
-    sizes = sizes.agg(F.max_by(F.struct("root", "k", "n"), F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n")).filter("k > main.k")
+    placed = members.toDF("band", "member").join(roots, F.col("member") == F.col("node"), "left").select("band", "member", F.coalesce("root", "member").alias("root"))
+    placed = written(placed, "placed")
+    # bands in which components meet; written so that the joins see their size
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+    long = F.col("chars") if "chars" in texts.columns else F.char_length("text")
+    placed = written(placed.join(written(mixed, "open_bands"), "band").join(texts.select(F.col("name").alias("member"), long.alias("chars")), "member"), "placed")
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.sum("chars").alias("n")).groupBy("band")
+    sizes = sizes.agg(F.max_by(F.struct("root", "k", "n"), F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"))
     parts = lambda k, n: F.greatest(F.ceil(k / lines), F.ceil(n / chars)).cast("int")
-    # bands in which components meet, written so that the join sees their size
     sizes = sizes.select("band", F.col("main.root").alias("main"), parts(F.col("main.k"), F.col("main.n")).alias("ours"), parts(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("others"))
-    rows = placed.join(written(sizes, "open_bands"), "band").join(texts, "name")
+    rows = placed.join(written(sizes, "sizes"), "band").join(texts.select(F.col("name").alias("member"), "text"), "member")
     ours, part = F.col("root") == F.col("main"), F.col("part")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("name"), F.when(ours, F.col("ours")).otherwise(F.col("others"))).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("member"), F.when(ours, F.col("ours")).otherwise(F.col("others"))).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     # apart: only lines of different parts are compared there, as those of one part meet in their own tile
     spot = lambda kind, p, q, apart: F.struct(F.xxhash64("band", F.lit(kind), p, q).alias("tile"), apart.alias("apart"))
     tiles = F.when(ours, F.transform(every("others"), lambda o: spot("ours", part, o, F.lit(False)))).otherwise(
         F.concat(F.transform(every("ours"), lambda o: spot("ours", o, part, F.lit(False))), F.transform(every("others"), lambda o: spot("others", F.least(o, part), F.greatest(o, part), o != part)))
     )
-    rows = rows.select("name", "root", "part", "text", F.explode(tiles).alias("at")).select("at.tile", "at.apart", "name", "root", "part", "text")
+    rows = rows.select("member", "root", "part", "text", F.explode(tiles).alias("at")).select("at.tile", "at.apart", F.col("member").alias("name"), "root", "part", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -287,20 +396,22 @@ def verified(pairs: DataFrame, similarity: float, shingle: int | Callable = SHIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets = [distinct_shingles(batch.column(c), shingle) for c in ("text_a", "text_b")]
-                both = sets[0][1][np.isin(sets[0][0], sets[1][0], assume_unique=True)]
-                n = [np.bincount(r, minlength=batch.num_rows) for r in (sets[0][1], sets[1][1], both)]
-                yield batch.filter(pa.array(n[2] >= similarity * (n[0] + n[1] - n[2]) - 1e-9)).select(["a", "b"])
+            for lo, hi in slices(plain(whole.column("text_a"))):
+                for at in range(lo, hi, 1024):
+                    batch = whole.slice(at, min(1024, hi - at))
+                    texts = pa.concat_arrays([plain(batch.column("text_a")), plain(batch.column("text_b"))])
+                    every, n = np.arange(len(texts)), batch.num_rows
+                    ok = similar(sets(Texts(texts), every, shingle), every[:n], every[n:], similarity)
+                    yield batch.filter(pa.array(ok)).select(["a", "b"])
 
     return pairs.mapInArrow(releasing(run), "a long, b long")
 
 
 def linked(met: DataFrame, texts: DataFrame, similarity: float, shingle: int | Callable = SHINGLE) -> DataFrame:
-    """node, root of all lines that are linked to others. met: of meetings; texts: name, text of the lines in its pairs."""
-    pairs = met.filter(F.col("kind") == PAIR).select("a", "b")
-    full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    """node, root of all lines that are linked to others. met: of meetings; texts: name, chars, text of the lines in its pairs."""
+    pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
+    of = lambda x: texts.select(F.col("name").alias(x), F.col("text").alias(f"text_{x}"))
+    full = pairs.join(of("a"), "a").join(of("b"), "b")
     links = written(verified(full.select("a", "b", "text_a", "text_b"), similarity, shingle), "links")
     roots = written(components(links), "roots")
     members = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("band"), F.col("b").alias("name"))
@@ -311,41 +422,33 @@ def linked(met: DataFrame, texts: DataFrame, similarity: float, shingle: int | C
 def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int | Callable = SHINGLE) -> DataFrame:
     """k, d (key and doc_id) and lines, the numbers of the lines that go, for each document that loses any. docs: keyed."""
     found = written(occurrences(docs), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), F.col("line").alias("line"))
-    firsts = written(found.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")), "names")
-    met = written(meetings(docs, shingle), "meetings")
-    pairs = met.filter(F.col("kind") == PAIR).select("a", "b")
-    # the candidates' texts, each from its first occurrence
-    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    homes = wanted.join(firsts, "name").select("name", F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"), F.col("first.line").alias("line"))
-    per_doc = homes.groupBy("k", "d").agg(F.collect_list(F.struct("line", "name")).alias("want"))
-    held = docs.join(per_doc, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    cut = F.transform("want", lambda w: F.struct(w["name"].alias("name"), F.get(F.col("lines"), w["line"]).alias("text")))
-    texts = held.select(F.split("text", "\n").alias("lines"), "want").select(F.inline(cut))
-    texts = written(texts.dropDuplicates(["name"]), "texts")
-    roots = linked(met, texts, similarity, shingle)
-    # the first occurrence of each component, for all of its lines; single lines that occur twice or more are their own
-    named = firsts.join(roots, F.col("name") == F.col("node"), "left").filter(F.col("root").isNotNull() | (F.col("n") > 1)).select("name", F.coalesce("root", "name").alias("root"), "first")
-    named = written(named, "named")
+    distinct = written(distinct_lines(found), "distinct_lines")
+    met = written(meetings(distinct.select("name", "text"), distinct.count(), shingle), "meetings")
+    roots = linked(met, distinct.select("name", "chars", "text"), similarity, shingle)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
+    # of a component the first occurrence of all its lines stays, of any other line that occurs twice or more its own
+    named = written(distinct.select(F.col("name").alias("node"), place.alias("first"), "n").join(roots, "node", "left").filter(F.col("root").isNotNull() | (F.col("n") > 1)).select("node", "root", "first"), "named")
     # written, so that the join sees its size and adaptive execution can split a large component
-    least = written(named.groupBy("root").agg(F.min("first").alias("keep")), "least")
-    keep = named.join(least, "root").select("name", "keep")
-    gone = found.join(keep, "name").filter(place != F.col("keep"))
-    return gone.groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d")).agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    least = written(named.filter("root is not null").groupBy("root").agg(F.min("first").alias("stays")), "least")
+    keep = named.join(least, "root").select("node", "stays").union(named.filter("root is null").select("node", F.col("first").alias("stays")))
+    gone = found.select("doc_id", "key", "line", F.col("name").alias("node")).join(keep, "node").filter(place != F.col("stays"))
+    return gone.groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d")).agg(F.collect_set("line").alias("lines"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int | Callable = SHINGLE) -> DataFrame:
     """All columns of docs with n_lines, n_removed and the text of the kept lines."""
     columns = docs.columns
     others = [c for c in columns if c != "text"]
-    plain_docs = docs.select(F.struct(*others).alias("whole"), "doc_id", "text")
+    plain_docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("whole"), "doc_id", "text")
     docs = keyed(plain_docs)
     gone = drops(docs.select("doc_id", "key", "text"), similarity, shingle)
     out = docs.join(gone, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains("lines", i), None).otherwise(x)), lambda x: x.isNotNull()), "\n")
+    # the numbers of the lines that stay; cut lines are bound once for each text
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lines"))
+    kept = F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay, lambda i: F.get(p, i)), "\n")), 1)
     full = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept).alias("text")
     fields = [F.col("whole")[c].alias(c) for c in others if c not in ("n_lines", "n_removed")]
     out = out.select(*fields, text, F.coalesce(full, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"))
-    return out.select(*[c for c in columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    return out.select(*[F.col(f"`{c}`") for c in columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
