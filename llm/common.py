@@ -11,7 +11,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +68,6 @@ def binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def strings(values: np.ndarray, lengths: np.ndarray, null: np.ndarray) -> pa.Array:
-    """One string for each length, cut from consecutive UTF-8 bytes; null where told."""
-    out = binaries(values, lengths).cast(pa.string())
-    return pa.compute.if_else(pa.array(null), pa.scalar(None, pa.string()), out)
-
-
 def release() -> None:
     """Gives memory that a worker has freed back to the machine; workers live on between stages."""
     pa.default_memory_pool().release_unused()

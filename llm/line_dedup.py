@@ -1,7 +1,6 @@
 r"""Removal of lines that repeat, exactly or nearly, anywhere in the corpus.
 
-Lines are what stands between \n; lines without a word are left alone. Equal lines meet first, so the rest
-works on distinct lines. A line's shingles are its runs of ``shingle`` characters (a shorter line is one
+Lines are what stands between \n; lines without a word are left alone. A line's shingles are its runs of ``shingle`` characters (a shorter line is one
 shingle). MinHash signatures of PERMUTATIONS values go into BANDS bands; lines that agree on a band are
 candidates of each other, and their shingle sets are then compared exactly: a Jaccard similarity of 0.8 or
 more links them. That takes two steps. In the first, agreeing lines are tested against the first of their
@@ -29,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, partitions, releasing, strings, written
+from .common import map_slices, partitions, releasing, written
 from .components import components, local_components
-from .membership import LAST, keyed
-from .textarrays import Texts, combine, mix, plain, ragged, slices
+from .membership import keyed
+from .textarrays import SEPARATOR, Texts, combine, mix, plain, ragged, slices
 
 #: A slice sends so many lines of a band to the band's bucket; of the others it tells only that they are in the band.
 KEEP = 4
-#: Distinct lines for each bucket of bands, about.
+#: Lines for each bucket of bands, about.
 BUCKET = 1 << 18
 #: Characters of a shingle of the query and the pipeline.
 FINE = 5
@@ -48,68 +47,69 @@ AGREE = 45
 BLOCK, PAIRS = 1 << 15, 1 << 16
 #: Kinds of rows that travel: lines of bands still to meet, pairs to compare, lines of bands with more than one.
 OPEN, PAIR, MEMBER = 0, 1, 2
+_FACTORS = mix(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_HASHES = [(np.uint32(a >> np.uint64(32)), np.uint32(b >> np.uint64(32)) | np.uint32(1)) for a, b in _SEEDS.reshape(-1, 2)]
+_FLIPS = [np.uint32(a >> np.uint64(32)) for a in _SEEDS[:ROWS]]
+_ODD = [np.uint32(b >> np.uint64(32)) | np.uint32(1) for b in _SEEDS[PERMUTATIONS:]]
 
 
-def shingles(data: np.ndarray, first: np.ndarray, end: np.ndarray, shingle: int | Callable = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit names of the shingles of ranges of UTF-8 bytes, where each range's begin, and how many it has.
+def shingles(x: Texts, first: np.ndarray, end: np.ndarray, shingle: int | Callable = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit names of shingles, and for ascending ranges of UTF-8 bytes where each one's begin in them and how many it has.
 
     shingle: how many characters, or a function that cuts the ranges otherwise.
     """
     if callable(shingle):
-        return shingle(data, first, end)
-    size = end - first
-    raw = data[np.repeat(first, size) + ragged(size)] if len(size) else data[:0]
-    if raw.max(initial=0) < 128:
-        points, chars = raw.astype(np.uint64), size
+        return shingle(x.data, first, end)
+    if x.data.max(initial=0) < 128:
+        points, at, chars = x.data, first, end - first
     else:
-        points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
-        lead = np.zeros(len(raw) + 1, np.int64)  # first bytes of characters
-        np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-        ends = np.cumsum(size)
-        chars = lead[ends] - lead[ends - size]
-    n = np.maximum(chars - shingle + 1, 1)
-    start = np.repeat(np.cumsum(chars) - chars, n) + ragged(n)
-    # runs from every character on; those of short lines end with the line
-    padded = np.concatenate([points, np.zeros(shingle, np.uint64)])
-    whole = padded[: len(points) + 1].copy()
-    for k in range(1, shingle):
-        whole *= np.uint64(0x9E3779B97F4A7C15)
-        whole ^= whole >> np.uint64(31)
-        whole += padded[k : k + len(points) + 1]
-    names = whole[start]
-    short = np.flatnonzero(chars < shingle)
-    if len(short):
-        at, length = start[(np.cumsum(n) - n)[short]], chars[short]
-        name = length.astype(np.uint64) << np.uint64(56)
-        for k in range(shingle - 1):
-            name = np.where(k < length, combine(name, padded[np.minimum(at + k, len(points))]), name)
-        names[(np.cumsum(n) - n)[short]] = name
-    return mix(names), np.cumsum(n) - n, n
-
-
-def signatures(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(PERMUTATIONS, lines) least hash values of each line's shingles, a block of lines that fits a cache at a time."""
-    short = (names >> np.uint64(32)).astype(np.uint32)
+        points = np.frombuffer(x.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        before = np.zeros(len(x.data) + 1, np.int32)  # characters before each byte
+        np.cumsum((x.data & 0xC0) != 0x80, out=before[1:])
+        at, chars = before[first].astype(np.int64), (before[end] - before[first]).astype(np.int64)
+    # runs from every character on, a block that fits a cache at a time
+    names = np.zeros(len(points) + 1, np.uint64)
+    for lo in range(0, len(points), BLOCK):
+        some = np.concatenate([points[lo : lo + BLOCK + shingle - 1].astype(np.uint64), np.zeros(shingle, np.uint64)])
+        n = min(BLOCK, len(points) - lo)
+        out = names[lo : lo + n]
+        for k in range(shingle):
+            out += (some[k : k + n] + np.uint64(1)) * _FACTORS[k]
+        names[lo : lo + n] = mix(out)
+    # those of shorter lines end with the line
+    for i in np.flatnonzero(chars < shingle).tolist():
+        name = int(chars[i])
+        for c in points[at[i] : at[i] + chars[i]].tolist():
+            name = (name * 0x9E3779B97F4A7C15 + c + 1) & 0xFFFFFFFFFFFFFFFF
+            name ^= name >> 31
+        names[at[i]] = name
+    return names, at, np.maximum(chars - shingle + 1, 1)
+
+
+def signatures(names: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(PERMUTATIONS, lines) least hash values of each line's shingles (ascending), a block of lines that fits a cache at a time."""
     out = np.empty((PERMUTATIONS, len(starts)), np.uint32)
-    ends = np.r_[starts[1:], len(short)]
-    lo = 0
+    ends, lo = starts + n, 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, "right")))
-        some, at = short[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo]
-        hashed = np.empty_like(some)
-        for k, (flip, odd) in enumerate(_HASHES):
-            np.bitwise_xor(some, flip, out=hashed)
-            np.multiply(hashed, odd, out=hashed)
-            np.minimum.reduceat(hashed, at, out=out[k, lo:hi])
+        base = starts[lo]
+        some = np.append(names[base : ends[hi - 1]] >> np.uint64(32), np.uint64(0)).astype(np.uint32)
+        # between the lines are ranges that nobody asks for
+        at = np.stack([starts[lo:hi], ends[lo:hi]], axis=1).ravel() - base
+        flipped, hashed, least = np.empty_like(some), np.empty_like(some), np.empty(len(at), np.uint32)
+        for r, flip in enumerate(_FLIPS):
+            np.bitwise_xor(some, flip, out=flipped)
+            for k in range(r, PERMUTATIONS, ROWS):
+                np.multiply(flipped, _ODD[k], out=hashed)
+                np.minimum.reduceat(hashed, at, out=least)
+                out[k, lo:hi] = least[::2]
         lo = hi
     return out
 
 
-def bands(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def bands(names: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """(lines, BANDS) names of the bands of MinHash signatures."""
-    low, out = signatures(names, starts), np.empty((BANDS, len(starts)), np.uint64)
+    low, out = signatures(names, starts, n), np.empty((BANDS, len(starts)), np.uint64)
     for b in range(BANDS):
         key = np.full(len(starts), b, np.uint64)
         for r in range(ROWS):
@@ -118,67 +118,30 @@ def bands(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def _lines(x: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines with a word: first byte, end, row, number in the text, name."""
+def lines(batch: pa.RecordBatch) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with a word: first byte, end, name, row and number in the text."""
+    x = Texts(plain(batch.column("text")))
     lo, hi = x.lines()
     # empty texts have an empty line at a place that the next row has too
     count = 1 + x.per_row(np.flatnonzero(x.data == 10))
     row = np.repeat(np.arange(x.rows), count)
     number = ragged(count)
-    words = x.words()[0]
-    full = np.searchsorted(words, hi) > np.searchsorted(words, lo)
-    lo, hi, row, number = lo[full], hi[full], row[full], number[full]
-    return lo, hi, row, number, x.names(lo, hi)
-
-
-def _least(name: np.ndarray, doc_id: np.ndarray, key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by name and place, and where in it each name begins."""
-    order = np.lexsort((line, key, doc_id, name))
-    name = name[order]
-    return order, np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
+    filled = np.zeros(len(x.data) + 1, np.int32)
+    np.cumsum(~SEPARATOR[x.data], out=filled[1:])
+    full = filled[hi] > filled[lo]
+    lo, hi = lo[full], hi[full]
+    return x, lo, hi, x.names(lo, hi), row[full], number[full]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, key, line (its number from 0) and name of every line with a word; the first with its name of a slice has how often it is there and the text."""
+    """doc_id, key, line (its number from 0) and name (of the whole line) of every line with a word."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = Texts(plain(batch.column("text")))
-        lo, hi, row, number, names = _lines(x)
-        order, head = _least(names, batch.column("doc_id").fill_null(LAST).to_numpy()[row], batch.column("key").to_numpy()[row], number)
-        times = np.zeros(len(names), np.int64)
-        times[order[head]] = np.diff(np.r_[head, len(names)])
-        size = np.where(times > 0, hi - lo, 0)
-        text = strings(x.data[np.repeat(lo, size) + ragged(size)], size, times == 0)
+        _, _, _, names, row, number = lines(batch)
         at = pa.array(row)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(number, pa.int32()), pa.array(names.view(np.int64)), pa.array(times), text], ["doc_id", "key", "line", "name", "times", "text"])
-
-    return map_slices(docs, run, "doc_id long, key long, line int, name long, times long, text string", "doc_id", "key", "text")
-
-
-def distinct_lines(found: DataFrame) -> DataFrame:
-    """name, its first doc_id, key and line, n (how often the line occurs), chars and text of each line, from occurrences."""
-    fields = ["name", "doc_id", "key", "line", "n", "chars", "text"]
-
-    def heads(rows: pa.RecordBatch) -> pa.RecordBatch:
-        column = lambda c: rows.column(c).to_numpy()
-        order, head = _least(column("name"), rows.column("doc_id").fill_null(LAST).to_numpy(), column("key"), column("line"))
-        n = np.add.reduceat(column("n")[order], head) if len(head) else np.zeros(0, np.int64)
-        out = rows.take(pa.array(order[head]))
-        return out.set_column(out.schema.get_field_index("n"), "n", pa.array(n))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if batch.num_rows:
-                out = heads(batch if last is None else pa.concat_batches([last, batch]))
-                last = out.slice(out.num_rows - 1)
-                yield out.slice(0, out.num_rows - 1)
-        if last is not None:
-            yield last
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(number, pa.int32()), pa.array(names.view(np.int64))], ["doc_id", "key", "line", "name"])
 
-    some = found.filter("times > 0").select("name", "doc_id", "key", "line", F.col("times").alias("n"), F.char_length("text").alias("chars"), "text")
-    dealt = some.repartition(partitions(found.sparkSession), "name").sortWithinPartitions("name")
-    return dealt.select(fields).mapInArrow(releasing(run), "name long, doc_id long, key long, line int, n long, chars int, text string")
+    return map_slices(docs, run, "doc_id long, key long, line int, name long", "doc_id", "key", "text")
 
 
 def _starred(band: np.ndarray, name: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,26 +168,21 @@ def _meeting(kind: int, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
 
-def meetings(texts: DataFrame, rows: int, shingle: int | Callable = SHINGLE) -> DataFrame:
-    """What shares a band among the rows (about so many) of name, text.
+def meetings(docs: DataFrame, units: int, shingle: int | Callable = SHINGLE, of: Callable = lines, *columns: str) -> DataFrame:
+    """What shares a band among the lines of docs, or among the (about so many) units that of(batch) finds, given text and columns.
 
     Rows of kind PAIR, pairs a < b of names to compare first, and of kind MEMBER, a band a with two lines or more and a line b of it.
     """
-    buckets = max(partitions(texts.sparkSession), -(-rows // BUCKET))
+    buckets = max(partitions(docs.sparkSession), -(-units // BUCKET))
     fields = ["bucket", "bands", "names", "kind"]
 
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = Texts(plain(batch.column("text")))
-        names, at = np.unique(batch.column("name").to_numpy().view(np.uint64), return_index=True)
-        if not len(names):
+        x, lo, hi, names, *_ = of(batch)
+        at = np.sort(np.unique(names, return_index=True)[1])
+        if not len(at):
             return
-        lo, hi = x.starts[:-1][at], x.starts[1:][at]
-        key = []
-        for part in np.array_split(np.arange(len(at)), max(1, int((hi - lo).sum()) >> 20)):
-            if len(part):
-                found, starts, _ = shingles(x.data, lo[part], hi[part], shingle)
-                key.append(bands(found, starts))
-        band, name = np.concatenate(key).ravel(), np.repeat(names, BANDS)
+        names = names[at]
+        band, name = bands(*shingles(x, lo[at], hi[at], shingle)).ravel(), np.repeat(names, BANDS)
         # lines of bands that are crowded here: the others all go on
         order = np.argsort(band)
         crowd = np.zeros(len(band), bool)
@@ -271,17 +229,17 @@ def meetings(texts: DataFrame, rows: int, shingle: int | Callable = SHINGLE) ->
             yield _meeting(PAIR, a[a != b], b[a != b])
             yield _meeting(MEMBER, one, two)
 
-    dealt = map_slices(texts, sign, "bucket int, bands binary, names binary, kind int", "name", "text").repartitionById(buckets, F.col("bucket"))
+    dealt = map_slices(docs, sign, "bucket int, bands binary, names binary, kind int", "text", *columns).repartitionById(buckets, F.col("bucket"))
     return dealt.mapInArrow(releasing(meet), "kind int, a long, b long")
 
 
-def sets(x: Texts, lines: np.ndarray, shingle: int | Callable = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of some lines: their names, one line after another, and where each line's begin and how many it has."""
-    names, starts, n = shingles(x.data, x.starts[:-1][lines], x.starts[1:][lines], shingle)
-    wide = max(1, len(lines) - 1).bit_length()
-    key = np.sort((np.repeat(np.arange(len(lines), dtype=np.uint64), n) << np.uint64(64 - wide)) | (names >> np.uint64(wide)))
+def sets(cut: tuple[np.ndarray, np.ndarray, np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of some lines that shingles(...) has cut: their names, one line after another, where each line's begin and how many it has."""
+    names, starts, n = cut[0], cut[1][some], cut[2][some]
+    wide = max(1, len(some) - 1).bit_length()
+    key = np.sort((np.repeat(np.arange(len(some), dtype=np.uint64), n) << np.uint64(64 - wide)) | (names[np.repeat(starts, n) + ragged(n)] >> np.uint64(wide)))
     key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    start = np.searchsorted(key, np.arange(len(lines), dtype=np.uint64) << np.uint64(64 - wide))
+    start = np.searchsorted(key, np.arange(len(some), dtype=np.uint64) << np.uint64(64 - wide))
     return key << np.uint64(wide), start, np.diff(np.r_[start, len(key)])
 
 
@@ -316,11 +274,8 @@ def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int | Callabl
         end = int(edge[np.searchsorted(edge, of[-1]) + 1])
         base, size = int(of[0]), np.diff(np.r_[of, end])
         x = Texts(plain(texts.slice(base, end - base)))
-        starts, low = [], []
-        for lo, hi in slices(plain(texts.slice(base, end - base)), 1 << 20):
-            names, at, _ = shingles(x.data, x.starts[lo:hi], x.starts[lo + 1 : hi + 1], shingle)
-            low.append(signatures(names, at).astype(np.uint8).T)
-        low = np.concatenate(low)
+        cut = shingles(x, x.starts[:-1], x.starts[1:], shingle)
+        low = np.ascontiguousarray(signatures(*cut).astype(np.uint8).T)
         # each line meets those after it in its tile
         left = np.repeat(size, size) - 1 - ragged(size)
         done = np.cumsum(left)
@@ -335,8 +290,8 @@ def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int | Callabl
                 near = (low[a] == low[b]).sum(axis=1, dtype=np.uint8) >= AGREE
                 a, b = a[near], b[near]
                 if len(a):
-                    lines, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-                    ok = similar(sets(x, lines, shingle), back[: len(a)], back[len(a) :], similarity)
+                    those, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    ok = similar(sets(cut, those), back[: len(a)], back[len(a) :], similarity)
                     found_a.append(name[base:end][a[ok]])
                     found_b.append(name[base:end][b[ok]])
     return np.concatenate(found_a), np.concatenate(found_b)
@@ -400,8 +355,8 @@ def verified(pairs: DataFrame, similarity: float, shingle: int | Callable = SHIN
                 for at in range(lo, hi, 1024):
                     batch = whole.slice(at, min(1024, hi - at))
                     texts = pa.concat_arrays([plain(batch.column("text_a")), plain(batch.column("text_b"))])
-                    every, n = np.arange(len(texts)), batch.num_rows
-                    ok = similar(sets(Texts(texts), every, shingle), every[:n], every[n:], similarity)
+                    x, every, n = Texts(texts), np.arange(len(texts)), batch.num_rows
+                    ok = similar(sets(shingles(x, x.starts[:-1], x.starts[1:], shingle), every), every[:n], every[n:], similarity)
                     yield batch.filter(pa.array(ok)).select(["a", "b"])
 
     return pairs.mapInArrow(releasing(run), "a long, b long")
@@ -422,12 +377,21 @@ def linked(met: DataFrame, texts: DataFrame, similarity: float, shingle: int | C
 def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int | Callable = SHINGLE) -> DataFrame:
     """k, d (key and doc_id) and lines, the numbers of the lines that go, for each document that loses any. docs: keyed."""
     found = written(occurrences(docs), "lines")
-    distinct = written(distinct_lines(found), "distinct_lines")
-    met = written(meetings(distinct.select("name", "text"), distinct.count(), shingle), "meetings")
-    roots = linked(met, distinct.select("name", "chars", "text"), similarity, shingle)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
+    firsts = written(found.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")), "names")
+    met = written(meetings(docs, firsts.count(), shingle), "meetings")
+    # the texts of candidates, each from its first occurrence
+    wanted = met.filter(F.col("kind") == MEMBER).select(F.col("b").alias("name")).distinct()
+    homes = wanted.join(firsts, "name").select("name", F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"), F.col("first.line").alias("line"))
+    per_doc = homes.groupBy("k", "d").agg(F.collect_list(F.struct("line", "name")).alias("want"))
+    held = docs.join(per_doc, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    cut = F.transform("want", lambda w: F.struct(w["name"].alias("name"), F.get(F.col("lines"), w["line"]).alias("text")))
+    texts = held.select(F.split("text", "\n").alias("lines"), "want").select(F.inline(cut)).dropDuplicates(["name"])
+    texts = written(texts.select("name", F.char_length("text").alias("chars"), "text"), "texts")
+    roots = linked(met, texts, similarity, shingle)
     # of a component the first occurrence of all its lines stays, of any other line that occurs twice or more its own
-    named = written(distinct.select(F.col("name").alias("node"), place.alias("first"), "n").join(roots, "node", "left").filter(F.col("root").isNotNull() | (F.col("n") > 1)).select("node", "root", "first"), "named")
+    some = firsts.select(F.col("name").alias("node"), "first", "n").join(roots, "node", "left").filter(F.col("root").isNotNull() | (F.col("n") > 1))
+    named = written(some.select("node", "root", "first"), "named")
     # written, so that the join sees its size and adaptive execution can split a large component
     least = written(named.filter("root is not null").groupBy("root").agg(F.min("first").alias("stays")), "least")
     keep = named.join(least, "root").select("node", "stays").union(named.filter("root is null").select("node", F.col("first").alias("stays")))
