@@ -12,8 +12,8 @@ Large bands meet in tiles of bounded size, so no task holds a whole band. Compon
 found by distributed union-find, and of each component, with all its exact copies, the occurrence with the
 smallest (doc_id, text hash, line number) is kept.
 
-At similarity 0.8 a pair agrees on one band at least with a chance of 0.997, more above; unlike lines
-hardly ever do. Null texts have no lines. A null doc_id is larger than others. Rows with equal doc_id and
+At similarity 0.8 a pair agrees on one band at least with a chance of 0.995, at 0.85 of 0.9997; unlike lines
+(0.2 and less) do with odds of 4e-4 at most. Null texts have no lines. A null doc_id is larger than others. Rows with equal doc_id and
 text count as one document and stay alike. An empty table gives an empty result. A very long text or line
 is held whole by one task, with some 40 bytes a character; no other task holds more than a few MB of text.
 Columns of docs come through whatever their names; n_lines and n_removed are replaced.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, partitions, releasing, written
+from .common import free, map_slices, partitions, releasing, written
 from .components import components, local_components
 from .membership import keyed
 from .textarrays import SEPARATOR, Texts, combine, mix, plain, ragged, slices
@@ -36,23 +36,44 @@ from .textarrays import SEPARATOR, Texts, combine, mix, plain, ragged, slices
 #: A slice sends so many lines of a band to the band's bucket; of the others it tells only that they are in the band.
 KEEP = 4
 #: Lines for each bucket of bands, about.
-BUCKET = 1 << 18
+BUCKET = 1 << 17
 #: Characters of a shingle of the query and the pipeline.
 FINE = 5
-SHINGLE, BANDS, ROWS, SIMILARITY = 8, 15, 5, 0.8
-PERMUTATIONS = BANDS * ROWS
+SHINGLE, SIMILARITY = 8, 0.8
+#: Values of a signature; bands, and values that each one takes. Long bands keep chance meetings rare however many lines there are.
+PERMUTATIONS, BANDS, ROWS = 75, 32, 7
 #: Values of two signatures that agree if the lines are compared exactly in the second step.
 AGREE = 45
 #: Shingles that are hashed, and pairs that are compared, at a time.
 BLOCK, PAIRS = 1 << 15, 1 << 16
+#: Bits of a band's name that travel, beside its bucket.
+KEPT = 40
 #: Kinds of rows that travel: lines of bands still to meet, pairs to compare, lines of bands with more than one.
 OPEN, PAIR, MEMBER = 0, 1, 2
 _FACTORS = mix(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FLIPS = [np.uint32(a >> np.uint64(32)) for a in _SEEDS[:ROWS]]
+_FLIPS = [np.uint32(a >> np.uint64(32)) for a in _SEEDS[:5]]
 _ODD = [np.uint32(b >> np.uint64(32)) | np.uint32(1) for b in _SEEDS[PERMUTATIONS:]]
 
 
+def _taken() -> list[list[int]]:
+    """Which values each band takes: as different ones as can be, all about equally often."""
+    dice, pool, out = np.random.default_rng(1), [], []
+    for _ in range(BANDS):
+        band: list[int] = []
+        while len(band) < ROWS:
+            if not (free := [x for x in pool if x not in band]):
+                pool += dice.permutation(PERMUTATIONS).tolist()
+                continue
+            band.append(free[0])
+            pool.remove(free[0])
+        out.append(band)
+    return out
+
+
+_TAKEN = _taken()
+
+
 def shingles(x: Texts, first: np.ndarray, end: np.ndarray, shingle: int | Callable = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit names of shingles, and for ascending ranges of UTF-8 bytes where each one's begin in them and how many it has.
 
@@ -99,7 +120,7 @@ def signatures(names: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarr
         flipped, hashed, least = np.empty_like(some), np.empty_like(some), np.empty(len(at), np.uint32)
         for r, flip in enumerate(_FLIPS):
             np.bitwise_xor(some, flip, out=flipped)
-            for k in range(r, PERMUTATIONS, ROWS):
+            for k in range(r, PERMUTATIONS, len(_FLIPS)):
                 np.multiply(flipped, _ODD[k], out=hashed)
                 np.minimum.reduceat(hashed, at, out=least)
                 out[k, lo:hi] = least[::2]
@@ -109,11 +130,11 @@ def signatures(names: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarr
 
 def bands(names: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """(lines, BANDS) names of the bands of MinHash signatures."""
-    low, out = signatures(names, starts, n), np.empty((BANDS, len(starts)), np.uint64)
-    for b in range(BANDS):
+    low, out = signatures(names, starts, n).astype(np.uint64), np.empty((BANDS, len(starts)), np.uint64)
+    for b, values in enumerate(_TAKEN):
         key = np.full(len(starts), b, np.uint64)
-        for r in range(ROWS):
-            key = combine(key, low[b * ROWS + r].astype(np.uint64))
+        for k in values:
+            key = combine(key, low[k])
         out[b] = key
     return out.T
 
@@ -182,7 +203,9 @@ def meetings(docs: DataFrame, units: int, shingle: int | Callable = SHINGLE, of:
         if not len(at):
             return
         names = names[at]
+        # of a band's name its bucket and KEPT bits stay
         band, name = bands(*shingles(x, lo[at], hi[at], shingle)).ravel(), np.repeat(names, BANDS)
+        band = (band // np.uint64(buckets) & np.uint64((1 << KEPT) - 1)) * np.uint64(buckets) + band % np.uint64(buckets)
         # lines of bands that are crowded here: the others all go on
         order = np.argsort(band)
         crowd = np.zeros(len(band), bool)
@@ -204,19 +227,22 @@ def meetings(docs: DataFrame, units: int, shingle: int | Callable = SHINGLE, of:
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         band, name = band[order], name[order]
         for k in np.flatnonzero(np.diff(edge)).tolist():
-            out.append((k, band[edge[k] : edge[k + 1]].tobytes(), name[edge[k] : edge[k + 1]].tobytes(), OPEN))
+            short = (band[edge[k] : edge[k + 1]] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, : KEPT // 8]
+            out.append((k, short.tobytes(), name[edge[k] : edge[k + 1]].tobytes(), OPEN))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int32()], strict=True)], fields)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, name = [], []
         for batch in batches:
-            for b, n, kind in zip(batch.column("bands"), batch.column("names"), batch.column("kind").to_pylist(), strict=True):
-                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (b, n))
+            for bucket, b, n, kind in zip(batch.column("bucket").to_pylist(), batch.column("bands"), batch.column("names"), batch.column("kind").to_pylist(), strict=True):
+                two = np.frombuffer(n.as_buffer(), np.uint64)
                 if kind == OPEN:
-                    band.append(one)
+                    wide = np.zeros((len(two), 8), np.uint8)
+                    wide[:, : KEPT // 8] = np.frombuffer(b.as_buffer(), np.uint8).reshape(len(two), -1)
+                    band.append(wide.view(np.uint64).ravel() * np.uint64(buckets) + np.uint64(bucket))
                     name.append(two)
                 else:
-                    yield _meeting(kind, one, two)
+                    yield _meeting(kind, np.frombuffer(b.as_buffer(), np.uint64), two)
         if band:
             one, two = np.concatenate(band), np.concatenate(name)
             band = name = None
@@ -380,6 +406,7 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int | Callab
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
     firsts = written(found.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")), "names")
     met = written(meetings(docs, firsts.count(), shingle), "meetings")
+    free(docs.sparkSession)
     # the texts of candidates, each from its first occurrence
     wanted = met.filter(F.col("kind") == MEMBER).select(F.col("b").alias("name")).distinct()
     homes = wanted.join(firsts, "name").select("name", F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"), F.col("first.line").alias("line"))
