@@ -1,20 +1,27 @@
 """Removal of long repeats across documents by recompression.
 
-Words are the first symbols. A round names runs of one symbol, then pairs: symbols are split into left
-and right ones by a bit of their name, and a left one before a right one becomes a new symbol. A name
-is a 64-bit hash of its parts, so all tasks name alike without a common dictionary. What a round does
-to a symbol depends on its neighbours only; two rounds therefore give equal passages equal symbols but
-for three words at either end.
-
-Rounds on Spark, each with a question about names (see membership): (1) which pairs of neighbouring
-second-level symbols are shared with another document; (2) of the windows whose inner pairs are all
-shared, which are, word for word, in a document with a smaller doc_id. A window that touches a run
-(where the bound of three words fails), or that has no whole pair inside, is asked about in any case.
-So the symbols only save questions, and none that matters.
-
-Names of 64 bits stand for words and windows; unequal ones agree with odds of 2^-64 a pair. Null texts
-have no words. A null doc_id counts as larger than all others. Rows with equal doc_id and text count
-as one document and give equal rows. Words of a shorter text than the window are never covered.
+Words are the first symbols. A round of recompression names runs of one symbol, then pairs: symbols are
+split into left and right ones by a bit of their name, and a left one before a right one becomes a new
+symbol. A name is a 64-bit hash of its parts, so all tasks name alike without a common dictionary. What
+the round does to a symbol depends on its neighbours only, so equal passages get equal symbols inside.
+
+How far inside: in another text the run of words that a passage begins with may reach back further, so its
+name is unknown, and with it whether it has taken the next run as its partner. The run after that one meets
+a neighbour that is the same in both texts, so from there on symbols are equal; and likewise back from the
+end. Symbols that begin after the first run of a passage and not with the second, and end before the
+last but one run does, are the same in every text that has the passage. That is seen from the passage alone.
+
+Rounds on Spark, each with a question about names (see membership): (1) which phrases, that is PHRASE
+neighbouring symbols, are in another document too. Half of the phrases, chosen by their names, are asked
+about. (2) Of the windows whose phrases are all shared, or that hold none, which are in a document with a
+smaller doc_id. A window is named by the symbols within it and the words at its two rims, so equal windows
+have one name in all texts, and it is the symbols that verify a repeat.
+
+Names of 64 bits stand for words, symbols and windows; unequal ones agree with odds of 2^-64 a pair, whatever their
+form. Null texts have no words. A null doc_id counts as larger than all others. Rows with equal doc_id and text count
+as one document and give equal rows. Words of a shorter text than the window are never covered. An empty table gives
+an empty result; other columns of docs are left out. A very long text is held whole by one task, with some 60 bytes a
+word.
 """
 
 from __future__ import annotations
@@ -29,38 +36,23 @@ from .common import map_slices, partitions, written
 from .membership import answers, entries, keyed, with_answers
 from .textarrays import Texts, combine, mix, plain
 
-ROUNDS = 2
-
-
-def recompress(names: np.ndarray, row: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols after some rounds: name, first word, row; and for each word whether a run at any level covers it."""
-    symbol, first = names, np.arange(len(names))
-    in_run = np.zeros(len(names), bool)
-    for k in range(rounds):
-        if not len(symbol):
-            break
-        of = row[first]
-        head = np.r_[True, (symbol[1:] != symbol[:-1]) | (of[1:] != of[:-1])]
-        at = np.flatnonzero(head)
-        length = np.diff(np.r_[at, len(symbol)])
-        if len(at) < len(symbol):
-            ends = np.r_[first[1:], len(names)][np.r_[at[1:] - 1, len(symbol) - 1]]
-            edge = np.zeros(len(names) + 1, np.int64)
-            runs = length > 1
-            np.add.at(edge, first[at[runs]], 1)
-            np.add.at(edge, ends[runs], -1)
-            in_run |= np.cumsum(edge[:-1]) > 0
-        symbol, first = np.where(length > 1, combine(symbol[at], length.astype(np.uint64), 2 * k + 1), symbol[at]), first[at]
-        of = row[first]
-        right = (mix(symbol + np.uint64(k + 1)) & np.uint64(1)).astype(bool)
-        pair = ~right[:-1] & right[1:] & (of[1:] == of[:-1])
-        at = np.flatnonzero(pair)
-        symbol = symbol.copy()
-        symbol[at] = combine(symbol[at], symbol[at + 1], 2 * k + 2)
-        keep = np.ones(len(symbol), bool)
-        keep[at + 1] = False
-        symbol, first = symbol[keep], first[keep]
-    return symbol, first, row[first], in_run
+#: Neighbouring symbols of a phrase.
+PHRASE = 3
+
+
+def recompress(names: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the names after a round: their names and first places, and the first places of runs. No symbol reaches from one row into the next."""
+    if not len(names):
+        return names, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (row[1:] != row[:-1])])
+    length = np.diff(np.r_[at, len(names)])
+    symbol, of = np.where(length > 1, combine(names[at], length.astype(np.uint64), 1), names[at]), row[at]
+    right = (mix(symbol + np.uint64(1)) & np.uint64(1)).astype(bool)
+    pair = np.flatnonzero(~right[:-1] & right[1:] & (of[1:] == of[:-1]))
+    symbol[pair] = combine(symbol[pair], symbol[pair + 1], 2)
+    keep = np.ones(len(symbol), bool)
+    keep[pair + 1] = False
+    return symbol[keep], at[keep], at
 
 
 class Words:
@@ -72,36 +64,57 @@ class Words:
         self.names = self.texts.names(self.first, self.end)
         self.row = self.texts.row_of(self.first)
         self.window = window
-
-    def pairs(self) -> None:
-        """Neighbouring symbols: name, row, first word and end."""
-        symbol, first, row, self.in_run = recompress(self.names, self.row)
-        n = max(0, len(symbol) - 1)
-        ends = np.r_[first[1:], len(self.names)]
-        ends = np.minimum(ends, np.searchsorted(self.row, row, "right"))
-        keep = np.flatnonzero(row[:n] == row[1:]) if n else np.zeros(0, np.int64)
-        self.pair, self.pair_row, self.pair_first, self.pair_end = combine(symbol[keep], symbol[keep + 1], 99), row[keep], first[keep], ends[keep + 1]
+        self.symbol, self.place, runs = recompress(self.names, self.row)
+        self.stop = np.r_[self.place[1:], len(self.names)]
+        # where the run that each word is in begins and ends
+        length = np.diff(np.r_[runs, len(self.names)])
+        self.run_first, self.run_end = np.repeat(runs, length), np.repeat(runs + length, length)
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that are asked about: name and row; their first words and ends are kept."""
+        n = max(0, len(self.symbol) - PHRASE + 1)
+        of = self.row[self.place] if len(self.place) else self.place
+        at = np.flatnonzero(of[:n] == of[PHRASE - 1 :]) if n else np.zeros(0, np.int64)
+        name = self.symbol[at]
+        for k in range(1, PHRASE):
+            name = combine(name, self.symbol[at + k], 98 + k)
+        asked = (mix(name) & np.uint64(1)).astype(bool)
+        at = at[asked]
+        self.phrase_first, self.phrase_end = self.place[at], self.stop[at + PHRASE - 1]
+        return name[asked], of[at]
+
+    def inner(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least first place and largest end of the symbols that windows have in every text."""
+        return self.run_end[at] + 1, self.run_first[at + self.window - 1] - 1
 
     def candidates(self, shared: np.ndarray) -> np.ndarray:
-        """First words of the windows to ask about, given whether each pair is shared."""
-        n, w, rim = len(self.names), self.window, (1 << ROUNDS) - 1
+        """First words of the windows to ask about, given whether each phrase is shared."""
+        n, w = len(self.names), self.window
         if n < w:
             return np.zeros(0, np.int64)
         at = np.flatnonzero(self.row[: n - w + 1] == self.row[w - 1 :])
-        runs = np.zeros(n + 1, np.int64)
-        np.cumsum(self.in_run, out=runs[1:])
-        # pairs that lie inside the part of the window that equal windows have in common: by ascending first word and end
-        lo = np.searchsorted(self.pair_first, at + rim)
-        hi = np.searchsorted(self.pair_end, at + w - rim, "right")
-        alone = np.zeros(len(self.pair) + 1, np.int64)
+        # phrases inside, by ascending first word and end
+        low, high = self.inner(at)
+        lo = np.searchsorted(self.phrase_first, low)
+        hi = np.searchsorted(self.phrase_end, high, "right")
+        alone = np.zeros(len(shared) + 1, np.int64)
         np.cumsum(~shared, out=alone[1:])
-        passed = (hi <= lo) | (alone[np.maximum(hi, lo)] == alone[lo]) | (runs[at + w] > runs[at])
-        return at[passed]
+        return at[(hi <= lo) | (alone[np.maximum(hi, lo)] == alone[lo])]
 
     def window_names(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), np.uint64)
-        for k in range(self.window):
-            out = combine(out, self.names[at + k], 7)
+        """Names of windows from the symbols inside and the words before and after them."""
+        inside = np.full(len(self.names), len(self.names) + 1)  # where a symbol that begins here ends
+        inside[self.place] = self.stop
+        symbol = np.zeros(len(self.names), np.uint64)
+        symbol[self.place] = self.symbol
+        out, live, place = np.zeros(len(at), np.uint64), np.arange(len(at)), at.copy()
+        last, (low, high) = at + self.window, self.inner(at)
+        while len(live):
+            whole = (place >= low[live]) & (inside[place] <= high[live])
+            out[live] = combine(out[live], np.where(whole, symbol[place], self.names[place]), 7)
+            place = np.where(whole, inside[place], place + 1)
+            on = place < last[live]
+            live, place = live[on], place[on]
         return out
 
 
@@ -111,20 +124,19 @@ def _flags(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space); with texts also kept."""
-    if window < 2 * ((1 << ROUNDS) - 1) + 1:
-        raise ValueError("the window is too short for the rounds")
+    if window < PHRASE + 4:
+        raise ValueError("the window is too short for phrases")
     buckets = partitions(docs.sparkSession)
     docs = keyed(docs).select("doc_id", "key", "text")
 
-    def pair_names(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        w = Words(batch, window)
-        w.pairs()
-        return w.pair_row, w.pair
+    def phrase_names(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        names, row = Words(batch, window).phrases()
+        return row, names
 
     def candidate_windows(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray]:
         w = Words(batch, window)
-        w.pairs()
-        _, place = entries(w.pair_row, w.pair, buckets)
+        names, row = w.phrases()
+        _, place = entries(row, names, buckets)
         at = w.candidates(_flags(batch, "shared")[place])
         return w, at, w.window_names(at)
 
@@ -157,7 +169,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False) -> Da
             columns, names_ = [*columns, pa.array([k.decode() for k in kept], pa.string())], [*names_, "kept"]
         return pa.RecordBatch.from_arrays(columns, names_)
 
-    shared = written(answers(docs, pair_names, False), "shared")
+    shared = written(answers(docs, phrase_names, False), "shared")
     asked = with_answers(docs, shared, "shared")
     earlier = answers(asked, window_names, True, "shared")
     out = with_answers(asked, earlier, "earlier")
