@@ -250,9 +250,14 @@ def meetings(docs: DataFrame, units: int, shingle: int | Callable = SHINGLE, of:
             ordered = one[order]
             same = ordered[1:] == ordered[:-1]
             many = order[np.r_[same, False] | np.r_[False, same]]
+            # equal lines come from several slices
+            many = many[np.lexsort((two[many], one[many]))]
+            many = many[np.r_[True, (one[many[1:]] != one[many[:-1]]) | (two[many[1:]] != two[many[:-1]])]] if len(many) else many
+            same = one[many[1:]] == one[many[:-1]]
+            many = many[np.r_[same, False] | np.r_[False, same]] if len(many) else many
             one, two = one[many], two[many]
             a, b, _, _ = _starred(one, two, 1)
-            yield _meeting(PAIR, a[a != b], b[a != b])
+            yield _meeting(PAIR, a, b)
             yield _meeting(MEMBER, one, two)
 
     dealt = map_slices(docs, sign, "bucket int, bands binary, names binary, kind int", "text", *columns).repartitionById(buckets, F.col("bucket"))
