@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
 #: A word of every contract: no space and none of the bytes 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,16 +35,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the checkpoint folder of the session; a local one is set only where there is none."""
+    """A new path in the checkpoint folder of the session. Where none is set: a folder of this machine, if all tasks run on it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
-        else:
+        elif re.match(r"local($|\[)", spark.sparkContext.master):
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        else:
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what shared_folder has named so far in this process, once results that read it are written; how many paths."""
+    n = len(_made)
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -95,8 +109,8 @@ def releasing(f: Callable) -> Callable:
     return run
 
 
-def map_slices(df: DataFrame, f: Callable, schema: str, *columns: str, limit: int | None = None) -> DataFrame:
-    """mapInArrow in which f(batch) sees at most a few MB of the text column at a time."""
+def map_slices(df: DataFrame, f: Callable, schema: str, *columns: str, limit: int | None = None, last: Callable = release) -> DataFrame:
+    """mapInArrow in which f(batch) sees at most a few MB of the text column at a time; last() ends each task."""
     from .textarrays import SLICE_BYTES, plain, slices
 
     importable(df.sparkSession)
@@ -110,5 +124,6 @@ def map_slices(df: DataFrame, f: Callable, schema: str, *columns: str, limit: in
                 yield from out if isinstance(out, Iterator) else [out]
             del batch, texts
             release()
+        last()
 
     return df.select(*columns).mapInArrow(run, schema)

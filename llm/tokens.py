@@ -12,6 +12,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from .common import release
 from .textarrays import Texts, ragged
 
 #: Pieces whose ids a worker keeps.
@@ -168,12 +169,26 @@ def _other_spaces(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids of texts of some counts, each followed by the end id."""
+    out = np.full(len(ids) + len(counts), end_id, ids.dtype)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(counts + 1) - 1] = False
+    out[inside] = ids
+    return out
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
+def drop() -> None:
+    """Forgets this worker's encoders; workers live on between stages."""
+    _encoders.clear()
+    release()
+
+
 def encoder(path: str, words: bool) -> Encoder:
     """This worker's encoder of a file."""
     if (path, words) not in _encoders:
         _encoders[path, words] = Encoder(path, words)
     return _encoders[path, words]
-
