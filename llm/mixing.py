@@ -10,7 +10,7 @@ part leaves open meet again in fewer parts, until each source has one part. Ther
 decides the last two so that the source's words come closest to the target.
 
 Random numbers and parts are hashes of the seed and the documents, so reruns agree, whatever the
-partitions are; only which of many thousand repeats of one row is taken may change. A null source is a source
+partitions are; only which of equal rows is taken may change. A null source is a source
 of its own, sorted last; a null text has no words and is never taken beyond its share; documents
 without words take part like any others. Repeated rows are decided row by row.
 """
@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import word_count, written
@@ -99,7 +99,7 @@ def _settle(seed: int, level: int, last: bool) -> Callable:
 
     def settle(batch: pd.DataFrame) -> pd.DataFrame:
         # neighbours in the order of the dice move together
-        batch = batch.sort_values(["dice", "p", "row"], kind="stable").reset_index(drop=True)
+        batch = batch.sort_values(["dice", "nth", "p"], kind="stable").reset_index(drop=True)
         sizes = batch["size"].to_numpy()
         p = flight(batch["p"].to_numpy(), sizes, np.random.default_rng([seed, level, int(batch["dice"].iloc[0] * (1 << 53))]))
         batch["p"] = landing(p, sizes) if last else p
@@ -108,10 +108,28 @@ def _settle(seed: int, level: int, last: bool) -> Callable:
     return settle
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), most: float = 2.0, seed: int = 7, part: int = PART) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (times the document is taken), taken (words taken), row (a number of the row)."""
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with row, a number of the row, and nth, its place among the rows of its doc_id, source and text_hash.
+
+    Equal rows are counted in each partition first, so that no task sees all of a row that repeats without end.
+    """
+    key = ["doc_id", "source", "text_hash"]
+    rows = rows if "row" in rows.columns else rows.withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows.withColumn("piece", F.shiftright("row", 33)), "mix-numbers")
+    counts = rows.groupBy(*key, "piece").agg(F.count("*").alias("k"))
+    again = counts.withColumn("before", F.sum("k").over(Window.partitionBy(*key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))).filter("before > 0")
+    again = written(again.select(*[F.col(c).alias(f"{c}_") for c in key], F.col("piece").alias("piece_"), "before"), "mix-repeats")
+    same = (F.col("piece") == F.col("piece_")) & F.col("text_hash").eqNullSafe(F.col("text_hash_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")) & F.col("source").eqNullSafe(F.col("source_"))
+    local = F.row_number().over(Window.partitionBy(*key, "piece").orderBy("row"))
+    out = rows.withColumn("local", local).join(again, same, "left").withColumn("nth", F.col("local") + F.coalesce("before", F.lit(0)))
+    return written(out.select(*key, "size", "row", "nth"), "mix-places")
+
+
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), most: float = 2.0, seed: int = 7, part: int = PART, row: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (times the document is taken), taken (words taken), row (a number of the row; with row those of docs, made by monotonically_increasing_id)."""
     spark = docs.sparkSession
-    rows = written(docs.select(F.col("doc_id").cast("long"), "source", F.xxhash64("text").alias("text_hash"), word_count().alias("size")), "mix-sizes")
+    given = ["row"] if row else []
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), "source", F.xxhash64("text").alias("text_hash"), word_count().alias("size"), *given))
     # one row for each source comes to the driver
     totals = {r["source"]: (int(r["n"]), int(r["words"])) for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()}
     aims = targets({s: w for s, (_, w) in totals.items()}, share, weights, most)
@@ -123,14 +141,11 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
         .drop("of")
         .withColumn("base", F.floor("rate").cast("int"))
         .withColumn("p", F.col("rate") - F.floor("rate"))
-        .withColumn("row", F.monotonically_increasing_id())
         .withColumn("dice", drawn)
     )
-    # rows that repeat so often that they would crowd one part are dealt by their numbers
-    repeats = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).filter(F.col("times") > part // 8).toDF("d", "h", "times")
-    whole = whole.join(repeats, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").withColumn("deal", F.when(F.col("times").isNotNull(), F.xxhash64("row")).otherwise(F.xxhash64("dice"))).drop("d", "h", "times")
+    whole = whole.withColumn("deal", F.xxhash64("dice", "nth"))
     whole = written(whole.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).when(F.col("p") > 1 - 1e-9, 1.0).otherwise(F.col("p"))), "mix-rows")
-    open_rows = whole.filter((F.col("p") > 0) & (F.col("p") < 1)).select("source", "row", "size", "p", "dice", "deal")
+    open_rows = whole.filter((F.col("p") > 0) & (F.col("p") < 1)).select("source", "row", "nth", "size", "p", "dice", "deal")
     settled: DataFrame | None = None
     most_rows = max((n for n, _ in totals.values()), default=0)
     level = 0
@@ -139,7 +154,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
         last = parts == 1
 
         split = open_rows.withColumn("part", F.pmod(F.xxhash64("deal", F.lit(level)), F.lit(parts)))
-        moved = written(split.groupBy("source", "part").applyInPandas(_settle(seed, level, last), "source string, row long, size long, p double, dice double, deal long, part long").drop("part"), f"mix-{level}")
+        moved = written(split.groupBy("source", "part").applyInPandas(_settle(seed, level, last), "source string, row long, nth long, size long, p double, dice double, deal long, part long").drop("part"), f"mix-{level}")
         done = moved.filter((F.col("p") <= 0) | (F.col("p") >= 1)).select("row", F.col("p").cast("int").alias("extra"))
         settled = done if settled is None else settled.union(done)
         if last:
