@@ -130,7 +130,9 @@ def learn(docs: DataFrame, per_label: int = PER_LABEL, per_text: int = PER_TEXT,
         return None
     labels = sorted(counts)
     rate = F.coalesce(F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, per_label / counts[k])))])[F.col("lang")], F.lit(0.0))
-    dice = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # equal rows throw equal dice, and one of them is enough
+    dice = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = usable.filter(dice < rate).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").dropDuplicates(["doc_id", "lang", "text"])
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = Texts(plain(batch.column("text")))
@@ -144,7 +146,7 @@ def learn(docs: DataFrame, per_label: int = PER_LABEL, per_text: int = PER_TEXT,
         data = pa.array([bytes(v) for v in w[some]], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[some])), batch.column("lang").take(pa.array(row[some])), pa.array(at[some]), data], ["doc_id", "lang", "at", "bytes"])
 
-    sample = map_slices(usable.filter(dice < rate).withColumn("doc_id", F.col("doc_id").cast("long")), cut, "doc_id long, lang string, at long, bytes binary", "doc_id", "lang", "text").toPandas()
+    sample = map_slices(drawn, cut, "doc_id long, lang string, at long, bytes binary", "doc_id", "lang", "text").toPandas()
     sample = sample.sort_values(["doc_id", "lang", "at"], kind="stable")
     if not len(sample):
         return None
