@@ -3,28 +3,31 @@
 A shard holds the ids of consecutive documents. Its wavelet matrix has one plane of bits for each bit
 of an id, highest first; every plane lists the bit in the order that the planes before it have sorted
 the ids into (zeros first, stably). Counts of ones before every 512th bit give rank in constant time,
-and with it access to any id, counting of an id in a range, and the places of its occurrences (select),
+and with it access to any id, counting of an id in a range, and the places of its occurrences (select, by halving over those counts),
 all from the file's bytes without unpacking it.
 
 Documents are sorted by doc_id over all shards (equal ids by their texts, null first). A null text
-is an empty one and has the end id alone; an empty table gives no shard.
+is an empty one and has the end id alone; an empty table gives no shard. A very long text makes its shard longer, which
+one task holds whole; other columns of docs are left out. Repeated rows are written once each.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import releasing, importable, partitions, written
+from .common import importable, partitions, releasing, shared_folder, written
 from .textarrays import plain, slices
-from .tokens import encoder
+from .tokens import encoder, ended
 
 #: Ids that a shard holds, about.
 SHARD = 2 << 20
@@ -117,13 +120,15 @@ class WaveletMatrix:
         return i
 
     def _select_bit(self, level: int, bit: int, j: int) -> int:
-        ranks = self.ranks[level].astype(np.int64)
-        before = ranks if bit else np.minimum(np.arange(len(ranks)) * BLOCK, self.n) - ranks
-        block = int(np.searchsorted(before, j, "right")) - 1
-        while before[block] == (before[block + 1] if block + 1 < len(before) else -1):
-            block -= 1
+        """The place of the j-th (from 0) such bit of a plane: by the counts before every block, then within one block."""
+        ranks = self.ranks[level]
+        before = lambda block: int(ranks[block]) if bit else min(block * BLOCK, self.n) - int(ranks[block])
+        block, over = 0, len(ranks) - 1
+        while over - block > 1:
+            middle = (block + over) // 2
+            block, over = (middle, over) if before(middle) <= j else (block, middle)
         bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8])[: self.n - block * BLOCK]
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[j - int(before[block])])
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[j - before(block)])
 
     def locate(self, token: int) -> list[int]:
         return [self.select(token, j) for j in range(self.count(token))]
@@ -141,21 +146,31 @@ class WaveletMatrix:
 
 
 def shards(docs: DataFrame, path: str, words: bool = False, end_id: int = 2, size: int = SHARD) -> DataFrame:
-    """Writes the corpus as files (rows: part, number, n_tokens, file) and returns a reader of them."""
+    """Writes the corpus as files in a new shared folder; a row for each: part, number, n_tokens, file (its path).
+
+    Only files of attempts that have ended are in the table. Documents with equal ids are dealt by their first characters,
+    in the order of texts.
+    """
+    spark = docs.sparkSession
+    folder = shared_folder(spark, "wavelet")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         ids, sizes, docs_, held = [], [], [], 0
 
         def file() -> pa.RecordBatch:
-            data = build(np.concatenate(ids), np.concatenate(sizes), docs_)
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([held]), pa.array([data], pa.binary())], ["part", "number", "n_tokens", "file"])
+            name = f"{folder}/{part:08d}-{number:04d}-{uuid.uuid4().hex}.wvm"
+            fs, place = pafs.FileSystem.from_uri(name)
+            fs.create_dir(place.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(place, compression=None) as out:
+                out.write(build(np.concatenate(ids), np.concatenate(sizes), docs_))
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([held]), pa.array([name])], ["part", "number", "n_tokens", "file"])
 
         for batch in batches:
             texts = plain(batch.column("text"))
             for lo, hi in slices(texts):
                 found, counts = encoder(path, words).encode(texts.slice(lo, hi - lo))
-                ids.append(np.insert(found, np.cumsum(counts), end_id))
+                ids.append(ended(found, counts, end_id))
                 sizes.append(counts + 1)
                 docs_ += batch.column("doc_id").slice(lo, hi - lo).to_pylist()
                 held += len(ids[-1])
@@ -165,25 +180,37 @@ def shards(docs: DataFrame, path: str, words: bool = False, end_id: int = 2, siz
         if ids:
             yield file()
 
-    importable(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(releasing(pack), "part long, number long, n_tokens long, file binary"), "wavelet")
+    importable(spark)
+    start = F.substring("text", 1, 16)
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id", start).sortWithinPartitions("doc_id", "text")
+    return written(ordered.mapInArrow(releasing(pack), "part long, number long, n_tokens long, file string"), "wavelet-files")
+
+
+def opened(path: str) -> WaveletMatrix:
+    """The matrix in a file of a shared folder."""
+    fs, place = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(place, compression=None) as file:
+        return WaveletMatrix(file.read())
 
 
 def documents(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each file
-    starts = files.select("part", "number", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    spark = files.sparkSession
+    # ids before each part: one row a part comes to the driver
+    bases, total = [], 0
+    for part, n in sorted(map(tuple, files.groupBy("part").agg(F.sum("n_tokens")).collect())):
+        bases.append((part, total))
+        total += n
+    before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    starts = files.join(F.broadcast(spark.createDataFrame(bases, "part long, base long")), "part").select("file", (F.col("base") + F.coalesce(before, F.lit(0))).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, raw in zip(*(batch.column(c) for c in ("part", "number", "file")), strict=True):
-                matrix = WaveletMatrix(raw.as_buffer().to_pybytes())
+            for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                matrix = opened(file)
                 ids, start = matrix.all().astype("<u4"), np.cumsum(matrix.counts) - matrix.counts
                 crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(start.tolist(), matrix.counts.tolist(), strict=True)]
-                k = len(crc)
-                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * k), pa.array([number.as_py()] * k), pa.array(matrix.doc_ids, pa.int64()), pa.array(start), pa.array(matrix.counts), pa.array(crc, pa.int64())], ["part", "number", "doc_id", "at", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(matrix.doc_ids, pa.int64()), pa.array(start + base), pa.array(matrix.counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.select("part", "number", "file").mapInArrow(releasing(read), "part long, number long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(starts, ["part", "number"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    # a file is much work for a small row
+    return starts.repartition(partitions(spark), "file").mapInArrow(releasing(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

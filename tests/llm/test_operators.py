@@ -487,7 +487,7 @@ def test_wavelet(spark):
     flat = np.concatenate([ids for _, _, ids in made])
     base = 0
     for f in files.orderBy("part", "number").collect()[:4]:
-        m, mine = wavelet.WaveletMatrix(bytes(f.file)), flat[base : base + f.n_tokens]
+        m, mine = wavelet.opened(f.file), flat[base : base + f.n_tokens]
         assert (m.all() == mine).all() and [m.access(i) for i in range(0, m.n, 37)] == mine[::37].tolist()
         for t in {*mine[:9].tolist(), 2, 60000, 70000}:
             assert m.count(t) == (mine == t).sum() and m.locate(t) == np.flatnonzero(mine == t).tolist()
