@@ -43,24 +43,26 @@ def _table(kind: int, symbols: list[int]) -> tuple[bytes, dict[int, tuple[int, i
 
 
 def encode(coefficients: list[np.ndarray], height: int, width: int, comment: bytes = b"", cut: int = 5) -> bytes:
-    """A progressive file of three 4:4:4 components, each (blocks, 64) in zigzag order.
+    """A progressive file of three components, each (blocks, 64) in zigzag order, the first with twice as many blocks (4:2:2) or as many (4:4:4).
 
-    Magnitudes are 128 to 255. Scans: DC of all components, restarted at each unit so that a value is
+    Magnitudes are 128 to 255. Scans: DC of each component, restarted at each block so that a value is
     coded as itself; AC but the lowest bit, of the first component in two spectral bands, of the others
     in one; then the lowest bits of each component.
     """
-    n = len(coefficients[0])
-    out = [b"\xff\xd8", _segment(0xFE, comment), _HEAD, _segment(0xC2, struct.pack(">BHHB", 8, height, width, 3) + b"\x01\x11\x00\x02\x11\x00\x03\x11\x00"), _DC]
-    # in each unit three times the code 00 and eight bits of a value, ones for the last two bits
-    dc = [(c[:, 0] + np.where(c[:, 0] < 0, 255, 0)).astype(np.uint32) for c in coefficients]
-    unit = np.empty((n, 6), np.uint8)
-    unit[:, :4] = (dc[0] << 22 | dc[1] << 12 | dc[2] << 2 | 3).astype(">u4").view(np.uint8).reshape(n, 4)
-    unit[:, 4] = 0xFF
-    unit[:, 5] = 0xD0 + np.arange(n) % 8
-    if (unit[:, :4] == 0xFF).any():
-        out.append(b"".join(u[:4].tobytes().replace(b"\xff", b"\xff\x00") + u[4:].tobytes() for u in unit)[:-2])
-    else:
-        out.append(unit.tobytes()[:-2])
+    wide = len(coefficients[0]) // len(coefficients[1])
+    frame = struct.pack(">BHHB", 8, height, width, 3) + bytes([1, wide << 4 | 1, 0, 2, 0x11, 0, 3, 0x11, 0])
+    out = [b"\xff\xd8", _segment(0xFE, comment), _HEAD, _segment(0xC2, frame), _DC]
+    for c, values in enumerate(coefficients):
+        # the code 00000000 and eight bits, then a restart
+        block = np.zeros((len(values), 4), np.uint8)
+        block[:, 1] = values[:, 0] + np.where(values[:, 0] < 0, 255, 0)
+        block[:, 2] = 0xFF
+        block[:, 3] = 0xD0 + np.arange(len(values)) % 8
+        out.append(_segment(0xDA, bytes([1, c + 1, 0, 0, 0, 0])))
+        if (block[:, 1] == 0xFF).any():
+            out.append(b"".join(x[:2].tobytes().replace(b"\xff", b"\xff\x00") + x[2:].tobytes() for x in block)[:-2])
+        else:
+            out.append(block.tobytes()[:-2])
     out.append(_AC)
     # the code 0 and seven bits: a byte for each value
     size = [np.abs(c) for c in coefficients]
@@ -68,12 +70,12 @@ def encode(coefficients: list[np.ndarray], height: int, width: int, comment: byt
     for c, lo, hi in [(0, 1, cut), (0, cut + 1, 63), (1, 1, 63), (2, 1, 63)]:
         out += [_segment(0xDA, bytes([1, c + 1, 0, lo, hi, 0x01])), first[c][:, lo : hi + 1].tobytes()]
     # no coefficient is new: runs of blocks without, each followed by the blocks' correction bits
-    runs = [32767] * (n // 32767) + ([n % 32767] if n % 32767 else [])
-    table, codes = _table(0x10, sorted({(r.bit_length() - 1) << 4 for r in runs}))
+    runs = [[32767] * (len(c) // 32767) + ([len(c) % 32767] if len(c) % 32767 else []) for c in coefficients]
+    table, codes = _table(0x10, sorted({(r.bit_length() - 1) << 4 for some in runs for r in some}))
     out.append(table)
-    for c in range(3):
+    for c, some in enumerate(runs):
         low, at, bits = (size[c][:, 1:] & 1).astype(np.uint8).ravel(), 0, []
-        for r in runs:
+        for r in some:
             k = r.bit_length() - 1
             code, length = codes[k << 4]
             text = format(code, f"0{length}b") + (format(r - (1 << k), f"0{k}b") if k else "")
@@ -85,7 +87,7 @@ def encode(coefficients: list[np.ndarray], height: int, width: int, comment: byt
 
 
 _HEAD = _segment(0xDB, bytes([0]) + b"\x01" * 64)
-_DC = _segment(0xC4, bytes([0x00, 0, 1, *[0] * 14, 8])) + _segment(0xDD, b"\x00\x01") + _segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 0]))
+_DC = _segment(0xC4, bytes([0x00, *[0] * 7, 1, *[0] * 8, 8])) + _segment(0xDD, b"\x00\x01")
 _AC = _segment(0xDD, b"\x00\x00") + _segment(0xC4, bytes([0x10, 1, *[0] * 15, 7]))
 
 
@@ -192,7 +194,9 @@ def _places(image: Image, scan: list) -> list[np.ndarray]:
 
 
 def _scan(image: Image, scan: list, huffman: dict, restart: int, lo: int, hi: int, high: int, low: int, data: bytes) -> None:
-    simple = len(set(image.sampling)) == 1 and image.height % 8 == 0 and image.width % 8 == 0  # block order is coding order
+    wide, tall = max(h for h, _ in image.sampling), max(v for _, v in image.sampling)
+    # block order is coding order
+    simple = (len(scan) == 1 or len(set(image.sampling)) == 1) and image.height % (8 * tall) == 0 and image.width % (8 * wide) == 0
     places = [np.arange(len(image.blocks[scan[0][0]]) * image.blocks[scan[0][0]].shape[1]).reshape(-1, 1)] * len(scan) if simple else _places(image, scan)
     flat = [image.blocks[c].reshape(-1, 64) for c, _ in scan]
     units = len(places[0])
@@ -208,10 +212,11 @@ def _scan(image: Image, scan: list, huffman: dict, restart: int, lo: int, hi: in
             return
         found = [huffman[t >> 4] for _, t in scan]
         shapes = [(next(iter(t))[0], next(iter(t.values()))) for t in found] if all(len(t) == 1 for t in found) else []
-        if restart == 1 and shapes and all(p.shape[1] == 1 for p in places) and 24 < sum(map(sum, shapes)) <= 32:
-            words = _units(data, units)
+        taken = -(-sum(map(sum, shapes)) // 8)
+        if restart == 1 and shapes and all(p.shape[1] == 1 for p in places) and taken <= 4:
+            words = _units(data, units, taken)
             if words is not None:
-                shift = 32
+                shift = 8 * taken
                 for k, (length, size) in enumerate(shapes):
                     shift -= length + size
                     flat[k][places[k][:, 0], 0] = _extend((words >> shift & ((1 << size) - 1)).astype(np.int32), size) << low
@@ -275,17 +280,22 @@ def _scan(image: Image, scan: list, huffman: dict, restart: int, lo: int, hi: in
 _open_at: dict[int, int] = {}
 
 
-def _units(data: bytes, units: int) -> np.ndarray | None:
-    """Four bytes of each restart interval as a number, if all have so many."""
+def _units(data: bytes, units: int, size: int) -> np.ndarray | None:
+    """So many bytes (4 at most) of each restart interval as a number, if all have as many."""
     raw = np.frombuffer(data + b"\xff\xd0", np.uint8)
-    if len(raw) == 6 * units:
-        six = raw.reshape(units, 6)
-        if (six[:, 4] == 0xFF).all() and (six[:, 5] & 0xF8 == 0xD0).all() and not (six[:, :4] == 0xFF).any():
-            return np.ascontiguousarray(six[:, :4]).view(">u4").ravel().astype(np.int64)
-    parts = [p.replace(b"\xff\x00", b"\xff") for p in _RESTART.split(data)]
-    if len(parts) != units or any(len(p) != 4 for p in parts):
-        return None
-    return np.frombuffer(b"".join(parts), ">u4").astype(np.int64)
+    whole = len(raw) == (size + 2) * units
+    if whole:
+        rows = raw.reshape(units, size + 2)
+        whole = (rows[:, size] == 0xFF).all() and (rows[:, size + 1] & 0xF8 == 0xD0).all() and not (rows[:, :size] == 0xFF).any()
+    if not whole:
+        parts = [p.replace(b"\xff\x00", b"\xff") for p in _RESTART.split(data)]
+        if len(parts) != units or any(len(p) != size for p in parts):
+            return None
+        rows = np.frombuffer(b"".join(parts), np.uint8).reshape(units, size)
+    out = np.zeros(units, np.int64)
+    for k in range(size):
+        out = out << 8 | rows[:, k]
+    return out
 
 
 def _even(data: bytes, n: int, length: int, size: int) -> np.ndarray:
@@ -345,21 +355,16 @@ def _refine(reader: _Bits, table: dict, block: np.ndarray, lo: int, hi: int, uni
 def pixels(image: Image) -> np.ndarray:
     """The (height, width, 3) RGB tensor of a three-component image, chroma repeated to full size."""
     wide, tall = max(h for h, _ in image.sampling), max(v for _, v in image.sampling)
-    planes = []
-    if len(set(image.sampling)) == 1 and len({b.shape for b in image.blocks}) == 1:
-        # all components in one product
-        rows, columns = image.blocks[0].shape[:2]
-        flat = np.concatenate([b.reshape(-1, 64) * q for b, q in zip(image.blocks, image.quantization, strict=True)]) @ _INVERSE
-        flat *= 1 / _SCALE
-        flat += 128.5
-        np.floor(np.clip(flat, 0, 255.5, out=flat), out=flat)
-        together = flat.astype(np.int32).reshape(3, rows, columns, 8, 8).swapaxes(2, 3).reshape(3, rows * 8, columns * 8)
-        return _rgb(*together[:, : image.height, : image.width])
-    for blocks, q, (h, v) in zip(image.blocks, image.quantization, image.sampling, strict=True):
+    # all components in one product
+    flat = np.concatenate([b.reshape(-1, 64) * q for b, q in zip(image.blocks, image.quantization, strict=True)]) @ _INVERSE
+    flat *= 1 / _SCALE
+    flat += 128.5
+    np.floor(np.clip(flat, 0, 255.5, out=flat), out=flat)
+    planes, at = [], 0
+    for blocks, (h, v) in zip(image.blocks, image.sampling, strict=True):
         rows, columns = blocks.shape[:2]
-        flat = (blocks.reshape(-1, 64) * q) @ _INVERSE
-        plane = np.clip((flat.astype(np.int64) + (_SCALE >> 1) >> 16) + 128, 0, 255).astype(np.int32)
-        plane = plane.reshape(rows, columns, 8, 8).swapaxes(1, 2).reshape(rows * 8, columns * 8)
+        plane = flat[at : at + rows * columns].astype(np.int32).reshape(rows, columns, 8, 8).swapaxes(1, 2).reshape(rows * 8, columns * 8)
+        at += rows * columns
         if (h, v) != (wide, tall):
             plane = plane.repeat(tall // v, axis=0).repeat(wide // h, axis=1)
         planes.append(plane[: image.height, : image.width])

@@ -37,7 +37,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media(table(spark, sf_dir, "documents"))
+    return media.media(table(spark, sf_dir, "documents"), tensors=True)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
