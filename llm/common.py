@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import os
 import re
 import tempfile
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word of every contract: no space and none of the bytes 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,16 +63,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows from a table in the shared folder: short lineage, and nothing is lost with an executor."""
     spark = df.sparkSession
     importable(spark)
-    df.write.parquet(path := shared_folder(spark, name))
+    path, before = shared_folder(spark, name), spark.conf.get(_CLEANUP, None)
+    # what is written needs its shuffle files no more
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what is written by now: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
