@@ -4,14 +4,18 @@ Writing: each task writes one archive in which every record is a gzip member of
 field ``sl`` holds the member's compressed and plain lengths. On commit the names of the archives
 are listed in a manifest, so files of lost or repeated attempts are never read.
 
-Reading: archives are planned into file partitions. Filters on ``warc_type`` and on the headers that are
-columns (``record_id``, ``refers_to``, ``digest``) are taken over by the reader. Of a record the reader first
-inflates the headers only; if they fail a filter, or if no column of the schema needs the payload, the rest
-of the member is passed over by its length.
+Reading: archives are planned into file partitions; in a folder without a manifest all ``.warc.gz`` and ``.warc`` files
+are. Filters on ``warc_type`` and on the headers that are columns (``record_id``, ``refers_to``, ``digest``) are taken
+over by the reader. Of a record the reader first inflates the headers only; if they fail a filter, or if no column of
+the schema needs the payload, the rest of the member is passed over by its length (members of other writers that do
+not tell it are inflated without being kept). Of HTTP messages the body is the payload. What is cut off, or is no
+record, raises ValueError with the file's name and the place.
 
 Nulls: a null html is an empty payload. Records with payloads of at least ``least`` bytes that are equal (by
 SHA-1 and length) form a group: the one with the largest id is its response, the others are revisits
 without a body. A null id sorts first and never is the referred one unless all ids are null; url may be null.
+Repeated rows are written once each, with record ids of their own; an empty table gives no archive; other columns of
+pages are left out. A very long page is held whole by one task.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,19 +37,25 @@ from pyspark.sql.types import StructType
 
 from .common import shared_folder
 
-SCHEMA = "page_id long, warc_type string, record_id string, refers_to long, target_uri string, digest string, payload_bytes long, payload binary"
+SCHEMA = "page_id long, warc_type string, record_id string, refers_to long, refers_uri string, target_uri string, digest string, payload_bytes long, payload binary"
+#: What a revisit is (a fixed value).
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FILTERED = ("warc_type", "record_id", "refers_to", "digest")
 #: Bytes of rows that one Arrow batch of the reader holds, about.
 BATCH_BYTES = 4 << 20
 
 
-def record(page_id: int | None, kind: str, uri: str | None, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
-    """One record as a gzip member that knows its length."""
-    headers = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
+def record(page_id: int | None, kind: str, uri: str | None, digest: str, size: int, refers_to: int | None, payload: bytes, refers_uri: str | None = None, date: str = "1970-01-01T00:00:00Z", name: str | None = None) -> bytes:
+    """One record as a gzip member that knows its length. date: of its capture; name: its record id, a new one if not given."""
+    plain_uri = lambda x: x.replace("\r", "%0D").replace("\n", "%0A")
+    headers = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name or f'<urn:uuid:{uuid.uuid4()}>'}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
+    if page_id is not None:
+        headers.append(f"X-Page-ID: {page_id}")
     if uri is not None:
-        headers.append("WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"))
+        headers.append("WARC-Target-URI: " + plain_uri(uri))
     if kind == "revisit":
-        headers.append(f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>")
+        headers.append(f"WARC-Profile: {PROFILE}")
+        headers += [f"WARC-Refers-To-Target-URI: {plain_uri(refers_uri)}"] * (refers_uri is not None) + [f"X-Refers-To-Page: {refers_to}"] * (refers_to is not None)
     head = "\r\n".join([*headers, f"Content-Length: {len(payload)}", "", ""]).encode()
     packer = zlib.compressobj(1, zlib.DEFLATED, -15)
     # headers end in a block of their own, so they can be inflated alone
@@ -62,8 +73,8 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, date: str):
+        self.path, self.date = path, date
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, folder = pafs.FileSystem.from_uri(self.path)
@@ -73,7 +84,7 @@ class WarcWriter(DataSourceArrowWriter):
             for row in batch.to_pylist():
                 out = out or fs.open_output_stream(f"{folder}/{name}", compression=None)
                 payload = b"" if row["warc_type"] == "revisit" else row["payload"] or b""
-                out.write(record(row["page_id"], row["warc_type"], row["target_uri"], row["digest"], row["payload_bytes"], row["refers_to"], payload))
+                out.write(record(row["page_id"], row["warc_type"], row["target_uri"], row["digest"], row["payload_bytes"], row["refers_to"], payload, row["refers_uri"], self.date))
         if out is None:
             return _Written("", 0)
         size = out.tell()
@@ -114,8 +125,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, folder = pafs.FileSystem.from_uri(self.path)
-        with fs.open_input_stream(f"{folder}/manifest.json") as file:
-            return [_Archive(name) for name, _ in json.loads(file.read())] or [_Archive("")]
+        if fs.get_file_info(f"{folder}/manifest.json").type == pafs.FileType.NotFound:
+            # archives of others: all that are there
+            found = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(folder)) if x.base_name.endswith((".warc.gz", ".warc")))
+        else:
+            with fs.open_input_stream(f"{folder}/manifest.json") as file:
+                found = [name for name, _ in json.loads(file.read())]
+        return [_Archive(name) for name in found] or [_Archive("")]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         kinds = {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -134,42 +150,135 @@ class WarcReader(DataSourceReader):
     def _records(self, name: str, payloads: bool) -> Iterator[dict]:
         fs, folder = pafs.FileSystem.from_uri(self.path)
         with fs.open_input_file(f"{folder}/{name}") as file:
-            at, end = 0, file.size()
-            window, base = b"", 0
-            while at < end:
-                if at + 4096 > base + len(window) and base + len(window) < end:
-                    window, base = file.read_at(min(1 << 20, end - at), at), at
-                lead = window[at - base : at - base + 4096]
-                size, _ = struct.unpack_from("<II", lead, 16)
-                inflate = zlib.decompressobj(-15)
-                text = inflate.decompress(lead[24:], 65536)
-                fed = len(lead) - len(inflate.unconsumed_tail)
+            window = _Window(file, name)
+            at = 0
+            while at < window.end:
+                member = (_Plain if name.endswith(".warc") else _Member)(window, at)
+                text = member.read(4096)
                 while b"\r\n\r\n" not in text:
-                    more = inflate.unconsumed_tail or file.read_at(4096, at + fed)
-                    fed += 0 if inflate.unconsumed_tail else len(more)
-                    text += inflate.decompress(more, 65536)
-                row = self._headers(text[: text.index(b"\r\n\r\n")].decode())
+                    more = member.read(4096)
+                    if not more:
+                        raise ValueError(f"{name}: the record at byte {at} ends within its headers")
+                    text += more
+                head, rest = text.split(b"\r\n\r\n", 1)
+                row = self._headers(head, name, at)
+                length = row.pop("length")
                 if all(_passes(row[c], wanted) for c, wanted in self.tests):
                     if payloads:
-                        member = window[at - base : at - base + size]
-                        if len(member) < size:
-                            member = file.read_at(size, at)
-                        plain = zlib.decompress(member[24:], -15)
-                        start = plain.index(b"\r\n\r\n") + 4
-                        row["payload"] = plain[start : start + row.pop("length")]
+                        parts, held = [rest], len(rest)
+                        while held < length and (more := member.read(1 << 20)):
+                            parts.append(more)
+                            held += len(more)
+                        if held < length:
+                            raise ValueError(f"{name}: the record at byte {at} has {held} of {length} bytes")
+                        block = b"".join(parts)[:length]
+                        row["payload"] = _body(block) if row.pop("http") else block
                     yield row
-                at += size
+                at = member.past(len(head) + 4 + length)
 
     @staticmethod
-    def _headers(text: str) -> dict:
-        fields = dict(line.split(": ", 1) for line in text.split("\r\n")[1:])
-        number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
+    def _headers(head: bytes, name: str, at: int) -> dict:
+        lines = head.decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError(f"{name}: no record at byte {at}")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        number = lambda k: int(fields[k]) if k in fields else None
+        digest, refers = fields.get("warc-payload-digest"), number("x-refers-to-page")
+        try:
+            length = int(fields["content-length"])
+        except (KeyError, ValueError):
+            raise ValueError(f"{name}: the record at byte {at} does not say its length") from None
         return {
-            "page_id": number(fields["WARC-Record-ID"]), "warc_type": fields["WARC-Type"], "record_id": fields["WARC-Record-ID"], "refers_to": number(fields.get("WARC-Refers-To")),
-            "target_uri": fields.get("WARC-Target-URI"), "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(fields["X-Payload-Length"]), "length": int(fields["Content-Length"]),
+            "page_id": number("x-page-id"), "warc_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "refers_to": refers, "refers_uri": fields.get("warc-refers-to-target-uri"),
+            "target_uri": fields.get("warc-target-uri"), "digest": digest.partition(":")[2] if digest else None, "payload_bytes": number("x-payload-length") if "x-payload-length" in fields else length, "length": length,
+            "http": fields.get("content-type", "").startswith("application/http"),
         }
 
 
+class _Window:
+    """A file read about a megabyte at a time."""
+
+    def __init__(self, file: pa.NativeFile, name: str):
+        self.file, self.name, self.end, self.base, self.data = file, name, file.size(), 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        n = min(n, self.end - at)
+        if n > 0 and not self.base <= at <= at + n <= self.base + len(self.data):
+            self.base, self.data = at, self.file.read_at(min(max(n, 1 << 20), self.end - at), at)
+        return self.data[at - self.base : at - self.base + n] if n > 0 else b""
+
+
+class _Plain:
+    """A record of an archive that is not compressed."""
+
+    def __init__(self, window: _Window, at: int):
+        self.window, self.first, self.at = window, at, at
+
+    def read(self, n: int) -> bytes:
+        out = self.window.get(self.at, n)
+        self.at += len(out)
+        return out
+
+    def past(self, size: int) -> int:
+        if self.first + size > self.window.end:
+            raise ValueError(f"{self.window.name}: the record at byte {self.first} is cut off")
+        return self.first + size + 4
+
+
+class _Member:
+    """A gzip member, inflated as far as it is asked for. One whose extra field tells its length is passed over without inflating the rest."""
+
+    def __init__(self, window: _Window, at: int):
+        self.window, self.first = window, at
+        head = window.get(at, 10)
+        if len(head) < 10 or head[:3] != b"\x1f\x8b\x08":
+            raise ValueError(f"{window.name}: no gzip member at byte {at}")
+        self.length, place, flags = None, at + 10, head[3]
+        if flags & 4:
+            size = int.from_bytes(window.get(place, 2), "little")
+            extra, place = window.get(place + 2, size), place + 2 + size
+            while len(extra) >= 4:
+                n = int.from_bytes(extra[2:4], "little")
+                if extra[:2] == b"sl" and n == 8 and len(extra) >= 12:
+                    self.length = int.from_bytes(extra[4:8], "little")
+                extra = extra[4 + n :]
+        for bit in (8, 16):  # a name, a comment
+            while flags & bit and window.get(place, 1) not in (b"\0", b""):
+                place += 1
+            place += bool(flags & bit)
+        self.at, self.inflate = place + 2 * bool(flags & 2), zlib.decompressobj(-15)
+
+    def read(self, n: int) -> bytes:
+        """n bytes, fewer where the member ends."""
+        out = b""
+        while len(out) < n and not self.inflate.eof:
+            data = self.inflate.unconsumed_tail or self._more()
+            out += self.inflate.decompress(data, n - len(out))
+        return out
+
+    def _more(self) -> bytes:
+        data = self.window.get(self.at, 8192)
+        if not data:
+            raise ValueError(f"{self.window.name}: the member at byte {self.first} is cut off")
+        self.at += len(data)
+        return data
+
+    def past(self, size: int) -> int:
+        """Where the next member begins."""
+        if self.length:
+            if self.first + self.length > self.window.end:
+                raise ValueError(f"{self.window.name}: the member at byte {self.first} is cut off")
+            return self.first + self.length
+        while not self.inflate.eof:
+            self.read(1 << 20)
+        return self.at - len(self.inflate.unused_data) + 8
+
+
+def _body(block: bytes) -> bytes:
+    """What follows the headers of an HTTP message."""
+    return block.partition(b"\r\n\r\n")[2]
+
+
 def _passes(value, wanted) -> bool:
     return value is None if wanted == "null" else value is not None if wanted == "some" else value in wanted
 
@@ -186,7 +295,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], self.options.get("date") or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
 
 
 def register(spark: SparkSession) -> None:
@@ -200,10 +309,10 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     # one row for each payload that more than one page has
-    shared = rows.filter(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = rows.filter(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("last"), F.max_by("target_uri", "page_id").alias("last_uri"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = rows.join(shared, ["digest", "payload_bytes"], "left")
     revisit = F.coalesce(F.col("last") != F.col("page_id"), F.col("last").isNotNull())
-    return rows.select("page_id", F.when(revisit, "revisit").otherwise("response").alias("warc_type"), F.lit("").alias("record_id"), F.when(revisit, F.col("last")).alias("refers_to"), "target_uri", "digest", "payload_bytes", "payload")
+    return rows.select("page_id", F.when(revisit, "revisit").otherwise("response").alias("warc_type"), F.lit("").alias("record_id"), F.when(revisit, F.col("last")).alias("refers_to"), F.when(revisit, F.col("last_uri")).alias("refers_uri"), "target_uri", "digest", "payload_bytes", "payload")
 
 
 def archived(pages: DataFrame, path: str | None = None, least: int = 1000) -> str:

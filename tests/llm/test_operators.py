@@ -466,6 +466,47 @@ def test_warc_members_are_gzip():
     assert gzip.decompress(raw + raw) == gzip.decompress(raw) * 2
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>" + b"long " * 40_000
+    one = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nwarc-target-uri: http://a/\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(block)
+    two = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Length: 3\r\n\r\n"
+    plain = [one + block + b"\r\n\r\n", two + b"a:b\r\n\r\n"]
+    named = tmp_path / "made.gz"
+    with gzip.GzipFile(filename="with a name", mode="wb", fileobj=named.open("wb")) as f:  # a header with a name
+        f.write(plain[0])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.warc.gz").write_bytes(named.read_bytes() + gzip.compress(plain[1]) + gzip.compress(plain[0]))
+    (tmp_path / "in" / "y.warc").write_bytes(b"".join(plain))
+    got = Counter((r.record_id, r.warc_type, r.target_uri, bytes(r.payload)) for r in warc.opened(spark, f"file://{tmp_path}/in").collect())
+    assert got == {("<urn:uuid:1>", "response", "http://a/", block.partition(b"\r\n\r\n")[2]): 3, ("<urn:uuid:2>", "warcinfo", None, b"a:b"): 2}
+    assert warc.opened(spark, f"file://{tmp_path}/in", False).filter("warc_type = 'warcinfo'").count() == 2
+
+
+@pytest.mark.parametrize("payload", [True, False])
+def test_damaged_warc(spark, tmp_path, payload):
+    import gzip
+
+    whole = warc.record(1, "response", "http://a/", "d", 3, None, b"abc" * 9000)
+    plain = gzip.decompress(whole)
+    for k, raw in enumerate([whole + whole[: len(whole) // 2], whole + gzip.compress(plain)[:-20], b"no member", whole + gzip.compress(b"WARC/1.1\r\nContent-Length: 9"), gzip.compress(b"HTML\r\n\r\n")]):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "x.warc.gz").write_bytes(raw)
+        with pytest.raises(Exception, match="ValueError"):
+            warc.opened(spark, f"file://{tmp_path}/{k}", payload).collect()
+
+
+def test_warc_headers():
+    import gzip
+
+    text = gzip.decompress(warc.record(5, "revisit", "http://b/", "d", 3, 7, b"", "http://a/", "2024-01-02T03:04:05Z")).decode()
+    lines = text.split("\r\n")
+    assert {"WARC-Date: 2024-01-02T03:04:05Z", f"WARC-Profile: {warc.PROFILE}", "WARC-Refers-To-Target-URI: http://a/", "Content-Length: 0"} <= set(lines)
+    ids = {next(x for x in gzip.decompress(warc.record(5, "response", None, "d", 0, None, b"")).split(b"\r\n") if x.startswith(b"WARC-Record-ID")) for _ in range(2)}
+    assert len(ids) == 2
+
+
 # 9: wavelet
 
 
