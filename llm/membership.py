@@ -30,6 +30,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
+def buckets_of(docs: DataFrame) -> int:
+    """Buckets that hold some 64 MB of text each, as many as there are shuffle partitions at least."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size >> 26))
+
+
 def entries(row: np.ndarray, names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of each row's distinct names in the order of answers, and for each name its answer's place."""
     bucket = names % np.uint64(buckets)
@@ -45,13 +51,12 @@ def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(LAST).to_numpy()
 
 
-def answers(docs: DataFrame, names_of: Callable, earlier: bool, *columns: str) -> DataFrame:
+def answers(docs: DataFrame, buckets: int, names_of: Callable, earlier: bool, *columns: str) -> DataFrame:
     """key, doc_id and answers of each document: a byte for each of its distinct names.
 
     names_of(batch) gives the row and the name of each position. earlier: 1 if a document with a
     smaller doc_id has the name; else 1 if a document with another doc_id has it.
     """
-    buckets = partitions(docs.sparkSession)
     number = [0]
 
     def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

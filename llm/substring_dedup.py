@@ -32,8 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_slices, partitions, written
-from .membership import answers, entries, keyed, with_answers
+from .common import map_slices, written
+from .membership import answers, buckets_of, entries, keyed, with_answers
 from .textarrays import Texts, combine, mix, plain
 
 #: Neighbouring symbols of a phrase.
@@ -126,7 +126,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False) -> Da
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space); with texts also kept."""
     if window < PHRASE + 4:
         raise ValueError("the window is too short for phrases")
-    buckets = partitions(docs.sparkSession)
+    buckets = buckets_of(docs)
     docs = keyed(docs).select("doc_id", "key", "text")
 
     def phrase_names(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +169,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False) -> Da
             columns, names_ = [*columns, pa.array([k.decode() for k in kept], pa.string())], [*names_, "kept"]
         return pa.RecordBatch.from_arrays(columns, names_)
 
-    shared = written(answers(docs, phrase_names, False), "shared")
+    shared = written(answers(docs, buckets, phrase_names, False), "shared")
     asked = with_answers(docs, shared, "shared")
-    earlier = answers(asked, window_names, True, "shared")
+    earlier = answers(asked, buckets, window_names, True, "shared")
     out = with_answers(asked, earlier, "earlier")
     return map_slices(out, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts, "doc_id", "text", "shared", "earlier")
