@@ -8,7 +8,8 @@ exclusive-or and bit counts in numpy, and tile pairs out of population-count ran
 
 A null text is one without words (fingerprint zero); nulls in doc_id are carried and never the
 smallest id of a component unless there is no other. Exact copies meet as one fingerprint. Repeated
-rows give repeated rows.
+rows give repeated rows, an empty table gives an empty result, other columns of docs are left out. A very long text is
+held whole by one task, with some 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -49,15 +50,19 @@ def fingerprint_words(x: Texts, shingle: int, seed: int) -> np.ndarray:
     start = row_first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
     stop = np.minimum(start + shingle, row_first[row] + counts[row])
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(raw[a:b], seed) for a, b in zip(at[start].tolist(), (at[stop] - 1).tolist(), strict=True)], np.uint64)
+    first, last = at[start], at[stop] - 1
+    h = np.fromiter((digest(raw[a:b], seed) for k in range(0, len(first), 1 << 16) for a, b in zip(first[k : k + (1 << 16)].tolist(), last[k : k + (1 << 16)].tolist(), strict=True)), np.uint64, len(first))
     out = np.zeros(len(counts), np.uint64)
     if not len(h):
         return out
     # eight byte-wide counters in a 64-bit word, 255 values at most before they are widened
-    bits = np.unpackbits(h.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
     local = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     heads = np.flatnonzero(local % 255 == 0)
-    sums = np.add.reduceat(bits, heads, axis=0).view(np.uint8).reshape(len(heads), 64).astype(np.int64)
+    ends, sums = np.r_[heads[1:], len(h)], np.empty((len(heads), 64), np.int64)
+    for k in range(0, len(heads), 1024):
+        some, base = heads[k : k + 1024], heads[k]
+        bits = np.unpackbits(h[base : ends[k : k + 1024][-1]].view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+        sums[k : k + 1024] = np.add.reduceat(bits, some - base, axis=0).view(np.uint8).reshape(len(some), 64)
     owner = row[heads]
     edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     total = np.add.reduceat(sums, edge, axis=0)
