@@ -4,11 +4,12 @@ Filters of widths 2, 3 and 4 slide over the bytes of fixed-length windows (a fil
 weights by position and byte), max pooling takes each filter's best place, and a softmax layer scores
 the languages; a text's scores are the means over all of its windows, first byte to last. Training is
 by Adam on windows of a bounded sample of labelled rows: about ``per_label`` rows of each label, drawn
-by a hash of the id, and ``per_text`` windows of each, evenly spread. All texts are predicted.
+by a hash of id and text, equal rows once, and ``per_text`` windows of each, evenly spread. All texts are predicted.
 
 A null text, or one without a letter, is ``und`` with score 0. Rows without label or id are never
 learned from. If there is nothing to learn from, every prediction is ``und``. Repeated rows get the
-same prediction each.
+same prediction each. An empty table gives an empty result; other columns of docs are left out. A very long text is cut
+into windows whole, by one task, with some 2 bytes for each of its own.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ decides the last two so that the source's words come closest to the target.
 Random numbers and parts are hashes of the seed and the documents, so reruns agree, whatever the
 partitions are; only which of equal rows is taken may change. A null source is a source
 of its own, sorted last; a null text has no words and is never taken beyond its share; documents
-without words take part like any others. Repeated rows are decided row by row.
+without words take part like any others. Repeated rows are decided row by row. An empty table gives an empty result;
+other columns of docs are left out; of a very long text only its number of words matters. One row for each source
+comes to the driver.
 """
 
 from __future__ import annotations

@@ -61,6 +61,39 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that it can express over whole tables."""
     return {
+        "op1_substring_dedup": r"""
+WITH w AS (SELECT doc_id, p, word FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p
+                                        FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents))),
+     x AS (SELECT doc_id, p, string_agg(word, ' ') OVER v AS k, count(*) OVER v AS n FROM w
+           WINDOW v AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+     f AS (SELECT k, min(doc_id) AS least FROM x WHERE n = 13 GROUP BY k),
+     c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM x JOIN f USING (k) WHERE n = 13 AND least < doc_id),
+     r AS (SELECT doc_id, count(*) AS n_words, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (c.p IS NULL) AS kept
+           FROM w LEFT JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN r USING (doc_id)""",
+        "op5_quality": r"""
+WITH w AS (SELECT doc_id, p, word FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p
+                                        FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents))),
+     x AS (SELECT doc_id, p, string_agg(word, ' ') OVER three AS k3, count(*) OVER three AS n3, string_agg(word, ' ') OVER ten AS k10, count(*) OVER ten AS n10 FROM w
+           WINDOW three AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING),
+                  ten AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+     t3 AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM x WHERE n3 = 3
+            QUALIFY count(*) OVER (PARTITION BY doc_id, k3) > 1) GROUP BY doc_id),
+     t10 AS (SELECT doc_id, p, k10 FROM x WHERE n10 = 10 QUALIFY count(*) OVER (PARTITION BY doc_id, k10) > 1),
+     c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 10)) AS q FROM t10) GROUP BY doc_id),
+     -- places that repeat at one distance and follow each other make one repeat
+     g AS (SELECT doc_id, apart, p - row_number() OVER (PARTITION BY doc_id, apart ORDER BY p) AS island
+           FROM (SELECT a.doc_id, a.p, b.p - a.p AS apart FROM t10 a JOIN t10 b ON a.doc_id = b.doc_id AND a.k10 = b.k10 AND a.p < b.p)),
+     m AS (SELECT doc_id, max(n) + 9 AS n FROM (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id, apart, island) GROUP BY doc_id),
+     l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+           WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+     s AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars FROM w GROUP BY doc_id),
+     a AS (SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, coalesce(s.word_chars, 0) AS word_chars, coalesce(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')), 0) AS n_symbols,
+                  coalesce(l.n, 0) AS n_dup_lines, coalesce(t3.n, 0) AS n_repeat_words, coalesce(c.n, 0) AS covered_words, coalesce(m.n, 0) AS longest_repeat
+           FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN t3 USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)),
+     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT *, NOT (base_failed OR covered_words > 0.25 * n_words OR (longest_repeat > 30 AND longest_repeat > 0.1 * n_words)) AS kept FROM b""",
         "op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
