@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 VIEW, CLICK, CART, PURCHASE = "AT_View", "AT_Click", "AT_CartUpdate", "AT_Purchase"
 DAY = 86_400_000_000
 
@@ -35,5 +37,22 @@ def attach(target: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_bounds(history: DataFrame) -> DataFrame:
-    """History with its first and last instant (t_min, t_max, in microseconds): one row, broadcast."""
-    return history.crossJoin(F.broadcast(history.agg(F.min(micros()).alias("t_min"), F.max(micros()).alias("t_max"))))
+    """History with its first and last instant (t_min, t_max, in microseconds), looked up at once as literals."""
+    low, high = history.agg(F.min(micros()), F.max(micros())).first()
+    return history.withColumns({"t_min": F.lit(low).cast("long"), "t_max": F.lit(high).cast("long")})
+
+
+def running(df: DataFrame, order: list, amount: Column, name: str) -> DataFrame:
+    """df with the sum of an amount over all rows before each one in a global order (no ties in it).
+
+    Rows are range-partitioned and summed within partitions; one row a partition comes to the driver.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.repartitionByRange(parts, *order).withColumn("part__", F.spark_partition_id()), name)
+    before, offsets = 0, []
+    for part, total in sorted(map(tuple, dealt.groupBy("part__").agg(F.sum(amount)).collect())):
+        offsets.append((part, before))
+        before += total or 0
+    starts = df.sparkSession.createDataFrame(offsets, "part__ int, start__ long")
+    local = F.sum(amount).over(Window.partitionBy("part__").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("local__", F.coalesce(local, F.lit(0))).join(F.broadcast(starts), "part__").withColumn(name, F.col("local__") + F.col("start__")).drop("part__", "start__", "local__")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import CART, CLICK, PURCHASE
@@ -32,6 +33,22 @@ def jaccard(matrix: DataFrame, users: DataFrame | None = None) -> DataFrame:
     return common.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim"))
 
 
+def item_blocks(matrix: DataFrame, size: int = 1024) -> DataFrame:
+    """user_id, block and items: the distinct products of each user in blocks of about so many."""
+    most = matrix.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    block = F.pmod(F.xxhash64("product_id"), F.lit(-(-most // size) or 1))
+    return matrix.groupBy("user_id", block.alias("block")).agg(F.collect_list("product_id").alias("items"))
+
+
+def jaccard_of(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
+    """a, b, sim of given distinct pairs of users, from their items in blocks of a bounded size; pairs without a common item are left out."""
+    size = matrix.groupBy("user_id").agg(F.count("*").alias("n"))
+    blocks = kept(item_blocks(matrix), "blocks")
+    met = pairs.join(blocks.toDF("a", "block", "ours"), "a").join(blocks.toDF("b", "block", "theirs"), ["b", "block"])
+    common = met.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("ours", "theirs"))).alias("both")).filter("both > 0")
+    return common.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim"))
+
+
 def _known(t: DataFrame, matrix: DataFrame, scores: DataFrame, column: str) -> DataFrame:
     """Scores of target pairs: 0 for known ids without a score, null if the user or the product is unknown."""
     users = matrix.select("user_id").distinct().withColumn("u_known", F.lit(True))
@@ -44,9 +61,9 @@ def _known(t: DataFrame, matrix: DataFrame, scores: DataFrame, column: str) -> D
 @REGISTRY.feature("memory-based-cf", ["cf_score"])
 def memory_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     """Sum over users of Jaccard similarity times their count of the product."""
-    m, wanted = interaction_matrix(h), t.select("user_id", "product_id").distinct()
-    near = jaccard(m, wanted.select("user_id").distinct())
+    m, wanted = kept(interaction_matrix(h), "matrix"), kept(t.select("user_id", "product_id").distinct(), "wanted")
     counts = wanted.withColumnRenamed("user_id", "a").join(m.withColumnRenamed("user_id", "b"), "product_id")
+    near = jaccard_of(counts.select("a", "b").distinct(), m)
     scores = counts.join(near, ["a", "b"]).groupBy(F.col("a").alias("user_id"), "product_id").agg(F.sum(F.col("sim") * F.col("cnt")).alias("cf_score"))
     return _known(t, m, scores, "cf_score")
 
@@ -57,25 +74,47 @@ def npmi(matrix: DataFrame) -> DataFrame:
     users = pairs.agg(F.countDistinct("user_id").alias("users"))
     size = pairs.groupBy("product_id").agg(F.count("*").alias("n"))
     both = pairs.toDF("user_id", "a").join(pairs.toDF("user_id", "b"), "user_id").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    p = F.col("both") / F.col("users")
-    value = F.try_divide(F.ln(p / (F.col("na") / F.col("users") * F.col("nb") / F.col("users"))), -F.ln(p))
-    out = both.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").crossJoin(F.broadcast(users))
-    return out.select("a", "b", F.when(F.col("both") == F.col("users"), 0.0).otherwise(value).alias("npmi"))
+    out = both.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    return out.select("a", "b", _npmi(F.lit(users.first()[0])).alias("npmi"))
+
+
+def _npmi(users: Column) -> Column:
+    p = F.col("both") / users
+    value = F.try_divide(F.ln(p / (F.col("na") / users * F.col("nb") / users)), -F.ln(p))
+    return F.when(F.col("both") == users, 0.0).otherwise(value)
+
+
+def npmi_of(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
+    """a, b, npmi of given distinct pairs of different products with common users.
+
+    Of each pair the buyers of the rarer product are looked up among those of the other, so a product that all
+    have bought costs no more than its rare partners have buyers.
+    """
+    users = matrix.agg(F.countDistinct("user_id")).first()[0]
+    own = matrix.select("user_id", "product_id")
+    size = own.groupBy("product_id").agg(F.count("*").alias("n"))
+    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    first = F.col("na") <= F.col("nb")
+    sized = sized.select("a", "b", "na", "nb", F.when(first, F.col("a")).otherwise(F.col("b")).alias("rare"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"))
+    met = sized.join(own.toDF("user", "rare"), "rare").join(own.toDF("user", "other"), ["user", "other"], "left_semi")
+    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).select("a", "b", _npmi(F.lit(users)).alias("npmi"))
 
 
 @REGISTRY.feature("npmi-cf", ["npmi_cf_score"])
 def npmi_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     """Sum of NPMI from a product to the user's products; 0 for those bought already."""
-    m, wanted = interaction_matrix(h), t.select("user_id", "product_id").distinct()
+    m, wanted = kept(interaction_matrix(h), "matrix"), kept(t.select("user_id", "product_id").distinct(), "wanted")
     open_pairs = wanted.join(m, ["user_id", "product_id"], "left_anti")
-    scores = open_pairs.withColumnRenamed("product_id", "a").join(m.select("user_id", F.col("product_id").alias("b")), "user_id").join(npmi(m), ["a", "b"])
-    return _known(t, m, scores.groupBy("user_id", F.col("a").alias("product_id")).agg(F.sum("npmi").alias("npmi_cf_score")), "npmi_cf_score")
+    met = open_pairs.withColumnRenamed("product_id", "open").join(m.select("user_id", F.col("product_id").alias("owned")), "user_id")
+    met = met.select("user_id", "open", F.least("open", "owned").alias("a"), F.greatest("open", "owned").alias("b"))
+    scores = met.join(npmi_of(met.select("a", "b").distinct(), m), ["a", "b"])
+    return _known(t, m, scores.groupBy("user_id", F.col("open").alias("product_id")).agg(F.sum("npmi").alias("npmi_cf_score")), "npmi_cf_score")
 
 
 def idf(matrix: DataFrame) -> DataFrame:
     """product_id, idf = ln(users / (buyers + 1))."""
-    users = matrix.agg(F.countDistinct("user_id").alias("users"))
-    return matrix.groupBy("product_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(users)).select("product_id", F.ln(F.col("users") / (F.col("n") + 1)).alias("idf"))
+    users = matrix.agg(F.countDistinct("user_id")).first()[0]
+    return matrix.groupBy("product_id").agg(F.count("*").alias("n")).select("product_id", F.ln(F.lit(users) / (F.col("n") + 1)).alias("idf"))
 
 
 def svd_scores(weights: DataFrame, wanted: DataFrame, rank: int = 50, passes: int = 4, seed: int = 42) -> DataFrame:
@@ -122,14 +161,14 @@ def svd_scores(weights: DataFrame, wanted: DataFrame, rank: int = 50, passes: in
 
 @REGISTRY.feature("svd-cf", ["svd_cf_score"])
 def svd_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
-    m, wanted = interaction_matrix(h), t.select("user_id", "product_id").distinct()
+    m, wanted = kept(interaction_matrix(h), "matrix"), t.select("user_id", "product_id").distinct()
     scores = svd_scores(m.withColumn("w", F.col("cnt").cast("double")), wanted, config.get("svd_rank", 50))
     return _known(t, m, scores.withColumnRenamed("score", "svd_cf_score"), "svd_cf_score")
 
 
 @REGISTRY.feature("puresvd-cf", ["puresvd_cf_score"])
 def puresvd_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
-    m, wanted = interaction_matrix(h, _ACT, binary=True), t.select("user_id", "product_id").distinct()
+    m, wanted = kept(interaction_matrix(h, _ACT, binary=True), "matrix"), t.select("user_id", "product_id").distinct()
     weights = m.join(idf(m), "product_id").select("user_id", "product_id", F.col("idf").alias("w"))
     if config.get("normalize_users"):
         norm = weights.groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -137,27 +176,79 @@ def puresvd_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     return _known(t, m, svd_scores(weights, wanted, config.get("svd_rank", 50)).withColumnRenamed("score", "puresvd_cf_score"), "puresvd_cf_score")
 
 
-def numbered(ids: DataFrame, key: str, number: str) -> DataFrame:
-    """Distinct keys with numbers from 0 without gaps: the place in the partition and the rows of those before it."""
-    marked = kept(ids.select(key).distinct().withColumn("at", F.monotonically_increasing_id()).withColumn("p", F.shiftright("at", 33)), number)
-    sizes = sorted(map(tuple, marked.groupBy("p").count().collect()))  # one row a partition
-    offsets, total = [], 0
-    for p, n in sizes:
-        offsets.append((p, total))
-        total += n
-    before = ids.sparkSession.createDataFrame(offsets, "p long, before long")
-    return marked.join(F.broadcast(before), "p").select(key, (F.col("before") + F.col("at") - F.shiftleft("p", 33)).cast("int").alias(number))
+def _descend(rows: pd.DataFrame, seed: list[int], passes: int, rate: float, decay: float) -> pd.DataFrame:
+    """Stochastic gradient steps of the pairwise ranking loss over one cell of users, items and what they did."""
+    users, items, seen = (rows[rows["kind"] == k] for k in (0, 1, 2))
+    users, items = users.sort_values("user_id", kind="stable"), items.sort_values("product_id", kind="stable")
+    out = pd.concat([users, items])
+    if not len(seen) or len(items) < 2:
+        return out
+    u, v = np.array(users["v"].tolist()), np.array(items["v"].tolist())
+    of_user, of_item = ({x: i for i, x in enumerate(f[c])} for f, c in ((users, "user_id"), (items, "product_id")))
+    known = np.unique(seen["user_id"].map(of_user).to_numpy(np.int64) * len(items) + seen["product_id"].map(of_item).to_numpy(np.int64))
+    dice = np.random.default_rng(seed)
+    for _ in range(passes):
+        order = dice.permutation(known)
+        for lo in range(0, len(order), 256):
+            who, liked = np.divmod(order[lo : lo + 256], len(items))
+            other = dice.integers(0, len(items), len(who))
+            code = who * len(items) + other
+            fresh = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] != code
+            who, liked, other = who[fresh], liked[fresh], other[fresh]
+            # the last place of an item is its bias, which meets a one
+            mine = u[who]
+            apart = v[liked] - v[other]
+            pull = 1 / (1 + np.exp(np.clip((mine * apart[:, :-1]).sum(axis=1) + apart[:, -1], -50, 50)))[:, None]
+            wide = np.concatenate([mine, np.ones((len(who), 1))], axis=1)
+            np.add.at(u, who, rate * (pull * apart[:, :-1] - decay * mine))
+            np.add.at(v, liked, rate * (pull * wide - decay * v[liked]))
+            np.add.at(v, other, rate * (-pull * wide - decay * v[other]))
+    out["v"] = [*u.tolist(), *v.tolist()]
+    return out
+
+
+def _visit(seed: int, step: int, passes: int, rate: float, decay: float) -> Callable:
+    def visit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _descend(rows, [seed, step, int(key[0])], passes, rate, decay)
+
+    return visit
+
+
+def bpr_factors(matrix: DataFrame, size: int = 100, rounds: int = 5, passes: int = 20, rate: float = 0.05, decay: float = 0.01, seed: int = 42, cell: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """user_id, v and product_id, v (the last place a bias) by Bayesian personalised ranking: what a user has done ranks above what not.
+
+    Users and items are dealt to blocks of about ``cell``; a round visits every cell of a user and an item block once,
+    those without a block in common at the same time, so tasks never write to the same factors. Other items of the
+    cell are the negative samples.
+    """
+    n = matrix.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u"), F.countDistinct("product_id").alias("p")).first()
+    blocks = max(1, -(-max(n.u, n.p) // cell), math.isqrt(n.n // (10 * cell)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    start = lambda c, k: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (F.pmod(F.xxhash64(F.lit(seed), c, i), F.lit(2001)) - 1000) / (1000.0 * size))
+    users = matrix.select("user_id").distinct().withColumn("v", start("user_id", size))
+    items = matrix.select("product_id").distinct().withColumn("v", F.concat(start("product_id", size), F.array(F.lit(0.0))))
+    kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
+    schema = f"cell int, kind int, user_id {kinds['user_id']}, product_id {kinds['product_id']}, v array<double>"
+    nobody, nothing = F.lit(None).cast(kinds["user_id"]).alias("user_id"), F.lit(None).cast(kinds["product_id"]).alias("product_id")
+    seen = kept(matrix.select("user_id", "product_id"), "bpr-seen")
+    for step in range(rounds * blocks):
+        turn = step % blocks
+        rows = users.select(block("user_id").alias("cell"), F.lit(0).alias("kind"), "user_id", nothing, "v")
+        rows = rows.union(items.select(F.pmod(block("product_id") - turn, F.lit(blocks)).alias("cell"), F.lit(1), nobody, "product_id", "v"))
+        here = F.pmod(block("product_id") - block("user_id"), F.lit(blocks)) == turn
+        rows = rows.union(seen.filter(here).select(block("user_id").alias("cell"), F.lit(2), "user_id", "product_id", F.lit(None).cast("array<double>")))
+
+        moved = kept(rows.groupBy("cell").applyInPandas(_visit(seed, step, passes, rate, decay), schema), "bpr-factors")
+        users, items = moved.filter("kind = 0").select("user_id", "v"), moved.filter("kind = 1").select("product_id", "v")
+    return users, items
 
 
 @REGISTRY.feature("bpr-popular", ["bpr_popular_score"])
 def bpr(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
-    """Matrix factors fitted to implicit feedback by MLlib's ALS; null for users or products without any. Ids may be of any type: ALS sees numbers of theirs."""
-    from pyspark.ml.recommendation import ALS
-
-    m = interaction_matrix(h, _ACT, binary=True)
-    users, items = numbered(m, "user_id", "user"), numbered(m, "product_id", "item")
-    ratings = m.join(users, "user_id").join(items, "product_id").select("user", "item", F.lit(1.0).alias("rating"))
-    model = ALS(rank=config.get("factors", 16), maxIter=config.get("iterations", 5), implicitPrefs=True, seed=42, coldStartStrategy="nan", userCol="user", itemCol="item", ratingCol="rating").fit(ratings)
-    wanted = t.select("user_id", "product_id").distinct().join(users, "user_id").join(items, "product_id")
-    scored = model.transform(wanted).select("user_id", "product_id", F.when(~F.isnan("prediction"), F.col("prediction").cast("double")).alias("bpr_popular_score"))
-    return t.join(scored, ["user_id", "product_id"], "left")
+    """Score of a user and a product by factors of pairwise ranking; null for users or products without any."""
+    users, items = bpr_factors(kept(interaction_matrix(h, _ACT, binary=True), "matrix"), config.get("factors", 100), config.get("rounds", 5), config.get("passes", 20))
+    wanted = t.select("user_id", "product_id").distinct()
+    size = F.size("x")
+    dot = F.aggregate(F.zip_with("x", F.slice("y", F.lit(1), size), lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z) + F.element_at("y", -1)
+    scored = wanted.join(users.withColumnRenamed("v", "x"), "user_id").join(items.withColumnRenamed("v", "y"), "product_id")
+    return t.join(scored.select("user_id", "product_id", dot.alias("bpr_popular_score")), ["user_id", "product_id"], "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import running
+
 
 def ndcg(df: DataFrame, group: str, label: str, score: str, k: int = 10, order: str = "idx", mode: str = "reference") -> DataFrame:
     """One row ndcg: mean over groups with a positive sum; tied scores share their mean gain.
@@ -53,8 +55,7 @@ def serendipity(df: DataFrame, k: int = 10) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from counts by score: wins and half of ties."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) > 0).cast("long")).alias("p"), F.sum((F.col(label) <= 0).cast("long")).alias("n"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    won = by.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    won = running(by, ["s"], F.col("n"), "below")
     return won.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
@@ -65,5 +66,5 @@ def log_loss(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def binarize(df: DataFrame, label: str) -> DataFrame:
     """Labels beyond 0 and 1 become whether they equal the largest."""
-    top = df.agg(F.max(label).alias("top"), F.max((~F.col(label).isin(0, 1)).cast("int")).alias("graded"))
-    return df.crossJoin(F.broadcast(top)).withColumn(label, F.when(F.col("graded") == 1, (F.col(label) == F.col("top")).cast("double")).otherwise(F.col(label))).drop("top", "graded")
+    top, graded = df.agg(F.max(label), F.max((~F.col(label).isin(0, 1)).cast("int"))).first()
+    return df.withColumn(label, (F.col(label) == F.lit(top)).cast("double")) if graded else df

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _write_line(values: dict, path: str) -> None:
+    """One JSON line as a text file at a path that Spark can write."""
+    SparkSession.active().createDataFrame([(json.dumps(values),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 class Model(ABC):
     @abstractmethod
     def train(self, df: DataFrame, numeric: list[str], categorical: list[str]) -> Model: ...
@@ -45,13 +50,20 @@ class SingleFeatureModel(Model):
 
     def predict(self, df):
         value = F.when(~F.isnan(F.col(self.feature).cast("double")), F.col(self.feature).cast("double"))
-        least = df.agg(F.min(value).alias("least_value"))
-        score = F.coalesce(value, F.col("least_value"))
-        return df.crossJoin(F.broadcast(least)).withColumn("score", score if self.desc else -score).drop("least_value")
+        score = F.coalesce(value, F.lit(df.agg(F.min(value)).first()[0]))
+        return df.withColumn("score", score if self.desc else -score)
 
     def importance(self):
         return {self.feature: 1.0}
 
+    def save(self, path: str) -> None:
+        _write_line({"feature": self.feature, "desc": self.desc}, f"{path}/feature")
+
+    @staticmethod
+    def load(path: str) -> SingleFeatureModel:
+        made = json.loads(SparkSession.active().read.text(f"{path}/feature").first()[0])
+        return SingleFeatureModel(made["feature"], made["desc"])
+
 
 class TreeModel(Model):
     """Gradient-boosted trees: a classifier of labels over a half, or (rank) a regressor on graded labels."""
@@ -99,7 +111,8 @@ class TreeModel(Model):
         """The fitted stages, and beside them what they were fitted with."""
         made = {k: getattr(self, k) for k in ("rank", "iterations", "depth", "seed", "numeric", "categorical")}
         self.fitted.write().overwrite().save(f"{path}/stages")
-        SparkSession.active().createDataFrame([(json.dumps(made),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/columns")
+        _write_line(made, f"{path}/columns")
+        _write_line(self.importance(), f"{path}/importance")
 
     @staticmethod
     def load(path: str) -> TreeModel:
@@ -112,6 +125,11 @@ class TreeModel(Model):
         return model
 
 
+def top_importance(model: Model, n: int = 20) -> list[tuple[str, float]]:
+    """The columns that matter most to a model, most first; of equals the first by name."""
+    return sorted(model.importance().items(), key=lambda x: (-x[1], x[0]))[:n]
+
+
 MODELS = {
     "random": RandomModel, "single_feature": SingleFeatureModel, "classifier": TreeModel,
     "ranker": lambda **x: TreeModel(rank=True, **x),

@@ -16,7 +16,9 @@ def _case(values: dict[str, float], other: float | None = None) -> Column:
     return out if other is None else out.otherwise(F.lit(other))
 
 
-_in_pair = lambda x: F.when(F.col("request_id").isNotNull(), F.max(x).over(Window.partitionBy("request_id", "product_id")))
+# rows without a request belong to none, so they need not meet in one task
+_apart = lambda: F.when(F.col("request_id").isNull(), F.xxhash64("user_id", "product_id", "ts"))
+_in_pair = lambda x: F.when(F.col("request_id").isNotNull(), F.max(x).over(Window.partitionBy("request_id", "product_id", _apart())))
 _GRADES = {VIEW: 0.0, CART: 0.85, PURCHASE: 1.0, CLICK: 0.3}
 
 
@@ -59,14 +61,17 @@ def weighted(df: DataFrame, config: dict) -> DataFrame:
 
 @REGISTRY.target("CartUpdate_conversion_aware")
 def conversion_aware(df: DataFrame, config: dict) -> DataFrame:
+    """Rows without a request are a request of their own here: a product's converted flag is counted, then joined."""
     act = F.col("action_type").isin(CART, PURCHASE, CLICK)
-    converted = F.max(act).over(Window.partitionBy("request_id", "product_id"))
-    return cleaned(df.withColumn("label", F.when(act, 1.0).when((F.col("action_type") == VIEW) & ~converted, 0.0)), config)
+    loose = df.filter(F.col("request_id").isNull()).groupBy("product_id").agg(F.max(act).alias("loose")).toDF("loose_id", "loose")
+    joined = df.join(loose, F.col("request_id").isNull() & F.col("product_id").eqNullSafe(F.col("loose_id")), "left")
+    converted = F.coalesce("loose", F.max(act).over(Window.partitionBy("request_id", "product_id", _apart())))
+    return cleaned(joined.withColumn("label", F.when(act, 1.0).when((F.col("action_type") == VIEW) & ~converted, 0.0)).drop("loose_id", "loose"), config)
 
 
 @REGISTRY.target("Weighted_InteractionAware")
 def interaction_aware(df: DataFrame, config: dict) -> DataFrame:
-    positive = F.max(F.col("action_type").isin(CART, PURCHASE, CLICK)).over(Window.partitionBy("request_id"))
+    positive = F.max(F.col("action_type").isin(CART, PURCHASE, CLICK)).over(Window.partitionBy("request_id", _apart()))
     view = F.when(positive, 0.05).otherwise(0.15)
     value = F.when(F.col("action_type") == VIEW, view).otherwise(_case({CART: 0.85, PURCHASE: 1.0, CLICK: 0.3}, 0.0))
     df = df.withColumn("graded", value)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import CART, PURCHASE, VIEW
 from ..plans.registry import REGISTRY
+from ..sources.shared import kept
 
 DIMENSIONS = 20
 
@@ -24,14 +25,19 @@ def embed(items: DataFrame, key: str, text: str, backend: str = "hashing", size:
 
 
 def reduce(vectors: DataFrame, key: str, size: int = DIMENSIONS) -> DataFrame:
-    """Principal components of centred vectors; unchanged if they are short enough or too few."""
+    """The first principal components of centred vectors, all of which they are if there are not more items than that.
+
+    Vectors that are short enough stay as they are. One item alone is its own mean: zeros.
+    """
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     first = vectors.head(1)
-    if not first or len(first[0]["vector"]) <= size or len(vectors.head(size)) < size:
+    if not first or len(first[0]["vector"]) <= size:
         return vectors
-    dense = vectors.select(key, array_to_vector("vector").alias("raw"))
+    if len(vectors.head(2)) < 2:
+        return vectors.select(key, F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.lit(0.0)).alias("vector"))
+    dense = vectors.select(key, array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("raw"))
     centred = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="centred").fit(dense).transform(dense)
     return PCA(k=size, inputCol="centred", outputCol="pc").fit(centred).transform(centred).select(key, vector_to_array("pc").alias("vector"))
 
@@ -65,9 +71,17 @@ _dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") *
 _norm = lambda a: F.sqrt(_dot(a, a))
 
 
-def cosine(a: str, b: str):
-    size = _norm(F.col(a)) * _norm(F.col(b))
-    return F.when((_norm(F.col(a)) < 1e-9) | (_norm(F.col(b)) < 1e-9), 0.0).otherwise(F.try_divide(_dot(F.col(a), F.col(b)), size))
+def unit(a: Column) -> Column:
+    """A vector over its length; of one that is next to nothing zeros."""
+    return F.transform(F.array(F.struct(a.alias("v"), _norm(a).alias("n"))), lambda x: F.transform(x["v"], lambda y: F.when(x["n"] < 1e-9, 0.0).otherwise(y.cast("double") / x["n"])))[0]
+
+
+def centres(past: DataFrame, weights: list[str]) -> DataFrame:
+    """user_id and for each weight the mean of the user's vectors by it (null without any): sums by place."""
+    first = past.select("vector").head(1)
+    places = range(len(first[0]["vector"]) if first else 0)
+    total = lambda w: F.when(F.sum(w) > 0, F.array(*[F.sum(F.col(w) * F.col("vector")[i].cast("double")) / F.sum(w) for i in places]).cast("array<double>"))
+    return past.groupBy("user_id").agg(*[total(w).alias(f"centre_{w}") for w in weights])
 
 
 SIMILARITY = ["purchase_weighted_similarity", "cart_weighted_similarity", "max_purchase_similarity_history", "max_cart_similarity_history"]
@@ -75,21 +89,26 @@ SIMILARITY = ["purchase_weighted_similarity", "cart_weighted_similarity", "max_p
 
 @REGISTRY.feature("user_product_similarity", SIMILARITY)
 def user_product_similarity(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
-    """Cosine of an item to the user's weighted mean vector, and the largest to one of the user's items, by purchases and by carts."""
+    """Cosine of an item to the user's weighted mean vector, and the largest to one of the user's items, by purchases and by carts.
+
+    Vectors are brought to unit length once; which items meet is found by their ids, and each pair of items is compared once.
+    """
     v = item_vectors(h, t, "product_id", "product_name", config)
-    wanted = t.select("user_id", "product_id").distinct().join(v, "product_id")
-    found = t.select("user_id", "product_id").distinct()
-    for action, mean, most in ((PURCHASE, SIMILARITY[0], SIMILARITY[2]), (CART, SIMILARITY[1], SIMILARITY[3])):
-        past = h.filter(F.col("action_type") == action).groupBy("user_id", F.col("product_id").alias("past")).agg(F.count("*").alias("n"))
-        past = past.join(v.select(F.col("product_id").alias("past"), F.col("vector").alias("past_vector")), "past")
-        one = wanted.join(past, "user_id").select("user_id", "product_id", "vector", "past_vector", "n")
-        place = one.select("user_id", "product_id", "n", cosine("vector", "past_vector").alias("c"))
-        largest = place.groupBy("user_id", "product_id").agg(F.max("c").alias(most))
-        parts = past.select("user_id", "n", F.posexplode("past_vector").alias("i", "x")).groupBy("user_id", "i").agg(F.try_divide(F.sum(F.col("n") * F.col("x").cast("double")), F.sum("n")).alias("x"))
-        centre = parts.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
-        means = wanted.join(centre, "user_id").select("user_id", "product_id", cosine("vector", "centre").alias(mean))
-        found = found.join(means, ["user_id", "product_id"], "left").join(largest, ["user_id", "product_id"], "left")
-    return t.join(found.fillna(0.0, SIMILARITY), ["user_id", "product_id"], "left").fillna(0.0, SIMILARITY)
+    v = kept(v.select("product_id", "vector", unit(F.col("vector")).alias("unit")), "vectors")
+    wanted = kept(t.select("user_id", "product_id").distinct().join(v.select("product_id"), "product_id"), "wanted")
+    acts = [F.count(F.when(F.col("action_type") == a, 1)).alias(w) for a, w in ((PURCHASE, "buys"), (CART, "carts"))]
+    past = h.filter(F.col("action_type").isin(PURCHASE, CART)).groupBy("user_id", "product_id").agg(*acts).join(v.select("product_id"), "product_id")
+    past = kept(past, "past")
+    met = wanted.join(past.withColumnRenamed("product_id", "past"), "user_id").withColumns({"a": F.least("product_id", "past"), "b": F.greatest("product_id", "past")})
+    side = lambda x: v.select(F.col("product_id").alias(x), F.col("unit").alias(f"unit_{x}"))
+    pairs = met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", _dot(F.col("unit_a"), F.col("unit_b")).alias("c"))
+    most = lambda w, name: F.max(F.when(F.col(w) > 0, F.col("c"))).alias(name)
+    largest = met.join(pairs, ["a", "b"]).groupBy("user_id", "product_id").agg(most("buys", SIMILARITY[2]), most("carts", SIMILARITY[3]))
+    centre = centres(past.join(v, "product_id"), ["buys", "carts"])
+    near = lambda w, name: _dot(F.col("unit"), unit(F.col(f"centre_{w}"))).alias(name)
+    means = wanted.join(centre, "user_id").join(v, "product_id").select("user_id", "product_id", near("buys", SIMILARITY[0]), near("carts", SIMILARITY[1]))
+    found = means.join(largest, ["user_id", "product_id"], "left").fillna(0.0, SIMILARITY)
+    return t.join(found, ["user_id", "product_id"], "left").fillna(0.0, SIMILARITY)
 
 
 CLUSTER = ["cluster_purchase_ratio", "cluster_cart_ratio", "cluster_view_ratio"]
@@ -130,8 +149,8 @@ def text_diversity(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     """Distance of an item to the centroid of the user's purchases and views, and that over their mean distance."""
     v = item_vectors(h, t, "product_id", "product_name", config)
     past = h.filter(F.col("action_type").isin(PURCHASE, VIEW)).groupBy("user_id", "product_id").agg(F.count("*").alias("n")).join(v, "product_id")
-    parts = past.select("user_id", "n", F.posexplode("vector").alias("i", "x")).groupBy("user_id", "i").agg(F.try_divide(F.sum(F.col("n") * F.col("x").cast("double")), F.sum("n")).alias("x"))
-    centre = parts.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
+    past = kept(past, "past")
+    centre = centres(past, ["n"]).withColumnRenamed("centre_n", "centre")
     apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
     spread = past.join(centre, "user_id").groupBy("user_id").agg(F.try_divide(F.sum(F.col("n") * apart(F.col("vector"), F.col("centre"))), F.sum("n")).alias("diversity"))
     wanted = t.select("user_id", "product_id").distinct().join(v, "product_id").join(centre, "user_id").join(spread, "user_id")

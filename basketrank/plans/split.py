@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def timewise(df: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
-    """Rows before, and rows from, the last instant less some days."""
-    cut = F.broadcast(df.agg((F.max("ts") - F.expr(f"INTERVAL {days} DAYS")).alias("cut_at")))
-    both = df.crossJoin(cut)
-    return both.filter("ts < cut_at").drop("cut_at"), both.filter("ts >= cut_at").drop("cut_at")
+    """Rows before, and rows from, the last instant less some days.
+
+    The cut is looked up at once (one row) and stands in both plans as a literal, so that it reaches the scan. A frame
+    without instants gives two empty ones.
+    """
+    cut = df.agg((F.max("ts") - F.expr(f"INTERVAL {days} DAYS")).cast("string").alias("cut")).first()["cut"]
+    at = F.lit(cut).cast(df.schema["ts"].dataType)
+    return df.filter(F.col("ts") < at), df.filter(F.col("ts") >= at)
 
 
 def holdout(df: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:

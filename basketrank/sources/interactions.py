@@ -17,7 +17,8 @@ SELECT e.event_id AS idx, CAST(e.request_id AS BIGINT) AS request_id, e.user_id,
        concat('ST_', CAST(e.event_id % 4 AS STRING)) AS source_type,
        CASE e.event_type WHEN 'view' THEN 'AT_View' WHEN 'click' THEN 'AT_Click'
                          WHEN 'signup' THEN 'AT_CartUpdate' WHEN 'purchase' THEN 'AT_Purchase' ELSE 'AT_Other' END AS action_type,
-       CAST(row_number() OVER (PARTITION BY e.request_id ORDER BY e.ts, e.event_id) AS DOUBLE) AS position_in_request, e.ts AS ts
+       CASE WHEN e.request_id IS NOT NULL THEN CAST(row_number() OVER (
+         PARTITION BY e.request_id, CASE WHEN e.request_id IS NULL THEN e.event_id END ORDER BY e.ts, e.event_id) AS DOUBLE) END AS position_in_request, e.ts AS ts
 FROM e JOIN {part} p ON p.p_partkey = e.product_id
        JOIN {supplier} s ON s.s_suppkey = e.store_id
        JOIN {nation} n ON n.n_nationkey = s.s_nationkey"""
@@ -47,7 +48,7 @@ def _named(spark: SparkSession, sf_dir: str, *tables: str) -> dict[str, DataFram
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as interactions: time of day, sessions, nullable request and category, a unique idx."""
+    """Events as interactions: time of day, sessions, nullable request and category, a unique idx. Without a request there is no position in it."""
     return spark.sql(EVENT_LOG.format(json="get_json_object(props, '$.k')", events="{events}", part="{part}", supplier="{supplier}", nation="{nation}"), **_named(spark, sf_dir, "events", "part", "supplier", "nation"))
 
 

@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir (a local folder only where none is set)."""
+    """A new path under spark.checkpoint.dir. Where none is set: a folder of this machine, if all tasks run on it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if found.isDefined():
+            base = found.get()
+        elif re.match(r"local($|\[)", spark.sparkContext.master):
+            base = "file://" + tempfile.mkdtemp(prefix="spark-")
+            spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to a new shared path and read again."""
-    path = place(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = place(spark, name), spark.conf.get(_CLEANUP, None)
+    # what is written needs its shuffle files no more
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what place has named so far in this process, once results that read it are written; how many paths."""
+    n = len(_made)
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
