@@ -126,3 +126,30 @@ def test_line_dedup(spark):
             seen.append(x)
         kept[i] = "\n".join(lines)
     assert got == kept and all(words_of(t) or not t for t in got.values())
+
+
+def test_recall_of_the_bands(spark):
+    # every pair of lines of the table and of changed copies of them, by brute force
+    import random
+
+    r = random.Random(2)
+    texts = [t for (t,) in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if t]
+    lines = sorted({x for t in texts for x in t.split("\n") if len(x) > 30})[:700]
+    for x in list(lines):
+        w = list(x)
+        for at in r.sample(range(len(w)), max(1, len(w) // 55)):
+            w[at] = "#"
+        lines.append("".join(w))
+    x = Texts.of(lines)
+    names, starts, n = line_dedup.shingles(x, x.starts[:-1], x.starts[1:], 5)
+    bands = line_dedup.bands(names, starts, n)
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in lines]
+    assert [set(names[a : a + k].tolist()) for a, k in zip(starts, n, strict=True)][0] and all(len(set(names[a : a + k].tolist())) == len(s) for a, k, s in zip(starts, n, sets, strict=True))
+    where: dict[str, list[int]] = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            where.setdefault(g, []).append(i)
+    common = Counter((i, j) for some in where.values() for k, i in enumerate(some) for j in some[k + 1 :])
+    alike = [(i, j) for (i, j), k in common.items() if k >= 0.8 * (len(sets[i]) + len(sets[j]) - k)]
+    found = sum(bool((bands[i] == bands[j]).any()) for i, j in alike)
+    assert len(alike) > 400 and found >= 0.99 * len(alike)
