@@ -2,10 +2,10 @@ from __future__ import annotations
 
 import random
 
-from data import SF, frame
+from data import SF, WORD, frame
 
 import corpus_pipeline
-from llm import quality, simhash
+from llm import mixing, quality, simhash
 
 
 def test_stages(spark):
@@ -57,3 +57,84 @@ def test_near_dedup_finds_what_is_alike_by_shingles_of_five_words(spark):
     left = {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, SF).collect()}
     assert {*range(0, 120, 2), 201, 203} <= left and not left & {200, 202, 204}
     assert sum((2 * i + 1 in left) == a for i, a in enumerate(alike)) <= 1 and all(2 * i + 1 in left for i, a in enumerate(alike) if not a)  # MinHash may miss a pair
+
+
+def _united(items, alike):
+    parent = {x: x for x in items}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, a in enumerate(items):
+        for b in items[k + 1 :]:
+            if alike(a, b):
+                parent[find(b)] = find(a)
+    return {x: find(x) for x in items}
+
+
+def test_dedup_stages_against_brute_force(spark):
+    r = random.Random(9)
+    vocabulary = [f"{r.choice('abcdefg')}{r.randrange(400)}{r.choice('xyz')}" for _ in range(500)]
+    line = lambda: [r.choice(vocabulary) for _ in range(r.randint(8, 30))]
+    shared, docs = [line() for _ in range(12)], []
+    for i in range(50):
+        lines = []
+        for _ in range(r.randint(1, 6)):
+            words = list(r.choice(shared) if r.random() < 0.4 else line())
+            if r.random() < 0.3:
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+            lines.append(" ".join(words))
+        docs.append((i, "\n".join(lines)))
+    for i in range(50, 60):
+        words = docs[i - 50][1].split(" ")
+        words[r.randrange(len(words))] = "other"
+        docs.append((i, " ".join(words)))
+    docs += [(60, docs[3][1]), docs[4]]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    jaccard = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+
+    grams = {x: {x[k : k + 5] for k in range(len(x) - 4)} or {x} for _, t in docs for x in t.split("\n")}
+    root = _united(sorted(grams), lambda a, b: jaccard(grams[a], grams[b]))
+    seen, want = set(), {}
+    for i, t in sorted(set(docs)):
+        kept = []
+        for x in t.split("\n"):
+            if root[x] not in seen:
+                kept.append(x)
+            seen.add(root[x])
+        if kept:
+            want[i] = "\n".join(kept)
+    got = {x.doc_id: x.text for x in corpus_pipeline.dedup_lines(spark, df, SF).collect()}
+    assert got == want
+
+    words = {t: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})(t.lower().split()) for _, t in docs}
+    root = _united(sorted(words), lambda a, b: jaccard(words[a], words[b]))
+    first = {}
+    for i, t in sorted(docs):
+        first.setdefault(root[t], i)
+    left = [x.doc_id for x in corpus_pipeline.near_dedup(spark, df, SF).collect()]
+    assert sorted(left) == sorted(first.values())
+
+
+def test_mix_and_pack_stages(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    df = frame(spark)
+    mixed = corpus_pipeline.mix_sources(spark, df, SF)
+    rows = mixed.collect()
+    taken = {}
+    for x in rows:
+        taken[x.source] = taken.get(x.source, 0) + len(WORD.findall(x.text or ""))
+    made = {}
+    for x in mixing.mix(df).collect():
+        target, most = made.get(x.source, (x.target, 0))
+        made[x.source] = target, max(most, x["size"])
+    assert all(abs(taken.get(s, 0) - target) <= most for s, (target, most) in made.items())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    n = sum(len(tokenizer.encode(x.text or "", add_special_tokens=False).ids) + 1 for x in rows)
+    packed = corpus_pipeline.pack(spark, spark.createDataFrame(rows, mixed.schema), SF).collect()
+    assert sum(x.length for x in packed) == n
+    assert len({x.sequence_id for x in packed}) <= -(-n // 4096) + 1
