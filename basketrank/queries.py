@@ -78,8 +78,10 @@ as_rounded = lambda x, a: f"round(CAST({x} AS DOUBLE), 6) + 0.0 AS {a}"  # noqa:
 as_long = lambda x, a: f"CAST({x} AS BIGINT) AS {a}"
 
 # ---- sources and splits
-query("scan_interactions", f"{SPLIT_SQL} SELECT idx, request_id, user_id, product_id, product_category, product_name, store_id, city_name, source_type, action_type, position_in_request, epoch_us(ts) AS ts FROM f")(lambda s, d: logs.event_log(s, d))
-query("scan_orders", f"WITH o AS ({ORDERS_SQL}) SELECT user_id, {as_long('count(*)', 'n')}, {as_long('sum(position_in_request)', 'positions')}, epoch_us(max(ts)) AS last_ts FROM o GROUP BY user_id")(
+query("scan_interactions", f"""{SPLIT_SQL} SELECT idx, request_id, user_id, product_id, product_category, product_name, store_id, city_name, source_type, action_type, position_in_request, epoch_us(ts) AS ts
+FROM f""")(lambda s, d: logs.event_log(s, d))
+query("scan_orders", f"""WITH o AS ({ORDERS_SQL}) SELECT user_id, {as_long('count(*)', 'n')}, {as_long('sum(position_in_request)', 'positions')}, epoch_us(max(ts)) AS last_ts
+FROM o GROUP BY user_id""")(
     lambda s, d: logs.order_log(s, d).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("position_in_request").cast("long").alias("positions"), F.max("ts").alias("last_ts"))
 )
 
@@ -101,10 +103,12 @@ UNION ALL SELECT 'validation_history', idx FROM h UNION ALL SELECT 'validation',
 query("split_holdout", f"{SPLIT_SQL} SELECT idx, ts >= (SELECT max(ts) FROM f) - INTERVAL 3 DAY AS held FROM f")(
     lambda s, d: (lambda p: p[0].select("idx", F.lit(False).alias("held")).union(p[1].select("idx", F.lit(True))))(split.holdout(shared.kept(logs.event_log(s, d), "log"), 3))
 )
-query("split_final", f"{SPLIT_SQL} SELECT 'history' AS part, count(*) AS n, epoch_us(max(ts)) AS last_ts FROM h UNION ALL SELECT 'target', count(*), epoch_us(max(ts)) FROM t")(
+query("split_final", f"""{SPLIT_SQL} SELECT 'history' AS part, count(*) AS n, epoch_us(max(ts)) AS last_ts FROM h
+UNION ALL SELECT 'target', count(*), epoch_us(max(ts)) FROM t""")(
     lambda s, d: (lambda p: p[0].agg(F.lit("history").alias("part"), F.count("*").alias("n"), F.max("ts").alias("last_ts")).union(p[1].agg(F.lit("target"), F.count("*"), F.max("ts"))))(split.final(*split.holdout(shared.kept(logs.event_log(s, d), "log"), 3), DAYS))
 )
-query("split_profile", f"{SPLIT_SQL} SELECT epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts, count(*) AS n, CAST(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS BIGINT) AS days FROM f")(lambda s, d: split.profile(logs.event_log(s, d)))
+query("split_profile", f"""{SPLIT_SQL} SELECT epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts, count(*) AS n, CAST(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS BIGINT) AS days
+FROM f""")(lambda s, d: split.profile(logs.event_log(s, d)))
 
 # ---- features
 feature("fg_random_noise", "random_noise", ["random_noise"], None)
@@ -129,19 +133,25 @@ for _pair, _keys in basic.PAIRS.items():
         h, t = split_orders(s, d)
         return t.select(*keys).distinct().join(basic.time_window_stats(h, pair), keys, "left")
 
-    query(f"fg_time_windows_{_pair}", f"{ORDER_SPLIT_SQL}, a AS (SELECT {_k}, {', '.join(_parts)} FROM h WHERE ts > (SELECT max(ts) FROM h) - INTERVAL 365 DAY GROUP BY {_k}) SELECT {', '.join(f't.{k}' for k in _keys)}, {', '.join(_kinds)} FROM (SELECT DISTINCT {_k} FROM t) t LEFT JOIN a USING ({_k})")(_windows)
+    query(f"fg_time_windows_{_pair}", f"""{ORDER_SPLIT_SQL}, a AS (SELECT {_k}, {', '.join(_parts)} FROM h WHERE ts > (SELECT max(ts) FROM h) - INTERVAL 365 DAY
+GROUP BY {_k}) SELECT {', '.join(f't.{k}' for k in _keys)}, {', '.join(_kinds)} FROM (SELECT DISTINCT {_k} FROM t) t
+LEFT JOIN a USING ({_k})""")(_windows)
 _all = [f"{k}_{p}_{w}" for p in basic.PAIRS for w in basic.WINDOWS for k in basic.KINDS]
 feature("fg_time_windows", "time_windows", _all, "SELECT idx, " + ", ".join(_all) + " FROM t " + " ".join(f"LEFT JOIN a_{p} USING ({', '.join(k)})" for p, k in basic.PAIRS.items()), "".join(_window_ctes))
 
 for _long, _s in (("user_product", "u_p"), ("user_category", "u_c"), ("user_store", "u_s")):
     _k = ", ".join(basic.PAIRS[_s])
-    feature(f"fg_count_purchase_{_s}", f"count_purchase_{_long}", [f"count_purchase_{_s}"], f"SELECT idx, coalesce(n, 0) AS count_purchase_{_s} FROM t LEFT JOIN (SELECT {_k}, count(*) AS n FROM h WHERE action_type = 'AT_CartUpdate' GROUP BY {_k}) USING ({_k})")
-    feature(f"fg_recency_{_s}", f"recency_{_long}", [f"days_since_interaction_{_s}"], f"SELECT idx, days_since_interaction_{_s} FROM t LEFT JOIN (SELECT {_k}, (epoch_us((SELECT max(ts) FROM h)) - epoch_us(max(ts))) // 86400000000 AS days_since_interaction_{_s} FROM h GROUP BY {_k}) USING ({_k})")
+    feature(f"fg_count_purchase_{_s}", f"count_purchase_{_long}", [f"count_purchase_{_s}"], f"""SELECT idx, coalesce(n, 0) AS count_purchase_{_s} FROM t LEFT JOIN (SELECT {_k}, count(*) AS n FROM h
+WHERE action_type = 'AT_CartUpdate' GROUP BY {_k}) USING ({_k})""")
+    feature(f"fg_recency_{_s}", f"recency_{_long}", [f"days_since_interaction_{_s}"], f"""SELECT idx, days_since_interaction_{_s} FROM t LEFT JOIN (SELECT {_k}, (epoch_us((SELECT max(ts)
+FROM h)) - epoch_us(max(ts))) // 86400000000 AS days_since_interaction_{_s} FROM h GROUP BY {_k}) USING ({_k})""")
 
 for _p, (_key, (_many, _col), _fn) in basic.STATS.items():
     _buy = _BUY if _p == "product" else "action_type = 'AT_CartUpdate'"
     _cols = [f"{_p}_total_interactions", f"{_p}_total_purchases", f"{_p}_total_views", f"{_p}_unique_{_many}"]
-    feature(f"fg_{_p}_stats", f"{_p}_stats", _cols, f"SELECT idx, {', '.join(_cols)} FROM t LEFT JOIN (SELECT {_key}, count(*) AS {_cols[0]}, count(*) FILTER ({_buy}) AS {_cols[1]}, count(*) FILTER (action_type = 'AT_View') AS {_cols[2]}, count(DISTINCT {_col}) AS {_cols[3]} FROM h GROUP BY {_key}) USING ({_key})")
+    feature(f"fg_{_p}_stats", f"{_p}_stats", _cols, f"""SELECT idx, {', '.join(_cols)} FROM t LEFT
+JOIN (SELECT {_key}, count(*) AS {_cols[0]}, count(*) FILTER ({_buy}) AS {_cols[1]}, count(*) FILTER (action_type = 'AT_View') AS {_cols[2]}, count(DISTINCT {_col}) AS {_cols[3]}
+FROM h GROUP BY {_key}) USING ({_key})""")
 
 _cyc = [("hour_of_day", "hour(ts)", 24), ("day_of_week", "isodow(ts)", 7), ("month", "month(ts)", 12)]
 feature("fg_time_cycl", "time_features_cycl_v2", [f"{n}_{f}_v2" for n, _, _ in _cyc for f in ("sin", "cos")] + ["is_weekend_v2"], "SELECT idx, " + ", ".join(as_rounded(f"{f}({e} * 2 * pi() / {p})", f"{n}_{f}_v2") for n, e, p in _cyc for f in ("sin", "cos")) + ", isodow(ts) >= 6 AS is_weekend_v2 FROM t")
@@ -152,11 +162,16 @@ for _name, (_key, _p, _fn) in basic.TEMPORAL.items():
     feature(f"fg_{_name}_temporal", f"{_name}_temporal_patterns", _cols, f"""SELECT idx, {as_rounded('a', _cols[0])}, {as_rounded('s', _cols[1])}, {as_long('d', _cols[2])},
 {as_rounded('1 - least(abs(hour(ts) - a), 24 - abs(hour(ts) - a)) / 12', _cols[3])}, {as_rounded('1 - least(abs(isodow(ts) - d), 7 - abs(isodow(ts) - d)) / 3.5', _cols[4])}
 FROM t LEFT JOIN (SELECT {_key}, avg(hour(ts)) AS a, stddev_samp(hour(ts)) AS s FROM h WHERE {_buy} GROUP BY {_key}) USING ({_key})
-LEFT JOIN (SELECT {_key}, isodow(ts) AS d FROM h WHERE {_buy} GROUP BY {_key}, d QUALIFY row_number() OVER (PARTITION BY {_key} ORDER BY count(*) DESC, d) = 1) USING ({_key})""")
-feature("fg_frequency", "frequency_features", ["mean_interval_days"], f"SELECT idx, {as_rounded('coalesce(m, -1)', 'mean_interval_days')} FROM t LEFT JOIN (SELECT user_id, product_id, CASE WHEN count(*) > 1 THEN (epoch_us(max(ts)) - epoch_us(min(ts))) / (count(*) - 1) / 86400000000 END AS m FROM h WHERE action_type <> 'AT_View' GROUP BY user_id, product_id) USING (user_id, product_id)")
+LEFT JOIN (SELECT {_key}, isodow(ts) AS d FROM h WHERE {_buy} GROUP BY {_key}, d
+QUALIFY row_number() OVER (PARTITION BY {_key} ORDER BY count(*) DESC, d) = 1) USING ({_key})""")
+feature("fg_frequency", "frequency_features", ["mean_interval_days"], f"""SELECT idx, {as_rounded('coalesce(m, -1)', 'mean_interval_days')} FROM t LEFT
+JOIN (SELECT user_id, product_id, CASE WHEN count(*) > 1 THEN (epoch_us(max(ts)) - epoch_us(min(ts))) / (count(*) - 1) / 86400000000 END AS m
+FROM h WHERE action_type <> 'AT_View' GROUP BY user_id, product_id) USING (user_id, product_id)""")
 feature("fg_session", "session_features_v2", basic.SESSION, """SELECT idx, n AS session_length_v2, p AS session_unique_products_v2, s AS session_unique_stores_v2, sec AS session_duration_seconds_v2
-FROM t JOIN (SELECT DISTINCT user_id, ts, n, p, s, sec FROM (SELECT user_id, ts, count(*) OVER w AS n, CAST(len(list_distinct(coalesce(list(product_id) OVER w, []))) AS BIGINT) AS p, CAST(len(list_distinct(coalesce(list(store_id) OVER w, []))) AS BIGINT) AS s,
-CAST(floor((max(epoch_us(ts)) OVER w - min(epoch_us(ts)) OVER w) / 1000000) AS BIGINT) AS sec FROM (SELECT user_id, product_id, store_id, ts FROM h UNION ALL SELECT user_id, product_id, store_id, ts FROM t)
+FROM t JOIN (SELECT DISTINCT user_id, ts, n, p, s, sec
+FROM (SELECT user_id, ts, count(*) OVER w AS n, CAST(len(list_distinct(coalesce(list(product_id) OVER w, []))) AS BIGINT) AS p, CAST(len(list_distinct(coalesce(list(store_id) OVER w, []))) AS BIGINT) AS s,
+CAST(floor((max(epoch_us(ts)) OVER w - min(epoch_us(ts)) OVER w) / 1000000) AS BIGINT) AS sec FROM (SELECT user_id, product_id, store_id, ts FROM h
+UNION ALL SELECT user_id, product_id, store_id, ts FROM t)
 WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 1800000000 PRECEDING AND 1 PRECEDING))) USING (user_id, ts)""")
 for _name, (_key, _p, _fn, _days) in basic.TRENDS.items():
     _mid = "(SELECT epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2 FROM h)" if _days is None else f"(SELECT epoch_us(max(ts)) - {_days} * 43200000000 FROM h)"
@@ -167,10 +182,12 @@ for _name, (_key, _p, _fn, _days) in basic.TRENDS.items():
     def _tr(s, d, key=_key, p=_p, fn=_fn, days=_days):
         return basic.trend(split_orders(s, d)[0], key, p, fn(), days)
 
-    query(f"fg_{_name}_trend", f"{ORDER_SPLIT_SQL} SELECT {_key}, {_v('true', f'{_p}interaction_trend')}, {_v(_buy, f'{_p}purchase_trend')} FROM h{_where} GROUP BY {_key}")(_tr)
+    query(f"fg_{_name}_trend", f"""{ORDER_SPLIT_SQL} SELECT {_key}, {_v('true', f'{_p}interaction_trend')}, {_v(_buy, f'{_p}purchase_trend')}
+FROM h{_where} GROUP BY {_key}""")(_tr)
 _tot = lambda k, b: f"(SELECT {k}, count(*) FILTER ({b}) AS n FROM h GROUP BY {k})"
 feature("fg_cross", "cross_features", ["user_product_purchase_cross", "user_store_purchase_cross", "user_product_store_cross"], f"""SELECT idx, {as_rounded('u.n * p.n', 'user_product_purchase_cross')}, {as_rounded('u.n * s.n', 'user_store_purchase_cross')}, {as_rounded('u.n * p.n * s.n', 'user_product_store_cross')}
-FROM t LEFT JOIN {_tot('user_id', "action_type = 'AT_CartUpdate'")} u USING (user_id) LEFT JOIN {_tot('product_id', _BUY)} p USING (product_id) LEFT JOIN {_tot('store_id', "action_type = 'AT_CartUpdate'")} s USING (store_id)""")
+FROM t LEFT JOIN {_tot('user_id', "action_type = 'AT_CartUpdate'")} u USING (user_id) LEFT JOIN {_tot('product_id', _BUY)} p USING (product_id) LEFT
+JOIN {_tot('store_id', "action_type = 'AT_CartUpdate'")} s USING (store_id)""")
 feature("fg_user_segments", "user_segments", ["user_segment"], """SELECT idx, coalesce(g, 'unknown_user') AS user_segment FROM t LEFT JOIN (SELECT user_id, CASE WHEN count(*) < 5 THEN 'new_user'
 WHEN count(*) FILTER (action_type = 'AT_Purchase') / greatest(1, count(*) FILTER (action_type = 'AT_View')) > 0.2 THEN 'high_converter' WHEN count(*) > 20 THEN 'power_user'
 WHEN epoch_us(max(ts)) - epoch_us(min(ts)) > 30 * 86400000000 THEN 'loyal_user' ELSE 'average_user' END AS g FROM h GROUP BY user_id) USING (user_id)""")
@@ -183,9 +200,15 @@ _KNOWN = "t LEFT JOIN (SELECT DISTINCT user_id, 1 AS ku FROM m) USING (user_id)
 query("interaction_matrix", f"{ORDER_SPLIT_SQL}{_M} SELECT user_id, product_id, cnt FROM m")(lambda s, d: cf.interaction_matrix(split_orders(s, d)[0]))
 query("cf_jaccard", f"{SPLIT_SQL}{_M}{_J} SELECT a, b, {as_rounded('sim', 'sim')} FROM js")(lambda s, d: cf.jaccard(cf.interaction_matrix(split_events(s, d)[0])))
 query("cf_npmi", f"{SPLIT_SQL}{_M}{_N} SELECT a, b, {as_rounded('npmi', 'npmi')} FROM np")(lambda s, d: cf.npmi(cf.interaction_matrix(split_events(s, d)[0])))
-query("cf_idf", f"{ORDER_SPLIT_SQL}, m AS (SELECT DISTINCT user_id, product_id FROM h WHERE action_type IN ('AT_CartUpdate','AT_Purchase','AT_Click')) SELECT product_id, {as_rounded('ln((SELECT count(DISTINCT user_id) FROM m) / (count(*) + 1))', 'idf')} FROM m GROUP BY product_id")(lambda s, d: cf.idf(cf.interaction_matrix(split_orders(s, d)[0], cf._ACT, True)))
-feature("fg_memory_cf", "memory-based-cf", ["cf_score"], f"SELECT idx, {as_rounded('CASE WHEN ku = 1 AND kp = 1 THEN coalesce(v, 0) END', 'cf_score')} FROM {_KNOWN} LEFT JOIN (SELECT a AS user_id, product_id, sum(sim * cnt) AS v FROM js JOIN m ON m.user_id = b GROUP BY ALL) USING (user_id, product_id)", _M + _J)
-feature("fg_npmi_cf", "npmi-cf", ["npmi_cf_score"], f"SELECT idx, {as_rounded('CASE WHEN ku = 1 AND kp = 1 THEN CASE WHEN cnt IS NULL THEN coalesce(v, 0) ELSE 0 END END', 'npmi_cf_score')} FROM {_KNOWN} LEFT JOIN m USING (user_id, product_id) LEFT JOIN (SELECT user_id, a AS product_id, sum(npmi) AS v FROM m JOIN np ON b = m.product_id GROUP BY ALL) USING (user_id, product_id)", _M + _N)
+query("cf_idf", f"""{ORDER_SPLIT_SQL}, m AS (SELECT DISTINCT user_id, product_id FROM h
+WHERE action_type IN ('AT_CartUpdate','AT_Purchase','AT_Click')) SELECT product_id, {as_rounded('ln((SELECT count(DISTINCT user_id) FROM m) / (count(*) + 1))', 'idf')}
+FROM m GROUP BY product_id""")(lambda s, d: cf.idf(cf.interaction_matrix(split_orders(s, d)[0], cf._ACT, True)))
+feature("fg_memory_cf", "memory-based-cf", ["cf_score"], f"""SELECT idx, {as_rounded('CASE WHEN ku = 1 AND kp = 1 THEN coalesce(v, 0) END', 'cf_score')} FROM {_KNOWN} LEFT
+JOIN (SELECT a AS user_id, product_id, sum(sim * cnt) AS v FROM js JOIN m ON m.user_id = b
+GROUP BY ALL) USING (user_id, product_id)""", _M + _J)
+feature("fg_npmi_cf", "npmi-cf", ["npmi_cf_score"], f"""SELECT idx, {as_rounded('CASE WHEN ku = 1 AND kp = 1 THEN CASE WHEN cnt IS NULL THEN coalesce(v, 0) ELSE 0 END END', 'npmi_cf_score')}
+FROM {_KNOWN} LEFT JOIN m USING (user_id, product_id) LEFT JOIN (SELECT user_id, a AS product_id, sum(npmi) AS v FROM m
+JOIN np ON b = m.product_id GROUP BY ALL) USING (user_id, product_id)""", _M + _N)
 feature("fg_svd_cf", "svd-cf", ["svd_cf_score"], None)
 feature("fg_puresvd_cf", "puresvd-cf", ["puresvd_cf_score"], None)
 feature("fg_bpr", "bpr-popular", ["bpr_popular_score"], None)
@@ -213,7 +236,8 @@ _V = ", v AS (SELECT vec_id AS product_id, CAST(embedding AS DOUBLE[]) AS e FROM
 
 
 def _user_vectors(where):
-    return f"""SELECT user_id, list(x ORDER BY i) AS e FROM (SELECT user_id, i, sum(n * x) / sum(n) AS x FROM (SELECT user_id, n, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x
+    return f"""SELECT user_id, list(x ORDER BY i) AS e FROM (SELECT user_id, i, sum(n * x) / sum(n) AS x
+FROM (SELECT user_id, n, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x
 FROM (SELECT user_id, product_id, count(*) AS n FROM h WHERE {where} GROUP BY ALL) JOIN v USING (product_id)) GROUP BY user_id, i) GROUP BY user_id"""
 
 
@@ -223,15 +247,21 @@ past AS (SELECT DISTINCT user_id, action_type, e FROM h JOIN v USING (product_id
 mx AS (SELECT k.user_id, k.product_id, past.action_type, max({_COS('k.e', 'past.e')}) AS c FROM k JOIN past ON past.user_id = k.user_id GROUP BY ALL)
 SELECT idx, {as_rounded(f"coalesce({_COS('k.e', 'cp.e')}, 0)", text.SIMILARITY[0])}, {as_rounded(f"coalesce({_COS('k.e', 'cc.e')}, 0)", text.SIMILARITY[1])}, {as_rounded('coalesce(m1.c, 0)', text.SIMILARITY[2])}, {as_rounded('coalesce(m2.c, 0)', text.SIMILARITY[3])}
 FROM t LEFT JOIN k USING (user_id, product_id) LEFT JOIN cp USING (user_id) LEFT JOIN cc USING (user_id)
-LEFT JOIN mx m1 ON m1.user_id = t.user_id AND m1.product_id = t.product_id AND m1.action_type = 'AT_Purchase' LEFT JOIN mx m2 ON m2.user_id = t.user_id AND m2.product_id = t.product_id AND m2.action_type = 'AT_CartUpdate'""")(_given("user_product_similarity", text.SIMILARITY))
+LEFT JOIN mx m1 ON m1.user_id = t.user_id AND m1.product_id = t.product_id AND m1.action_type = 'AT_Purchase' LEFT
+JOIN mx m2 ON m2.user_id = t.user_id AND m2.product_id = t.product_id AND m2.action_type = 'AT_CartUpdate'""")(_given("user_product_similarity", text.SIMILARITY))
 _ratio = lambda a, c: as_rounded(f"coalesce(count(*) FILTER (action_type = '{a}') / nullif(sum(count(*) FILTER (action_type = '{a}')) OVER (PARTITION BY user_id), 0), 0)", c)
 query("fg_text_cluster", f"""{SPLIT_SQL}, l AS (SELECT vec_id AS product_id, CAST(label AS BIGINT) AS cl FROM embeddings),
-c AS (SELECT user_id, cl, {_ratio('AT_Purchase', text.CLUSTER[0])}, {_ratio('AT_CartUpdate', text.CLUSTER[1])}, {_ratio('AT_View', text.CLUSTER[2])} FROM h JOIN l USING (product_id) GROUP BY user_id, cl)
-SELECT idx, coalesce(cl, -1) AS product_text_cluster, {', '.join(f'coalesce({x}, 0.0) AS {x}' for x in text.CLUSTER)} FROM t LEFT JOIN l USING (product_id) LEFT JOIN c USING (user_id, cl)""")(_given("text_similarity_cluster", ["product_text_cluster", *text.CLUSTER]))
+c AS (SELECT user_id, cl, {_ratio('AT_Purchase', text.CLUSTER[0])}, {_ratio('AT_CartUpdate', text.CLUSTER[1])}, {_ratio('AT_View', text.CLUSTER[2])}
+FROM h JOIN l USING (product_id) GROUP BY user_id, cl)
+SELECT idx, coalesce(cl, -1) AS product_text_cluster, {', '.join(f'coalesce({x}, 0.0) AS {x}' for x in text.CLUSTER)} FROM t LEFT
+JOIN l USING (product_id) LEFT JOIN c USING (user_id, cl)""")(_given("text_similarity_cluster", ["product_text_cluster", *text.CLUSTER]))
 query("fg_text_diversity", f"""{SPLIT_SQL}{_V}, c AS ({_user_vectors("action_type IN ('AT_Purchase', 'AT_View')")}),
-s AS (SELECT h.user_id, avg(list_distance(v.e, c.e)) AS sp FROM h JOIN v USING (product_id) JOIN c ON c.user_id = h.user_id WHERE action_type IN ('AT_Purchase', 'AT_View') GROUP BY ALL),
-x AS (SELECT idx, list_distance(v.e, c.e) AS dist, sp FROM t JOIN v USING (product_id) JOIN c ON c.user_id = t.user_id JOIN s ON s.user_id = t.user_id)
-SELECT t.idx, {as_rounded('coalesce(dist, 0)', 'distance_from_centroid')}, {as_rounded('coalesce(CASE WHEN sp > 1e-9 THEN dist / sp WHEN dist > 1e-9 THEN dist ELSE 0 END, 0)', 'relative_diversity')} FROM t LEFT JOIN x USING (idx)""")(_given("text_diversity_features", ["distance_from_centroid", "relative_diversity"]))
+s AS (SELECT h.user_id, avg(list_distance(v.e, c.e)) AS sp FROM h JOIN v USING (product_id) JOIN c ON c.user_id = h.user_id
+WHERE action_type IN ('AT_Purchase', 'AT_View') GROUP BY ALL),
+x AS (SELECT idx, list_distance(v.e, c.e) AS dist, sp FROM t JOIN v USING (product_id) JOIN c ON c.user_id = t.user_id
+JOIN s ON s.user_id = t.user_id)
+SELECT t.idx, {as_rounded('coalesce(dist, 0)', 'distance_from_centroid')}, {as_rounded('coalesce(CASE WHEN sp > 1e-9 THEN dist / sp WHEN dist > 1e-9 THEN dist ELSE 0 END, 0)', 'relative_diversity')}
+FROM t LEFT JOIN x USING (idx)""")(_given("text_diversity_features", ["distance_from_centroid", "relative_diversity"]))
 def _places(vector):
     """A vector as rows of place and value."""
     return F.transform(vector, lambda x, i: F.struct(i.alias("place"), x.alias("value")))
@@ -254,7 +284,8 @@ for _key, _target, _sql in [
     ("tg_interaction_aware", "Weighted_InteractionAware", _pair.format("g")),
     ("tg_pos_aware", "Weighted_pos_in_req_aware", _pair.format(f"({_grade}) * coalesce(1 / log2(position_in_request + 1), 0)")),
 ]:
-    _from = f"(SELECT *, CASE WHEN action_type = 'AT_View' THEN CASE WHEN bool_or({_act}) OVER (PARTITION BY request_id) THEN 0.05 ELSE 0.15 END ELSE {_grade} END AS g FROM f)" if "interaction" in _key else "f"
+    _from = f"""(SELECT *, CASE WHEN action_type = 'AT_View' THEN CASE WHEN bool_or({_act}) OVER (PARTITION BY request_id) THEN 0.05 ELSE 0.15 END ELSE {_grade} END AS g
+FROM f)""" if "interaction" in _key else "f"
     query(_key, f"{SPLIT_SQL} SELECT idx, {as_rounded(_sql, 'label')} FROM {_from}")(lambda s, d, target=_target: REGISTRY.labelled(logs.event_log(s, d), target).select("idx", "label"))
 _CLEAN = {"min_unique_products": 3, "require_action": True, "accepted_sources": ["ST_1", "ST_2"], "clean_target": True}
 _MASK = "ok AS (SELECT request_id FROM f WHERE request_id IS NOT NULL GROUP BY request_id HAVING count(DISTINCT product_id) >= 3 AND bool_or(action_type <> 'AT_View'))"
@@ -262,26 +293,34 @@ _OK = "coalesce(request_id IN (SELECT request_id FROM ok), false) AND source_typ
 query("tg_clean_mask", f"{SPLIT_SQL}, {_MASK} SELECT idx, {_OK} AS accepted FROM f")(lambda s, d: targets.clean_mask(logs.event_log(s, d), _CLEAN).select("idx", "accepted"))
 
 # ---- framework
-query("pipeline_batch", f"""{SPLIT_SQL}, {_MASK.replace('FROM f', 'FROM t')} SELECT idx, request_id, {as_rounded('label', 'label')}, coalesce(n, 0) AS count_purchase_u_p FROM (SELECT *, {_pair.format(_grade)} AS label FROM t)
-LEFT JOIN (SELECT user_id, product_id, count(*) AS n FROM h WHERE action_type = 'AT_CartUpdate' GROUP BY ALL) USING (user_id, product_id) WHERE label IS NOT NULL AND {_OK}""")(
+query("pipeline_batch", f"""{SPLIT_SQL}, {_MASK.replace('FROM f', 'FROM t')} SELECT idx, request_id, {as_rounded('label', 'label')}, coalesce(n, 0) AS count_purchase_u_p
+FROM (SELECT *, {_pair.format(_grade)} AS label FROM t)
+LEFT JOIN (SELECT user_id, product_id, count(*) AS n FROM h WHERE action_type = 'AT_CartUpdate' GROUP BY ALL) USING (user_id, product_id)
+WHERE label IS NOT NULL AND {_OK}""")(
     lambda s, d: REGISTRY.batch(*split_events(s, d), ["count_purchase_user_product"], {"name": "Weighted"}, _CLEAN).select("idx", "request_id", "label", "count_purchase_u_p")
 )
 _SOME = ["user_total_interactions", "user_total_purchases", "user_total_views", "user_unique_products", "product_total_interactions", "product_total_views"]
-query("pipeline_features", f"""{SPLIT_SQL} SELECT idx, user_total_interactions, user_unique_products, product_total_interactions FROM t LEFT JOIN (SELECT user_id, count(*) AS user_total_interactions, count(DISTINCT product_id) AS user_unique_products FROM h GROUP BY ALL) USING (user_id)
+query("pipeline_features", f"""{SPLIT_SQL} SELECT idx, user_total_interactions, user_unique_products, product_total_interactions FROM t LEFT
+JOIN (SELECT user_id, count(*) AS user_total_interactions, count(DISTINCT product_id) AS user_unique_products FROM h GROUP BY ALL) USING (user_id)
 LEFT JOIN (SELECT product_id, count(*) AS product_total_interactions FROM h GROUP BY ALL) USING (product_id)""")(
     lambda s, d: REGISTRY.features_of(*split_events(s, d), ["user_stats", "product_stats"]).select("idx", "user_total_interactions", "user_unique_products", "product_total_interactions")
 )
 
 
-@query("cache_roundtrip", f"{SPLIT_SQL} SELECT idx, user_total_interactions, user_unique_products FROM t LEFT JOIN (SELECT user_id, count(*) AS user_total_interactions, count(DISTINCT product_id) AS user_unique_products FROM h GROUP BY ALL) USING (user_id)")
+@query("cache_roundtrip", f"""{SPLIT_SQL} SELECT idx, user_total_interactions, user_unique_products FROM t LEFT
+JOIN (SELECT user_id, count(*) AS user_total_interactions, count(DISTINCT product_id) AS user_unique_products FROM h
+GROUP BY ALL) USING (user_id)""")
 def _cached(s, d):
     (h, t), folder = split_events(s, d), shared.place(s, "features")
     cache.cached(folder, "user_stats", h, t)
     return cache.cached(folder, "user_stats", h, t).select("idx", "user_total_interactions", "user_unique_products")
 
 
-_UP = f"""{SPLIT_SQL}, x AS (SELECT idx, {', '.join(_SOME)} FROM t LEFT JOIN (SELECT user_id, count(*) AS user_total_interactions, count(*) FILTER (action_type = 'AT_CartUpdate') AS user_total_purchases, count(*) FILTER (action_type = 'AT_View') AS user_total_views, count(DISTINCT product_id) AS user_unique_products FROM h GROUP BY ALL) USING (user_id)
-LEFT JOIN (SELECT product_id, count(*) AS product_total_interactions, count(*) FILTER (action_type = 'AT_View') AS product_total_views FROM h GROUP BY ALL) USING (product_id))"""
+_UP = f"""{SPLIT_SQL}, x AS (SELECT idx, {', '.join(_SOME)} FROM t LEFT
+JOIN (SELECT user_id, count(*) AS user_total_interactions, count(*) FILTER (action_type = 'AT_CartUpdate') AS user_total_purchases, count(*) FILTER (action_type = 'AT_View') AS user_total_views, count(DISTINCT product_id) AS user_unique_products
+FROM h GROUP BY ALL) USING (user_id)
+LEFT JOIN (SELECT product_id, count(*) AS product_total_interactions, count(*) FILTER (action_type = 'AT_View') AS product_total_views FROM h
+GROUP BY ALL) USING (product_id))"""
 query("corr_matrix", _UP + "\n" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {as_rounded(f'abs(corr({a}, {b}))', 'corr')} FROM x" for i, a in enumerate(_SOME) for b in _SOME[i + 1 :]))(
     lambda s, d: selection.correlations(REGISTRY.features_of(*split_events(s, d), ["user_stats", "product_stats"]), _SOME)
 )
@@ -297,10 +336,13 @@ def _select(s, d):
 def _scored(s, d):
     h, t = split_events(s, d)
     t = REGISTRY.labelled(t, "Weighted").filter("label is not null")
-    return models.SingleFeatureModel("product_total_purchases").predict(REGISTRY.features_of(h, t, ["product_stats"]))
+    featured = shared.kept(REGISTRY.features_of(h, t, ["product_stats"]), "scored")
+    return models.SingleFeatureModel("product_total_purchases").predict(featured)
 
 
-_SCORED = f", y AS (SELECT *, {_pair.format(_grade)} AS label FROM t), q AS (SELECT y.*, coalesce(CAST(n AS DOUBLE), CAST(min(n) OVER () AS DOUBLE)) AS score FROM y LEFT JOIN (SELECT product_id, count(*) FILTER ({_BUY}) AS n FROM h GROUP BY ALL) USING (product_id) WHERE label IS NOT NULL)"
+_SCORED = f""", y AS (SELECT *, {_pair.format(_grade)} AS label
+FROM t), q AS (SELECT y.*, coalesce(CAST(n AS DOUBLE), CAST(min(n) OVER () AS DOUBLE)) AS score FROM y LEFT
+JOIN (SELECT product_id, count(*) FILTER ({_BUY}) AS n FROM h GROUP BY ALL) USING (product_id) WHERE label IS NOT NULL)"""
 query("model_single_feature", f"{SPLIT_SQL}{_SCORED} SELECT idx, {as_rounded('score', 'score')} FROM q")(lambda s, d: _scored(s, d).select("idx", "score"))
 query("submission", f"{SPLIT_SQL}{_SCORED} SELECT row_number() OVER (ORDER BY score DESC, idx) AS place, idx AS \"index\", request_id FROM q")(
     lambda s, d: running(_scored(s, d).select("score", "idx", "request_id"), [F.desc("score"), F.col("idx")], F.lit(1), "before").select((F.col("before") + 1).alias("place"), F.col("idx").alias("index"), "request_id")
@@ -315,13 +357,19 @@ def _graded(s, d):
 
 
 _G = "WITH g AS (SELECT doc_id, lang, quality, (n_chars % 50) / 50 AS score FROM documents JOIN labels USING (doc_id))"
-query("metric_ndcg", f"""{SPLIT_SQL}{_SCORED}, a AS (SELECT request_id, label, score, idx, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, idx) AS r FROM q WHERE request_id IN (SELECT request_id FROM q GROUP BY request_id HAVING sum(label) > 0)),
-b AS (SELECT request_id, label, score FROM a WHERE r <= 10), p AS (SELECT * FROM b UNION ALL SELECT request_id, 0, 0 FROM (SELECT request_id, unnest(range(0, 10 - count(*))) FROM b GROUP BY request_id)),
-r AS (SELECT *, 1 / log2(1 + row_number() OVER (PARTITION BY request_id ORDER BY score DESC)) AS d, row_number() OVER (PARTITION BY request_id ORDER BY label DESC) AS i FROM p),
-e AS (SELECT request_id, sum(gain) AS dcg FROM (SELECT request_id, avg(label) * sum(d) AS gain FROM r GROUP BY request_id, score) GROUP BY ALL), z AS (SELECT request_id, sum(label / log2(i + 1)) AS ideal FROM r GROUP BY ALL)
+query("metric_ndcg", f"""{SPLIT_SQL}{_SCORED}, a AS (SELECT request_id, label, score, idx, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, idx) AS r FROM q
+WHERE request_id IN (SELECT request_id FROM q GROUP BY request_id HAVING sum(label) > 0)),
+b AS (SELECT request_id, label, score FROM a WHERE r <= 10), p AS (SELECT * FROM b UNION ALL SELECT request_id, 0, 0
+FROM (SELECT request_id, unnest(range(0, 10 - count(*))) FROM b GROUP BY request_id)),
+r AS (SELECT *, 1 / log2(1 + row_number() OVER (PARTITION BY request_id ORDER BY score DESC)) AS d, row_number() OVER (PARTITION BY request_id ORDER BY label DESC) AS i
+FROM p),
+e AS (SELECT request_id, sum(gain) AS dcg FROM (SELECT request_id, avg(label) * sum(d) AS gain FROM r GROUP BY request_id, score)
+GROUP BY ALL), z AS (SELECT request_id, sum(label / log2(i + 1)) AS ideal FROM r GROUP BY ALL)
 SELECT {as_rounded('coalesce(avg(coalesce(dcg / nullif(ideal, 0), 0)), 0)', 'ndcg')} FROM e JOIN z USING (request_id)""")(lambda s, d: metrics.ndcg(_scored(s, d), "request_id", "label", "score"))
-query("metric_map", f"""{SPLIT_SQL}{_SCORED}, a AS (SELECT request_id, CASE WHEN label > 0 THEN 1 ELSE 0 END AS hit, row_number() OVER w AS r, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) OVER w AS hits FROM q WHERE request_id IS NOT NULL WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, idx ROWS UNBOUNDED PRECEDING))
-SELECT {as_rounded('coalesce(avg(s / n), 0)', 'map')} FROM (SELECT sum(CASE WHEN r <= 10 AND hit = 1 THEN hits / r ELSE 0 END) AS s, sum(hit) AS n FROM a GROUP BY request_id HAVING sum(hit) > 0)""")(lambda s, d: metrics.mean_average_precision(_scored(s, d), "request_id", "label", "score"))
+query("metric_map", f"""{SPLIT_SQL}{_SCORED}, a AS (SELECT request_id, CASE WHEN label > 0 THEN 1 ELSE 0 END AS hit, row_number() OVER w AS r, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) OVER w AS hits
+FROM q WHERE request_id IS NOT NULL WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, idx ROWS UNBOUNDED PRECEDING))
+SELECT {as_rounded('coalesce(avg(s / n), 0)', 'map')} FROM (SELECT sum(CASE WHEN r <= 10 AND hit = 1 THEN hits / r ELSE 0 END) AS s, sum(hit) AS n
+FROM a GROUP BY request_id HAVING sum(hit) > 0)""")(lambda s, d: metrics.mean_average_precision(_scored(s, d), "request_id", "label", "score"))
 
 
 def _users(s, d):
@@ -338,11 +386,18 @@ def _novelty(s, d):
     return metrics.novelty(one, popularity)
 
 
-_TOP = f"{_M}, k AS (SELECT user_id, product_id, count(*) / 10 AS score FROM t GROUP BY ALL), r AS (SELECT k.*, CASE WHEN cnt IS NULL THEN 0 ELSE 1 END AS b FROM k LEFT JOIN m USING (user_id, product_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, product_id) <= 10)"
-query("metric_novelty", f"{SPLIT_SQL}{_TOP} SELECT {as_rounded('avg(x)', 'novelty')} FROM (SELECT avg(1 - coalesce(p, 0)) AS x FROM r LEFT JOIN (SELECT product_id, count(*) / (SELECT count(*) FROM h) AS p FROM h GROUP BY ALL) USING (product_id) GROUP BY user_id)")(_novelty)
+_TOP = f"""{_M}, k AS (SELECT user_id, product_id, count(*) / 10 AS score FROM t
+GROUP BY ALL), r AS (SELECT k.*, CASE WHEN cnt IS NULL THEN 0 ELSE 1 END AS b FROM k LEFT
+JOIN m USING (user_id, product_id)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, product_id) <= 10)"""
+query("metric_novelty", f"""{SPLIT_SQL}{_TOP} SELECT {as_rounded('avg(x)', 'novelty')} FROM (SELECT avg(1 - coalesce(p, 0)) AS x FROM r LEFT
+JOIN (SELECT product_id, count(*) / (SELECT count(*) FROM h) AS p FROM h GROUP BY ALL) USING (product_id)
+GROUP BY user_id)""")(_novelty)
 query("metric_serendipity", f"{SPLIT_SQL}{_TOP} SELECT {as_rounded('avg(x)', 'serendipity')} FROM (SELECT avg(score * (1 - b)) AS x FROM r GROUP BY user_id)")(lambda s, d: metrics.serendipity(_users(s, d)[1]))
-query("metric_auc", f"{_G} SELECT {as_rounded('(sum(CASE WHEN quality > 0 THEN rk END) - count(*) FILTER (quality > 0) * (count(*) FILTER (quality > 0) + 1) / 2) / (count(*) FILTER (quality > 0) * count(*) FILTER (quality <= 0))', 'auc')} FROM (SELECT quality, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM g)")(lambda s, d: metrics.auc(_graded(s, d), "quality", "score"))
-query("metric_logloss", f"{_G} SELECT {as_rounded('avg(-(quality * ln(p) + (1 - quality) * ln(1 - p)))', 'logloss')} FROM (SELECT quality, least(greatest(score, 1e-15), 1 - 1e-15) AS p FROM g)")(lambda s, d: metrics.log_loss(_graded(s, d), "quality", "score"))
+query("metric_auc", f"""{_G} SELECT {as_rounded('(sum(CASE WHEN quality > 0 THEN rk END) - count(*) FILTER (quality > 0) * (count(*) FILTER (quality > 0) + 1) / 2) / (count(*) FILTER (quality > 0) * count(*) FILTER (quality <= 0))', 'auc')}
+FROM (SELECT quality, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM g)""")(lambda s, d: metrics.auc(_graded(s, d), "quality", "score"))
+query("metric_logloss", f"""{_G} SELECT {as_rounded('avg(-(quality * ln(p) + (1 - quality) * ln(1 - p)))', 'logloss')}
+FROM (SELECT quality, least(greatest(score, 1e-15), 1 - 1e-15) AS p FROM g)""")(lambda s, d: metrics.log_loss(_graded(s, d), "quality", "score"))
 query("top_interactions", f"{SPLIT_SQL} SELECT product_id, count(*) AS n FROM f GROUP BY ALL ORDER BY n DESC, product_id LIMIT 20")(lambda s, d: logs.event_log(s, d).groupBy("product_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "product_id").limit(20))
 
 
@@ -374,7 +429,8 @@ def _importance(s, d):
     return s.createDataFrame(models.top_importance(model), "column string, importance double")
 
 
-query("stream_hourly_counts", f"{SPLIT_SQL} SELECT user_id, epoch_us(date_trunc('hour', ts)) AS hour, count(*) AS interactions, count(*) FILTER (action_type = 'AT_View') AS views, count(*) FILTER ({_BUY}) AS purchases FROM f GROUP BY ALL")(
+query("stream_hourly_counts", f"""{SPLIT_SQL} SELECT user_id, epoch_us(date_trunc('hour', ts)) AS hour, count(*) AS interactions, count(*) FILTER (action_type = 'AT_View') AS views, count(*) FILTER ({_BUY}) AS purchases
+FROM f GROUP BY ALL""")(
     lambda s, d: counts.hourly_counts(logs.event_log(s, d))
 )
 
