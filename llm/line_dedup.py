@@ -294,7 +294,7 @@ def similar(held: tuple[np.ndarray, np.ndarray, np.ndarray], i: np.ndarray, j: n
 def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int | Callable) -> tuple[np.ndarray, np.ndarray]:
     """Links a, b among the lines of each tile of a batch (in tile order) that are in different components."""
     tile, name, root, part = (batch.column(c).to_numpy() for c in ("tile", "name", "root", "part"))
-    apart = batch.column("apart").to_numpy(zero_copy_only=False)
+    apart, ours = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("apart", "ours"))
     texts, edge = batch.column("text"), np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for first, last in slices(texts):
@@ -307,12 +307,14 @@ def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int | Callabl
         x = Texts(plain(texts.slice(base, end - base)))
         cut = shingles(x, x.starts[:-1], x.starts[1:], shingle)
         low = np.ascontiguousarray(signatures(*cut).astype(np.uint8).T)
-        # each line meets those after it in its tile
-        left = np.repeat(size, size) - 1 - ragged(size)
-        done = np.cumsum(left)
-        for some in np.split(np.arange(len(left)), np.flatnonzero(np.diff(done // PAIRS)) + 1):
-            i = np.repeat(some, left[some])
-            j = i + 1 + ragged(left[some])
+        # lines of a band's largest component first; each other line meets those before it in its tile
+        order = np.lexsort((~ours[base:end], np.repeat(np.arange(len(of)), size)))
+        before = np.where(ours[base:end][order], 0, ragged(size))
+        done = np.cumsum(before)
+        for some in np.split(np.arange(len(before)), np.flatnonzero(np.diff(done // PAIRS)) + 1):
+            i = np.repeat(some, before[some])
+            j = order[i - 1 - ragged(before[some])]
+            i = order[i]
             r, p = root[base:end], part[base:end]
             fits = (r[i] != r[j]) & ~(apart[base:end][i] & (p[i] == p[j]))
             i, j = i[fits], j[fits]
@@ -354,7 +356,7 @@ def remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity
     tiles = F.when(ours, F.transform(every("others"), lambda o: spot("ours", part, o, F.lit(False)))).otherwise(
         F.concat(F.transform(every("ours"), lambda o: spot("ours", o, part, F.lit(False))), F.transform(every("others"), lambda o: spot("others", F.least(o, part), F.greatest(o, part), o != part)))
     )
-    rows = rows.select("member", "root", "part", "text", F.explode(tiles).alias("at")).select("at.tile", "at.apart", F.col("member").alias("name"), "root", "part", "text")
+    rows = rows.select("member", "root", "part", ours.alias("ours"), "text", F.explode(tiles).alias("at")).select("at.tile", "at.apart", F.col("member").alias("name"), "root", "part", "ours", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
