@@ -124,8 +124,12 @@ HOLIDAYS = [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (1, 8), (2,
 
 @REGISTRY.feature("russian_holiday", categorical=["is_russian_holiday"])
 def russian_holiday(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
+    """Days of the year (holidays), and single dates as text (holiday_dates) for days that a decree has moved."""
     days = [m * 100 + d for m, d in config.get("holidays", HOLIDAYS)]
-    return t.withColumn("is_russian_holiday", F.coalesce((F.month("ts") * 100 + F.dayofmonth("ts")).isin(days), F.lit(False)).cast("tinyint"))
+    fixed = (F.month("ts") * 100 + F.dayofmonth("ts")).isin(days)
+    if moved := list(config.get("holiday_dates", ())):
+        fixed = fixed | F.date_format("ts", "yyyy-MM-dd").isin(moved)
+    return t.withColumn("is_russian_holiday", F.coalesce(fixed, F.lit(False)).cast("tinyint"))
 
 
 def temporal_patterns(h: DataFrame, key: str, prefix: str) -> DataFrame:

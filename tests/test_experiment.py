@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import json
 import logging
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from basketrank import queries
-from basketrank.operators import cf, exploration, metrics, models, selection, text
+from basketrank.operators import basic, cf, exploration, metrics, models, selection, text
 from basketrank.plans import experiment, logs, split
 from basketrank.plans.config import Config
 from basketrank.sources import interactions, shared
@@ -187,3 +188,21 @@ def test_folders(spark):
     assert shared.clear(spark) >= 1
     with pytest.raises(Exception):
         spark.read.parquet(path)
+
+
+def test_moved_holidays(spark):
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(["2024-01-07", "2024-05-10", "2024-05-11", None])], "idx long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    flags = lambda config: [r.is_russian_holiday for r in basic.russian_holiday(df, df, config).orderBy("idx").collect()]
+    assert flags({}) == [1, 0, 0, 0] and flags({"holiday_dates": ["2024-05-10"]}) == [1, 1, 0, 0]
+    assert flags({"holidays": [(5, 11)]}) == [0, 0, 1, 0]
+
+
+def test_folder_off_local_masters():
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = lambda master: SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared.place(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context(master)), "x")
+    given = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "hdfs://shared/folder/"), sparkContext=context("yarn"))
+    assert shared.place(given, "x").startswith("hdfs://shared/folder/x-")
+    shared._made.pop()
