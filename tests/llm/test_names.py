@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pytest
 from test_operators import removed, words_of
 from tokenizers import Tokenizer
 
-from llm import line_dedup, packing, quality, substring_dedup, wavelet
+from llm import common, line_dedup, packing, quality, substring_dedup, wavelet
 from llm.textarrays import Ranges, Texts, times
 from llm.tokens import Encoder
 
@@ -153,3 +154,14 @@ def test_recall_of_the_bands(spark):
     alike = [(i, j) for (i, j), k in common.items() if k >= 0.8 * (len(sets[i]) + len(sets[j]) - k)]
     found = sum(bool((bands[i] == bands[j]).any()) for i, j in alike)
     assert len(alike) > 400 and found >= 0.99 * len(alike)
+
+
+def test_folder_off_local_masters():
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = lambda master: SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context(master)), "x")
+    given = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "hdfs://shared/folder/"), sparkContext=context("yarn"))
+    assert common.shared_folder(given, "x").startswith("hdfs://shared/folder/x-")
+    common._made.pop()
