@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import CART, CLICK, PURCHASE
+from ..functions.common import CART, CLICK, PURCHASE, running
 from ..plans.registry import REGISTRY
 from ..sources.shared import kept
 
@@ -176,6 +176,11 @@ def puresvd_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     return _known(t, m, svd_scores(weights, wanted, config.get("svd_rank", 50)).withColumnRenamed("score", "puresvd_cf_score"), "puresvd_cf_score")
 
 
+def numbered(ids: DataFrame, key: str, number: str) -> DataFrame:
+    """Distinct keys with numbers from 0 without gaps, in their order: their places among range partitions."""
+    return running(ids.select(key).distinct(), [key], F.lit(1), number).withColumn(number, F.col(number).cast("int"))
+
+
 def _descend(rows: pd.DataFrame, seed: list[int], passes: int, rate: float, decay: float) -> pd.DataFrame:
     """Stochastic gradient steps of the pairwise ranking loss over one cell of users, items and what they did."""
     users, items, seen = (rows[rows["kind"] == k] for k in (0, 1, 2))
