@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, media, mixing, packing, quality, simhash, substring_dedup, warc, wavelet
+from . import language, line_dedup, media, mixing, packing, quality, simhash, substring_dedup, variants, warc, wavelet
 from .common import table
 
 
@@ -54,8 +54,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"), misspell=97)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_mix_sources, op4_simhash, op5_quality, op6_language_id, op7_media, op8_warc, op9_wavelet, op10_line_dedup)}
+    some = (op1_substring_dedup, op2_best_fit_packing, op3_mix_sources, op4_simhash, op5_quality, op6_language_id, op7_media, op8_warc, op9_wavelet, op10_line_dedup, op11_variants)
+    return {f.__name__: f for f in some}
 
 
 def oracle_sql() -> dict[str, str]:
