@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, media, mixing, packing, quality, simhash, substring_dedup, variants, warc, wavelet
+from . import hard_negatives, language, line_dedup, media, mixing, packing, pii, quality, simhash, substring_dedup, variants, warc, wavelet
 from .common import table
 
 
@@ -58,8 +58,17 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"), misspell=97)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    some = (op1_substring_dedup, op2_best_fit_packing, op3_mix_sources, op4_simhash, op5_quality, op6_language_id, op7_media, op8_warc, op9_wavelet, op10_line_dedup, op11_variants)
+    some = (op1_substring_dedup, op2_best_fit_packing, op3_mix_sources, op4_simhash, op5_quality, op6_language_id, op7_media, op8_warc, op9_wavelet, op10_line_dedup, op11_variants, op12_hard_negatives, op13_personal_data)
     return {f.__name__: f for f in some}
 
 
@@ -99,6 +108,16 @@ WITH w AS (SELECT doc_id, p, word FROM (SELECT doc_id, unnest(ws) AS word, gener
            FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN t3 USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)),
      b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
 SELECT *, NOT (base_failed OR covered_words > 0.25 * n_words OR (longest_repeat > 30 AND longest_repeat > 0.1 * n_words)) AS kept FROM b""",
+        "op12_hard_negatives": """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+           FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+     p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INT) AS "rank", s.b AS negative_id,
+       p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) <= 5""",
         "op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
