@@ -161,4 +161,5 @@ def variants(docs: DataFrame, least: int = 3, length: int = 5, ratio: int = 2, m
     if length < 4:
         raise ValueError("words of fewer than four letters have no two pivots in a prefix")
     words = written(vocabulary(runs(docs, misspell), least, length), "vocabulary")
-    return forms(words, near_pairs(words), ratio)
+    # read from both ends
+    return forms(words, written(near_pairs(words), "pairs"), ratio)
