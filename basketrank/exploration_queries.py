@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import exploration as look
-from .plans.registry import REGISTRY
-from .queries import EVENTS_SQL, ORDERS_SQL, SPLIT_SQL, as_long, as_rounded, query, split_events
+from .queries import EVENTS_SQL, ORDERS_SQL, SPLIT_SQL, as_long, as_rounded, features, query
 from .sources.interactions import event_log, order_log
 
 _LOG = f"WITH f AS ({EVENTS_SQL})"
@@ -104,8 +103,8 @@ SELECT count(DISTINCT source_type) AS source_type, count(DISTINCT g) AS user_seg
   FROM t LEFT JOIN (SELECT user_id, count(*) AS n, count(*) FILTER (action_type = 'AT_Purchase') AS buys,
                            count(*) FILTER (action_type = 'AT_View') AS views, epoch_us(max(ts)) - epoch_us(min(ts)) AS span
                     FROM h GROUP BY user_id) USING (user_id))""")(
-    lambda s, d: REGISTRY.features_of(*split_events(s, d), ["source_type", "user_segments"]).agg(*[F.countDistinct(c).alias(c) for c in ("source_type", "user_segment")])
+    lambda s, d: features(s, d, ["source_type", "user_segments"]).agg(*[F.countDistinct(c).alias(c) for c in ("source_type", "user_segment")])
 )
 query("eda_feature_described", f"{SPLIT_SQL}{_described('SELECT n FROM t LEFT JOIN (SELECT user_id, count(*) AS n FROM h GROUP BY user_id) USING (user_id)')}")(
-    lambda s, d: look.described(REGISTRY.features_of(*split_events(s, d), ["user_stats"]).select(F.col("user_total_interactions").alias("n")), "n")
+    lambda s, d: look.described(features(s, d, ["user_stats"]).select(F.col("user_total_interactions").alias("n")), "n")
 )

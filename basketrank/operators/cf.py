@@ -58,7 +58,7 @@ def _known(t: DataFrame, matrix: DataFrame, scores: DataFrame, column: str) -> D
     return out.withColumn(column, value).drop("u_known", "p_known")
 
 
-@REGISTRY.feature("memory-based-cf", ["cf_score"])
+@REGISTRY.feature("memory-based-cf", ["cf_score"], reads=["user_id", "product_id", "action_type"], passes=2)
 def memory_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     """Sum over users of Jaccard similarity times their count of the product."""
     m, wanted = kept(interaction_matrix(h), "matrix"), kept(t.select("user_id", "product_id").distinct(), "wanted")
@@ -100,7 +100,7 @@ def npmi_of(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
     return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).select("a", "b", _npmi(F.lit(users)).alias("npmi"))
 
 
-@REGISTRY.feature("npmi-cf", ["npmi_cf_score"])
+@REGISTRY.feature("npmi-cf", ["npmi_cf_score"], reads=["user_id", "product_id", "action_type"], passes=2)
 def npmi_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     """Sum of NPMI from a product to the user's products; 0 for those bought already."""
     m, wanted = kept(interaction_matrix(h), "matrix"), kept(t.select("user_id", "product_id").distinct(), "wanted")
@@ -159,14 +159,14 @@ def svd_scores(weights: DataFrame, wanted: DataFrame, rank: int = 50, passes: in
     return wanted.join(users.withColumnRenamed("v", "x"), "user_id").join(basis, "product_id").select("user_id", "product_id", dot.alias("score"))
 
 
-@REGISTRY.feature("svd-cf", ["svd_cf_score"])
+@REGISTRY.feature("svd-cf", ["svd_cf_score"], reads=["user_id", "product_id", "action_type"], passes=2)
 def svd_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     m, wanted = kept(interaction_matrix(h), "matrix"), t.select("user_id", "product_id").distinct()
     scores = svd_scores(m.withColumn("w", F.col("cnt").cast("double")), wanted, config.get("svd_rank", 50))
     return _known(t, m, scores.withColumnRenamed("score", "svd_cf_score"), "svd_cf_score")
 
 
-@REGISTRY.feature("puresvd-cf", ["puresvd_cf_score"])
+@REGISTRY.feature("puresvd-cf", ["puresvd_cf_score"], reads=["user_id", "product_id", "action_type"], passes=2)
 def puresvd_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     m, wanted = kept(interaction_matrix(h, _ACT, binary=True), "matrix"), t.select("user_id", "product_id").distinct()
     weights = m.join(idf(m), "product_id").select("user_id", "product_id", F.col("idf").alias("w"))
@@ -248,7 +248,7 @@ def bpr_factors(matrix: DataFrame, size: int = 100, rounds: int = 5, passes: int
     return users, items
 
 
-@REGISTRY.feature("bpr-popular", ["bpr_popular_score"])
+@REGISTRY.feature("bpr-popular", ["bpr_popular_score"], reads=["user_id", "product_id", "action_type"], passes=2)
 def bpr(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     """Score of a user and a product by factors of pairwise ranking; null for users or products without any."""
     users, items = bpr_factors(kept(interaction_matrix(h, _ACT, binary=True), "matrix"), config.get("factors", 100), config.get("rounds", 5), config.get("passes", 20))

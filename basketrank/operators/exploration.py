@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import PURCHASE, VIEW, distinct, micros, number
+from ..sources.shared import kept
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -21,9 +24,64 @@ def time_range(df: DataFrame) -> DataFrame:
     return df.agg(text(F.min("ts")).alias("earliest"), text(F.max("ts")).alias("latest"), ((F.max(micros()) - F.min(micros())) / 86_400_000_000).alias("days"))
 
 
+def order_statistics(df: DataFrame, column: str, ranks: list[int], bins: int = 1024, small: int = 4096) -> dict[int, float]:
+    """The values at some ranks (from 0) among a column's values that are not null, exactly.
+
+    Each round counts an equal-width histogram of every interval that still holds a wanted rank, and goes on with the one bin
+    the rank lies in, from the least to the largest value there. An interval of one value, or of few rows, ends it. What
+    comes to the driver is bounded by the bins of the intervals, however many distinct values there are.
+    """
+    value = F.col(f"`{column}`").cast("double")
+    some = df.select(value.alias("v")).filter("v is not null")
+    low, high, n = some.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    out: dict[int, float] = {}
+    # least and largest value, rows before, rows within, ranks wanted in it
+    open_ = [(low, high, 0, n, sorted(set(ranks)))] if n else []
+    while open_:
+        done = [x for x in open_ if x[0] == x[1]]
+        for lo, _, _, _, wanted in done:
+            out |= dict.fromkeys(wanted, lo)
+        open_ = [x for x in open_ if x[0] != x[1]]
+        few = [x for x in open_ if x[3] <= small]
+        for lo, hi, before, _, wanted in few:
+            at = before
+            rows = some.filter((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").count().collect()
+            for v, k in sorted((r.v, r["count"]) for r in rows):
+                out |= {r: v for r in wanted if at <= r < at + k}
+                at += k
+        open_ = [x for x in open_ if x[3] > small]
+        if not open_:
+            break
+        inside = lambda lo, hi: (F.col("v") >= lo) & (F.col("v") <= hi)
+        # halves, as the width of an interval may pass the largest double
+        place = lambda lo, hi: F.least(F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1))
+        cells = [F.when(inside(lo, hi), F.struct(F.lit(i).alias("i"), place(lo, hi).cast("int").alias("bin"))) for i, (lo, hi, *_) in enumerate(open_)]
+        found = some.select("v", F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull()))).groupBy("i", "bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        following = []
+        for i, (_, _, before, _, wanted) in enumerate(open_):
+            for r in sorted((r for r in found if r.i == i), key=lambda r: r.bin):
+                here = [k for k in wanted if before <= k < before + r.n]
+                if here:
+                    following.append((r.low, r.high, before, r.n, here))
+                before += r.n
+        open_ = following
+    return out
+
+
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles of a column, between neighbours by their distance; None without values."""
+    n = df.agg(F.count(f"`{column}`")).first()[0]
+    if not n:
+        return [None] * len(shares)
+    at = [q * (n - 1) for q in shares]
+    found = order_statistics(df, column, sorted({r for x in at for r in (math.floor(x), math.ceil(x))}))
+    return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in at]
+
+
 def described(df: DataFrame, column: str) -> DataFrame:
     """Rows, mean, deviation, least, quartiles (between neighbours by their distance) and largest of a column."""
-    quartiles = [F.percentile(column, F.lit(q)).alias(f"p{int(100 * q)}") for q in QUARTILES]
+    df = kept(df.select(column), "described")
+    quartiles = [F.lit(x).cast("double").alias(f"p{int(100 * q)}") for q, x in zip(QUARTILES, quantiles(df, column, QUARTILES), strict=True)]
     return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("least"), *quartiles, F.max(column).alias("largest"))
 
 

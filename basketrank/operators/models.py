@@ -1,31 +1,23 @@
-"""Models that score rows: MLlib trees, and baselines."""
+"""Models that score rows: MLlib trees, trees that rank within requests, and baselines."""
 
 from __future__ import annotations
 
 import json
-from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from .base import Model
+from .boosting import GroupRanker
+from .encoding import encoded, ordered, statistics
+
 
 def _write_line(values: dict, path: str) -> None:
     """One JSON line as a text file at a path that Spark can write."""
     SparkSession.active().createDataFrame([(json.dumps(values),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-class Model(ABC):
-    @abstractmethod
-    def train(self, df: DataFrame, numeric: list[str], categorical: list[str]) -> Model: ...
-
-    @abstractmethod
-    def predict(self, df: DataFrame) -> DataFrame:
-        """df with score."""
-
-    def importance(self) -> dict[str, float]:
-        return {}
-
-
 class RandomModel(Model):
     def __init__(self, seed: int = 42):
         self.seed = seed
@@ -41,56 +33,69 @@ class SingleFeatureModel(Model):
     """The score is a feature; missing values get the smallest one."""
 
     def __init__(self, feature: str, desc: bool = True):
-        self.feature, self.desc = feature, desc
+        self.feature, self.desc, self.least = feature, desc, None
 
     def train(self, df, numeric, categorical):
         if self.feature not in df.columns:
             raise ValueError(f"no column {self.feature}")
+        self.least = df.agg(F.min(self._value())).first()[0]
         return self
 
+    def _value(self):
+        value = F.col(f"`{self.feature}`").cast("double")
+        return F.when(~F.isnan(value), value)
+
     def predict(self, df):
-        value = F.when(~F.isnan(F.col(self.feature).cast("double")), F.col(self.feature).cast("double"))
-        score = F.coalesce(value, F.lit(df.agg(F.min(value)).first()[0]))
+        score = F.coalesce(self._value(), F.lit(self.least))
         return df.withColumn("score", score if self.desc else -score)
 
     def importance(self):
         return {self.feature: 1.0}
 
     def save(self, path: str) -> None:
-        _write_line({"feature": self.feature, "desc": self.desc}, f"{path}/feature")
+        _write_line({"feature": self.feature, "desc": self.desc, "least": self.least}, f"{path}/feature")
 
     @staticmethod
     def load(path: str) -> SingleFeatureModel:
         made = json.loads(SparkSession.active().read.text(f"{path}/feature").first()[0])
-        return SingleFeatureModel(made["feature"], made["desc"])
+        model = SingleFeatureModel(made["feature"], made["desc"])
+        model.least = made["least"]
+        return model
 
 
 class TreeModel(Model):
-    """Gradient-boosted trees: a classifier of labels over a half, or (rank) a regressor on graded labels."""
+    """Gradient-boosted trees of MLlib: a classifier of labels over a half, or (rank) a pointwise regressor on graded labels.
+
+    Categories of any number of values become ordered target statistics, in an order of the unique idx if df has one.
+    """
 
     def __init__(self, rank: bool = False, iterations: int = 20, depth: int = 5, seed: int = 42):
         self.rank, self.iterations, self.depth, self.seed, self.fitted = rank, iterations, depth, seed, None
 
-    def _stages(self, numeric, categorical):
-        from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-        index = [StringIndexer(inputCol=f"{c}__text", outputCol=f"{c}__index", handleInvalid="keep") for c in categorical]
-        return [*index, VectorAssembler(inputCols=[f"{c}__filled" for c in numeric] + [f"{c}__index" for c in categorical], outputCol="features")]
-
     def _ready(self, df):
-        filled = {f"{c}__filled": F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(-1e9)), F.lit(-1e9)) for c in self.numeric}
-        return df.withColumns(filled | {f"{c}__text": F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in self.categorical})
+        columns = [*self.numeric, *[f"{c}__stat" for c in self.categorical]]
+        return df.withColumns({f"x{i}__filled": F.nanvl(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(-1e9)), F.lit(-1e9)) for i, c in enumerate(columns)})
 
     def train(self, df, numeric, categorical):
         from pyspark.ml import Pipeline
         from pyspark.ml.classification import GBTClassifier
+        from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import GBTRegressor
 
         self.numeric, self.categorical = list(numeric), list(categorical)
         kind = GBTRegressor if self.rank else GBTClassifier
         tree = kind(maxIter=self.iterations, maxDepth=self.depth, maxBins=128, seed=self.seed, featuresCol="features", labelCol="y")
         label = F.col("label").cast("double") if self.rank else (F.col("label") > 0.5).cast("double")
-        self.fitted = Pipeline(stages=[*self._stages(self.numeric, self.categorical), tree]).fit(self._ready(df).withColumn("y", label))
+        df = df.withColumn("y", label)
+        self.mean, self.found = 0.0, None
+        if self.categorical:
+            self.mean = df.agg(F.avg("y")).first()[0] or 0.0
+            self.found = kept(statistics(df, self.categorical, "y"), "statistics")
+            # without an idx rows are in the order in which they are written
+            df = df if "idx" in df.columns else kept(df.withColumn("idx", F.monotonically_increasing_id()), "numbered")
+            df = ordered(df, self.categorical, "y", self.mean, seed=self.seed)
+        assembled = VectorAssembler(inputCols=[f"x{i}__filled" for i in range(len(self.numeric + self.categorical))], outputCol="features")
+        self.fitted = Pipeline(stages=[assembled, tree]).fit(self._ready(df))
         return self
 
     def predict(self, df):
@@ -99,7 +104,7 @@ class TreeModel(Model):
         missing = [c for c in self.numeric + self.categorical if c not in df.columns]
         if missing:
             raise ValueError(f"missing columns {missing}")
-        out = self.fitted.transform(self._ready(df))
+        out = self.fitted.transform(self._ready(encoded(df, self.categorical, self.found, self.mean)))
         score = F.col("prediction") if self.rank else vector_to_array("probability")[1]
         return out.select(*df.columns, score.alias("score"))
 
@@ -109,10 +114,12 @@ class TreeModel(Model):
 
     def save(self, path: str) -> None:
         """The fitted stages, and beside them what they were fitted with."""
-        made = {k: getattr(self, k) for k in ("rank", "iterations", "depth", "seed", "numeric", "categorical")}
+        made = {k: getattr(self, k) for k in ("rank", "iterations", "depth", "seed", "numeric", "categorical", "mean")}
         self.fitted.write().overwrite().save(f"{path}/stages")
         _write_line(made, f"{path}/columns")
         _write_line(self.importance(), f"{path}/importance")
+        if self.found is not None:
+            self.found.write.mode("overwrite").parquet(f"{path}/statistics")
 
     @staticmethod
     def load(path: str) -> TreeModel:
@@ -120,7 +127,8 @@ class TreeModel(Model):
 
         made = json.loads(SparkSession.active().read.text(f"{path}/columns").first()[0])
         model = TreeModel(made["rank"], made["iterations"], made["depth"], made["seed"])
-        model.numeric, model.categorical = made["numeric"], made["categorical"]
+        model.numeric, model.categorical, model.mean = made["numeric"], made["categorical"], made["mean"]
+        model.found = SparkSession.active().read.parquet(f"{path}/statistics") if model.categorical else None
         model.fitted = PipelineModel.load(f"{path}/stages")
         return model
 
@@ -132,7 +140,7 @@ def top_importance(model: Model, n: int = 20) -> list[tuple[str, float]]:
 
 MODELS = {
     "random": RandomModel, "single_feature": SingleFeatureModel, "classifier": TreeModel,
-    "ranker": lambda **x: TreeModel(rank=True, **x),
+    "ranker": GroupRanker, "pointwise_ranker": lambda **x: TreeModel(rank=True, **x),
 }
 
 

@@ -10,6 +10,7 @@ from ..plans.registry import REGISTRY
 from ..sources.shared import kept
 
 DIMENSIONS = 20
+_READS = ["user_id", "product_id", "product_name", "action_type"]
 
 
 def embed(items: DataFrame, key: str, text: str, backend: str = "hashing", size: int = 64) -> DataFrame:
@@ -65,7 +66,7 @@ def _embeddings(key: str, text: str, prefix: str):
 
 for _name, _of in {"product_embeddings": ("product_id", "product_name", "product"), "category_embeddings": ("product_category", "product_category", "cat")}.items():
     _columns, _make = _embeddings(*_of)
-    REGISTRY.feature(_name, _columns)(_make)
+    REGISTRY.feature(_name, _columns, reads=_of[:2], passes=2)(_make)
 
 _dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 _norm = lambda a: F.sqrt(_dot(a, a))
@@ -87,7 +88,7 @@ def centres(past: DataFrame, weights: list[str]) -> DataFrame:
 SIMILARITY = ["purchase_weighted_similarity", "cart_weighted_similarity", "max_purchase_similarity_history", "max_cart_similarity_history"]
 
 
-@REGISTRY.feature("user_product_similarity", SIMILARITY)
+@REGISTRY.feature("user_product_similarity", SIMILARITY, reads=_READS, passes=2)
 def user_product_similarity(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     """Cosine of an item to the user's weighted mean vector, and the largest to one of the user's items, by purchases and by carts.
 
@@ -137,14 +138,14 @@ def cluster_ratios(h: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.select("user_id", "cluster", *[F.coalesce(F.try_divide(F.col(c), F.sum(c).over(totals)), F.lit(0.0)).alias(c) for c in CLUSTER])
 
 
-@REGISTRY.feature("text_similarity_cluster", CLUSTER, ["product_text_cluster"])
+@REGISTRY.feature("text_similarity_cluster", CLUSTER, ["product_text_cluster"], reads=_READS, passes=2)
 def text_cluster(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     labels = config.get("labels") or clusters(item_vectors(h, t, "product_id", "product_name", config))
     out = t.join(labels, "product_id", "left").join(cluster_ratios(h, labels), ["user_id", "cluster"], "left").fillna(0.0, CLUSTER)
     return out.withColumn("product_text_cluster", F.coalesce("cluster", F.lit(-1))).drop("cluster")
 
 
-@REGISTRY.feature("text_diversity_features", ["distance_from_centroid", "relative_diversity"])
+@REGISTRY.feature("text_diversity_features", ["distance_from_centroid", "relative_diversity"], reads=_READS, passes=2)
 def text_diversity(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     """Distance of an item to the centroid of the user's purchases and views, and that over their mean distance."""
     v = item_vectors(h, t, "product_id", "product_name", config)

@@ -18,6 +18,9 @@ class Feature:
     numeric: tuple[str, ...] = ()
     categorical: tuple[str, ...] = ()
     depends_on: tuple[str, ...] = ()
+    #: columns of the log that the generator reads (None: any); how often it reads history
+    reads: tuple[str, ...] | None = None
+    passes: int = 1
 
 
 @dataclass
@@ -25,14 +28,14 @@ class Registry:
     features: dict[str, Feature] = field(default_factory=dict)
     targets: dict[str, Callable[[DataFrame, dict], DataFrame]] = field(default_factory=dict)
 
-    def feature(self, name: str, numeric=(), categorical=(), depends_on=()):
+    def feature(self, name: str, numeric=(), categorical=(), depends_on=(), reads=None, passes=1):
         def add(make: Generator) -> Generator:
             if name in self.features:
                 raise ValueError(f"feature {name} is registered already")
             columns = {c for f in self.features.values() for c in f.numeric + f.categorical}
             if clash := columns & ({*numeric, *categorical} - {"source_type", "city_name"}):
                 raise ValueError(f"columns {sorted(clash)} belong to another feature")
-            self.features[name] = Feature(name, make, tuple(numeric), tuple(categorical), tuple(depends_on))
+            self.features[name] = Feature(name, make, tuple(numeric), tuple(categorical), tuple(depends_on), None if reads is None else tuple(reads), passes)
             return make
 
         return add
@@ -64,6 +67,15 @@ class Registry:
             visit(n, ())
         return out
 
+    def log_columns(self, names: list[str]) -> list[str] | None:
+        """The columns of the log that the named features and those they depend on read, ts first; None if one may read any."""
+        some = [self.features[n].reads for n in self.order(names)]
+        return None if None in some else list(dict.fromkeys(["ts", *[c for reads in some for c in reads]]))
+
+    def passes(self, names: list[str]) -> int:
+        """How often the named features and those they depend on read history."""
+        return sum(self.features[n].passes for n in self.order(names))
+
     def features_of(self, history: DataFrame, target: DataFrame, names: list[str], config: dict | None = None) -> DataFrame:
         """The target's columns and those that the named features declare, in the order asked for."""
         if len(set(names)) < len(names):

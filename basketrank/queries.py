@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.common import micros, running
-from .operators import basic, cf, metrics, models, selection, targets, text
+from .operators import basic, cf, encoding, metrics, models, selection, targets, text
 from .plans import cache, split
 from .plans.registry import REGISTRY
 from .sources import interactions as logs
@@ -30,13 +30,23 @@ h AS (SELECT * FROM o WHERE ts < (SELECT max(ts) FROM o) - INTERVAL 90 DAY),
 t AS (SELECT * FROM o WHERE ts >= (SELECT max(ts) FROM o) - INTERVAL 90 DAY)"""
 
 
-def split_events(spark, sf_dir):
-    """History and target of the event log, which is written once: a query reads it several times."""
-    return split.timewise(shared.kept(logs.event_log(spark, sf_dir), "log"), DAYS)
+def split_events(spark, sf_dir, columns: list[str] | None = None, once: bool = False):
+    """History and target of the event log, of the columns named.
 
+    Written once (those columns only) if a query reads it several times; once: read where it is, the cut in time as a filter of the scan.
+    """
+    log = logs.event_log(spark, sf_dir)
+    log = log if columns is None else log.select(*dict.fromkeys(["idx", "ts", *columns]))
+    return split.timewise(log if once else shared.kept(log, "log"), DAYS)
 
-def split_orders(spark, sf_dir):
-    return split.timewise(shared.kept(logs.order_log(spark, sf_dir), "log"), 90)
+
+def split_orders(spark, sf_dir, columns: list[str]):
+    return split.timewise(shared.kept(logs.order_log(spark, sf_dir).select(*dict.fromkeys(["ts", *columns])), "log"), 90)
+
+
+def features(spark, sf_dir, names: list[str], config: dict | None = None) -> DataFrame:
+    """Features on the event log, which is read where it is if they read history no more than once."""
+    return REGISTRY.features_of(*split_events(spark, sf_dir, REGISTRY.log_columns(names), REGISTRY.passes(names) < 2), names, config)
 
 
 def _same_types(df: DataFrame) -> DataFrame:
@@ -68,8 +78,7 @@ def feature(name: str, generator: str, columns: list[str], values: str | None, c
     """A feature on the event log: idx and its columns. values: the SELECT over h and t, its columns named."""
 
     def run(spark, sf_dir):
-        h, t = split_events(spark, sf_dir)
-        return REGISTRY.features_of(h, t, [generator], config).select("idx", *columns)
+        return features(spark, sf_dir, [generator], config).select("idx", *columns)
 
     query(name, None if values is None else f"{SPLIT_SQL}{cte}\n{values}")(run)
 
@@ -93,19 +102,19 @@ def _epoch(s, d):
 
 
 query("split_timewise", f"{SPLIT_SQL} SELECT 'history' AS part, idx FROM h UNION ALL SELECT 'target', idx FROM t")(
-    lambda s, d: (lambda p: p[0].select(F.lit("history").alias("part"), "idx").union(p[1].select(F.lit("target"), "idx")))(split_events(s, d))
+    lambda s, d: (lambda p: p[0].select(F.lit("history").alias("part"), "idx").union(p[1].select(F.lit("target"), "idx")))(split_events(s, d, [], once=True))
 )
 query("split_train", f"""{SPLIT_SQL}, c AS (SELECT max(ts) AS m FROM h)
 SELECT CASE WHEN ts < m - INTERVAL {DAYS} DAY THEN 'train_history' ELSE 'train_target' END AS part, idx FROM h, c
 UNION ALL SELECT 'validation_history', idx FROM h UNION ALL SELECT 'validation', idx FROM t""")(
-    lambda s, d: (lambda p: p[0].select(F.lit("train_history").alias("part"), "idx").union(p[1].select(F.lit("train_target"), "idx")).union(p[2].select(F.lit("validation_history"), "idx")).union(p[3].select(F.lit("validation"), "idx")))(split.train(shared.kept(logs.event_log(s, d), "log"), DAYS))
+    lambda s, d: (lambda p: p[0].select(F.lit("train_history").alias("part"), "idx").union(p[1].select(F.lit("train_target"), "idx")).union(p[2].select(F.lit("validation_history"), "idx")).union(p[3].select(F.lit("validation"), "idx")))(split.train(logs.event_log(s, d).select("idx", "ts"), DAYS))
 )
 query("split_holdout", f"{SPLIT_SQL} SELECT idx, ts >= (SELECT max(ts) FROM f) - INTERVAL 3 DAY AS held FROM f")(
-    lambda s, d: (lambda p: p[0].select("idx", F.lit(False).alias("held")).union(p[1].select("idx", F.lit(True))))(split.holdout(shared.kept(logs.event_log(s, d), "log"), 3))
+    lambda s, d: (lambda p: p[0].select("idx", F.lit(False).alias("held")).union(p[1].select("idx", F.lit(True))))(split.holdout(logs.event_log(s, d).select("idx", "ts"), 3))
 )
 query("split_final", f"""{SPLIT_SQL} SELECT 'history' AS part, count(*) AS n, epoch_us(max(ts)) AS last_ts FROM h
 UNION ALL SELECT 'target', count(*), epoch_us(max(ts)) FROM t""")(
-    lambda s, d: (lambda p: p[0].agg(F.lit("history").alias("part"), F.count("*").alias("n"), F.max("ts").alias("last_ts")).union(p[1].agg(F.lit("target"), F.count("*"), F.max("ts"))))(split.final(*split.holdout(shared.kept(logs.event_log(s, d), "log"), 3), DAYS))
+    lambda s, d: (lambda p: p[0].agg(F.lit("history").alias("part"), F.count("*").alias("n"), F.max("ts").alias("last_ts")).union(p[1].agg(F.lit("target"), F.count("*"), F.max("ts"))))(split.final(*split.holdout(logs.event_log(s, d).select("idx", "ts"), 3), DAYS))
 )
 query("split_profile", f"""{SPLIT_SQL} SELECT epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts, count(*) AS n, CAST(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS BIGINT) AS days
 FROM f""")(lambda s, d: split.profile(logs.event_log(s, d)))
@@ -130,7 +139,7 @@ for _pair, _keys in basic.PAIRS.items():
     _window_ctes.append(f", a_{_pair} AS (SELECT {_k}, {', '.join(_parts)} FROM h WHERE ts > (SELECT max(ts) FROM h) - INTERVAL 365 DAY GROUP BY {_k})")
 
     def _windows(s, d, pair=_pair, keys=_keys):
-        h, t = split_orders(s, d)
+        h, t = split_orders(s, d, [*keys, "action_type"])
         return t.select(*keys).distinct().join(basic.time_window_stats(h, pair), keys, "left")
 
     query(f"fg_time_windows_{_pair}", f"""{ORDER_SPLIT_SQL}, a AS (SELECT {_k}, {', '.join(_parts)} FROM h WHERE ts > (SELECT max(ts) FROM h) - INTERVAL 365 DAY
@@ -180,7 +189,7 @@ for _name, (_key, _p, _fn, _days) in basic.TRENDS.items():
     _v = lambda c, a, mid=_mid: as_rounded(f"(count(*) FILTER ({c} AND epoch_us(ts) >= {mid}) - count(*) FILTER ({c} AND epoch_us(ts) < {mid})) / greatest(1, count(*) FILTER ({c} AND epoch_us(ts) < {mid}))", a)
 
     def _tr(s, d, key=_key, p=_p, fn=_fn, days=_days):
-        return basic.trend(split_orders(s, d)[0], key, p, fn(), days)
+        return basic.trend(split_orders(s, d, [key, "action_type"])[0], key, p, fn(), days)
 
     query(f"fg_{_name}_trend", f"""{ORDER_SPLIT_SQL} SELECT {_key}, {_v('true', f'{_p}interaction_trend')}, {_v(_buy, f'{_p}purchase_trend')}
 FROM h{_where} GROUP BY {_key}""")(_tr)
@@ -193,16 +202,17 @@ WHEN count(*) FILTER (action_type = 'AT_Purchase') / greatest(1, count(*) FILTER
 WHEN epoch_us(max(ts)) - epoch_us(min(ts)) > 30 * 86400000000 THEN 'loyal_user' ELSE 'average_user' END AS g FROM h GROUP BY user_id) USING (user_id)""")
 
 # ---- collaborative filtering
+_ACTS = ["user_id", "product_id", "action_type"]
 _M = f", m AS (SELECT user_id, product_id, count(*) AS cnt FROM h WHERE {_BUY} GROUP BY ALL)"
 _J = ", z AS (SELECT user_id, count(*) AS n FROM m GROUP BY ALL), j AS (SELECT x.user_id AS a, y.user_id AS b, count(*) AS c FROM m x JOIN m y USING (product_id) GROUP BY ALL), js AS (SELECT a, b, c / (za.n + zb.n - c) AS sim FROM j JOIN z za ON za.user_id = a JOIN z zb ON zb.user_id = b)"
 _N = ", z AS (SELECT product_id, count(*) AS n FROM m GROUP BY ALL), uu AS (SELECT count(DISTINCT user_id) AS u FROM m), j AS (SELECT x.product_id AS a, y.product_id AS b, count(*) AS c FROM m x JOIN m y USING (user_id) WHERE x.product_id <> y.product_id GROUP BY ALL), np AS (SELECT a, b, CASE WHEN c = u THEN 0 ELSE ln((c / u) / ((za.n / u) * (zb.n / u))) / -ln(c / u) END AS npmi FROM j JOIN z za ON za.product_id = a JOIN z zb ON zb.product_id = b, uu)"
 _KNOWN = "t LEFT JOIN (SELECT DISTINCT user_id, 1 AS ku FROM m) USING (user_id) LEFT JOIN (SELECT DISTINCT product_id, 1 AS kp FROM m) USING (product_id)"
-query("interaction_matrix", f"{ORDER_SPLIT_SQL}{_M} SELECT user_id, product_id, cnt FROM m")(lambda s, d: cf.interaction_matrix(split_orders(s, d)[0]))
-query("cf_jaccard", f"{SPLIT_SQL}{_M}{_J} SELECT a, b, {as_rounded('sim', 'sim')} FROM js")(lambda s, d: cf.jaccard(cf.interaction_matrix(split_events(s, d)[0])))
-query("cf_npmi", f"{SPLIT_SQL}{_M}{_N} SELECT a, b, {as_rounded('npmi', 'npmi')} FROM np")(lambda s, d: cf.npmi(cf.interaction_matrix(split_events(s, d)[0])))
+query("interaction_matrix", f"{ORDER_SPLIT_SQL}{_M} SELECT user_id, product_id, cnt FROM m")(lambda s, d: cf.interaction_matrix(split_orders(s, d, _ACTS)[0]))
+query("cf_jaccard", f"{SPLIT_SQL}{_M}{_J} SELECT a, b, {as_rounded('sim', 'sim')} FROM js")(lambda s, d: cf.jaccard(cf.interaction_matrix(split_events(s, d, _ACTS)[0])))
+query("cf_npmi", f"{SPLIT_SQL}{_M}{_N} SELECT a, b, {as_rounded('npmi', 'npmi')} FROM np")(lambda s, d: cf.npmi(cf.interaction_matrix(split_events(s, d, _ACTS)[0])))
 query("cf_idf", f"""{ORDER_SPLIT_SQL}, m AS (SELECT DISTINCT user_id, product_id FROM h
 WHERE action_type IN ('AT_CartUpdate','AT_Purchase','AT_Click')) SELECT product_id, {as_rounded('ln((SELECT count(DISTINCT user_id) FROM m) / (count(*) + 1))', 'idf')}
-FROM m GROUP BY product_id""")(lambda s, d: cf.idf(cf.interaction_matrix(split_orders(s, d)[0], cf._ACT, True)))
+FROM m GROUP BY product_id""")(lambda s, d: cf.idf(cf.interaction_matrix(split_orders(s, d, _ACTS)[0], cf._ACT, True)))
 feature("fg_memory_cf", "memory-based-cf", ["cf_score"], f"""SELECT idx, {as_rounded('CASE WHEN ku = 1 AND kp = 1 THEN coalesce(v, 0) END', 'cf_score')} FROM {_KNOWN} LEFT
 JOIN (SELECT a AS user_id, product_id, sum(sim * cnt) AS v FROM js JOIN m ON m.user_id = b
 GROUP BY ALL) USING (user_id, product_id)""", _M + _J)
@@ -221,7 +231,7 @@ def _vectors(s, d):
 
 def _given(generator, columns):
     def run(s, d):
-        h, t = split_events(s, d)
+        h, t = split_events(s, d, REGISTRY.log_columns([generator]))
         labels = logs.scan(s, f"{d}/embeddings.parquet").select(F.col("vec_id").alias("product_id"), F.col("label").alias("cluster"))
         return REGISTRY.features_of(h, t, [generator], {"vectors": _vectors(s, d), "labels": labels}).select("idx", *columns)
 
@@ -268,7 +278,7 @@ def _places(vector):
 
 
 query("text_clusters")(lambda s, d: text.clusters(_vectors(s, d)))
-query("text_items")(lambda s, d: text.item_vectors(*split_events(s, d), "product_id", "product_name", {}).select("product_id", F.inline(_places("vector"))))
+query("text_items")(lambda s, d: text.item_vectors(*split_events(s, d, ["product_id", "product_name"]), "product_id", "product_name", {}).select("product_id", F.inline(_places("vector"))))
 query("text_embed")(lambda s, d: text.embed(logs.scan(s, f"{d}/part.parquet"), "p_partkey", "p_name", "word2vec", 16).select("p_partkey", F.inline(_places("vector"))))
 query("text_pca")(lambda s, d: text.reduce(_vectors(s, d), "product_id").select("product_id", F.inline(_places("vector"))))
 
@@ -293,17 +303,18 @@ _OK = "coalesce(request_id IN (SELECT request_id FROM ok), false) AND source_typ
 query("tg_clean_mask", f"{SPLIT_SQL}, {_MASK} SELECT idx, {_OK} AS accepted FROM f")(lambda s, d: targets.clean_mask(logs.event_log(s, d), _CLEAN).select("idx", "accepted"))
 
 # ---- framework
+_LABELLED = ["request_id", "user_id", "product_id", "action_type"]
 query("pipeline_batch", f"""{SPLIT_SQL}, {_MASK.replace('FROM f', 'FROM t')} SELECT idx, request_id, {as_rounded('label', 'label')}, coalesce(n, 0) AS count_purchase_u_p
 FROM (SELECT *, {_pair.format(_grade)} AS label FROM t)
 LEFT JOIN (SELECT user_id, product_id, count(*) AS n FROM h WHERE action_type = 'AT_CartUpdate' GROUP BY ALL) USING (user_id, product_id)
 WHERE label IS NOT NULL AND {_OK}""")(
-    lambda s, d: REGISTRY.batch(*split_events(s, d), ["count_purchase_user_product"], {"name": "Weighted"}, _CLEAN).select("idx", "request_id", "label", "count_purchase_u_p")
+    lambda s, d: REGISTRY.batch(*split_events(s, d, [*_LABELLED, "source_type"]), ["count_purchase_user_product"], {"name": "Weighted"}, _CLEAN).select("idx", "request_id", "label", "count_purchase_u_p")
 )
 _SOME = ["user_total_interactions", "user_total_purchases", "user_total_views", "user_unique_products", "product_total_interactions", "product_total_views"]
 query("pipeline_features", f"""{SPLIT_SQL} SELECT idx, user_total_interactions, user_unique_products, product_total_interactions FROM t LEFT
 JOIN (SELECT user_id, count(*) AS user_total_interactions, count(DISTINCT product_id) AS user_unique_products FROM h GROUP BY ALL) USING (user_id)
 LEFT JOIN (SELECT product_id, count(*) AS product_total_interactions FROM h GROUP BY ALL) USING (product_id)""")(
-    lambda s, d: REGISTRY.features_of(*split_events(s, d), ["user_stats", "product_stats"]).select("idx", "user_total_interactions", "user_unique_products", "product_total_interactions")
+    lambda s, d: features(s, d, ["user_stats", "product_stats"]).select("idx", "user_total_interactions", "user_unique_products", "product_total_interactions")
 )
 
 
@@ -311,7 +322,7 @@ LEFT JOIN (SELECT product_id, count(*) AS product_total_interactions FROM h GROU
 JOIN (SELECT user_id, count(*) AS user_total_interactions, count(DISTINCT product_id) AS user_unique_products FROM h
 GROUP BY ALL) USING (user_id)""")
 def _cached(s, d):
-    (h, t), folder = split_events(s, d), shared.place(s, "features")
+    (h, t), folder = split_events(s, d, REGISTRY.log_columns(["user_stats"])), shared.place(s, "features")
     cache.cached(folder, "user_stats", h, t)
     return cache.cached(folder, "user_stats", h, t).select("idx", "user_total_interactions", "user_unique_products")
 
@@ -322,22 +333,22 @@ FROM h GROUP BY ALL) USING (user_id)
 LEFT JOIN (SELECT product_id, count(*) AS product_total_interactions, count(*) FILTER (action_type = 'AT_View') AS product_total_views FROM h
 GROUP BY ALL) USING (product_id))"""
 query("corr_matrix", _UP + "\n" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {as_rounded(f'abs(corr({a}, {b}))', 'corr')} FROM x" for i, a in enumerate(_SOME) for b in _SOME[i + 1 :]))(
-    lambda s, d: selection.correlations(REGISTRY.features_of(*split_events(s, d), ["user_stats", "product_stats"]), _SOME)
+    lambda s, d: selection.correlations(features(s, d, ["user_stats", "product_stats"]), _SOME)
 )
 
 
 @query("feature_select")
 def _select(s, d):
-    df = REGISTRY.features_of(*split_events(s, d), ["user_stats", "product_stats"])
+    df = features(s, d, ["user_stats", "product_stats"])
     found = {(r.a, r.b): r["corr"] for r in selection.correlations(df, _SOME).collect()}
     return df.select("idx", *selection.select(_SOME, found, {"user_total_interactions": 1.0}))
 
 
 def _scored(s, d):
-    h, t = split_events(s, d)
+    h, t = split_events(s, d, _LABELLED)
     t = REGISTRY.labelled(t, "Weighted").filter("label is not null")
     featured = shared.kept(REGISTRY.features_of(h, t, ["product_stats"]), "scored")
-    return models.SingleFeatureModel("product_total_purchases").predict(featured)
+    return models.SingleFeatureModel("product_total_purchases").train(featured, [], []).predict(featured)
 
 
 _SCORED = f""", y AS (SELECT *, {_pair.format(_grade)} AS label
@@ -373,7 +384,7 @@ FROM a GROUP BY request_id HAVING sum(hit) > 0)""")(lambda s, d: metrics.mean_av
 
 
 def _users(s, d):
-    h, t = split_events(s, d)
+    h, t = split_events(s, d, ["user_id", "product_id", "action_type"])
     bought = cf.interaction_matrix(h).select("user_id", "product_id", F.lit(1).alias("b"))
     one = t.groupBy("user_id", "product_id").agg((F.count("*") / 10).alias("score"))
     return h, one.join(bought, ["user_id", "product_id"], "left").select("user_id", "product_id", "score", F.coalesce("b", F.lit(0)).alias("has_purchased"))
@@ -401,32 +412,59 @@ FROM (SELECT quality, least(greatest(score, 1e-15), 1 - 1e-15) AS p FROM g)""")(
 query("top_interactions", f"{SPLIT_SQL} SELECT product_id, count(*) AS n FROM f GROUP BY ALL ORDER BY n DESC, product_id LIMIT 20")(lambda s, d: logs.event_log(s, d).groupBy("product_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "product_id").limit(20))
 
 
+_MODEL_FEATURES = ["user_stats", "product_stats", "count_purchase_user_product"]
+_MODEL_COLUMNS = [c for n in _MODEL_FEATURES for c in REGISTRY.features[n].numeric]
+_MODEL_CATEGORIES = ["source_type", "product_category", "city_name"]
+
+
+def _batch(s, d, label):
+    h, t = split_events(s, d, [*_LABELLED, *_MODEL_CATEGORIES])
+    return shared.kept(REGISTRY.batch(h, t, _MODEL_FEATURES, label), "batch")
+
+
+def _ranked(s, d):
+    batch = _batch(s, d, "Weighted")
+    return batch, models.create({"type": "ranker"}).train(batch, _MODEL_COLUMNS, _MODEL_CATEGORIES)
+
+
 @query("model_ranker")
 def _ranker(s, d):
-    h, t = split_events(s, d)
-    names = ["user_stats", "product_stats", "count_purchase_user_product"]
-    columns = [c for n in names for c in REGISTRY.features[n].numeric]
-    batch = shared.kept(REGISTRY.batch(h, t, names, "Weighted"), "batch")
-    return models.TreeModel(rank=True).train(batch, columns, ["source_type"]).predict(batch).select("idx", "score")
+    """Trees by pairwise gradients within requests."""
+    batch, model = _ranked(s, d)
+    return model.predict(batch).select("idx", "score")
+
+
+@query("model_pointwise_ranker")
+def _pointwise(s, d):
+    batch = _batch(s, d, "Weighted")
+    return models.create({"type": "pointwise_ranker"}).train(batch, _MODEL_COLUMNS, _MODEL_CATEGORIES).predict(batch).select("idx", "score")
 
 
 @query("model_classifier")
 def _classifier(s, d):
-    h, t = split_events(s, d)
-    names = ["user_stats", "product_stats", "count_purchase_user_product"]
-    columns = [c for n in names for c in REGISTRY.features[n].numeric]
-    batch = shared.kept(REGISTRY.batch(h, t, names, "CartUpdate_Purchase_vs_View"), "batch")
-    return models.TreeModel().train(batch, columns, ["source_type"]).predict(batch).select("idx", "score")
+    batch = _batch(s, d, "CartUpdate_Purchase_vs_View")
+    return models.create({"type": "classifier"}).train(batch, _MODEL_COLUMNS, _MODEL_CATEGORIES).predict(batch).select("idx", "score")
 
 
 @query("model_importance")
 def _importance(s, d):
-    """The 20 columns that matter most to the ranker."""
-    h, t = split_events(s, d)
-    names = ["user_stats", "product_stats", "count_purchase_user_product"]
-    columns = [c for n in names for c in REGISTRY.features[n].numeric]
-    model = models.TreeModel(rank=True).train(shared.kept(REGISTRY.batch(h, t, names, "Weighted"), "batch"), columns, ["source_type"])
-    return s.createDataFrame(models.top_importance(model), "column string, importance double")
+    """The 20 columns that matter most to the ranker: their share of the gain, and what NDCG loses when they are shuffled."""
+    _, model = _ranked(s, d)
+    lost = model.loss_importance()
+    return s.createDataFrame([(c, x, lost[c]) for c, x in models.top_importance(model)], "column string, importance double, ndcg_lost double")
+
+
+# target statistics: the label of rows of the category that come before in a fixed order (here that of idx)
+query("target_statistics", f"""{SPLIT_SQL}, y AS (SELECT *, {_pair.format(_grade)} AS label FROM t), m AS (SELECT avg(label) AS mean FROM y WHERE label IS NOT NULL)
+SELECT coalesce(product_category, 'NA') AS value, {as_rounded('(sum(label) + (SELECT mean FROM m)) / (count(label) + 1)', 'stat')}, count(label) AS n
+FROM y WHERE label IS NOT NULL GROUP BY ALL""")(lambda s, d: _statistics(s, d))
+
+
+def _statistics(s, d):
+    batch = REGISTRY.labelled(split_events(s, d, [*_LABELLED, "product_category"])[1], "Weighted").filter("label is not null")
+    mean = batch.agg(F.avg("label")).first()[0] or 0.0
+    found = encoding.statistics(batch, ["product_category"], "label")
+    return found.select("value", ((F.col("total") + mean) / (F.col("n") + 1)).alias("stat"), "n")
 
 
 query("stream_hourly_counts", f"""{SPLIT_SQL} SELECT user_id, epoch_us(date_trunc('hour', ts)) AS hour, count(*) AS interactions, count(*) FILTER (action_type = 'AT_View') AS views, count(*) FILTER ({_BUY}) AS purchases

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .files import Folder
+
 EVENT_LOG = """
 WITH e AS (
   SELECT event_id, ts, user_id, event_type, CAST({json} AS BIGINT) AS product_id, event_id % 10 AS store_id,
@@ -58,15 +62,24 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_to_timestamp(df: DataFrame, column: str = "timestamp") -> DataFrame:
-    """An epoch column as a timestamp; one value over 10^12 at the head means milliseconds. Without the column: unchanged."""
+    """An epoch column as a timestamp; a largest value over 10^12 means milliseconds. Nulls stay null; without the column: unchanged."""
     if column not in df.columns:
         return df
-    first = df.select(column).head(1)
-    if not first or first[0][0] is None:
-        return df.withColumn(column, F.timestamp_seconds(column))
-    return df.withColumn(column, F.timestamp_millis(column) if first[0][0] > 1e12 else F.timestamp_seconds(F.col(column)))
+    largest = df.agg(F.max(F.abs(F.col(f"`{column}`")))).first()[0]
+    at = F.col(f"`{column}`")
+    return df.withColumn(column, F.timestamp_millis(at) if largest is not None and largest > 1e12 else F.timestamp_seconds(at))
 
 
 def write_submission(df: DataFrame, path: str) -> None:
-    """index and request_id as CSV with a header, in one file."""
-    df.select("index", "request_id").coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """index and request_id as one CSV file with a header, in the order of df.
+
+    A globally sorted df has its ranges in the order of its partitions; tasks write them side by side, and the files are joined.
+    """
+    base, _, name = path.rstrip("/").rpartition("/")
+    parts = f"{name}-{uuid.uuid4().hex}"
+    df.select("index", "request_id").write.csv(f"{base}/{parts}", header=False)
+    folder = Folder(df.sparkSession, base or ".")
+    folder.remove(name)
+    # a part's name begins with the number of its partition
+    folder.whole(name, [f"{parts}/{p}" for p in sorted(folder.lengths(parts)) if p.startswith("part-")], "index,request_id\n")
+    folder.remove(parts)
