@@ -12,8 +12,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _made: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -50,6 +52,31 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
+#: Names that Hadoop's connectors have for stores of Arrow's file systems.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
+
+
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a URI of Hadoop's, and the path in it; for files that are no tables."""
+    scheme, colon, rest = uri.partition(":")
+    try:
+        return pafs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + colon + rest)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"files can't be written to {uri}: name a folder of another store as spark.checkpoint.dir ({e})") from e
+
+
+def file_folder(spark: SparkSession, name: str) -> str:
+    """shared_folder for files that tasks write themselves; a store that they can't open is refused here, before any job."""
+    path = shared_folder(spark, name)
+    store(path)
+    return path
+
+
+def quoted(column: str) -> str:
+    """A column's name as an expression, whatever it has in it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes what shared_folder has named so far in this process, once results that read it are written; how many paths."""
     n = len(_made)
@@ -109,7 +136,7 @@ def releasing(f: Callable) -> Callable:
     return run
 
 
-def map_slices(df: DataFrame, f: Callable, schema: str, *columns: str, limit: int | None = None, last: Callable = release) -> DataFrame:
+def map_slices(df: DataFrame, f: Callable, schema: str | StructType, *columns: str, limit: int | None = None, last: Callable = release) -> DataFrame:
     """mapInArrow in which f(batch) sees at most a few MB of the text column at a time; last() ends each task."""
     from .textarrays import SLICE_BYTES, plain, slices
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_folder
+from .common import file_folder, store
 
 SCHEMA = "page_id long, warc_type string, record_id string, refers_to long, refers_uri string, target_uri string, digest string, payload_bytes long, payload binary"
 #: What a revisit is (a fixed value).
@@ -77,7 +77,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path, self.date = path, date
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        fs, folder = pafs.FileSystem.from_uri(self.path)
+        fs, folder = store(self.path)
         fs.create_dir(folder, recursive=True)
         name, out = f"{uuid.uuid4().hex}.warc.gz", None
         for batch in iterator:
@@ -92,13 +92,13 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(name, size)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, folder = pafs.FileSystem.from_uri(self.path)
+        fs, folder = store(self.path)
         fs.create_dir(folder, recursive=True)
         with fs.open_output_stream(f"{folder}/manifest.json") as out:
             out.write(json.dumps([[m.name, m.size] for m in messages if m is not None and m.name]).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, folder = pafs.FileSystem.from_uri(self.path)
+        fs, folder = store(self.path)
         for m in messages:
             if m is not None and m.name:
                 fs.delete_file(f"{folder}/{m.name}")
@@ -124,7 +124,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        fs, folder = pafs.FileSystem.from_uri(self.path)
+        fs, folder = store(self.path)
         if fs.get_file_info(f"{folder}/manifest.json").type == pafs.FileType.NotFound:
             # archives of others: all that are there
             found = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(folder)) if x.base_name.endswith((".warc.gz", ".warc")))
@@ -148,7 +148,7 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pydict({n: [r.get(n) for r in rows] for n in names}, schema=schema)
 
     def _records(self, name: str, payloads: bool) -> Iterator[dict]:
-        fs, folder = pafs.FileSystem.from_uri(self.path)
+        fs, folder = store(self.path)
         with fs.open_input_file(f"{folder}/{name}") as file:
             window = _Window(file, name)
             at = 0
@@ -319,7 +319,7 @@ def archived(pages: DataFrame, path: str | None = None, least: int = 1000) -> st
     """Writes the pages as archives; the folder they are in."""
     spark = pages.sparkSession
     register(spark)
-    path = path or shared_folder(spark, "warc")
+    path = path or file_folder(spark, "warc")
     records(pages, least).write.format("warc").mode("append").option("path", path).save()
     return path
 

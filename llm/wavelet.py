@@ -20,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import importable, partitions, releasing, shared_folder, written
+from .common import file_folder, importable, partitions, releasing, store, written
 from .textarrays import plain, slices
 from .tokens import encoder, ended
 
@@ -152,7 +151,7 @@ def shards(docs: DataFrame, path: str, words: bool = False, end_id: int = 2, siz
     in the order of texts.
     """
     spark = docs.sparkSession
-    folder = shared_folder(spark, "wavelet")
+    folder = file_folder(spark, "wavelet")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -160,7 +159,7 @@ def shards(docs: DataFrame, path: str, words: bool = False, end_id: int = 2, siz
 
         def file() -> pa.RecordBatch:
             name = f"{folder}/{part:08d}-{number:04d}-{uuid.uuid4().hex}.wvm"
-            fs, place = pafs.FileSystem.from_uri(name)
+            fs, place = store(name)
             fs.create_dir(place.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(place, compression=None) as out:
                 out.write(build(np.concatenate(ids), np.concatenate(sizes), docs_))
@@ -188,7 +187,7 @@ def shards(docs: DataFrame, path: str, words: bool = False, end_id: int = 2, siz
 
 def opened(path: str) -> WaveletMatrix:
     """The matrix in a file of a shared folder."""
-    fs, place = pafs.FileSystem.from_uri(path)
+    fs, place = store(path)
     with fs.open_input_stream(place, compression=None) as file:
         return WaveletMatrix(file.read())
 
