@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, partitions, releasing, written
+from .common import map_slices, partitions, quoted, releasing, written
 from .components import components, local_components
 from .membership import keyed
 from .textarrays import SEPARATOR, Texts, combine, mix, plain, ragged, slices
@@ -436,7 +436,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int |
     """All columns of docs with n_lines, n_removed and the text of the kept lines."""
     columns = docs.columns
     others = [c for c in columns if c != "text"]
-    plain_docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("whole"), "doc_id", "text")
+    plain_docs = docs.select(F.struct(*[F.col(quoted(c)) for c in others]).alias("whole"), "doc_id", "text")
     docs = keyed(plain_docs)
     gone = drops(docs.select("doc_id", "key", "text"), similarity, shingle)
     out = docs.join(gone, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
@@ -448,4 +448,4 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int |
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept).alias("text")
     fields = [F.col("whole")[c].alias(c) for c in others if c not in ("n_lines", "n_removed")]
     out = out.select(*fields, text, F.coalesce(full, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"))
-    return out.select(*[F.col(f"`{c}`") for c in columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    return out.select(*[F.col(quoted(c)) for c in columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_slices
 from .textarrays import Ranges, Texts, combine, plain
@@ -154,9 +155,12 @@ def judged(docs: DataFrame, shortest: int = MIN_REPEAT) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, batch.schema.names + FIELDS)
 
     docs = docs.drop(*FIELDS, "base_failed", "kept")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{k} long" for k in FIELDS])
-    out = map_slices(docs, run, schema, *docs.columns)
+    # numbered, as names may have dots and backticks in them
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    plain_docs = docs.toDF(*names)
+    schema = StructType([*plain_docs.schema.fields, *[StructField(k, LongType()) for k in FIELDS]])
+    out = map_slices(plain_docs, run, schema, *names)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_TRIPLES * F.col("n_words"))
     much = F.col("covered_words") > MAX_COVERED * F.col("n_words")
     long = (F.col("longest_repeat") > MAX_REPEAT) & (F.col("longest_repeat") > MAX_REPEAT_SHARE * F.col("n_words"))
-    return out.withColumn("base_failed", base).withColumn("kept", ~(base | much | long))
+    return out.withColumn("base_failed", base).withColumn("kept", ~(base | much | long)).toDF(*docs.columns, *FIELDS, "base_failed", "kept")
