@@ -148,7 +148,7 @@ def learn(docs: DataFrame, per_label: int = PER_LABEL, per_text: int = PER_TEXT,
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[some])), batch.column("lang").take(pa.array(row[some])), pa.array(at[some]), data], ["doc_id", "lang", "at", "bytes"])
 
     sample = map_slices(drawn, cut, "doc_id long, lang string, at long, bytes binary", "doc_id", "lang", "text").toPandas()
-    sample = sample.sort_values(["doc_id", "lang", "at"], kind="stable")
+    sample = sample.sort_values(["doc_id", "lang", "at", "bytes"], kind="stable")
     if not len(sample):
         return None
     x = np.frombuffer(b"".join(sample["bytes"]), np.uint8).reshape(-1, LOOK)
