@@ -13,9 +13,12 @@ last but one run does, are the same in every text that has the passage. That is
 
 Rounds on Spark, each with a question about names (see membership): (1) which phrases, that is PHRASE
 neighbouring symbols, are in another document too. Half of the phrases, chosen by their names, are asked
-about. (2) Of the windows whose phrases are all shared, or that hold none, which are in a document with a
-smaller doc_id. A window is named by the symbols within it and the words at its two rims, so equal windows
-have one name in all texts, and it is the symbols that verify a repeat.
+about. (2) Where all phrases are shared, recompression goes on for up to ROUNDS rounds, and of the symbols that span a
+window or more, which are in a document with a smaller doc_id. Equal symbols are equal words, so such a symbol settles every window in
+it: a long repeat is verified by a few high symbols, and only the windows at its rims, and those of the first document that has it,
+remain. (3) Of these, which are in a document with a smaller doc_id. A window is named by the symbols within it and the words at
+its two rims, so equal windows have one name in all texts. The first document with a window is never settled, so
+all others find it.
 
 Names of 64 bits stand for words, symbols and windows; unequal ones agree with odds of 2^-64 a pair, whatever their
 form. Null texts have no words. A null doc_id counts as larger than all others. Rows with equal doc_id and text count
@@ -36,18 +39,18 @@ from .common import map_slices, written
 from .membership import answers, buckets_of, entries, keyed, with_answers
 from .textarrays import Texts, combine, mix, plain
 
-#: Neighbouring symbols of a phrase.
-PHRASE = 3
+#: Neighbouring symbols of a phrase, and rounds for high symbols: each leaves some three quarters of the symbols.
+PHRASE, ROUNDS = 3, 24
 
 
-def recompress(names: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def recompress(names: np.ndarray, row: np.ndarray, round_: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of the names after a round: their names and first places, and the first places of runs. No symbol reaches from one row into the next."""
     if not len(names):
         return names, np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (row[1:] != row[:-1])])
     length = np.diff(np.r_[at, len(names)])
     symbol, of = np.where(length > 1, combine(names[at], length.astype(np.uint64), 1), names[at]), row[at]
-    right = (mix(symbol + np.uint64(1)) & np.uint64(1)).astype(bool)
+    right = (mix(symbol + np.uint64(round_)) & np.uint64(1)).astype(bool)
     pair = np.flatnonzero(~right[:-1] & right[1:] & (of[1:] == of[:-1]))
     symbol[pair] = combine(symbol[pair], symbol[pair + 1], 2)
     keep = np.ones(len(symbol), bool)
@@ -101,6 +104,36 @@ class Words:
         np.cumsum(~shared, out=alone[1:])
         return at[(hi <= lo) | (alone[np.maximum(hi, lo)] == alone[lo])]
 
+    def high(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names, first words and lengths of the symbols of a window or more, by rounds over the words that some windows (their first words) cover.
+
+        Neighbouring words of these windows make a passage; inside of it symbols depend on its words alone.
+        """
+        cover = np.zeros(len(self.names) + 1, np.int64)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + self.window, -1)
+        words = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        of = np.cumsum(np.r_[0, (np.diff(words) != 1) | (np.diff(self.row[words]) != 0)]) if len(words) else words
+        symbol, place, out = self.names[words], np.arange(len(words)), [(np.zeros(0, np.uint64), words[:0], words[:0])]
+        for round_ in range(1, ROUNDS + 1):
+            before = len(symbol)
+            new, cut, _ = recompress(symbol, of, round_)
+            made = new != symbol[cut]
+            symbol, place, of = new, place[cut], of[cut]
+            size = np.diff(np.r_[place, len(words)])
+            tall = made & (size >= self.window)
+            out.append((symbol[tall], words[place[tall]], size[tall]))
+            if not before or len(symbol) == of[-1] + 1:
+                break
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def settled(self, at: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which windows lie within one of some symbols."""
+        edge = np.zeros(len(self.names) + 1, np.int64)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + size - self.window + 1, -1)
+        return np.cumsum(edge)[at] > 0
+
     def window_names(self, at: np.ndarray) -> np.ndarray:
         """Names of windows from the symbols inside and the words before and after them."""
         inside = np.full(len(self.names), len(self.names) + 1)  # where a symbol that begins here ends
@@ -133,21 +166,34 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False) -> Da
         names, row = Words(batch, window).phrases()
         return row, names
 
-    def candidate_windows(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray]:
+    def passages(batch: pa.RecordBatch) -> tuple[Words, np.ndarray]:
         w = Words(batch, window)
         names, row = w.phrases()
         _, place = entries(row, names, buckets)
-        at = w.candidates(_flags(batch, "shared")[place])
-        return w, at, w.window_names(at)
+        return w, w.candidates(_flags(batch, "shared")[place])
+
+    def symbol_names(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        w, at = passages(batch)
+        names, first, _ = w.high(at)
+        return w.row[first], names
+
+    def open_windows(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray]:
+        """Words, first words of the windows that high symbols settle, and of those that are still to be asked about."""
+        w, at = passages(batch)
+        names, first, size = w.high(at)
+        _, place = entries(w.row[first], names, buckets)
+        known = _flags(batch, "long")[place]
+        done = w.settled(at, first[known], size[known])
+        return w, at[done], at[~done]
 
     def window_names(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        w, at, names = candidate_windows(batch)
-        return w.row[at], names
+        w, _, at = open_windows(batch)
+        return w.row[at], w.window_names(at)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w, at, names = candidate_windows(batch)
-        _, place = entries(w.row[at], names, buckets)
-        at = at[_flags(batch, "earlier")[place]]
+        w, done, at = open_windows(batch)
+        _, place = entries(w.row[at], w.window_names(at), buckets)
+        at = np.r_[done, at[_flags(batch, "earlier")[place]]]
         edge = np.zeros(len(w.names) + 1, np.int64)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + window, -1)
@@ -171,6 +217,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False) -> Da
 
     shared = written(answers(docs, buckets, phrase_names, False), "shared")
     asked = with_answers(docs, shared, "shared")
-    earlier = answers(asked, buckets, window_names, True, "shared")
+    high = written(answers(asked, buckets, symbol_names, True, "shared"), "high")
+    asked = with_answers(asked, high, "long")
+    earlier = answers(asked, buckets, window_names, True, "shared", "long")
     out = with_answers(asked, earlier, "earlier")
-    return map_slices(out, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts, "doc_id", "text", "shared", "earlier")
+    return map_slices(out, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts, "doc_id", "text", "shared", "long", "earlier")
