@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -121,7 +120,7 @@ def svd_scores(weights: DataFrame, wanted: DataFrame, rank: int = 50, passes: in
     """Rank-k reconstruction of (user_id, product_id, w) at wanted pairs.
 
     Randomised subspace iteration: only the item basis (items x k) is orthonormalised, by a Gram matrix of
-    k x k that comes to the driver; the products with the matrix are joins and sums on Spark. A score is
+    k x k that is summed on Spark and comes to the driver once; the products with the matrix are joins and sums on Spark. A score is
     x V V^T, x the user's row.
     """
     bounds = weights.agg(F.countDistinct("user_id").alias("u"), F.countDistinct("product_id").alias("p")).first()
@@ -131,15 +130,20 @@ def svd_scores(weights: DataFrame, wanted: DataFrame, rank: int = 50, passes: in
     basis = weights.select("product_id").distinct().select("product_id", F.transform(F.sequence(F.lit(1), F.lit(wide)), lambda i: (F.xxhash64(F.lit(seed), "product_id", i) % 2001) / 1000.0).alias("v"))
 
     def orthonormal(items: DataFrame, keep: int) -> DataFrame:
+        i, j = np.triu_indices(wide)
+
         def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((wide, wide))
             for b in batches:
                 v = np.array(b["v"].tolist()).reshape(-1, wide)
                 total += v.T @ v
-            yield pd.DataFrame({"g": [total.ravel().tolist()]})
+            yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
 
-        parts = items.select("v").mapInPandas(gram, "g array<double>").collect()
-        values, vectors = np.linalg.eigh(sum(np.array(r.g).reshape(wide, wide) for r in parts))
+        sums = items.select("v").mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+        whole = np.zeros((wide, wide))
+        for r in sums:
+            whole[r.i, r.j] = whole[r.j, r.i] = r.s
+        values, vectors = np.linalg.eigh(whole)
         order = np.argsort(-values)[:keep]
         good = values[order] > max(values.max(), 1e-300) * 1e-12
         change = vectors[:, order[good]] / np.sqrt(values[order[good]])
@@ -219,33 +223,38 @@ def _visit(seed: int, step: int, passes: int, rate: float, decay: float) -> Call
     return visit
 
 
-def bpr_factors(matrix: DataFrame, size: int = 100, rounds: int = 5, passes: int = 20, rate: float = 0.05, decay: float = 0.01, seed: int = 42, cell: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def bpr_factors(matrix: DataFrame, size: int = 100, rounds: int = 5, passes: int = 20, rate: float = 0.05, decay: float = 0.01, seed: int = 42, cell: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """user_id, v and product_id, v (the last place a bias) by Bayesian personalised ranking: what a user has done ranks above what not.
 
-    Users and items are dealt to blocks of about ``cell``; a round visits every cell of a user and an item block once,
-    those without a block in common at the same time, so tasks never write to the same factors. Other items of the
-    cell are the negative samples.
+    Users are dealt to blocks of about ``cell``, and of ten times as many things done at most, so a block meets no more products than
+    that, and a user's factors are written by one task only. A round is one job: all blocks take steps with the products that their users know (others of them
+    are the negative samples), and a product's factors become the mean of what the blocks made of them, by how often
+    it stands in each.
     """
-    n = matrix.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u"), F.countDistinct("product_id").alias("p")).first()
-    blocks = max(1, -(-max(n.u, n.p) // cell), math.isqrt(n.n // (10 * cell)))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    n = matrix.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u")).first()
+    blocks = max(1, -(-n.u // cell), -(-n.n // (10 * cell)))
     start = lambda c, k: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (F.pmod(F.xxhash64(F.lit(seed), c, i), F.lit(2001)) - 1000) / (1000.0 * size))
-    users = matrix.select("user_id").distinct().withColumn("v", start("user_id", size))
-    items = matrix.select("product_id").distinct().withColumn("v", F.concat(start("product_id", size), F.array(F.lit(0.0))))
     kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
     schema = f"cell int, kind int, user_id {kinds['user_id']}, product_id {kinds['product_id']}, v array<double>"
-    nobody, nothing = F.lit(None).cast(kinds["user_id"]).alias("user_id"), F.lit(None).cast(kinds["product_id"]).alias("product_id")
-    seen = kept(matrix.select("user_id", "product_id"), "bpr-seen")
-    for step in range(rounds * blocks):
-        turn = step % blocks
-        rows = users.select(block("user_id").alias("cell"), F.lit(0).alias("kind"), "user_id", nothing, "v")
-        rows = rows.union(items.select(F.pmod(block("product_id") - turn, F.lit(blocks)).alias("cell"), F.lit(1), nobody, "product_id", "v"))
-        here = F.pmod(block("product_id") - block("user_id"), F.lit(blocks)) == turn
-        rows = rows.union(seen.filter(here).select(block("user_id").alias("cell"), F.lit(2), "user_id", "product_id", F.lit(None).cast("array<double>")))
+    block = F.pmod(F.xxhash64(F.lit(seed), "user_id"), F.lit(blocks)).cast("int")
+    seen = kept(matrix.select(block.alias("cell"), "user_id", "product_id"), "bpr-seen")
+    often = kept(seen.groupBy("cell", "product_id").agg(F.count("*").alias("n")), "bpr-places")
+    users = seen.select("cell", "user_id").distinct().withColumn("v", start("user_id", size))
+    items = seen.select("product_id").distinct().withColumn("v", F.concat(start("product_id", size), F.array(F.lit(0.0))))
+    none = lambda c: F.lit(None).cast(kinds.get(c, "array<double>")).alias(c)
+    for step in range(rounds):
+        rows = users.select("cell", F.lit(0).alias("kind"), "user_id", none("product_id"), "v")
+        rows = rows.union(often.join(items, "product_id").select("cell", F.lit(1), none("user_id"), "product_id", "v"))
+        rows = rows.union(seen.select("cell", F.lit(2), "user_id", "product_id", none("v")))
 
         moved = kept(rows.groupBy("cell").applyInPandas(_visit(seed, step, passes, rate, decay), schema), "bpr-factors")
-        users, items = moved.filter("kind = 0").select("user_id", "v"), moved.filter("kind = 1").select("product_id", "v")
-    return users, items
+        users = moved.filter("kind = 0").select("cell", "user_id", "v")
+        if blocks == 1:
+            items = moved.filter("kind = 1").select("product_id", "v")
+        else:
+            made = moved.filter("kind = 1").select("cell", "product_id", "v").join(often, ["cell", "product_id"])
+            items = made.groupBy("product_id").agg(F.array(*[F.sum(F.col("n") * F.get("v", F.lit(i))) / F.sum("n") for i in range(size + 1)]).alias("v"))
+    return users.select("user_id", "v"), items
 
 
 @REGISTRY.feature("bpr-popular", ["bpr_popular_score"], reads=["user_id", "product_id", "action_type"], passes=2)

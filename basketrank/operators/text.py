@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.common import CART, PURCHASE, VIEW
 from ..plans.registry import REGISTRY
 from ..sources.shared import kept
+from . import subwords
 
 DIMENSIONS = 20
 _READS = ["user_id", "product_id", "product_name", "action_type"]
 
 
 def embed(items: DataFrame, key: str, text: str, backend: str = "hashing", size: int = 64) -> DataFrame:
-    """key and vector (array of doubles): mean Word2Vec vectors, or hashed word counts; blank texts give zeros."""
+    """key and vector (array of doubles): means of word vectors from character n-grams (subwords) or of whole words
+    (word2vec), both trained on the items, or hashed word counts (hashing); blank texts give zeros."""
     from pyspark.ml.feature import HashingTF, Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     words = items.select(key, F.split(F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))), r"\s+").alias("words"))
+    if backend == "subwords":
+        words = kept(words, "words")
+        return subwords.text_vectors(words, key, "words", subwords.trained(words, "words", size))
     if backend == "word2vec":
         model = Word2Vec(vectorSize=size, minCount=1, seed=42, inputCol="words", outputCol="features").fit(words)
         return model.transform(words).select(key, vector_to_array("features").alias("vector"))
@@ -50,7 +55,7 @@ def item_vectors(h: DataFrame, t: DataFrame, key: str, text: str, config: dict)
     unknown = "UNKNOWN_CATEGORY" if key == "product_category" else "UNKNOWN_PRODUCT"
     both = h.select(key, F.col(text).alias("text")).union(t.select(key, F.col(text).alias("text")))
     items = both.groupBy(key).agg(F.coalesce(F.min("text"), F.lit(unknown)).alias("text")).filter(F.col(key).isNotNull())
-    return reduce(embed(items, key, "text", config.get("embedder", "hashing")), key, config.get("dimensions", DIMENSIONS))
+    return reduce(embed(items, key, "text", config.get("embedder", "subwords")), key, config.get("dimensions", DIMENSIONS))
 
 
 def _embeddings(key: str, text: str, prefix: str):

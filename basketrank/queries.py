@@ -280,6 +280,7 @@ def _places(vector):
 query("text_clusters")(lambda s, d: text.clusters(_vectors(s, d)))
 query("text_items")(lambda s, d: text.item_vectors(*split_events(s, d, ["product_id", "product_name"]), "product_id", "product_name", {}).select("product_id", F.inline(_places("vector"))))
 query("text_embed")(lambda s, d: text.embed(logs.scan(s, f"{d}/part.parquet"), "p_partkey", "p_name", "word2vec", 16).select("p_partkey", F.inline(_places("vector"))))
+query("text_subwords")(lambda s, d: text.embed(logs.scan(s, f"{d}/part.parquet"), "p_partkey", "p_name", "subwords", 16).select("p_partkey", F.inline(_places("vector"))))
 query("text_pca")(lambda s, d: text.reduce(_vectors(s, d), "product_id").select("product_id", F.inline(_places("vector"))))
 
 # ---- labels

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketrank import queries
-from basketrank.operators import basic, exploration
+from basketrank.operators import basic, cf, exploration
 from basketrank.sources import interactions, shared
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +93,16 @@ def test_logs_that_are_written_hold_the_declared_columns(spark, monkeypatch):
     queries.QUERIES["fg_product_trend"](spark, SF)
     queries.QUERIES["fg_recency_u_s"](spark, SF)
     assert seen == [("log", ["ts", "product_id", "action_type"]), ("log", ["idx", "ts", "user_id", "store_id"])]
+
+
+@pytest.mark.parametrize("cell", [1000, 4])
+def test_a_round_of_pairwise_ranking_is_one_table(spark, monkeypatch, cell):
+    """However many blocks there are: the tables of things done and of their places, then one a round; each user in one block only."""
+    made = []
+    keep = cf.kept
+    monkeypatch.setattr(cf, "kept", lambda df, name: made.append(name) or keep(df, name))
+    df = spark.createDataFrame([(u, p) for u in range(30) for p in range(u % 5, 12, 2)], "user_id long, product_id long")
+    users, items = cf.bpr_factors(df, size=4, rounds=3, passes=1, cell=cell)
+    assert made == ["bpr-seen", "bpr-places", *["bpr-factors"] * 3]
+    assert users.count() == users.select("user_id").distinct().count() == 30 and items.count() == items.select("product_id").distinct().count() == 12
+    assert all(len(r.v) == 5 for r in items.collect())
