@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import CART, CLICK, PURCHASE, running
 from ..plans.registry import REGISTRY
-from ..sources.shared import kept
+from ..sources.shared import kept, small_batches
 
 _BUY, _ACT = (CART, PURCHASE), (CART, PURCHASE, CLICK)
 
@@ -23,12 +24,74 @@ def interaction_matrix(h: DataFrame, actions=_BUY, binary: bool = False) -> Data
     return out.withColumn("cnt", F.lit(1).cast("long")) if binary else out
 
 
-def jaccard(matrix: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """a, b, sim of users with a common item (itself included); a only from ``users`` if given."""
+#: A key (product, user) with more rows than this is popular: its pairs are counted in bit blocks instead of by a join.
+POPULAR = 1000
+#: Popular keys of a bit block, rows of a block on either side, blocks under one key of a join.
+BITS, ROWS, STRIPE = 4096, 512, 8
+
+
+def _blocks(df: DataFrame, by: list[str], name: Column, rows: int, values: Column) -> DataFrame:
+    """``by``, block, stripe, rows: values in lists of about ``rows``, dealt by a hash of their name; blocks of a group are numbered from 0."""
+    parts = F.ceil(F.count("*") / rows).cast("int").alias("parts")
+    if by:
+        dealt = df.join(df.groupBy(*by).agg(parts), by)
+    else:
+        dealt = df.withColumn("parts", F.lit(df.agg(parts).first()[0]))
+    block = F.pmod(F.xxhash64(name), F.greatest("parts", F.lit(1))).cast("int")
+    packed = dealt.withColumn("block", block).groupBy(*by, "block", "parts").agg(F.collect_list(values).alias("rows"))
+    return packed.withColumn("stripe", F.floor(F.col("block") / STRIPE).cast("int"))
+
+
+def _stripes() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / STRIPE).cast("int"))).alias("stripe")
+
+
+def overlaps(pairs: DataFrame, left: str, key: str, popular: int = POPULAR) -> DataFrame:
+    """a, b, both: how many keys any two values of ``left`` share (a and b in both orders, and each with itself), none left out that share one.
+
+    pairs: distinct rows. Keys with few rows meet in a join. Popular ones are bits: rows of ``left`` in blocks, whose bits are intersected and
+    counted by numpy, so a key that all have makes no rows but those of the result. Blocks of bits keep a row small
+    however many keys are popular.
+    """
+    pairs = kept(pairs.select(F.col(left).alias("a"), F.col(key).alias("k")), "overlaps")
+    kind = pairs.schema["a"].dataType.simpleString()
+    many = kept(pairs.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > popular).select("k"), "popular")
+    few = pairs.join(many, "k", "left_anti")
+    common = few.join(few.select(F.col("a").alias("b"), "k"), "k").groupBy("a", "b").agg(F.count("*").alias("both"))
+    if many.isEmpty():
+        return common
+    number = numbered(many, "k", "number")
+    bits = pairs.join(number, "k").select("a", F.floor(F.col("number") / BITS).cast("int").alias("part"), (F.col("number") % BITS).cast("int").alias("bit"))
+    rows = kept(bits.groupBy("part", "a").agg(F.collect_list("bit").alias("bits")), "bits")
+    packed = kept(_blocks(rows, ["part"], F.col("a"), ROWS, F.struct("a", "bits")), "blocks")
+    ours = packed.select("part", F.col("rows").alias("ours"), _stripes())
+    met = ours.join(packed.select("part", "stripe", F.col("rows").alias("theirs")), ["part", "stripe"])
+
+    def of(rows) -> tuple[pa.Array, np.ndarray]:
+        lists = rows.values.field("bits")
+        out = np.zeros((len(lists), BITS), bool)
+        out[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+        return rows.values.field("a"), np.packbits(out, axis=1).view(np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("ours"), batch.column("theirs"), strict=True):
+                (a, mine), (b, other) = of(x), of(y)
+                for lo in range(0, len(a), 64):
+                    both = np.bitwise_count(mine[lo : lo + 64, None, :] & other[None, :, :]).sum(axis=2, dtype=np.int64)
+                    i, j = np.nonzero(both)
+                    yield pa.RecordBatch.from_arrays([a.take(pa.array(i + lo)), b.take(pa.array(j)), pa.array(both[i, j])], ["a", "b", "both"])
+
+    with small_batches(pairs.sparkSession):
+        heavy = kept(met.select("ours", "theirs").mapInArrow(count, f"a {kind}, b {kind}, both long"), "heavy")
+    return common.union(heavy).groupBy("a", "b").agg(F.sum("both").alias("both"))
+
+
+def jaccard(matrix: DataFrame, popular: int = POPULAR) -> DataFrame:
+    """a, b, sim of users with a common item (itself included)."""
     pairs = matrix.select("user_id", "product_id")
     size = pairs.groupBy("user_id").agg(F.count("*").alias("n"))
-    left = pairs if users is None else pairs.join(users, "user_id", "left_semi")
-    common = left.toDF("a", "product_id").join(pairs.toDF("b", "product_id"), "product_id").groupBy("a", "b").agg(F.count("*").alias("both"))
+    common = overlaps(pairs, "user_id", "product_id", popular)
     return common.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim"))
 
 
@@ -57,24 +120,95 @@ def _known(t: DataFrame, matrix: DataFrame, scores: DataFrame, column: str) -> D
     return out.withColumn(column, value).drop("u_known", "p_known")
 
 
+def popular_scores(matrix: DataFrame, wanted: DataFrame) -> DataFrame:
+    """user_id, product_id, cf_score of wanted pairs, summed by blocks of users against blocks of all users.
+
+    A row of the join is a block of wanted users and one of others, each with the products of its users. Numpy multiplies
+    their 0/1 matrices over common products, which gives all similarities of the two blocks, and adds these up by
+    product times counts. No pair of users and no list of a product's buyers is ever a row.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
+    each = kept(matrix.groupBy("user_id").agg(F.collect_list("product_id").alias("items"), F.collect_list(F.col("cnt").cast("double")).alias("counts")), "users")
+    asks = wanted.groupBy("user_id").agg(F.collect_list("product_id").alias("wanted")).join(each.select("user_id", "items"), "user_id")
+    hot = wanted.select("product_id").distinct()
+    buyers = each.join(matrix.join(hot, "product_id", "left_semi").select("user_id").distinct(), "user_id", "left_semi")
+    ours = _blocks(asks, [], F.col("user_id"), ROWS // 4, F.struct("user_id", "items", "wanted")).select(F.col("block").alias("home"), F.col("rows").alias("ours"))
+    theirs = kept(_blocks(buyers, [], F.col("user_id"), ROWS, F.struct("items", "counts")), "buyers")
+    stripes = theirs.agg(F.coalesce(F.max("stripe"), F.lit(-1))).first()[0] + 1
+    met = ours.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(max(stripes - 1, 0))))).join(theirs.select("stripe", F.col("rows").alias("theirs")), "stripe")
+
+    def flat(rows, name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = rows.values.field(name)
+        return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("ours"), batch.column("theirs"), strict=True):
+                (u, mine), (v, other), (w, asked) = flat(x, "items"), flat(y, "items"), flat(x, "wanted")
+                counts = y.values.field("counts").flatten().to_numpy()
+                n_u, n_v = np.bincount(u, minlength=len(x.values)), np.bincount(v, minlength=len(y.values))
+                common = np.intersect1d(mine, other)
+                both = np.zeros((len(n_u), len(n_v)), np.float32)
+                for lo in range(0, len(common), 4096):
+                    some = common[lo : lo + 4096]
+                    one = lambda of, at, n, some=some: _indicator(of, at, n, some)
+                    both += one(u, mine, len(n_u)) @ one(v, other, len(n_v)).T
+                both = both.astype(float)
+                near = both / np.maximum(n_u[:, None] + n_v[None, :] - both, 1)
+                # columns: the wanted products, as far as the other block has them
+                products, column = np.unique(asked, return_inverse=True)
+                place = np.minimum(np.searchsorted(products, other), len(products) - 1)
+                there = np.flatnonzero(products[place] == other)
+                amount = np.zeros((len(n_v), len(products)))
+                amount[v[there], place[there]] = counts[there]
+                total = np.zeros(len(asked))
+                for lo in range(0, len(products), 1024):
+                    here = (column >= lo) & (column < lo + 1024)
+                    total[here] = (near @ amount[:, lo : lo + 1024])[w[here], column[here] - lo]
+                good = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([x.values.field("user_id").take(pa.array(w[good])), pa.array(asked[good]), pa.array(total[good])], ["user_id", "product_id", "score"])
+
+    schema = f"user_id {kinds['user_id']}, product_id {kinds['product_id']}, score double"
+    with small_batches(matrix.sparkSession):
+        parts = kept(met.select("ours", "theirs").mapInArrow(score, schema), "parts")
+    return parts.groupBy("user_id", "product_id").agg(F.sum("score").alias("cf_score"))
+
+
+def _indicator(of: np.ndarray, at: np.ndarray, n: int, columns: np.ndarray) -> np.ndarray:
+    """Rows by sorted columns: 1 where a row has the column among its values."""
+    place = np.minimum(np.searchsorted(columns, at), len(columns) - 1)
+    there = columns[place] == at
+    out = np.zeros((n, len(columns)), np.float32)
+    out[of[there], place[there]] = 1
+    return out
+
+
 @REGISTRY.feature("memory-based-cf", ["cf_score"], reads=["user_id", "product_id", "action_type"], passes=2)
 def memory_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
-    """Sum over users of Jaccard similarity times their count of the product."""
-    m, wanted = kept(interaction_matrix(h), "matrix"), kept(t.select("user_id", "product_id").distinct(), "wanted")
-    counts = wanted.withColumnRenamed("user_id", "a").join(m.withColumnRenamed("user_id", "b"), "product_id")
+    """Sum over users of Jaccard similarity times their count of the product.
+
+    Products with few buyers: those buyers of each wanted pair, and similarities of the pairs of users that meet. Popular ones
+    (config popular): blocks of users.
+    """
+    popular = config.get("popular", POPULAR)
+    m = kept(interaction_matrix(h), "matrix")
+    many = kept(m.groupBy("product_id").agg(F.count("*").alias("n")).filter(F.col("n") > popular).select("product_id"), "popular")
+    wanted = kept(t.select("user_id", "product_id").distinct(), "wanted")
+    counts = kept(wanted.join(many, "product_id", "left_anti").withColumnRenamed("user_id", "a").join(m.withColumnRenamed("user_id", "b"), "product_id"), "counts")
     near = jaccard_of(counts.select("a", "b").distinct(), m)
     scores = counts.join(near, ["a", "b"]).groupBy(F.col("a").alias("user_id"), "product_id").agg(F.sum(F.col("sim") * F.col("cnt")).alias("cf_score"))
+    if not many.isEmpty():
+        scores = scores.union(popular_scores(m, wanted.join(many, "product_id", "left_semi")))
     return _known(t, m, scores, "cf_score")
 
 
-def npmi(matrix: DataFrame) -> DataFrame:
-    """a, b, npmi of different products with common users; 0 where all users have both."""
+def npmi(matrix: DataFrame, popular: int = POPULAR) -> DataFrame:
+    """a, b, npmi of different products with common users; 0 where all users have both. Users of very many products are bits of blocks."""
     pairs = matrix.select("user_id", "product_id")
-    users = pairs.agg(F.countDistinct("user_id").alias("users"))
+    users = pairs.agg(F.countDistinct("user_id")).first()[0]
     size = pairs.groupBy("product_id").agg(F.count("*").alias("n"))
-    both = pairs.toDF("user_id", "a").join(pairs.toDF("user_id", "b"), "user_id").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    out = both.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    return out.select("a", "b", _npmi(F.lit(users.first()[0])).alias("npmi"))
+    both = overlaps(pairs, "product_id", "user_id", popular).filter("a <> b")
+    return both.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select("a", "b", _npmi(F.lit(users)).alias("npmi"))
 
 
 def _npmi(users: Column) -> Column:
@@ -182,7 +316,7 @@ def puresvd_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
 
 def numbered(ids: DataFrame, key: str, number: str) -> DataFrame:
     """Distinct keys with numbers from 0 without gaps, in their order: their places among range partitions."""
-    return running(ids.select(key).distinct(), [key], F.lit(1), number).withColumn(number, F.col(number).cast("int"))
+    return running(ids.select(key).distinct(), [key], F.lit(1), number)
 
 
 def _descend(rows: pd.DataFrame, seed: list[int], passes: int, rate: float, decay: float) -> pd.DataFrame:
