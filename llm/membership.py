@@ -2,8 +2,8 @@
 
 Names are dealt to buckets by their bits and travel packed, a row for each slice of documents and
 bucket. A slice sends a name once at most for its smallest (and, where that matters, largest) doc_id;
-what it can answer itself it keeps, so a name in a third of all documents is no larger in its bucket
-than the number of slices. Answers come back as one byte for each name of a document, in the order
+what it can answer itself it keeps. A task remembers names that came back, in one slice or in two that follow each other, and
+answers from that, so a name in a third of all documents, or in every slice, comes to its bucket a few times from each task. Answers come back as one byte for each name of a document, in the order
 that the document finds again by itself: distinct names by bucket, then by value.
 """
 
@@ -47,6 +47,34 @@ def entries(row: np.ndarray, names: np.ndarray, buckets: int) -> tuple[np.ndarra
     return order[head], place
 
 
+class Returning:
+    """Names that a task has met in two documents or in two slices running: the least and largest doc_id of each. At most LIMIT; then it begins anew."""
+
+    LIMIT = 1 << 18
+
+    def __init__(self):
+        self.names, self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.last = (self.names, self.low, self.high)
+
+    def meet(self, names: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranges of doc_ids of a slice's names (sorted) with what is remembered of them, and which are remembered for the first time."""
+        own = (names, low.copy(), high.copy())
+        low, high, known = low.copy(), high.copy(), np.zeros(len(names), bool)
+        _, i, j = np.intersect1d(names, self.names, assume_unique=True, return_indices=True)
+        low[i], high[i], known[i] = np.minimum(low[i], self.low[j]), np.maximum(high[i], self.high[j]), True
+        self.low[j], self.high[j] = low[i], high[i]
+        _, i, j = np.intersect1d(names, self.last[0], assume_unique=True, return_indices=True)
+        low[i], high[i] = np.minimum(low[i], self.last[1][j]), np.maximum(high[i], self.last[2][j])
+        fresh = ~known & (low != high)
+        if fresh.any():
+            kept = len(self.names) + fresh.sum() <= self.LIMIT
+            both = [np.concatenate([old, new[fresh]]) if kept else new[fresh] for old, new in ((self.names, names), (self.low, low), (self.high, high))]
+            order = np.argsort(both[0])
+            self.names, self.low, self.high = (x[order] for x in both)
+        self.last = own
+        return low, high, fresh
+
+
 def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(LAST).to_numpy()
 
@@ -57,7 +85,7 @@ def answers(docs: DataFrame, buckets: int, names_of: Callable, earlier: bool, *c
     names_of(batch) gives the row and the name of each position. earlier: 1 if a document with a
     smaller doc_id has the name; else 1 if a document with another doc_id has it.
     """
-    number = [0]
+    number, returning = [0], Returning()
 
     def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, ids, keys = batch.num_rows, ids_of(batch), batch.column("key").to_numpy()
@@ -69,6 +97,7 @@ def answers(docs: DataFrame, buckets: int, names_of: Callable, earlier: bool, *c
         high = np.full(len(distinct), np.iinfo(np.int64).min, np.int64)
         np.minimum.at(low, of, ids[row])
         np.maximum.at(high, of, ids[row])
+        low, high, fresh = returning.meet(distinct, low, high)
         known = ids[row] > low[of] if earlier else (low != high)[of]
         slice_ = (TaskContext.get().partitionId() << 32) + number[0]
         number[0] += 1
@@ -78,7 +107,7 @@ def answers(docs: DataFrame, buckets: int, names_of: Callable, earlier: bool, *c
         bucket = (names[asked] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         asked, bucket = asked[order], bucket[order]
-        extra = np.zeros(0, np.int64) if earlier else np.flatnonzero(low != high)
+        extra = np.zeros(0, np.int64) if earlier else np.flatnonzero(fresh)
         extra_bucket = (distinct[extra] % np.uint64(buckets)).astype(np.int64)
         extra = extra[np.argsort(extra_bucket, kind="stable")]
         extra_bucket = np.sort(extra_bucket, kind="stable")

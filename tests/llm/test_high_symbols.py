@@ -84,3 +84,45 @@ def test_symbols_settle_most_windows():
     # of the windows that lie in earlier documents few are named; the rest are first places
     print(len(later), known.sum(), done.sum(), covered)
     assert len(later) < 0.4 * (len(later) + done.sum()) and len(later) + known.sum() < 0.6 * covered
+
+
+def test_a_passage_in_every_slice_is_asked_about_a_few_times(spark, monkeypatch):
+    """Slices of some documents each; one passage stands in all of them. Tasks remember it, and results stay right."""
+    import llm.membership as membership
+    import llm.textarrays as textarrays
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(40)]
+    docs = [(i, " ".join([word() for _ in range(30)] + (passage if i % 3 else []) + [word() for _ in range(20)])) for i in range(400)]
+    monkeypatch.setattr(textarrays, "SLICE_BYTES", 2000)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    sent = []
+    real = membership.map_slices
+
+    def counted(frame, f, schema, *columns, **options):
+        out = real(frame, f, schema, *columns, **options)
+        if schema.startswith("kind int, bucket int, slice long"):
+            asked = Counter(n for x in out.filter("kind = 0").select("names").collect() for n in np.frombuffer(x.names, np.uint64).tolist())
+            extra = Counter(n for x in out.filter("kind = 0").select("extra").collect() for n in np.frombuffer(x.extra, np.uint64).tolist())
+            slices = out.filter("kind = 1").select("slice").distinct().count()
+            sent.append((max(asked.values()), max(extra.values(), default=0), slices, out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(membership, "map_slices", counted)
+    got = Counter(tuple(x) for x in substring_dedup.remove_repeats(df).collect())
+    assert got == removed(docs)
+    # phrases, symbols, windows: no name comes from every slice, but from a task until it is met again or with ever smaller ids
+    assert len(sent) == 3
+    for asked, extra, slices, tasks in sent:
+        assert slices > 90 and asked <= 12 * tasks and extra <= 2 * tasks, sent
+    known = membership.Returning()
+    total = 0
+    for slice_ in range(50):
+        names = np.sort(np.array([5, 10**6 + slice_, 10**7 + slice_], np.uint64))
+        ids = np.full(3, slice_, np.int64)
+        low, high, fresh = known.meet(names, ids, ids)
+        total += int(fresh.sum()) + int((low == high).sum() - 2 >= 1)
+        assert (low[0], high[0]) == (0, slice_) and fresh[0] == (slice_ == 1)
+    assert len(known.names) == 1
