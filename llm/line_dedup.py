@@ -39,6 +39,8 @@ KEEP = 4
 BUCKET = 1 << 17
 #: Characters of a shingle of the query and the pipeline.
 FINE = 5
+#: Names of lines that a task remembers to have signed, so that a line in every slice comes from each task a few times.
+SENT = 1 << 18
 SHINGLE, SIMILARITY = 8, 0.8
 #: Values of a signature; bands, and values that each one takes. Long bands keep chance meetings rare however many lines there are.
 PERMUTATIONS, BANDS, ROWS = 75, 32, 7
@@ -197,9 +199,15 @@ def meetings(docs: DataFrame, units: int, shingle: int | Callable = SHINGLE, of:
     buckets = max(partitions(docs.sparkSession), -(-units // BUCKET))
     fields = ["bucket", "bands", "names", "kind"]
 
+    sent = [np.zeros(0, np.uint64)]
+
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x, lo, hi, names, *_ = of(batch)
-        at = np.sort(np.unique(names, return_index=True)[1])
+        distinct, at = np.unique(names, return_index=True)
+        # what this task has sent already would only be sent again
+        new = ~np.isin(distinct, sent[0], assume_unique=True)
+        distinct, at = distinct[new], np.sort(at[new])
+        sent[0] = np.concatenate([sent[0], distinct]) if len(sent[0]) + len(distinct) <= SENT else distinct
         if not len(at):
             return
         names = names[at]
