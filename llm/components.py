@@ -36,16 +36,27 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
         label = new
 
 
+#: Edges that a task holds at once.
+HELD = 1 << 22
+
+
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges a, b of a partition as edges from each node to the smallest one of its piece."""
-    a, b = [], []
-    for batch in batches:
-        a.append(batch.column("a").to_numpy())
-        b.append(batch.column("b").to_numpy())
-    if a:
-        node, low = local_components(np.concatenate(a), np.concatenate(b))
+    """Edges a, b of a partition as edges from each node to the smallest one of its piece, HELD edges or so at a time."""
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        node, low = local_components(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b")))
         keep = node != low
-        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(low[keep])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(low[keep])], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= HELD:
+            yield star(held)
+            held, n = [], 0
+    if held:
+        yield star(held)
 
 
 def components(edges: DataFrame) -> DataFrame:

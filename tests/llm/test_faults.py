@@ -156,3 +156,27 @@ def test_limits_on_repeats_catch_pasted_paragraphs(spark):
 
 def test_odd_arrow_names():
     assert common.quoted("a`b") == "`a``b`" and pa.schema([("a.b", pa.int32())]).names == ["a.b"] and F.col(common.quoted("a.b")) is not None
+
+
+def test_components_of_edges_held_in_parts(spark, monkeypatch):
+    """Partitions of more edges than a task holds: long chains, stars and repeated edges."""
+    from llm import components as parts
+
+    monkeypatch.setattr(parts, "HELD", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        r = random.Random(8)
+        name = {i: r.getrandbits(60) for i in range(300)}
+        edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 90)] + [(200 + i, 200 + r.randrange(90)) for i in range(60)] * 2
+        df = spark.createDataFrame([(name[a], name[b]) for a, b in edges], "a long, b long").coalesce(2)
+        got = {x.node: x.root for x in parts.components(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    label = {i: i for i in range(300)}
+    for _ in range(300):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    for a, b in edges:
+        assert (got.get(name[a]) == got.get(name[b])) and (a == b or name[a] in got)
+    pairs = {label[a]: got.get(name[a]) for a, b in edges if a != b}
+    assert len(set(pairs.values())) == len(pairs)
