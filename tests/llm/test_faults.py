@@ -180,3 +180,35 @@ def test_components_of_edges_held_in_parts(spark, monkeypatch):
         assert (got.get(name[a]) == got.get(name[b])) and (a == b or name[a] in got)
     pairs = {label[a]: got.get(name[a]) for a, b in edges if a != b}
     assert len(set(pairs.values())) == len(pairs)
+
+
+def test_one_text_far_beyond_a_slice(spark):
+    """Some 6 MB in one row, beside short ones: op4's fingerprint and op5's counts of the whole text, by plain loops."""
+    import xxhash
+
+    from llm import simhash
+
+    r = random.Random(9)
+    vocabulary = [f"W{k}é" if k % 7 == 0 else f"w{k}" for k in range(50_000)]
+    lines = [" ".join(r.choice(vocabulary) for _ in range(40)) for _ in range(20_000)]
+    lines[500:700] = lines[:200]
+    long = "\n".join(lines)
+    assert len(long.encode()) > 3 * (3 << 19)
+    df = spark.createDataFrame([(1, "short text of words"), (2, long), (3, None)], "doc_id long, text string").coalesce(1)
+    words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in long.split()]
+    bits = np.zeros(64, np.int64)
+    n = len(words) - 2
+    for k in range(0, n, 1 << 16):
+        h = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(k, min(n, k + (1 << 16)))], np.uint64)
+        bits += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    want = sum(1 << b for b in range(64) if 2 * bits[b] > n)
+    got = {x.doc_id: x for x in simhash.near_duplicates(df).select("doc_id", simhash.hex_digits().alias("f")).collect()}
+    assert got[2].f == f"{want:016x}" and got[3].f == "0" * 16
+    seen = {x.doc_id: x for x in quality.judged(df).collect()}[2]
+    whole = long.split()
+    triples = {}
+    for i in range(n):
+        triples.setdefault((whole[i], whole[i + 1], whole[i + 2]), []).append(i)
+    repeated = {x for at in triples.values() if len(at) > 1 for i in at for x in (i, i + 1, i + 2)}
+    assert (seen.n_words, seen.word_chars, seen.n_dup_lines, seen.n_repeat_words) == (len(whole), sum(map(len, whole)), 200, len(repeated))
+    assert seen.longest_repeat >= 200 * 40 and seen.kept == (not seen.base_failed and not seen.longest_repeat > quality.MAX_REPEAT_SHARE * len(whole) and seen.covered_words <= quality.MAX_COVERED * len(whole))
