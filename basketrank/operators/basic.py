@@ -123,12 +123,26 @@ def time_cycle(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
 HOLIDAYS = [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (1, 8), (2, 23), (3, 8), (5, 1), (5, 9), (6, 12), (11, 4)]
 
 
+#: Days off that holidays on weekends were moved to, by year: by decree, and to the next working day (fixed values).
+TRANSFERS = {
+    2020: [(2, 24), (3, 9), (5, 4), (5, 5), (5, 11)],
+    2021: [(2, 22), (5, 3), (5, 10), (6, 14), (11, 5), (12, 31)],
+    2022: [(3, 7), (5, 2), (5, 3), (5, 10), (6, 13)],
+    2023: [(2, 24), (5, 8), (11, 6)],
+    2024: [(4, 29), (4, 30), (5, 10), (12, 30), (12, 31)],
+    2025: [(5, 2), (5, 8), (6, 13), (11, 3), (12, 31)],
+}
+
+
 @REGISTRY.feature("russian_holiday", categorical=["is_russian_holiday"], reads=(), passes=0)
 def russian_holiday(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
-    """Days of the year (holidays), and single dates as text (holiday_dates) for days that a decree has moved."""
+    """Days of the year (holidays), and single dates: those given as text (holiday_dates), and with holiday_transfers those of TRANSFERS."""
     days = [m * 100 + d for m, d in config.get("holidays", HOLIDAYS)]
     fixed = (F.month("ts") * 100 + F.dayofmonth("ts")).isin(days)
-    if moved := list(config.get("holiday_dates", ())):
+    moved = list(config.get("holiday_dates", ()))
+    if config.get("holiday_transfers"):
+        moved += [f"{y}-{m:02d}-{d:02d}" for y, some in TRANSFERS.items() for m, d in some]
+    if moved:
         fixed = fixed | F.date_format("ts", "yyyy-MM-dd").isin(moved)
     return t.withColumn("is_russian_holiday", F.coalesce(fixed, F.lit(False)).cast("tinyint"))
 

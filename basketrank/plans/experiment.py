@@ -66,6 +66,12 @@ class Experiment:
 
     def train(self, history: DataFrame, target: DataFrame) -> None:
         batch = REGISTRY.batch(history, target, self._names(), self.config.get("target"), self.config.get("generators", {})).persist()
+        try:
+            self._fit(batch)
+        finally:
+            batch.unpersist()
+
+    def _fit(self, batch: DataFrame) -> None:
         numeric, categorical = self._declared()
         if importance := self.config.get("feature_selection.importance"):
             kept = self._selected(batch, numeric, importance)
@@ -73,18 +79,18 @@ class Experiment:
             numeric = kept
         self.columns = numeric + categorical
         self.model = models.create(self.config.get("model")).train(batch, numeric, categorical)
-        batch.unpersist()
 
     def evaluate(self, history: DataFrame, target: DataFrame, k: int = 10) -> dict[str, float]:
         batch = REGISTRY.batch(history, target, self._names(), self.config.get("target"), self.config.get("generators", {}))
         scored = self.model.predict(batch).persist()
-        two = metrics.binarize(scored, "label")
-        out = {
-            "ndcg": metrics.ndcg(scored, "request_id", "label", "score", k).first()[0], "auc": metrics.auc(two, "label", "score").first()[0],
-            "logloss": metrics.log_loss(two, "label", "score").first()[0],
-        }
-        scored.unpersist()
-        return out
+        try:
+            two = metrics.binarize(scored, "label")
+            return {
+                "ndcg": metrics.ndcg(scored, "request_id", "label", "score", k).first()[0], "auc": metrics.auc(two, "label", "score").first()[0],
+                "logloss": metrics.log_loss(two, "label", "score").first()[0],
+            }
+        finally:
+            scored.unpersist()
 
     def run(self, log: DataFrame) -> dict[str, float]:
         """Metrics on the holdout if there is one, else on the last days; with output.folder also written there with the importances and the configuration."""

@@ -107,7 +107,8 @@ query("split_timewise", f"{SPLIT_SQL} SELECT 'history' AS part, idx FROM h UNION
 query("split_train", f"""{SPLIT_SQL}, c AS (SELECT max(ts) AS m FROM h)
 SELECT CASE WHEN ts < m - INTERVAL {DAYS} DAY THEN 'train_history' ELSE 'train_target' END AS part, idx FROM h, c
 UNION ALL SELECT 'validation_history', idx FROM h UNION ALL SELECT 'validation', idx FROM t""")(
-    lambda s, d: (lambda p: p[0].select(F.lit("train_history").alias("part"), "idx").union(p[1].select(F.lit("train_target"), "idx")).union(p[2].select(F.lit("validation_history"), "idx")).union(p[3].select(F.lit("validation"), "idx")))(split.train(logs.event_log(s, d).select("idx", "ts"), DAYS))
+    lambda s, d: (lambda p: p[0].select(F.lit("train_history").alias("part"), "idx").union(p[1].select(F.lit("train_target"), "idx"))
+    .union(p[2].select(F.lit("validation_history"), "idx")).union(p[3].select(F.lit("validation"), "idx")))(split.train(logs.event_log(s, d).select("idx", "ts"), DAYS))
 )
 query("split_holdout", f"{SPLIT_SQL} SELECT idx, ts >= (SELECT max(ts) FROM f) - INTERVAL 3 DAY AS held FROM f")(
     lambda s, d: (lambda p: p[0].select("idx", F.lit(False).alias("held")).union(p[1].select("idx", F.lit(True))))(split.holdout(logs.event_log(s, d).select("idx", "ts"), 3))
@@ -164,7 +165,7 @@ FROM h GROUP BY {_key}) USING ({_key})""")
 
 _cyc = [("hour_of_day", "hour(ts)", 24), ("day_of_week", "isodow(ts)", 7), ("month", "month(ts)", 12)]
 feature("fg_time_cycl", "time_features_cycl_v2", [f"{n}_{f}_v2" for n, _, _ in _cyc for f in ("sin", "cos")] + ["is_weekend_v2"], "SELECT idx, " + ", ".join(as_rounded(f"{f}({e} * 2 * pi() / {p})", f"{n}_{f}_v2") for n, e, p in _cyc for f in ("sin", "cos")) + ", isodow(ts) >= 6 AS is_weekend_v2 FROM t")
-feature("fg_russian_holiday", "russian_holiday", ["is_russian_holiday"], "SELECT idx, CAST(month(ts) * 100 + day(ts) IN (" + ", ".join(str(m * 100 + d) for m, d in basic.HOLIDAYS) + ") AS BIGINT) AS is_russian_holiday FROM t")
+feature("fg_russian_holiday", "russian_holiday", ["is_russian_holiday"], "SELECT idx, CAST(month(ts) * 100 + day(ts) IN (" + ", ".join(str(m * 100 + d) for m, d in basic.HOLIDAYS) + ") OR strftime(ts, '%Y-%m-%d') IN (" + ", ".join(f"'{y}-{m:02d}-{d:02d}'" for y, days in basic.TRANSFERS.items() for m, d in days) + ") AS BIGINT) AS is_russian_holiday FROM t", config={"holiday_transfers": True})
 for _name, (_key, _p, _fn) in basic.TEMPORAL.items():
     _buy = "action_type = 'AT_CartUpdate'" if _name == "product" else _BUY
     _cols = [f"{_p}{c}" for c in ("avg_purchase_hour", "std_purchase_hour", "most_common_purchase_day", "hour_relevance", "day_of_week_relevance")]
@@ -428,6 +429,21 @@ def _ranked(s, d):
     return batch, models.create({"type": "ranker"}).train(batch, _MODEL_COLUMNS, _MODEL_CATEGORIES)
 
 
+@query("leaderboard")
+def _leaderboard(s, d):
+    """NDCG and MAP of two models on the last days, and by how many percent the first is ahead: popularity by purchases against that by views."""
+    from .plans.experiment import compared
+
+    h, t = split_events(s, d, _LABELLED)
+    batch = shared.kept(REGISTRY.batch(h, t, ["product_stats"], "Weighted"), "batch")
+
+    def metrics_of(feature):
+        scored = models.SingleFeatureModel(feature).train(batch, [], []).predict(batch)
+        return {"ndcg": metrics.ndcg(scored, "request_id", "label", "score").first()[0], "map": metrics.mean_average_precision(scored, "request_id", "label", "score").first()[0]}
+
+    return s.createDataFrame(compared(metrics_of("product_total_purchases"), metrics_of("product_total_views")), "metric string, one double, other double, change double")
+
+
 @query("model_ranker")
 def _ranker(s, d):
     """Trees by pairwise gradients within requests."""

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import json
 import logging
 from types import SimpleNamespace
@@ -206,3 +207,19 @@ def test_folder_off_local_masters():
     given = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "hdfs://shared/folder/"), sparkContext=context("yarn"))
     assert shared.place(given, "x").startswith("hdfs://shared/folder/x-")
     shared._made.pop()
+
+
+def test_transfers_of_holidays(spark):
+    days = ["2023-02-24", "2024-05-10", "2024-05-13", "2025-12-31", "2026-02-24", "2024-01-03"]
+    df = spark.createDataFrame([(i, dt.datetime.fromisoformat(x)) for i, x in enumerate(days)], "idx int, ts timestamp_ntz")
+    flags = lambda config: [r.is_russian_holiday for r in basic.russian_holiday(df, df, config).orderBy("idx").collect()]
+    assert flags({"holiday_transfers": True}) == [1, 1, 0, 1, 0, 1]
+    assert flags({"holiday_transfers": True, "holiday_dates": ["2026-02-24"]}) == [1, 1, 0, 1, 1, 1]
+
+
+def test_a_frame_is_let_go_when_training_fails(spark, log):
+    one = experiment.Experiment(Config({"features": ["user_stats"], "model": {"type": "single_feature", "config": {"feature": "none"}}}), "fails")
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    with pytest.raises(ValueError):
+        one.train(log, log)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
