@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept, small_batches
+from ..sources.shared import importable, kept, small_batches
 from .base import Model
 from .encoding import encoded, ordered, statistics
 
@@ -255,6 +255,7 @@ class GroupRanker(Model):
         missing = [c for c in self.numeric + self.categorical if c not in df.columns]
         if missing:
             raise ValueError(f"missing columns {missing}")
+        importable(df.sparkSession)
         edges, trees = self.edges, self.trees
 
         @F.pandas_udf("double")

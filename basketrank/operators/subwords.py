@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..sources.shared import importable, kept
 
 #: Rows of the tables of n-grams and of contexts; lengths of n-grams; words on either side; negative samples a pair.
 BUCKETS, SHORTEST, LONGEST, NEAR, NEGATIVES = 1 << 15, 3, 5, 5, 5
@@ -134,6 +134,7 @@ def trained(items: DataFrame, words: str, size: int = 64, rounds: int = 3, passe
 
 def text_vectors(items: DataFrame, key: str, words: str, tables: Tables) -> DataFrame:
     """key and vector: the mean of a text's word vectors, each brought to unit length; zeros without words."""
+    importable(items.sparkSession)
     shared, size = items.sparkSession.sparkContext.broadcast((tables.inner, tables.outer)), tables.inner.shape[1]
 
     @F.pandas_udf("array<double>")

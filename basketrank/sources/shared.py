@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,14 @@ _made: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where it is not shipped with the job (--py-files)."""
+    here = str(Path(__file__).resolve().parent.parent.parent)
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [path, here]))
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir. Where none is set: a folder of this machine, if all tasks run on it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +42,7 @@ def place(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to a new shared path and read again."""
     spark = df.sparkSession
+    importable(spark)
     path, before = place(spark, name), spark.conf.get(_CLEANUP, None)
     # what is written needs its shuffle files no more
     spark.conf.set(_CLEANUP, "true")
