@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, partitions, quoted, releasing, written
 from .components import components, local_components
-from .membership import keyed
+from .membership import absent, keyed
 from .textarrays import SEPARATOR, Texts, combine, mix, plain, ragged, slices
 
 #: A slice sends so many lines of a band to the band's bucket; of the others it tells only that they are in the band.
@@ -205,9 +205,9 @@ def meetings(docs: DataFrame, units: int, shingle: int | Callable = SHINGLE, of:
         x, lo, hi, names, *_ = of(batch)
         distinct, at = np.unique(names, return_index=True)
         # what this task has sent already would only be sent again
-        new = ~np.isin(distinct, sent[0], assume_unique=True)
+        place, new = absent(sent[0], distinct)
         distinct, at = distinct[new], np.sort(at[new])
-        sent[0] = np.concatenate([sent[0], distinct]) if len(sent[0]) + len(distinct) <= SENT else distinct
+        sent[0] = np.insert(sent[0], place[new], distinct) if len(sent[0]) + len(distinct) <= SENT else distinct
         if not len(at):
             return
         names = names[at]

@@ -47,6 +47,14 @@ def entries(row: np.ndarray, names: np.ndarray, buckets: int) -> tuple[np.ndarra
     return order[head], place
 
 
+def absent(held: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each name among those held, and which are not there; both are sorted and distinct."""
+    place = np.searchsorted(held, names)
+    if not len(held):
+        return place, np.ones(len(names), bool)
+    return place, held[np.minimum(place, len(held) - 1)] != names
+
+
 class Returning:
     """Names that a task has met in two documents or in two slices running: the least and largest doc_id of each. At most LIMIT; then it begins anew."""
 
@@ -56,14 +64,21 @@ class Returning:
         self.names, self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.last = (self.names, self.low, self.high)
 
+    @staticmethod
+    def _both(held: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where names are that are held, among the names and among those held."""
+        place, new = absent(held, names)
+        i = np.flatnonzero(~new)
+        return i, place[i]
+
     def meet(self, names: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ranges of doc_ids of a slice's names (sorted) with what is remembered of them, and which are remembered for the first time."""
         own = (names, low.copy(), high.copy())
         low, high, known = low.copy(), high.copy(), np.zeros(len(names), bool)
-        _, i, j = np.intersect1d(names, self.names, assume_unique=True, return_indices=True)
+        i, j = self._both(self.names, names)
         low[i], high[i], known[i] = np.minimum(low[i], self.low[j]), np.maximum(high[i], self.high[j]), True
         self.low[j], self.high[j] = low[i], high[i]
-        _, i, j = np.intersect1d(names, self.last[0], assume_unique=True, return_indices=True)
+        i, j = self._both(self.last[0], names)
         low[i], high[i] = np.minimum(low[i], self.last[1][j]), np.maximum(high[i], self.last[2][j])
         fresh = ~known & (low != high)
         if fresh.any():
