@@ -31,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets 0.8 alike: the one with the smallest id (of equal ids the smallest text hash); of equal rows one."""
+    """One document of each component of five-word shingle sets 0.8 alike, found by SimHash and by MinHash bands and compared exactly: the one with the smallest id (of equal ids the smallest text hash); of equal rows one."""
     found = written(near.near_duplicates(docs.select(COLUMNS)), "near")
     one = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("keep")).select(F.col("keep.doc_id").alias("d"), F.col("keep.text_hash").alias("h"))
     kept = docs.select(*COLUMNS, F.xxhash64("text").alias("h0")).join(one, (F.col("h0") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
@@ -52,7 +52,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack)]
 
-#: MinHash, balanced sampling and packing have no SQL form; tests hold each stage against its operator or brute force.
+#: SimHash, MinHash, balanced sampling and packing have no SQL form; tests hold each stage against its operator or brute force.
 ORACLE_SQL = None
 
 

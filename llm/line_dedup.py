@@ -403,9 +403,10 @@ def verified(pairs: DataFrame, similarity: float, shingle: int | Callable = SHIN
     return pairs.mapInArrow(releasing(run), "a long, b long")
 
 
-def linked(met: DataFrame, texts: DataFrame, similarity: float, shingle: int | Callable = SHINGLE) -> DataFrame:
-    """node, root of all lines that are linked to others. met: of meetings; texts: name, chars, text of the lines in its pairs."""
-    pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
+def linked(met: DataFrame, texts: DataFrame, similarity: float, shingle: int | Callable = SHINGLE, also: DataFrame | None = None) -> DataFrame:
+    """node, root of all lines that are linked to others. met: of meetings; also: more pairs a < b; texts: name, chars, text of the lines in pairs."""
+    pairs = met.filter(F.col("kind") == PAIR).select("a", "b")
+    pairs = (pairs if also is None else pairs.union(also)).distinct()
     of = lambda x: texts.select(F.col("name").alias(x), F.col("text").alias(f"text_{x}"))
     full = pairs.join(of("a"), "a").join(of("b"), "b")
     links = written(verified(full.select("a", "b", "text_a", "text_b"), similarity, shingle), "links")

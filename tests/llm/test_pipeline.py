@@ -59,6 +59,30 @@ def test_near_dedup_finds_what_is_alike_by_shingles_of_five_words(spark):
     assert sum((2 * i + 1 in left) == a for i, a in enumerate(alike)) <= 1 and all(2 * i + 1 in left for i, a in enumerate(alike) if not a)  # MinHash may miss a pair
 
 
+def test_near_dedup_takes_candidates_from_fingerprints(spark, monkeypatch):
+    from llm import near_dedup
+
+    r = random.Random(12)
+    docs = []
+    for i in range(40):
+        words = [f"w{r.randrange(3000)}" for _ in range(400)]
+        docs.append((2 * i, " ".join(words)))
+        docs.append((2 * i + 1, " ".join([*words[:-1], "other"])))  # one shingle of 396 is another
+    # fingerprints that a repeated phrase decides, of sets that are not alike
+    phrase = [f"p{k}" for k in range(11)] * 60
+    docs += [(100 + k, " ".join(phrase + [f"{k}q{x}" for x in range(30)])) for k in range(2)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    fp = {x.doc_id: x.fp for x in simhash.fingerprints(df, 5).collect()}
+    apart = lambda a, b: ((fp[a] ^ fp[b]) & (1 << 64) - 1).bit_count()
+    near = {2 * i + 1 for i in range(40) if apart(2 * i, 2 * i + 1) <= 3}
+    assert len(near) > 20 and apart(100, 101) <= 3
+    # no bands: what goes is found by fingerprints alone
+    none = spark.createDataFrame([], "kind int, a long, b long")
+    monkeypatch.setattr(near_dedup, "meetings", lambda *_: none)
+    left = {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, SF).collect()}
+    assert left == {i for i, _ in docs} - near
+
+
 def _united(items, alike):
     parent = {x: x for x in items}
 
