@@ -5,9 +5,10 @@ shingle). MinHash signatures of PERMUTATIONS values go into BANDS bands; lines t
 candidates of each other, and their shingle sets are then compared exactly: a Jaccard similarity of 0.8 or
 more links them. That takes two steps. In the first, agreeing lines are tested against the first of their
 band in the order of their names and against the one before them, which joins nearly every group of like
-lines. In the second, every two lines of a band that are in different components still are looked at too:
-those whose signatures agree on AGREE values or more are compared exactly, so a link between lines that
-share a band is lost with odds of 4e-6 at most. Bands with all lines in one component need no more tests.
+lines. In the second, every two lines of a band that are in different components still are looked at too,
+so no link between lines that share a band is lost. Bands with all lines in one component need no more tests.
+Both steps first bound the similarity from above by bits that stand for shingles (``possible``), and compare
+exactly what the bound lets pass.
 Large bands meet in tiles of bounded size, so no task holds a whole band. Components of the links are
 found by distributed union-find, and of each component, with all its exact copies, the occurrence with the
 smallest (doc_id, text hash, line number) is kept.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import map_slices, partitions, quoted, releasing, written
 from .components import components, local_components
 from .membership import absent, keyed
-from .textarrays import SEPARATOR, Texts, combine, mix, plain, ragged, slices
+from .textarrays import SEPARATOR, Texts, mix, plain, ragged, slices
 
 #: A slice sends so many lines of a band to the band's bucket; of the others it tells only that they are in the band.
 KEEP = 4
@@ -44,8 +45,8 @@ SENT = 1 << 18
 SHINGLE, SIMILARITY = 8, 0.8
 #: Values of a signature; bands, and values that each one takes. Long bands keep chance meetings rare however many lines there are.
 PERMUTATIONS, BANDS, ROWS = 75, 32, 7
-#: Values of two signatures that agree if the lines are compared exactly in the second step.
-AGREE = 45
+#: Bits that stand for the shingles of a line where similarities are bounded.
+MARKS = 1 << 12
 #: Shingles that are hashed, and pairs that are compared, at a time.
 BLOCK, PAIRS = 1 << 15, 1 << 16
 #: Bits of a band's name that travel, beside its bucket.
@@ -93,12 +94,16 @@ def shingles(x: Texts, first: np.ndarray, end: np.ndarray, shingle: int | Callab
     # runs from every character on, a block that fits a cache at a time
     names = np.zeros(len(points) + 1, np.uint64)
     for lo in range(0, len(points), BLOCK):
-        some = np.concatenate([points[lo : lo + BLOCK + shingle - 1].astype(np.uint64), np.zeros(shingle, np.uint64)])
         n = min(BLOCK, len(points) - lo)
-        out = names[lo : lo + n]
-        for k in range(shingle):
-            out += (some[k : k + n] + np.uint64(1)) * _FACTORS[k]
-        names[lo : lo + n] = mix(out)
+        some, term = np.ones(n + shingle, np.uint64), np.empty(n, np.uint64)
+        some[: min(n + shingle - 1, len(points) - lo)] += points[lo : lo + n + shingle - 1]
+        out = np.multiply(some[:n], _FACTORS[0])
+        for k in range(1, shingle):
+            out += np.multiply(some[k : k + n], _FACTORS[k], out=term)
+        # a bijection that carries every character to the high bits, which signatures and marks take
+        out ^= np.right_shift(out, np.uint64(32), out=term)
+        out *= _FACTORS[63]
+        np.bitwise_xor(out, np.right_shift(out, np.uint64(32), out=term), out=names[lo : lo + n])
     # those of shorter lines end with the line
     for i in np.flatnonzero(chars < shingle).tolist():
         name = int(chars[i])
@@ -134,11 +139,10 @@ def bands(names: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """(lines, BANDS) names of the bands of MinHash signatures."""
     low, out = signatures(names, starts, n).astype(np.uint64), np.empty((BANDS, len(starts)), np.uint64)
     for b, values in enumerate(_TAKEN):
-        key = np.full(len(starts), b, np.uint64)
-        for k in values:
-            key = combine(key, low[k])
-        out[b] = key
-    return out.T
+        out[b] = b
+        for k, factor in zip(values, _FACTORS, strict=False):
+            out[b] += low[k] * factor
+    return mix(out).T
 
 
 def lines(batch: pa.RecordBatch) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,9 +153,13 @@ def lines(batch: pa.RecordBatch) -> tuple[Texts, np.ndarray, np.ndarray, np.ndar
     count = 1 + x.per_row(np.flatnonzero(x.data == 10))
     row = np.repeat(np.arange(x.rows), count)
     number = ragged(count)
-    filled = np.zeros(len(x.data) + 1, np.int32)
-    np.cumsum(~SEPARATOR[x.data], out=filled[1:])
-    full = filled[hi] > filled[lo]
+    # nearly all lines begin with a word
+    full = hi > lo
+    full[full] = ~SEPARATOR[x.data[lo[full]]]
+    rest = np.flatnonzero(~full & (hi > lo))
+    size = hi[rest] - lo[rest]
+    inside = ~SEPARATOR[x.data[np.repeat(lo[rest], size) + ragged(size)]]
+    full[np.repeat(rest, size)[inside]] = True
     lo, hi = lo[full], hi[full]
     return x, lo, hi, x.names(lo, hi), row[full], number[full]
 
@@ -282,6 +290,43 @@ def sets(cut: tuple[np.ndarray, np.ndarray, np.ndarray], some: np.ndarray) -> tu
     return key << np.uint64(wide), start, np.diff(np.r_[start, len(key)])
 
 
+def marks(cut: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """(lines, MARKS / 64) bits of the shingles of lines that shingles(...) has cut, a block of lines that fits a cache at a time."""
+    names, starts, n = cut
+    out, rows = np.empty((len(starts), MARKS // 8), np.uint8), (1 << 21) // MARKS
+    shift = np.uint64(64 - (MARKS.bit_length() - 1))
+    for lo in range(0, len(starts), rows):
+        first, size = starts[lo : lo + rows], n[lo : lo + rows]
+        bits = np.zeros((len(first), MARKS), bool)
+        place = (names[np.repeat(first, size) + ragged(size)] >> shift).astype(np.int64)
+        bits.ravel()[np.repeat(np.arange(len(first)) * MARKS, size) + place] = True
+        out[lo : lo + rows] = np.packbits(bits, axis=1)
+    return out.view(np.uint64)
+
+
+def possible(bits: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of lines may be similar enough, by their marks and numbers of shingles; none that is gets lost.
+
+    Each bit of one line only stands for a shingle at least that the other does not have.
+    """
+    out = np.empty(len(i), bool)
+    for lo in range(0, len(i), 1 << 12):
+        a, b = i[lo : lo + (1 << 12)], j[lo : lo + (1 << 12)]
+        one, two = bits[a], bits[b]
+        both = one & two
+        less, more = (np.bitwise_count(x ^ both).sum(axis=1, dtype=np.int64) for x in (one, two))
+        common = np.minimum(n[a] - less, n[b] - more)
+        out[lo : lo + (1 << 12)] = common >= similarity * (common + less + more) - 1e-9
+    return out
+
+
+def alike(cut: tuple[np.ndarray, np.ndarray, np.ndarray], bits: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Places of the pairs of lines that are similar enough. cut: of shingles(...); bits: their marks."""
+    able = np.flatnonzero(possible(bits, cut[2], i, j, similarity))
+    those, back = np.unique(np.concatenate([i[able], j[able]]), return_inverse=True)
+    return able[similar(sets(cut, those), back[: len(able)], back[len(able) :], similarity)]
+
+
 def similar(held: tuple[np.ndarray, np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs of lines of sets(...) are similar enough."""
     names, start, n = held
@@ -314,7 +359,7 @@ def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int | Callabl
         base, size = int(of[0]), np.diff(np.r_[of, end])
         x = Texts(plain(texts.slice(base, end - base)))
         cut = shingles(x, x.starts[:-1], x.starts[1:], shingle)
-        low = np.ascontiguousarray(signatures(*cut).astype(np.uint8).T)
+        bits = marks(cut)
         # lines of a band's largest component first; each other line meets those before it in its tile
         order = np.lexsort((~ours[base:end], np.repeat(np.arange(len(of)), size)))
         before = np.where(ours[base:end][order], 0, ragged(size))
@@ -328,13 +373,9 @@ def _tile_links(batch: pa.RecordBatch, similarity: float, shingle: int | Callabl
             i, j = i[fits], j[fits]
             for c in range(0, len(i), PAIRS):
                 a, b = i[c : c + PAIRS], j[c : c + PAIRS]
-                near = (low[a] == low[b]).sum(axis=1, dtype=np.uint8) >= AGREE
-                a, b = a[near], b[near]
-                if len(a):
-                    those, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-                    ok = similar(sets(cut, those), back[: len(a)], back[len(a) :], similarity)
-                    found_a.append(name[base:end][a[ok]])
-                    found_b.append(name[base:end][b[ok]])
+                ok = alike(cut, bits, a, b, similarity)
+                found_a.append(name[base:end][a[ok]])
+                found_b.append(name[base:end][b[ok]])
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
@@ -397,8 +438,8 @@ def verified(pairs: DataFrame, similarity: float, shingle: int | Callable = SHIN
                     batch = whole.slice(at, min(1024, hi - at))
                     texts = pa.concat_arrays([plain(batch.column("text_a")), plain(batch.column("text_b"))])
                     x, every, n = Texts(texts), np.arange(len(texts)), batch.num_rows
-                    ok = similar(sets(shingles(x, x.starts[:-1], x.starts[1:], shingle), every), every[:n], every[n:], similarity)
-                    yield batch.filter(pa.array(ok)).select(["a", "b"])
+                    cut = shingles(x, x.starts[:-1], x.starts[1:], shingle)
+                    yield batch.select(["a", "b"]).take(pa.array(alike(cut, marks(cut), every[:n], every[n:], similarity)))
 
     return pairs.mapInArrow(releasing(run), "a long, b long")
 
@@ -424,12 +465,15 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int | Callab
     met = written(meetings(docs, firsts.count(), shingle), "meetings")
     # the texts of candidates, each from its first occurrence
     wanted = met.filter(F.col("kind") == MEMBER).select(F.col("b").alias("name")).distinct()
-    homes = wanted.join(firsts, "name").select("name", F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"), F.col("first.line").alias("line"))
+    homes = written(firsts.join(wanted.hint("shuffle_hash"), "name").select("name", F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"), F.col("first.line").alias("line")), "homes")
     per_doc = homes.groupBy("k", "d").agg(F.collect_list(F.struct("line", "name")).alias("want"))
     held = docs.join(per_doc, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
     cut = F.transform("want", lambda w: F.struct(w["name"].alias("name"), F.get(F.col("lines"), w["line"]).alias("text")))
-    texts = held.select(F.split("text", "\n").alias("lines"), "want").select(F.inline(cut)).dropDuplicates(["name"])
+    texts = held.select(F.split("text", "\n").alias("lines"), "want").select(F.inline(cut))
     texts = written(texts.select("name", F.char_length("text").alias("chars"), "text"), "texts")
+    # only repeated rows bring a line twice
+    if texts.count() > homes.count():
+        texts = written(texts.dropDuplicates(["name"]), "texts")
     roots = linked(met, texts, similarity, shingle)
     # of a component the first occurrence of all its lines stays, of any other line that occurs twice or more its own
     some = firsts.select(F.col("name").alias("node"), "first", "n").join(roots, "node", "left").filter(F.col("root").isNotNull() | (F.col("n") > 1))
@@ -437,7 +481,7 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int | Callab
     # written, so that the join sees its size and adaptive execution can split a large component
     least = written(named.filter("root is not null").groupBy("root").agg(F.min("first").alias("stays")), "least")
     keep = named.join(least, "root").select("node", "stays").union(named.filter("root is null").select("node", F.col("first").alias("stays")))
-    gone = found.select("doc_id", "key", "line", F.col("name").alias("node")).join(keep, "node").filter(place != F.col("stays"))
+    gone = found.select("doc_id", "key", "line", F.col("name").alias("node")).join(keep.hint("shuffle_hash"), "node").filter(place != F.col("stays"))
     return gone.groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d")).agg(F.collect_set("line").alias("lines"))
 
 
