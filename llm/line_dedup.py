@@ -105,12 +105,15 @@ def shingles(x: Texts, first: np.ndarray, end: np.ndarray, shingle: int | Callab
         out *= _FACTORS[63]
         np.bitwise_xor(out, np.right_shift(out, np.uint64(32), out=term), out=names[lo : lo + n])
     # those of shorter lines end with the line
-    for i in np.flatnonzero(chars < shingle).tolist():
+    short = np.flatnonzero(chars < shingle)
+    for i in short.tolist():
         name = int(chars[i])
         for c in points[at[i] : at[i] + chars[i]].tolist():
             name = (name * 0x9E3779B97F4A7C15 + c + 1) & 0xFFFFFFFFFFFFFFFF
             name ^= name >> 31
         names[at[i]] = name
+    # the last character reaches all bits; signatures and sets(...) leave the low ones out
+    names[at[short]] = mix(names[at[short]])
     return names, at, np.maximum(chars - shingle + 1, 1)
 
 

@@ -32,3 +32,9 @@ def test_bounds_lose_no_similar_pair_and_spare_most_others():
     got = np.zeros(len(i), bool)
     got[line_dedup.alike(cut, bits, i, j, 0.8)] = True
     assert (got == want).all()
+
+
+def test_short_lines_that_end_otherwise_stay(spark):
+    docs = [(i, f"ab{i}\nx{i}\n{'cd' * 2}") for i in range(1, 9)]
+    got = {x.doc_id: x.text for x in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), shingle=line_dedup.FINE).collect()}
+    assert got == {i: f"ab{i}\nx{i}" + ("\ncdcd" if i == 1 else "") for i in range(1, 9)}
