@@ -6,9 +6,10 @@ candidates of each other, and their shingle sets are then compared exactly: a Ja
 more links them. That takes two steps. In the first, agreeing lines are tested against the first of their
 band in the order of their names and against the one before them, which joins nearly every group of like
 lines. In the second, every two lines of a band that are in different components still are looked at too,
-so no link between lines that share a band is lost. Bands with all lines in one component need no more tests.
-Both steps first bound the similarity from above by bits that stand for shingles (``possible``), and compare
-exactly what the bound lets pass.
+so no link between lines that share a band is lost. Bands with all lines in one component need no more tests,
+and the first step has compared all lines of bands with up to three.
+The second step first bounds the similarity from above by bits that stand for shingles (``possible``), and compares
+exactly what the bound lets pass; most pairs of the first are alike and are compared at once.
 Large bands meet in tiles of bounded size, so no task holds a whole band. Components of the links are
 found by distributed union-find, and of each component, with all its exact copies, the occurrence with the
 smallest (doc_id, text hash, line number) is kept.
@@ -49,9 +50,13 @@ PERMUTATIONS, BANDS, ROWS = 75, 32, 7
 MARKS = 1 << 12
 #: Shingles that are hashed, and pairs that are compared, at a time.
 BLOCK, PAIRS = 1 << 15, 1 << 16
+#: Shingles of pairs that are sorted at a time.
+HELD = 1 << 17
 #: Bits of a band's name that travel, beside its bucket.
 KEPT = 40
-#: Kinds of rows that travel: lines of bands still to meet, pairs to compare, lines of bands with more than one.
+#: Lines of a band of which every two are paired: each with the first one and with the one before it.
+SETTLED = 3
+#: Kinds of rows that travel: lines of bands still to meet, pairs to compare, lines of bands with more than SETTLED.
 OPEN, PAIR, MEMBER = 0, 1, 2
 _FACTORS = mix(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -117,23 +122,29 @@ def shingles(x: Texts, first: np.ndarray, end: np.ndarray, shingle: int | Callab
     return names, at, np.maximum(chars - shingle + 1, 1)
 
 
+def _places(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """starts, starts + 1, ... of ranges of n places, one after another."""
+    ends = np.cumsum(n)
+    out = np.repeat(starts - (ends - n), n)
+    out += np.arange(len(out))
+    return out
+
+
 def signatures(names: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """(PERMUTATIONS, lines) least hash values of each line's shingles (ascending), a block of lines that fits a cache at a time."""
     out = np.empty((PERMUTATIONS, len(starts)), np.uint32)
     ends, lo = starts + n, 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, "right")))
-        base = starts[lo]
-        some = np.append(names[base : ends[hi - 1]] >> np.uint64(32), np.uint64(0)).astype(np.uint32)
-        # between the lines are ranges that nobody asks for
-        at = np.stack([starts[lo:hi], ends[lo:hi]], axis=1).ravel() - base
-        flipped, hashed, least = np.empty_like(some), np.empty_like(some), np.empty(len(at), np.uint32)
+        # one line after another, without what lies between them
+        first = np.cumsum(n[lo:hi]) - n[lo:hi]
+        some = np.append(names[_places(starts[lo:hi], n[lo:hi])] >> np.uint64(32), np.uint64(0)).astype(np.uint32)
+        flipped, hashed = np.empty_like(some), np.empty_like(some)
         for r, flip in enumerate(_FLIPS):
             np.bitwise_xor(some, flip, out=flipped)
             for k in range(r, PERMUTATIONS, len(_FLIPS)):
-                np.multiply(flipped, _ODD[k], out=hashed)
-                np.minimum.reduceat(hashed, at, out=least)
-                out[k, lo:hi] = least[::2]
+                # the last value is nobody's
+                np.minimum.reduceat(np.multiply(flipped, _ODD[k], out=hashed)[:-1], first, out=out[k, lo:hi])
         lo = hi
     return out
 
@@ -191,6 +202,20 @@ def _starred(band: np.ndarray, name: np.ndarray, keep: int) -> tuple[np.ndarray,
     return np.minimum(a, b), np.maximum(a, b), order[place < keep], order[place >= keep]
 
 
+def _several(short: np.ndarray) -> np.ndarray:
+    """Places of the values (of KEPT bits) that occur more than once."""
+    if len(short) > 1 << 64 - KEPT:
+        order = np.argsort(short)
+        ordered = short[order]
+    else:
+        # one sort of values with their places, some times as fast as one of places
+        order = np.sort(short << np.uint64(64 - KEPT) | np.arange(len(short), dtype=np.uint64))
+        ordered = order >> np.uint64(64 - KEPT)
+        order = (order & np.uint64((1 << 64 - KEPT) - 1)).view(np.int64)
+    same = ordered[1:] == ordered[:-1]
+    return order[np.r_[same, False][: len(order)] | np.r_[False, same][: len(order)]]
+
+
 def _meeting(kind: int, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
     a, b = one.view(np.int64), two.view(np.int64)
     if kind == PAIR:
@@ -205,7 +230,8 @@ def _meeting(kind: int, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
 def meetings(docs: DataFrame, units: int, shingle: int | Callable = SHINGLE, of: Callable = lines, *columns: str) -> DataFrame:
     """What shares a band among the lines of docs, or among the (about so many) units that of(batch) finds, given text and columns.
 
-    Rows of kind PAIR, pairs a < b of names to compare first, and of kind MEMBER, a band a with two lines or more and a line b of it.
+    Rows of kind PAIR, pairs a < b of names to compare first, among them every line that shares a band, and of kind MEMBER,
+    a band a with more than SETTLED lines and a line b of it. All lines of smaller bands are paired.
     """
     buckets = max(partitions(docs.sparkSession), -(-units // BUCKET))
     fields = ["bucket", "bands", "names", "kind"]
@@ -224,75 +250,63 @@ def meetings(docs: DataFrame, units: int, shingle: int | Callable = SHINGLE, of:
         names = names[at]
         # of a band's name its bucket and KEPT bits stay
         band, name = bands(*shingles(x, lo[at], hi[at], shingle)).ravel(), np.repeat(names, BANDS)
-        band = (band // np.uint64(buckets) & np.uint64((1 << KEPT) - 1)) * np.uint64(buckets) + band % np.uint64(buckets)
+        short = band // np.uint64(buckets)
+        bucket = band - short * np.uint64(buckets)
+        short &= np.uint64((1 << KEPT) - 1)
+        band = short * np.uint64(buckets) + bucket
         # lines of bands that are crowded here: the others all go on
-        order = np.argsort(band)
-        crowd = np.zeros(len(band), bool)
-        ordered = band[order]
-        crowd[order[KEEP:]] = ordered[KEEP:] == ordered[:-KEEP] if len(band) > KEEP else False
-        here, out, on = int(names[0] % np.uint64(buckets)), [], np.arange(len(band))
-        if crowd.any():
+        ordered = np.sort(band)
+        crowd = ordered[KEEP:][ordered[KEEP:] == ordered[:-KEEP]]
+        here, out = int(names[0] % np.uint64(buckets)), []
+        # small numbers are sorted by their digits
+        bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+        if len(crowd):
             # what is settled here goes to any bucket
-            many = np.flatnonzero(np.isin(band, band[crowd]))
-            a, b, first, rest = _starred(band[many], name[many], KEEP)
+            many = np.flatnonzero(np.isin(band, crowd))
+            a, b, _, rest = _starred(band[many], name[many], KEEP)
             out.append((here, a.tobytes(), b.tobytes(), PAIR))
             out.append((here, band[many[rest]].tobytes(), name[many[rest]].tobytes(), MEMBER))
             stays = np.ones(len(band), bool)
             stays[many[rest]] = False
-            on = np.flatnonzero(stays)
-        band, name = band[on], name[on]
-        bucket = (band % np.uint64(buckets)).astype(np.int32)
+            bucket, short, name = bucket[stays], short[stays], name[stays]
         order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        band, name = band[order], name[order]
+        edge = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
+        short, name = short[order].view(np.uint8).reshape(-1, 8)[:, : KEPT // 8], name[order]
         for k in np.flatnonzero(np.diff(edge)).tolist():
-            short = (band[edge[k] : edge[k + 1]] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, : KEPT // 8]
-            out.append((k, short.tobytes(), name[edge[k] : edge[k + 1]].tobytes(), OPEN))
+            out.append((k, short[edge[k] : edge[k + 1]].tobytes(), name[edge[k] : edge[k + 1]].tobytes(), OPEN))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.int32()], strict=True)], fields)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, name = [], []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for bucket, b, n, kind in zip(batch.column("bucket").to_pylist(), batch.column("bands"), batch.column("names"), batch.column("kind").to_pylist(), strict=True):
                 two = np.frombuffer(n.as_buffer(), np.uint64)
                 if kind == OPEN:
                     wide = np.zeros((len(two), 8), np.uint8)
                     wide[:, : KEPT // 8] = np.frombuffer(b.as_buffer(), np.uint8).reshape(len(two), -1)
-                    band.append(wide.view(np.uint64).ravel() * np.uint64(buckets) + np.uint64(bucket))
-                    name.append(two)
+                    held.setdefault(bucket, []).append((wide.view(np.uint64).ravel(), two))
                 else:
                     yield _meeting(kind, np.frombuffer(b.as_buffer(), np.uint64), two)
-        if band:
-            one, two = np.concatenate(band), np.concatenate(name)
-            band = name = None
-            order = np.argsort(one)
-            ordered = one[order]
-            same = ordered[1:] == ordered[:-1]
-            many = order[np.r_[same, False] | np.r_[False, same]]
+        for bucket in list(held):
+            short, name = (np.concatenate(c) for c in zip(*held.pop(bucket), strict=True))
+            many = _several(short)
             # equal lines come from several slices
-            many = many[np.lexsort((two[many], one[many]))]
-            many = many[np.r_[True, (one[many[1:]] != one[many[:-1]]) | (two[many[1:]] != two[many[:-1]])]] if len(many) else many
-            same = one[many[1:]] == one[many[:-1]]
-            many = many[np.r_[same, False] | np.r_[False, same]] if len(many) else many
-            one, two = one[many], two[many]
+            one, two = short[many], name[many]
+            order = np.lexsort((two, one))
+            one, two = one[order], two[order]
+            new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(one)]
+            one, two = one[new] * np.uint64(buckets) + np.uint64(bucket), two[new]
             a, b, _, _ = _starred(one, two, 1)
             yield _meeting(PAIR, a, b)
-            yield _meeting(MEMBER, one, two)
+            # bands side by side
+            size = np.diff(np.flatnonzero(np.r_[True, one[1:] != one[:-1], True])) if len(one) else np.zeros(0, np.int64)
+            large = np.repeat(size > SETTLED, size)
+            yield _meeting(MEMBER, one[large], two[large])
 
     dealt = map_slices(docs, sign, "bucket int, bands binary, names binary, kind int", "text", *columns).repartitionById(buckets, F.col("bucket"))
     return dealt.mapInArrow(releasing(meet), "kind int, a long, b long")
 
 
-def sets(cut: tuple[np.ndarray, np.ndarray, np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of some lines that shingles(...) has cut: their names, one line after another, where each line's begin and how many it has."""
-    names, starts, n = cut[0], cut[1][some], cut[2][some]
-    wide = max(1, len(some) - 1).bit_length()
-    key = np.sort((np.repeat(np.arange(len(some), dtype=np.uint64), n) << np.uint64(64 - wide)) | (names[np.repeat(starts, n) + ragged(n)] >> np.uint64(wide)))
-    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    start = np.searchsorted(key, np.arange(len(some), dtype=np.uint64) << np.uint64(64 - wide))
-    return key << np.uint64(wide), start, np.diff(np.r_[start, len(key)])
-
-
 def marks(cut: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """(lines, MARKS / 64) bits of the shingles of lines that shingles(...) has cut, a block of lines that fits a cache at a time."""
     names, starts, n = cut
@@ -301,7 +315,7 @@ def marks(cut: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     for lo in range(0, len(starts), rows):
         first, size = starts[lo : lo + rows], n[lo : lo + rows]
         bits = np.zeros((len(first), MARKS), bool)
-        place = (names[np.repeat(first, size) + ragged(size)] >> shift).astype(np.int64)
+        place = (names[_places(first, size)] >> shift).view(np.int64)
         bits.ravel()[np.repeat(np.arange(len(first)) * MARKS, size) + place] = True
         out[lo : lo + rows] = np.packbits(bits, axis=1)
     return out.view(np.uint64)
@@ -326,24 +340,31 @@ def possible(bits: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, simi
 def alike(cut: tuple[np.ndarray, np.ndarray, np.ndarray], bits: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """Places of the pairs of lines that are similar enough. cut: of shingles(...); bits: their marks."""
     able = np.flatnonzero(possible(bits, cut[2], i, j, similarity))
-    those, back = np.unique(np.concatenate([i[able], j[able]]), return_inverse=True)
-    return able[similar(sets(cut, those), back[: len(able)], back[len(able) :], similarity)]
+    return able[similar(cut, i[able], j[able], similarity)]
 
 
-def similar(held: tuple[np.ndarray, np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs of lines of sets(...) are similar enough."""
-    names, start, n = held
+def similar(cut: tuple[np.ndarray, np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of lines that shingles(...) has cut are similar enough, compared exactly."""
+    names, starts, n = cut
     out = np.zeros(len(i), bool)
-    # sets whose sizes differ too much cannot be
-    able = np.flatnonzero(np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-    work = np.cumsum(n[i[able]] + n[j[able]])
-    for part in np.split(able, np.flatnonzero(np.diff(work // (1 << 20))) + 1) if len(able) else []:
+    work = np.cumsum(n[i] + n[j])
+    for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(work // HELD)) + 1) if len(i) else []:
         both = np.concatenate([i[part], j[part]])
-        size, pair = n[both], np.tile(np.arange(len(part)), 2)
-        wide = max(1, len(part) - 1).bit_length()
-        key = np.sort((np.repeat(pair, size).astype(np.uint64) << np.uint64(64 - wide)) | (names[np.repeat(start[both], size) + ragged(size)] >> np.uint64(wide)))
-        common = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(64 - wide)).astype(np.int64), minlength=len(part))
-        out[part] = common >= similarity * (n[i[part]] + n[j[part]] - common) - 1e-9
+        size, wide = n[both], max(1, len(part) - 1).bit_length()
+        # pair, shingle, side; one sort brings both sides of a pair together
+        pair, rest = np.tile(np.arange(len(part), dtype=np.uint64), 2) << np.uint64(64 - wide), np.uint64(((1 << 64 - wide) - 1) & ~1)
+        pair[len(part) :] |= np.uint64(1)
+        key = names[_places(starts[both], size)]
+        key >>= np.uint64(wide)
+        key &= rest
+        key |= np.repeat(pair, size)
+        key.sort()
+        # shingles of a line count once
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        of = (key >> np.uint64(64 - wide)).view(np.int64)
+        total = np.bincount(of, minlength=len(part))
+        common = np.bincount(of[1:][key[1:] ^ key[:-1] == 1], minlength=len(part))
+        out[part] = common >= similarity * (total - common) - 1e-9
     return out
 
 
@@ -441,16 +462,22 @@ def verified(pairs: DataFrame, similarity: float, shingle: int | Callable = SHIN
                     batch = whole.slice(at, min(1024, hi - at))
                     texts = pa.concat_arrays([plain(batch.column("text_a")), plain(batch.column("text_b"))])
                     x, every, n = Texts(texts), np.arange(len(texts)), batch.num_rows
-                    cut = shingles(x, x.starts[:-1], x.starts[1:], shingle)
-                    yield batch.select(["a", "b"]).take(pa.array(alike(cut, marks(cut), every[:n], every[n:], similarity)))
+                    # most of these pairs are alike, so bounds would spare little
+                    ok = similar(shingles(x, x.starts[:-1], x.starts[1:], shingle), every[:n], every[n:], similarity)
+                    yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return pairs.mapInArrow(releasing(run), "a long, b long")
 
 
-def linked(met: DataFrame, texts: DataFrame, similarity: float, shingle: int | Callable = SHINGLE, also: DataFrame | None = None) -> DataFrame:
-    """node, root of all lines that are linked to others. met: of meetings; also: more pairs a < b; texts: name, chars, text of the lines in pairs."""
+def paired(met: DataFrame, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The distinct pairs a < b of meetings(...) and of also, and the names of their lines."""
     pairs = met.filter(F.col("kind") == PAIR).select("a", "b")
-    pairs = (pairs if also is None else pairs.union(also)).distinct()
+    pairs = written((pairs if also is None else pairs.union(also)).distinct(), "pairs")
+    return pairs, pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+
+
+def linked(met: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int | Callable = SHINGLE) -> DataFrame:
+    """node, root of all lines that are linked to others. met: of meetings; pairs: of paired(...); texts: name, chars, text of the lines in pairs."""
     of = lambda x: texts.select(F.col("name").alias(x), F.col("text").alias(f"text_{x}"))
     full = pairs.join(of("a"), "a").join(of("b"), "b")
     links = written(verified(full.select("a", "b", "text_a", "text_b"), similarity, shingle), "links")
@@ -467,7 +494,7 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int | Callab
     firsts = written(found.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")), "names")
     met = written(meetings(docs, firsts.count(), shingle), "meetings")
     # the texts of candidates, each from its first occurrence
-    wanted = met.filter(F.col("kind") == MEMBER).select(F.col("b").alias("name")).distinct()
+    pairs, wanted = paired(met)
     homes = written(firsts.join(wanted.hint("shuffle_hash"), "name").select("name", F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"), F.col("first.line").alias("line")), "homes")
     per_doc = homes.groupBy("k", "d").agg(F.collect_list(F.struct("line", "name")).alias("want"))
     held = docs.join(per_doc, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
@@ -477,7 +504,7 @@ def drops(docs: DataFrame, similarity: float = SIMILARITY, shingle: int | Callab
     # only repeated rows bring a line twice
     if texts.count() > homes.count():
         texts = written(texts.dropDuplicates(["name"]), "texts")
-    roots = linked(met, texts, similarity, shingle)
+    roots = linked(met, pairs, texts, similarity, shingle)
     # of a component the first occurrence of all its lines stays, of any other line that occurs twice or more its own
     some = firsts.select(F.col("name").alias("node"), "first", "n").join(roots, "node", "left").filter(F.col("root").isNotNull() | (F.col("n") > 1))
     named = written(some.select("node", "root", "first"), "named")
@@ -500,7 +527,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int |
     # the numbers of the lines that stay; cut lines are bound once for each text
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lines"))
     kept = F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay, lambda i: F.get(p, i)), "\n")), 1)
-    full = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    full = F.size(F.filter(parts, lambda x: F.ltrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept).alias("text")
     fields = [F.col("whole")[c].alias(c) for c in others if c not in ("n_lines", "n_removed")]
     out = out.select(*fields, text, F.coalesce(full, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import written
-from .line_dedup import MEMBER, linked, meetings
+from .line_dedup import linked, meetings, paired
 from .textarrays import Texts, combine, plain, ragged
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -70,11 +70,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     bare = F.coalesce(F.col("text").rlike(WORDLESS), F.lit(True))
     worded = docs.filter(~bare).select(F.col("text_hash").alias("name"), "text")
     met = written(meetings(worded, docs.count(), word_shingles, _units, "name"), "meetings")
-    pairs = written(fingerprint_pairs(docs.filter(~bare).select("doc_id", "text")), "pairs")
-    wanted = met.filter(F.col("kind") == MEMBER).select(F.col("b").alias("name"))
-    wanted = wanted.union(pairs.select("a")).union(pairs.select("b")).distinct()
+    pairs, wanted = paired(met, fingerprint_pairs(docs.filter(~bare).select("doc_id", "text")))
     texts = worded.join(wanted, "name").dropDuplicates(["name"]).select("name", F.char_length("text").alias("chars"), "text")
-    roots = linked(met, written(texts, "texts"), similarity, word_shingles, pairs)
+    roots = linked(met, pairs, written(texts, "texts"), similarity, word_shingles)
     marks = docs.select("doc_id", "text_hash", bare.alias("bare")).join(roots, F.col("text_hash") == F.col("node"), "left")
     marks = written(marks.select("doc_id", "text_hash", F.when(F.col("bare"), F.lit(0)).otherwise(F.coalesce("root", "text_hash")).alias("root")), "marks")
     # written, so that the join sees its size and adaptive execution can split a large component
