@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.common import CART, CLICK, PURCHASE, running
 from ..plans.registry import REGISTRY
@@ -28,6 +30,12 @@ def interaction_matrix(h: DataFrame, actions=_BUY, binary: bool = False) -> Data
 POPULAR = 1000
 #: Popular keys of a bit block, rows of a block on either side, blocks under one key of a join.
 BITS, ROWS, STRIPE = 4096, 512, 8
+#: A row of a join costs as much as so many pairs of users in a tile, or of their places in a dense product.
+PAIRS = 256
+#: Blocks on a side of the tiles, as far as each has ROWS users; most users and items of a block; users of a piece of a tile, ours and theirs.
+SIDE, MOST, ITEMS, PIECE = 24, 1 << 15, 1 << 20, (128, 2048)
+#: Longs that may hold all items as bits of a row.
+WORDS = 16
 
 
 def _blocks(df: DataFrame, by: list[str], name: Column, rows: int, values: Column) -> DataFrame:
@@ -87,12 +95,161 @@ def overlaps(pairs: DataFrame, left: str, key: str, popular: int = POPULAR) -> D
     return common.union(heavy).groupBy("a", "b").agg(F.sum("both").alias("both"))
 
 
-def jaccard(matrix: DataFrame, popular: int = POPULAR) -> DataFrame:
-    """a, b, sim of users with a common item (itself included)."""
-    pairs = matrix.select("user_id", "product_id")
+def _parts(users: DataFrame, entries: Column) -> int:
+    """How many blocks users are dealt to, of a bounded number of users and items each."""
+    n = users.agg(F.count("*").alias("users"), F.coalesce(F.sum(entries), F.lit(0)).alias("items")).first()
+    return max(1, min(SIDE, -(-n.users // ROWS)), -(-n.users // MOST), -(-n["items"] // ITEMS))
+
+
+def _tiles(ours: DataFrame, n: int, theirs: DataFrame, m: int) -> DataFrame:
+    """Rows of every two blocks (home, away), dealt to as many tasks."""
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    left, right = ours.select("*", every(m, "away")).repartition(n * m, "home", "away"), theirs.select("*", every(n, "home")).repartition(n * m, "home", "away")
+    return left.join(right.hint("merge"), ["home", "away"])
+
+
+def _block(name: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
+
+
+def _packed(users: DataFrame, name: str, values: list[str], side: str, rows: str) -> tuple[DataFrame, int]:
+    """side, rows: users (their items in a list) as one row a block; how many blocks."""
+    parts = _parts(users, F.size("items"))
+    return users.groupBy(_block(name, parts).alias(side)).agg(F.collect_list(F.struct(*values)).alias(rows)), parts
+
+
+def _flat(rows: pa.Scalar, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists in a block: their lengths, and the row and value of each element."""
+    lists = rows.values.field(name)
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    return size, np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy()
+
+
+def _places(rows: np.ndarray, values: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements whose value is among sorted columns: row and place of the value; which they are."""
+    place = np.searchsorted(columns, values)
+    there = np.flatnonzero(columns[np.minimum(place, len(columns) - 1)] == values) if len(columns) else np.zeros(0, np.int64)
+    return rows[there], place[there], there
+
+
+def _shared(ours: tuple, theirs: tuple) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """How many items users of two blocks share, in pieces: the first row on either side, counts of each with each, and their similarities.
+
+    Pieces without any are left out; a piece holds until the next one is made.
+
+    Items that many on both sides have are columns of 0/1 matrices that are multiplied; of others, those who have them are listed.
+    """
+    (n_u, u, mine), (n_v, v, other) = ours, theirs
+    (own, a), (their, b) = np.unique(mine, return_counts=True), np.unique(other, return_counts=True)
+    common, i, j = np.intersect1d(own, their, assume_unique=True, return_indices=True)
+    often = a[i] * b[j] * PAIRS > len(n_u) * len(n_v)
+    columns, rest = common[often], common[~often]
+    (u_often, c_often, _), (v_often, d_often, _) = _places(u, mine, columns), _places(v, other, columns)
+    (u_rest, c_rest, _), (v_rest, d_rest, _) = _places(u, mine, rest), _places(v, other, rest)
+    high, wide = PIECE[0], max(min(PIECE), min(PIECE[1], (1 << 23) // max(1, len(columns))))
+
+    def matrix(rows, at, lo, n) -> np.ndarray:
+        here = slice(*np.searchsorted(rows, [lo, lo + n]))
+        out = np.zeros((n, len(columns)), np.float32)
+        out[rows[here] - lo, at[here]] = 1
+        return out
+
+    sizes, others, room = n_u.astype(float)[:, None], n_v.astype(float), (np.empty(high * wide, np.float32), np.empty(high * wide))
+    for right in range(0, len(n_v), wide):
+        w = min(wide, len(n_v) - right)
+        theirs_often = matrix(v_often, d_often, right, w).T
+        here = slice(*np.searchsorted(v_rest, [right, right + w]))
+        order = np.argsort(d_rest[here], kind="stable")
+        who = v_rest[here][order] - right
+        first = np.concatenate([[0], np.cumsum(np.bincount(d_rest[here], minlength=len(rest)))])
+        for left in range(0, len(n_u), high):
+            h = min(high, len(n_u) - left)
+            here = slice(*np.searchsorted(u_rest, [left, left + h]))
+            at, row = c_rest[here], u_rest[here] - left
+            n = first[at + 1] - first[at]
+            if not len(columns) and not n.any():
+                continue
+            both, near = (x[: h * w].reshape(h, w) for x in room)
+            if len(columns):
+                np.matmul(matrix(u_often, c_often, left, h), theirs_often, out=both)
+            else:
+                both[:] = 0
+            ends, lo = np.cumsum(n), 0
+            while lo < len(n):
+                # about a million meetings at once
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + (1 << 20), side="right")))
+                some, start = n[lo:hi], ends[lo] - n[lo]
+                met = who[np.repeat(first[at[lo:hi]] - (ends[lo:hi] - some - start), some) + np.arange(ends[hi - 1] - start)]
+                both += np.bincount(np.repeat(row[lo:hi], some) * w + met, minlength=h * w).reshape(h, w)
+                lo = hi
+            np.add(sizes[left : left + h], others[right : right + w], out=near)
+            near -= both
+            yield left, right, both, np.divide(both, near, out=near)
+
+
+def jaccard(matrix: DataFrame, popular: int = POPULAR, digits: int | None = None) -> DataFrame:
+    """a, b, sim of users with a common item (itself included), rounded to so many digits if asked for.
+
+    Where a join of the users of each item would make more rows than there are pairs of users by a factor of 1 / PAIRS, blocks of
+    users with all their items meet in tiles, which make the rows of the result: no row of a pair is written or shuffled.
+    """
+    pairs = kept(matrix.select("user_id", "product_id"), "overlaps")
+    users = pairs.agg(F.countDistinct("user_id")).first()[0]
+    size = pairs.groupBy("product_id").agg(F.count("*").cast("double").alias("n"))
+    items, joined = size.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0))).first()
+    if users * users <= joined * PAIRS:
+        numbers = pairs.join(numbered(pairs, "product_id", "number"), "product_id").select("user_id", F.col("number").cast("int").alias("number"))
+        return _jaccard_bits(numbers, -(-items // 64), digits) if items <= 64 * WORDS else _jaccard_lists(numbers, digits)
     size = pairs.groupBy("user_id").agg(F.count("*").alias("n"))
     common = overlaps(pairs, "user_id", "product_id", popular)
-    return common.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim"))
+    sim = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    return common.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select("a", "b", (sim if digits is None else F.round(sim, digits)).alias("sim"))
+
+
+def _jaccard_bits(numbers: DataFrame, words: int, digits: int | None) -> DataFrame:
+    """Users of few items: a row of either block has all of a user's items as bits of some longs."""
+    bit = F.expr("shiftleft(1L, number % 64)")
+    bits = [F.bit_or(F.when(F.floor(F.col("number") / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(words)]
+    users = kept(numbers.groupBy("user_id").agg(F.count("*").alias("n"), *bits), "users")
+    parts = _parts(users, F.lit(words))
+    side = lambda u, x: users.select(F.col("user_id").alias(u), F.col("n").alias(f"n{u}"), *[F.col(f"w{i}").alias(f"{u}{i}") for i in range(words)], _block("user_id", parts).alias(x))
+    both = sum((F.bit_count(F.col(f"a{i}").bitwiseAND(F.col(f"b{i}"))) for i in range(1, words)), F.bit_count(F.col("a0").bitwiseAND(F.col("b0"))))
+    sim = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    if digits is not None:
+        sim = F.floor(sim * 10.0**digits + 0.5) / 10.0**digits
+    return _tiles(side("a", "home"), parts, side("b", "away"), parts).select("a", "b", "na", "nb", both.alias("both")).filter("both > 0").select("a", "b", sim.alias("sim"))
+
+
+def _jaccard_lists(numbers: DataFrame, digits: int | None) -> DataFrame:
+    """Users of any number of items: a row is a block of users with lists of their items."""
+    kind = numbers.schema["user_id"].dataType
+    users = kept(numbers.groupBy("user_id").agg(F.collect_list("number").alias("items")), "users")
+    ours, parts = _packed(users, "user_id", ["user_id", "items"], "home", "ours")
+    ours = kept(ours, "blocks")
+    schema = to_arrow_schema(StructType([StructField(c, k) for c, k in (("a", kind), ("b", kind), ("sim", DoubleType()))]))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("ours"), batch.column("theirs"), strict=True):
+                a, b = (z.values.field("user_id").to_numpy(zero_copy_only=False) for z in (x, y))
+                ours, theirs = _flat(x, "items"), _flat(y, "items")
+                for left, right, both, near in _shared(ours, theirs):
+                    if digits is not None:
+                        near *= 10.0**digits
+                        near += 0.5
+                        np.floor(near, out=near)
+                        near /= 10.0**digits
+                    some, others = a[left : left + len(both)], b[right : right + both.shape[1]]
+                    if 2 * np.count_nonzero(both) > both.size:
+                        good = both.ravel() > 0
+                        columns = np.repeat(some, len(others))[good], np.tile(others, len(some))[good], near.ravel()[good]
+                    else:
+                        i, j = np.nonzero(both)
+                        columns = some[i], others[j], near[i, j]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+    met = _tiles(ours, parts, ours.select(F.col("home").alias("away"), F.col("ours").alias("theirs")), parts)
+    return met.select("ours", "theirs").mapInArrow(similar, f"a {kind.simpleString()}, b {kind.simpleString()}, sim double")
 
 
 def item_blocks(matrix: DataFrame, size: int = 1024) -> DataFrame:

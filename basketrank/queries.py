@@ -49,14 +49,14 @@ def features(spark, sf_dir, names: list[str], config: dict | None = None) -> Dat
     return REGISTRY.features_of(*split_events(spark, sf_dir, REGISTRY.log_columns(names), REGISTRY.passes(names) < 2), names, config)
 
 
-def _same_types(df: DataFrame) -> DataFrame:
-    """Whole numbers as long, others rounded, instants as microseconds: what the oracle compares."""
+def _same_types(df: DataFrame, rounded: tuple[str, ...] = ()) -> DataFrame:
+    """Whole numbers as long, others rounded (some are already), instants as microseconds: what the oracle compares."""
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("tinyint", "smallint", "int", "bigint"):
             c = c.cast("long")
-        elif kind in ("float", "double") or kind.startswith("decimal"):
+        elif (kind in ("float", "double") and name not in rounded) or kind.startswith("decimal"):
             c = F.round(c.cast("double"), 6) + F.lit(0.0)
         elif kind.startswith("timestamp"):
             c = micros(c)
@@ -64,9 +64,9 @@ def _same_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, rounded: tuple[str, ...] = ()):
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: _same_types(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: _same_types(f(spark, sf_dir), rounded)
         if sql is not None:
             ORACLES[name] = sql
         return f
@@ -209,7 +209,7 @@ _J = ", z AS (SELECT user_id, count(*) AS n FROM m GROUP BY ALL), j AS (SELECT x
 _N = ", z AS (SELECT product_id, count(*) AS n FROM m GROUP BY ALL), uu AS (SELECT count(DISTINCT user_id) AS u FROM m), j AS (SELECT x.product_id AS a, y.product_id AS b, count(*) AS c FROM m x JOIN m y USING (user_id) WHERE x.product_id <> y.product_id GROUP BY ALL), np AS (SELECT a, b, CASE WHEN c = u THEN 0 ELSE ln((c / u) / ((za.n / u) * (zb.n / u))) / -ln(c / u) END AS npmi FROM j JOIN z za ON za.product_id = a JOIN z zb ON zb.product_id = b, uu)"
 _KNOWN = "t LEFT JOIN (SELECT DISTINCT user_id, 1 AS ku FROM m) USING (user_id) LEFT JOIN (SELECT DISTINCT product_id, 1 AS kp FROM m) USING (product_id)"
 query("interaction_matrix", f"{ORDER_SPLIT_SQL}{_M} SELECT user_id, product_id, cnt FROM m")(lambda s, d: cf.interaction_matrix(split_orders(s, d, _ACTS)[0]))
-query("cf_jaccard", f"{SPLIT_SQL}{_M}{_J} SELECT a, b, {as_rounded('sim', 'sim')} FROM js")(lambda s, d: cf.jaccard(cf.interaction_matrix(split_events(s, d, _ACTS)[0])))
+query("cf_jaccard", f"{SPLIT_SQL}{_M}{_J} SELECT a, b, {as_rounded('sim', 'sim')} FROM js", ("sim",))(lambda s, d: cf.jaccard(cf.interaction_matrix(split_events(s, d, _ACTS)[0]), digits=6))
 query("cf_npmi", f"{SPLIT_SQL}{_M}{_N} SELECT a, b, {as_rounded('npmi', 'npmi')} FROM np")(lambda s, d: cf.npmi(cf.interaction_matrix(split_events(s, d, _ACTS)[0])))
 query("cf_idf", f"""{ORDER_SPLIT_SQL}, m AS (SELECT DISTINCT user_id, product_id FROM h
 WHERE action_type IN ('AT_CartUpdate','AT_Purchase','AT_Click')) SELECT product_id, {as_rounded('ln((SELECT count(DISTINCT user_id) FROM m) / (count(*) + 1))', 'idf')}
