@@ -280,64 +280,62 @@ def _known(t: DataFrame, matrix: DataFrame, scores: DataFrame, column: str) -> D
 def popular_scores(matrix: DataFrame, wanted: DataFrame) -> DataFrame:
     """user_id, product_id, cf_score of wanted pairs, summed by blocks of users against blocks of all users.
 
-    A row of the join is a block of wanted users and one of others, each with the products of its users. Numpy multiplies
-    their 0/1 matrices over common products, which gives all similarities of the two blocks, and adds these up by
+    Users with the same products are one basket, whose counts are sums. A row of the join is a block of wanted baskets and one of
+    others, each with its products. Numpy counts what they share, which gives all similarities of the two blocks, and adds these up by
     product times counts. No pair of users and no list of a product's buyers is ever a row.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
-    each = kept(matrix.groupBy("user_id").agg(F.collect_list("product_id").alias("items"), F.collect_list(F.col("cnt").cast("double")).alias("counts")), "users")
-    asks = wanted.groupBy("user_id").agg(F.collect_list("product_id").alias("wanted")).join(each.select("user_id", "items"), "user_id")
-    hot = wanted.select("product_id").distinct()
-    buyers = each.join(matrix.join(hot, "product_id", "left_semi").select("user_id").distinct(), "user_id", "left_semi")
-    ours = _blocks(asks, [], F.col("user_id"), ROWS // 4, F.struct("user_id", "items", "wanted")).select(F.col("block").alias("home"), F.col("rows").alias("ours"))
-    theirs = kept(_blocks(buyers, [], F.col("user_id"), ROWS, F.struct("items", "counts")), "buyers")
-    stripes = theirs.agg(F.coalesce(F.max("stripe"), F.lit(-1))).first()[0] + 1
-    met = ours.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(max(stripes - 1, 0))))).join(theirs.select("stripe", F.col("rows").alias("theirs")), "stripe")
-
-    def flat(rows, name: str) -> tuple[np.ndarray, np.ndarray]:
-        lists = rows.values.field(name)
-        return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+    number = numbered(matrix, "product_id", "number")
+    entries = F.sort_array(F.collect_list(F.struct(F.col("number").cast("int").alias("item"), "cnt"))).alias("entries")
+    users = matrix.join(number, "product_id").groupBy("user_id").agg(entries)
+    users = kept(users.withColumn("name", F.unhex(F.sha2(F.array_join(F.col("entries.item").cast("array<string>"), ","), 256))), "users")
+    sums = users.select("name", F.inline("entries")).groupBy("name", "item").agg(F.sum(F.col("cnt").cast("double")).alias("cnt"))
+    baskets = sums.groupBy("name").agg(F.collect_list("item").alias("items"), F.collect_list("cnt").alias("counts"))
+    # written with their numbers, which stay
+    baskets = kept(baskets.withColumn("basket", F.monotonically_increasing_id()), "baskets")
+    names = users.select("user_id", "name").join(baskets.select("name", "basket"), "name").select("user_id", "basket")
+    open_pairs = kept(wanted.join(number, "product_id").join(names, "user_id").select("user_id", "product_id", "basket", F.col("number").cast("int").alias("item")), "open")
+    asks = baskets.select("basket", "items").join(open_pairs.groupBy("basket").agg(F.collect_set("item").alias("wanted")), "basket")
+    ours, n = _packed(asks, "basket", ["basket", "items", "wanted"], "home", "ours")
+    theirs, m = _packed(baskets, "basket", ["items", "counts"], "away", "theirs")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column("ours"), batch.column("theirs"), strict=True):
-                (u, mine), (v, other), (w, asked) = flat(x, "items"), flat(y, "items"), flat(x, "wanted")
-                counts = y.values.field("counts").flatten().to_numpy()
-                n_u, n_v = np.bincount(u, minlength=len(x.values)), np.bincount(v, minlength=len(y.values))
-                common = np.intersect1d(mine, other)
-                both = np.zeros((len(n_u), len(n_v)), np.float32)
-                for lo in range(0, len(common), 4096):
-                    some = common[lo : lo + 4096]
-                    one = lambda of, at, n, some=some: _indicator(of, at, n, some)
-                    both += one(u, mine, len(n_u)) @ one(v, other, len(n_v)).T
-                both = both.astype(float)
-                near = both / np.maximum(n_u[:, None] + n_v[None, :] - both, 1)
-                # columns: the wanted products, as far as the other block has them
-                products, column = np.unique(asked, return_inverse=True)
-                place = np.minimum(np.searchsorted(products, other), len(products) - 1)
-                there = np.flatnonzero(products[place] == other)
-                amount = np.zeros((len(n_v), len(products)))
-                amount[v[there], place[there]] = counts[there]
-                total = np.zeros(len(asked))
-                for lo in range(0, len(products), 1024):
-                    here = (column >= lo) & (column < lo + 1024)
-                    total[here] = (near @ amount[:, lo : lo + 1024])[w[here], column[here] - lo]
+                mine, other, (_, who, asked) = _flat(x, "items"), _flat(y, "items"), _flat(x, "wanted")
+                total = _weighted(mine, other, y.values.field("counts").flatten().to_numpy(), who, asked)
                 good = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([x.values.field("user_id").take(pa.array(w[good])), pa.array(asked[good]), pa.array(total[good])], ["user_id", "product_id", "score"])
+                yield pa.RecordBatch.from_arrays([x.values.field("basket").take(pa.array(who[good])), pa.array(asked[good]), pa.array(total[good])], ["basket", "item", "score"])
 
-    schema = f"user_id {kinds['user_id']}, product_id {kinds['product_id']}, score double"
     with small_batches(matrix.sparkSession):
-        parts = kept(met.select("ours", "theirs").mapInArrow(score, schema), "parts")
-    return parts.groupBy("user_id", "product_id").agg(F.sum("score").alias("cf_score"))
+        parts = kept(_tiles(ours, n, theirs, m).select("ours", "theirs").mapInArrow(score, "basket long, item int, score double"), "parts")
+    return open_pairs.join(parts.groupBy("basket", "item").agg(F.sum("score").alias("cf_score")), ["basket", "item"]).select("user_id", "product_id", "cf_score")
 
 
-def _indicator(of: np.ndarray, at: np.ndarray, n: int, columns: np.ndarray) -> np.ndarray:
-    """Rows by sorted columns: 1 where a row has the column among its values."""
-    place = np.minimum(np.searchsorted(columns, at), len(columns) - 1)
-    there = columns[place] == at
-    out = np.zeros((n, len(columns)), np.float32)
-    out[of[there], place[there]] = 1
-    return out
+def _weighted(ours: tuple, theirs: tuple, counts: np.ndarray, who: np.ndarray, asked: np.ndarray, step: int = 256) -> np.ndarray:
+    """For each asked item of a row of ours: similarities to the rows of theirs times their counts of it, summed."""
+    products, column = np.unique(asked, return_inverse=True)
+    v, at, there = _places(theirs[1], theirs[2], products)
+    counts, total, known = counts[there], np.zeros(len(asked)), {}
+
+    def amount(lo: int, n: int, some: np.ndarray) -> np.ndarray:
+        here = slice(*np.searchsorted(v, [lo, lo + n]))
+        row, place, which = _places(v[here], at[here], some)
+        out = np.zeros((n, len(some)))
+        out[row - lo, place] = counts[here][which]
+        return out
+
+    for left, right, _, near in _shared(ours, theirs):
+        h, w = near.shape
+        here = slice(*np.searchsorted(who, [left, left + h]))
+        few = len(products) <= step
+        names = np.arange(len(products)) if few else np.unique(column[here])
+        for lo in range(0, len(names), step):
+            some = names[lo : lo + step]
+            if few and known.get("right") != right:
+                known = {"right": right, "amount": amount(right, w, some)}
+            row, place, which = _places(who[here] - left, column[here], some)
+            total[here.start + which] += (near @ (known["amount"] if few else amount(right, w, some)))[row, place]
+    return total
 
 
 @REGISTRY.feature("memory-based-cf", ["cf_score"], reads=["user_id", "product_id", "action_type"], passes=2)
@@ -345,12 +343,19 @@ def memory_cf(h: DataFrame, t: DataFrame, config: dict) -> DataFrame:
     """Sum over users of Jaccard similarity times their count of the product.
 
     Products with few buyers: those buyers of each wanted pair, and similarities of the pairs of users that meet. Popular ones
-    (config popular): blocks of users.
+    (config popular; if it is not given, all of them where the join would make more rows than there are pairs of users by a factor of
+    1 / PAIRS): blocks of users.
     """
-    popular = config.get("popular", POPULAR)
+    popular = config.get("popular")
     m = kept(interaction_matrix(h), "matrix")
-    many = kept(m.groupBy("product_id").agg(F.count("*").alias("n")).filter(F.col("n") > popular).select("product_id"), "popular")
     wanted = kept(t.select("user_id", "product_id").distinct(), "wanted")
+    size = m.groupBy("product_id").agg(F.count("*").alias("n"))
+    if popular is None:
+        joined = wanted.join(size, "product_id").agg(F.countDistinct("user_id").alias("users"), F.coalesce(F.sum(F.col("n").cast("double")), F.lit(0.0)).alias("rows")).first()
+        if joined.users * m.agg(F.countDistinct("user_id")).first()[0] <= joined["rows"] * PAIRS:
+            return _known(t, m, popular_scores(m, wanted), "cf_score")
+        popular = POPULAR
+    many = kept(size.filter(F.col("n") > popular).select("product_id"), "popular")
     counts = kept(wanted.join(many, "product_id", "left_anti").withColumnRenamed("user_id", "a").join(m.withColumnRenamed("user_id", "b"), "product_id"), "counts")
     near = jaccard_of(counts.select("a", "b").distinct(), m)
     scores = counts.join(near, ["a", "b"]).groupBy(F.col("a").alias("user_id"), "product_id").agg(F.sum(F.col("sim") * F.col("cnt")).alias("cf_score"))

@@ -1,7 +1,8 @@
-"""Similarities of users in tiles: the same numbers as plain sets, no row of a pair written or shuffled."""
+"""Similarities of users in tiles: the same numbers as plain sets, no row of a pair written or shuffled, equal baskets met once."""
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -59,3 +60,32 @@ def test_shared_items_of_blocks(monkeypatch, pairs):
     for left, right, both, near in cf._shared(*sides):
         got |= {(left + i, right + j): (both[i, j], near[i, j]) for i, j in zip(*np.nonzero(both), strict=True)}
     assert got == {(i, j): (len(a & b), len(a & b) / len(a | b)) for i, a in enumerate(sets[0]) for j, b in enumerate(sets[1]) if a & b}
+
+
+@pytest.mark.parametrize("step", [256, 3])
+def test_memory_scores_of_baskets(spark, monkeypatch, step):
+    """Without a threshold given: users with the same products meet the others once; names are text; ids without a partner; null ids."""
+    monkeypatch.setattr(cf, "ROWS", 16)
+    monkeypatch.setattr(cf, "PIECE", (5, 7))
+    weighted = cf._weighted
+    monkeypatch.setattr(cf, "_weighted", lambda *x: weighted(*x, step))
+    made = []
+    keep = cf.kept
+    monkeypatch.setattr(cf, "kept", lambda df, name: made.append((name, out := keep(df, name))) or out)
+    sets = {f"u{u}": {f"p{p}" for p in s} for u, s in _sets(4).items()}
+    r = random.Random(5)
+    count = {(u, p): r.randint(1, 3) for u in sorted(sets) for p in sorted(sets[u])}
+    at = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([(u, p, "AT_Purchase", at) for (u, p), n in count.items() for _ in range(n)], "user_id string, product_id string, action_type string, ts timestamp_ntz")
+    pairs = [(u, p) for u in [*sorted(sets)[::3], "new", None] for p in ("p0", "p1", "p7", "p30", "p95", "new", None)]
+    got = {(x.user_id, x.product_id): x.cf_score for x in cf.memory_cf(log, spark.createDataFrame(pairs, "user_id string, product_id string"), {}).collect()}
+    assert got.keys() == set(pairs)
+    products = {p for s in sets.values() for p in s}
+    for u, p in pairs:
+        if u not in sets or p not in products:
+            assert got[u, p] is None
+        else:
+            assert got[u, p] == pytest.approx(sum(len(sets[u] & s) / len(sets[u] | s) * count[v, p] for v, s in sets.items() if p in s), rel=1e-12)
+    frames = dict(made)
+    assert "counts" not in frames
+    assert frames["baskets"].count() == len({frozenset(s) for s in sets.values()}) < len(sets)
